@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, raw, table
 
@@ -26,6 +27,7 @@ MAX_WORDS = 2_000_000
 #: Lower-cases A-Z and blanks whatever isn't a digit, a letter or beyond ASCII.
 FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
+FINDINGS = ("n_words", "hits", "items")
 FOUND = "n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<{item}>"
 
 
@@ -91,9 +93,10 @@ class Windows:
         return mask, items
 
 
-def _scan(df: DataFrame, windows: Windows, item_type: str, first: bool) -> DataFrame:
-    """df (id, text) or what an earlier pass returned, with the findings of this set of windows."""
+def _scan(df: DataFrame, text_col: str, windows: Windows, item_type: str, first: bool) -> DataFrame:
+    """df, or what an earlier pass returned, with the findings of this set of windows."""
     held = df.sparkSession.sparkContext.broadcast(windows)
+    others = [c for c in df.columns if c not in FINDINGS]
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = held.value
@@ -101,7 +104,7 @@ def _scan(df: DataFrame, windows: Windows, item_type: str, first: bool) -> DataF
         for batch in batches:
             counts, hits, items = [], [], []
             before = (batch.column("hits").to_pylist(), batch.column("items").to_pylist()) if not first else None
-            for i, text in enumerate(raw(batch.column("text"))):
+            for i, text in enumerate(raw(batch.column(text_col))):
                 words = words_of(text) if text else []
                 mask, own = ours.find(words)
                 if before:
@@ -114,28 +117,28 @@ def _scan(df: DataFrame, windows: Windows, item_type: str, first: bool) -> DataF
                 hits.append([{"start": int(s), "end": int(e)} for s, e in turns.reshape(-1, 2)])
                 items.append(sorted(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string() if item_type == "string" else pa.int64()))],
-                ["id", "text", "n_words", "hits", "items"],
+                [*(batch.column(c) for c in others), pa.array(counts, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string() if item_type == "string" else pa.int64()))],
+                [*others, *FINDINGS],
             )
 
-    kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(scanned, f"id {kind}, text string, {FOUND.format(item=item_type)}")
+    schema = T.StructType([*(df.schema[c] for c in others), *T.StructType.fromDDL(FOUND.format(item=item_type)).fields])
+    return df.mapInArrow(scanned, schema)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """id, text, n_words, hits (word positions, half open, merged) and items (identifiers whose windows occur, long or string)."""
+def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """docs with n_words, hits (word positions, half open, merged) and items (identifiers whose windows occur, long or string); columns of these names are replaced."""
     items = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull())
     item_type = "string" if items.schema["item"].dataType.simpleString() == "string" else "bigint"
     size = items.select(F.sum(F.coalesce(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-size // max_words))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = docs.drop(*FINDINGS)
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
         held = [(r.item, r.text.encode() if r.text else None) for r in own.toLocalIterator()]
-        out = _scan(out, Windows(held, window), item_type, b == 0)
+        out = _scan(out, text_col, Windows(held, window), item_type, b == 0)
         if b < blocks - 1:
             out = cut(out)
-    return out.withColumnRenamed("id", id_col)
+    return out
 
 
 def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
@@ -151,7 +154,7 @@ def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h.end - h.start)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
