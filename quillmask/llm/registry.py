@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, lines, packing, secrets, simhash
+from . import decontamination, html, licenses, lines, neighbours, packing, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_html_text": html.op2_html_text,
+    "op3_licenses": licenses.op3_licenses,
     "op4_packing": packing.op4_packing,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_neighbours": neighbours.op6_neighbours,
+    "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_simhash": simhash.op8_simhash,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontamination": decontamination.op10_decontamination,
 }
-SQL = {"op5_line_dedup": lines.OP5_SQL, "op10_decontamination": decontamination.OP10_SQL}
+SQL = {"op5_line_dedup": lines.OP5_SQL, "op7_warc_revisits": warc.OP7_SQL, "op10_decontamination": decontamination.OP10_SQL}
