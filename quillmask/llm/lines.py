@@ -24,7 +24,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
     """(id, body, drops): for each document (body: its text's hash) the positions of its lines that an earlier document keeps."""
     lines = (
         docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.posexplode(line_keys(F.col(text_col))).alias("pos", "key"))
+        .select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.posexplode_outer(line_keys(F.col(text_col))).alias("pos", "key"))
         .where(F.char_length("key") >= min_chars)
         .select("id", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
