@@ -107,13 +107,13 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
 
 def result_rows(evaluated: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row for each detection."""
-    return evaluated.select(id_col, F.explode("results").alias("r")).select(id_col, "r.*")
+    return evaluated.select(id_col, F.explode_outer("results").alias("r")).where("r is not null").select(id_col, "r.*")
 
 
 def duplicate_rows(evaluated: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return evaluated.select(id_col, F.explode("duplicates").alias("d")).select(id_col, "d.*")
+    return evaluated.select(id_col, F.explode_outer("duplicates").alias("d")).where("d is not null").select(id_col, "d.*")
 
 
 def occurrence_rows(evaluated: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row for each kept hit, once for every detection that has it."""
-    return result_rows(evaluated, id_col).select(id_col, "det_idx", "value", F.explode("hits").alias("h")).select(id_col, "det_idx", "value", "h.s", "h.e", (F.col("h.s") == -1).alias("normalized"))
+    return result_rows(evaluated, id_col).select(id_col, "det_idx", "value", F.explode_outer("hits").alias("h")).where("h is not null").select(id_col, "det_idx", "value", "h.s", "h.e", (F.col("h.s") == -1).alias("normalized"))

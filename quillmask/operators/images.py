@@ -38,7 +38,7 @@ def match_words(words: DataFrame, detections: DataFrame) -> DataFrame:
         return (joined == compact) | tokens_match(window, F.col("_tokens")) | slips_match(joined, compact)
 
     starts = greedy(F.filter(F.sequence(F.lit(0), n - 1), matches), size)
-    hit = both.select("doc_id", "det_idx", "value", "words", size.alias("_size"), F.explode(starts).alias("start")).withColumn("_w", F.slice("words", F.col("start") + 1, F.col("_size")))
+    hit = both.select("doc_id", "det_idx", "value", "words", size.alias("_size"), F.explode_outer(starts).alias("start")).where("start is not null").withColumn("_w", F.slice("words", F.col("start") + 1, F.col("_size")))
     x0, y0 = F.array_min(F.transform("_w", lambda w: w.x)), F.array_min(F.transform("_w", lambda w: w.y))
     x1, y1 = F.array_max(F.transform("_w", lambda w: w.x + w.width)), F.array_max(F.transform("_w", lambda w: w.y + w.height))
     return hit.select("doc_id", "det_idx", "value", F.col("start"), F.size("_w").alias("n_words"), x0.alias("x"), y0.alias("y"), (x1 - x0).alias("width"), (y1 - y0).alias("height"))

@@ -9,11 +9,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
 ITEM = "struct<str:string,x:double,y:double,width:double,height:double>"
 ITEMS = f"array<{ITEM}>"
+BOX = StructType().add("str", "string").add("x", "double").add("y", "double").add("width", "double").add("height", "double")
 
 
 def page_text(items: DataFrame, joint: str = "") -> DataFrame:
@@ -114,7 +116,7 @@ def labelled(run: Column, value: Column) -> Column:
     return F.contains(run, F.lit(":")) & (F.length(run) > 2 * F.length(value)) & (F.length(run) - F.length(after) > 1) & F.contains(T.strip_ws(after), T.strip_ws(value))
 
 
-@F.pandas_udf(ITEM)
+@F.pandas_udf(BOX)
 def behind_label(found: pd.Series, value: pd.Series) -> pd.DataFrame:
     """The box of a value that stands behind a label and may span items; null where it can't be placed."""
 
@@ -230,7 +232,7 @@ def overlays(matched: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, value, text, x, y, size): replacement text in the place of rectangles, with y counted from the top."""
     value = F.col("value")
     out = match_items(matched).join(pages.select("doc_id", "page", F.col("height").alias("_h")), ["doc_id", "page"])
-    out = out.select("doc_id", "page", "value", "_h", F.explode(refined(F.col("found"), value)).alias("i"))
+    out = out.select("doc_id", "page", "value", "_h", F.explode_outer(refined(F.col("found"), value)).alias("i")).where("i is not null")
     height = F.coalesce(F.nullif(F.col("i.height"), F.lit(0.0)), F.lit(12.0))
     return out.select("doc_id", "page", "value", T.overlay_text(F.coalesce(F.col("i.width"), F.lit(0.0))).alias("text"), F.col("i.x").alias("x"), (F.col("_h") - F.col("i.y") - height).alias("y"), height.alias("size"))
 

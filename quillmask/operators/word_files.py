@@ -126,7 +126,7 @@ def run_rows(parts: DataFrame) -> DataFrame:
         return F.struct(e.alias("n"), F.array_append(a.o, placed).alias("o"))
 
     main = parts.where(F.col("part") == "word/document.xml")
-    return main.select("doc_id", F.explode(F.aggregate(runs(F.col("xml")), start, step, lambda a: a.o)).alias("x")).select("doc_id", "x.*")
+    return main.select("doc_id", F.explode_outer(F.aggregate(runs(F.col("xml")), start, step, lambda a: a.o)).alias("x")).where("x is not null").select("doc_id", "x.*")
 
 
 def default_half_points(styles: Column) -> Column:

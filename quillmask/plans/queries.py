@@ -1,4 +1,7 @@
-"""The engine's queries over the driver's tables, one for each group of operators, with the SQL of those that SQL can express."""
+"""The engine's queries over the driver's tables, one for each group of operators, with the SQL of those that SQL can express.
+
+Computed arrays are exploded with the outer form and empty ones filtered out behind it: before the plain form Catalyst puts a filter on the array's size, which would compute the array twice.
+"""
 
 from __future__ import annotations
 
@@ -43,21 +46,21 @@ def scalar_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, det_idx, type, value): the text is carried along a projection, not through a shuffle."""
     docs = harness.documents_with_detections(spark, sf_dir)
-    return docs.select("doc_id", "text", F.posexplode("dets").alias("det_idx", "d")).select("doc_id", "text", "det_idx", F.col("d.type").alias("type"), F.col("d.value").alias("value"))
+    return docs.select("doc_id", "text", F.posexplode_outer("dets").alias("det_idx", "d")).where("det_idx is not null").select("doc_id", "text", "det_idx", F.col("d.type").alias("type"), F.col("d.value").alias("value"))
 
 
 def find_all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _each(spark, sf_dir).select("doc_id", "det_idx", "value", F.explode(find_all(F.col("text"), F.col("value"))).alias("h"))
+    hits = _each(spark, sf_dir).select("doc_id", "det_idx", "value", F.explode_outer(find_all(F.col("text"), F.col("value"))).alias("h")).where("h is not null")
     return hits.select("doc_id", "det_idx", "value", "h.s", "h.e")
 
 
 def find_variant_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _each(spark, sf_dir).where(T.trim_ws(F.col("value")) != "").select("doc_id", "det_idx", F.explode(find_variants(F.col("text"), T.trim_ws(F.col("value")))).alias("h"))
+    hits = _each(spark, sf_dir).where(T.trim_ws(F.col("value")) != "").select("doc_id", "det_idx", F.explode_outer(find_variants(F.col("text"), T.trim_ws(F.col("value")))).alias("h")).where("h is not null")
     return hits.select("doc_id", "det_idx", "h.s", "h.e")
 
 
 def token_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _each(spark, sf_dir).select("doc_id", "det_idx", "text", F.explode(find_all(F.col("text"), F.col("value"))).alias("h"))
+    hits = _each(spark, sf_dir).select("doc_id", "det_idx", "text", F.explode_outer(find_all(F.col("text"), F.col("value"))).alias("h")).where("h is not null")
     return hits.select("doc_id", "det_idx", "h.s", T.has_token_boundary(F.col("text"), F.col("h.s"), F.col("h.e")).alias("at_boundary"), T.context(F.col("text"), F.col("h.s"), F.col("h.e"), 14).alias("around"))
 
 
@@ -96,7 +99,7 @@ def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = harness.documents_with_detections(spark, sf_dir)
-    return docs.select("doc_id", F.explode(masking.masked_ranges(F.col("text"), F.col("dets"))).alias("r")).select("doc_id", "r.s", "r.e")
+    return docs.select("doc_id", F.explode_outer(masking.masked_ranges(F.col("text"), F.col("dets"))).alias("r")).where("r is not null").select("doc_id", "r.s", "r.e")
 
 
 def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # The parts of a container that holds one document.
@@ -46,21 +47,21 @@ def _text(content: bytes | None) -> str | None:
     return None
 
 
-@F.pandas_udf("array<struct<part:string,xml:string>>")
+@F.pandas_udf(ArrayType(StructType().add("part", StringType()).add("xml", StringType())))
 def unpack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """XML parts of containers; null for what isn't one."""
     for s in batches:
         yield s.map(_parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def document_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The plain text, paragraphs parted by an empty line, without carriage returns; null for what isn't a document."""
     for s in batches:
         yield s.map(_text)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def with_document(content: pd.Series, xml: pd.Series) -> pd.Series:
     """Containers with word/document.xml replaced and all other parts as they were. A container without that part is an error."""
 
@@ -76,7 +77,7 @@ def with_document(content: pd.Series, xml: pd.Series) -> pd.Series:
     return pd.Series([one(c, x) for c, x in zip(content, xml, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def new_document(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Containers of one paragraph with the text."""
 
@@ -95,5 +96,5 @@ def new_document(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def part_rows(files: DataFrame, id_col: str = "doc_id", content: Column | None = None) -> DataFrame:
     """(id, part, xml)."""
-    parts = files.select(id_col, F.explode(unpack(F.col("content") if content is None else content)).alias("p"))
+    parts = files.select(id_col, F.explode_outer(unpack(F.col("content") if content is None else content)).alias("p")).where("p is not null")
     return parts.select(id_col, "p.part", "p.xml")

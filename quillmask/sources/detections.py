@@ -25,7 +25,7 @@ def to_json(dets: Column) -> Column:
 def explode_detections(df: DataFrame, dets: str = "dets") -> DataFrame:
     """A row for each detection, numbered from 0 in the order of its list."""
     rest = [c for c in df.columns if c != dets]
-    return df.select(*rest, F.posexplode(dets).alias("det_idx", "d")).select(*rest, "det_idx", F.col("d.type").alias("type"), F.col("d.value").alias("value"))
+    return df.select(*rest, F.posexplode_outer(dets).alias("det_idx", "d")).where("det_idx is not null").select(*rest, "det_idx", F.col("d.type").alias("type"), F.col("d.value").alias("value"))
 
 
 def nest_detections(docs: DataFrame, detections: DataFrame) -> DataFrame:

@@ -50,12 +50,12 @@ def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, item_idx, str, x, y, width, height): words as items, lines as lines, 50 lines a page, y a little uneven within a line."""
-    line = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "body"))
+    line = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "body"))
     step = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<str:string,at:int>>").alias("o"))
     placed = F.aggregate(
         F.split("body", " ", -1), step, lambda a, w: F.struct((a.at + F.length(w) + 1).alias("at"), F.array_append(a.o, F.struct(w.alias("str"), a.at.alias("at"))).alias("o")), lambda a: a.o
     )
-    words = line.select("doc_id", "line", F.posexplode(placed).alias("n", "w"))
+    words = line.select("doc_id", "line", F.posexplode_outer(placed).alias("n", "w"))
     return words.select(
         "doc_id", F.floor(F.col("line") / 50).cast("int").alias("page"), (F.col("line") * 100000 + F.col("n")).alias("item_idx"), F.col("w.str").alias("str"),
         (F.col("w.at") * 6.0).cast("double").alias("x"), (F.lit(800.0) - 14.0 * (F.col("line") % 50) + F.col("n") % 3).cast("double").alias("y"), (F.length("w.str") * 6.0).cast("double").alias("width"), F.lit(12.0).alias("height"),
@@ -68,7 +68,7 @@ def page_sizes(items: DataFrame) -> DataFrame:
 
 def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, word_idx, text, x, y, width, height): the first line's words in boxes, every 13th with its second letter misread."""
-    first = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), " ", -1)).alias("word_idx", "w"))
+    first = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), " ", -1)).alias("word_idx", "w"))
     wrong = (F.col("word_idx") % 13 == 12) & (F.length("w") > 4)
     text = F.when(wrong, F.concat(F.substring("w", 1, 1), F.lit("q"), F.substring("w", 3, 10000))).otherwise(F.col("w"))
     return first.select("doc_id", "word_idx", text.alias("text"), (F.col("word_idx") * 50).cast("int").alias("x"), (F.col("word_idx") % 2 + 10).cast("int").alias("y"), (F.length("w") * 6).cast("int").alias("width"), F.lit(12).alias("height"))
