@@ -5,6 +5,8 @@ A span is struct<s:int,e:int>, half open, in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ from .text import mask, variants
 SPANS = "array<struct<s:int,e:int>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda, which would else compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def span(s: Column, e: Column) -> Column:
     return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
 

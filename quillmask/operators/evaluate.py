@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.spans import SPANS, find_all
+from ..functions.spans import SPANS, find_all, let
 
 HITS = "array<struct<s:int,e:int>>"
 
@@ -28,21 +28,21 @@ def good_hits(text: Column, value: Column, hits: Column) -> Column:
     return F.filter(hits, lambda h: (h.s == -1) | T.is_email(value) | T.has_token_boundary(text, h.s, h.e))
 
 
-def near_misses(text: Column, value: Column, value_len: Column | None = None, least: float = 0.7, most: int = 3) -> Column:
+def near_misses(text: Column, value: Column, least: float = 0.7, most: int = 3) -> Column:
     """The first segments of the value's length and four more that are similar to it. Costs a banded edit distance at each position."""
-    n = F.length(value)
-    at = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    n, size = F.length(value), F.length(text)
+    # interior segments differ by four insertions at the least, so short values can only match at the end
+    first = F.when((F.lit(1.0) - F.lit(4) / (n + 4).cast("double")) >= least, F.lit(1)).otherwise(F.greatest(F.lit(1), size - n - 3))
+    at = F.when(size >= n, F.sequence(first, size - n + 1)).otherwise(F.array().cast("array<int>"))
 
-    def alike(i: Column) -> Column:
-        segment = F.substring(text, i, n + 4)
+    def alike(segment: Column) -> Column:
         longer = F.greatest(n, F.length(segment))
         # beyond the band the similarity is below the bound
         distance = F.levenshtein(value, segment, 64)
         return F.when(longer > 200, T.similarity(value, segment)).otherwise(F.when(distance >= 0, F.lit(1.0) - distance / longer.cast("double")).otherwise(0.0)) >= least
 
-    # interior segments differ by four insertions at the least, so short values can only match at the end
-    possible = F.filter(at, lambda i: ((F.lit(1.0) - F.lit(4) / (n + 4).cast("double")) >= least) | (i + n + 4 > F.length(text)))
-    return F.slice(F.transform(F.filter(possible, alike), lambda i: F.substring(text, i, n + 4)), 1, most)
+    segments = let(F.split(text, "", -1), lambda chars: F.transform(at, lambda i: F.array_join(F.slice(chars, i, n + 4), "")))
+    return F.slice(F.filter(segments, alike), 1, most)
 
 
 def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text_col: str = "text", dets_col: str = "dets") -> DataFrame:

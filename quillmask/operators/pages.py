@@ -151,7 +151,7 @@ def behind_label(found: pd.Series, value: pd.Series) -> pd.DataFrame:
         width = a["width"] * (len(a["str"]) - skip) / len(a["str"]) + b["width"] * used / len(b["str"]) + sum(i["width"] for i, _ in placed[first + 1 : last])
         return (wanted, a["x"] + a["width"] * skip / len(a["str"]), a["y"], width, a["height"])
 
-    rows = [None if r is None else box(r, v) for r, v in zip(found, value, strict=True)]
+    rows = [None if r is None else box(r[0], v) for r, v in zip(found, value, strict=True)]
     return pd.DataFrame([r or (None,) * 5 for r in rows], columns=["str", "x", "y", "width", "height"])
 
 
@@ -197,13 +197,13 @@ def relevant(items: Column, value: Column) -> Column:
 
 def match_items(matched: DataFrame) -> DataFrame:
     """matched with ``found``, the items (or stretches of them) that hold the value, and ``how`` (exact, bare, label, run or null)."""
-    value, items = F.col("value"), F.transform("items", lambda i: i.cast(ITEM))
+    value, items = F.col("value"), F.col("items")
     exact = F.filter(items, lambda i: F.contains(i.str, value))
     bare = F.filter(items, lambda i: F.contains(T.strip_ws(i.str), T.strip_ws(value)))
     out = matched.withColumns({"_exact": exact, "_bare": bare})
     alone = (F.size("_exact") == 0) & (F.size("_bare") == 0)
     out = out.withColumn("_run", F.when(alone, F.get(combined(items, value), F.lit(0))))
-    out = out.withColumn("_label", behind_label(F.when(labelled(F.col("_run.text"), value), F.col("_run")), value))
+    out = out.withColumn("_label", behind_label(F.when(labelled(F.col("_run.text"), value), F.array("_run")), value))
     label = F.col("_label.x").isNotNull()
     how = F.when(F.size("_exact") > 0, "exact").when(F.size("_bare") > 0, "bare").when(label, "label").when(F.col("_run").isNotNull(), "run")
     found = F.when(F.size("_exact") > 0, F.col("_exact")).when(F.size("_bare") > 0, F.col("_bare")).when(label, F.array(F.col("_label"))).otherwise(F.coalesce(F.col("_run.items"), F.array().cast(ITEMS)))

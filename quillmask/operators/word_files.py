@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.spans import find_all, mask_each
+from ..functions.spans import let, mask_each
 from .masking import wanted_values
 
 TEXT = r"(<w:t(?:\s[^>]*)?>)([^\n\r\x{2028}\x{2029}]*?)(</w:t>)"
@@ -18,10 +18,6 @@ TEXT = r"(<w:t(?:\s[^>]*)?>)([^\n\r\x{2028}\x{2029}]*?)(</w:t>)"
 RED, BROWN = "FF0000", "8B4513"
 
 
-def lit_regex(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def text_nodes(xml: Column) -> Column:
     """The contents of the text elements, in order."""
     return F.regexp_extract_all(xml, F.lit(TEXT), F.lit(2))
@@ -29,18 +25,25 @@ def text_nodes(xml: Column) -> Column:
 
 def rebuild(xml: Column, contents: Column) -> Column:
     """The XML with its text elements' contents replaced, one by one."""
-    around, opening = F.split(xml, TEXT, -1), F.regexp_extract_all(xml, F.lit(TEXT), F.lit(1))
-    nodes = F.transform(contents, lambda c, i: F.concat(F.get(around, i), F.get(opening, i), c, F.lit("</w:t>")))
-    return F.concat(F.array_join(nodes, ""), F.element_at(around, -1))
+    parts = F.struct(F.split(xml, TEXT, -1).alias("around"), F.regexp_extract_all(xml, F.lit(TEXT), F.lit(1)).alias("opening"))
+
+    def put(p: Column) -> Column:
+        nodes = F.transform(contents, lambda c, i: F.concat(F.get(p.around, i), F.get(p.opening, i), c, F.lit("</w:t>")))
+        return F.concat(F.array_join(nodes, ""), F.element_at(p.around, -1))
+
+    return let(parts, put)
 
 
 def mask_xml(xml: Column, values: Column) -> Column:
     """The text of all elements, end to end, masked value by value, and dealt back to the elements by their lengths."""
     nodes = text_nodes(xml)
-    masked = mask_each(F.array_join(nodes, ""), values)
     start = F.struct(F.array().cast("array<string>").alias("o"), F.lit(1).alias("p"))
-    dealt = F.aggregate(nodes, start, lambda a, n: F.struct(F.array_append(a.o, F.substring(masked, a.p, F.length(n))).alias("o"), (a.p + F.length(n)).alias("p")), lambda a: a.o)
-    return rebuild(xml, dealt)
+
+    def dealt(x: Column) -> Column:
+        return F.aggregate(x.nodes, start, lambda a, n: F.struct(F.array_append(a.o, F.substring(x.masked, a.p, F.length(n))).alias("o"), (a.p + F.length(n)).alias("p")), lambda a: a.o)
+
+    with_mask = let(nodes, lambda n: F.struct(n.alias("nodes"), mask_each(F.array_join(n, ""), values).alias("masked")))
+    return rebuild(xml, let(with_mask, dealt))
 
 
 def mask_parts(parts: DataFrame, dets_col: str = "dets", strict: bool = False) -> DataFrame:
@@ -77,23 +80,29 @@ def styled_run(run: Column) -> Column:
 
 
 def annotate_xml(xml: Column, text: Column, values: Column) -> Column:
-    """The XML with, for each value that the text holds, the run of the first text element that contains it restyled, once for each occurrence."""
+    """The XML with, for each value that the text holds, the run of the first text element that contains it restyled. Further occurrences restyle the same run to the same end."""
     plain = r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>"
 
     def one(x: Column, v: Column) -> Column:
-        around, nodes = F.split(x, plain, -1), F.regexp_extract_all(x, F.lit(plain), F.lit(1))
-        whole = F.regexp_extract_all(x, F.lit(plain), F.lit(0))
-        k = F.array_position(F.transform(nodes, lambda n: F.contains(n, v)), F.lit(True)).cast("int") - 1
-        before = F.aggregate(F.sequence(F.lit(0), F.greatest(k, F.lit(0))), F.lit(""), lambda a, i: F.concat(a, F.get(around, i), F.when(i < k, F.get(whole, i)).otherwise("")))
+        parts = F.struct(
+            F.split(x, plain, -1).alias("around"), F.regexp_extract_all(x, F.lit(plain), F.lit(0)).alias("whole"),
+            (F.array_position(F.transform(F.regexp_extract_all(x, F.lit(plain), F.lit(1)), lambda n: F.contains(n, v)), F.lit(True)).cast("int") - 1).alias("k"),
+        )
+        first = lambda n, a: F.slice(a, F.lit(1), n)
+        pieces = lambda p: F.zip_with(first(p.k + 1, p.around), first(p.k, p.whole), lambda a, w: F.concat(a, F.coalesce(w, F.lit(""))))
+        before = let(parts, lambda p: F.when(p.k >= 0, F.array_join(pieces(p), "")))
+        return let(before, lambda b: restyled(x, b))
+
+    def restyled(x: Column, before: Column) -> Column:
+        """before: what stands in front of the text element, null if there is none."""
         lead = F.length(F.regexp_extract(before, r"(?s)\A(.*)<w:r[ >]", 1))
-        found = (k >= 0) & before.rlike("<w:r[ >]")
+        found = before.isNotNull() & before.rlike("<w:r[ >]")
         rest = F.substring(x, lead + 1, F.length(x))
         end = F.length(before) - lead + F.instr(F.substring(x, F.length(before) + 1, F.length(x)), "</w:r>") + 5
         return F.when(found, F.concat(F.substring(x, F.lit(1), lead), styled_run(F.substring(rest, F.lit(1), end)), F.substring(rest, end + 1, F.length(x)))).otherwise(x)
 
     def every(x: Column, v: Column) -> Column:
-        times = F.size(find_all(text, v))
-        return F.when(times > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(times, F.lit(1))), x, lambda a, _: one(a, v))).otherwise(x)
+        return F.when(F.contains(text, v), one(x, v)).otherwise(x)
 
     return F.aggregate(F.filter(values, lambda v: v != ""), xml, every)
 
