@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.spans import let
 from .common import cut, raw, table
 
 WINDOW = 10
@@ -145,10 +146,12 @@ def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
     """The result of find_contamination with each hit, from its first word to its last, cut out of the text."""
     words = F.expr(f"regexp_extract_all({text_col}, '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+', 0)")
     gaps = F.split(text_col, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
+    parts = F.struct(words.alias("w"), gaps.alias("g"))
     hit = lambda i: F.exists("hits", lambda h: (h.start <= i) & (i < h.end))
     inside = lambda i: F.exists("hits", lambda h: (h.start < i) & (i < h.end))
-    kept = F.concat(
-        F.array_join(F.transform(words, lambda w, i: F.concat(F.when(inside(i), "").otherwise(F.get(gaps, i)), F.when(hit(i), "").otherwise(w))), ""), F.element_at(gaps, -1)
+    kept = let(
+        parts,
+        lambda p: F.concat(F.array_join(F.transform(p.w, lambda w, i: F.concat(F.when(inside(i), "").otherwise(F.get(p.g, i)), F.when(hit(i), "").otherwise(w))), ""), F.element_at(p.g, -1)),
     )
     return found.withColumn(text_col, F.when(F.size("hits") == 0, F.col(text_col)).otherwise(kept))
 

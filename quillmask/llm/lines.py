@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
 from .common import BLANKS, ascii_lower, table
 
 
@@ -44,7 +45,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = docs.withColumns({"_id": F.col(id_col), "_body": F.xxhash64(text)}).join(drops.withColumnsRenamed({"id": "_id", "body": "_body"}), ["_id", "_body"], "left")
     lines = F.split(text, "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drops")
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    kept = let(lines, lambda all_lines: F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
     return both.withColumns(
         {"n_lines": F.size(lines).cast("long"), "n_dropped": F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long"), text_col: F.when(F.col("drops").isNull(), text).otherwise(kept)}
     ).drop("_id", "_body", "drops")
