@@ -1,7 +1,8 @@
 """Line dedup across documents, with DataFrame functions only.
 
 Every line's key (ends stripped, A-Z lower-cased) is hashed to 128 bits. A key's documents are counted by partial aggregation before the shuffle, so a line that
-every document holds costs one row a task. Only the hashes move; the texts meet the positions to drop in a single join on the document.
+every document holds costs one row a task. Keys with more than a thousandth of all repeated lines, of which there can't be more than a thousand, are looked up from a broadcast table;
+the others meet their lines in a join. Only the hashes move; the texts meet the positions to drop in a single join on the document.
 
 Null or empty texts are one empty line. Rows with a null identifier keep their lines and count as no document. Rows that repeat an
 identifier are one document. An empty table gives an empty result. Other columns are not returned by the query and are kept by the operator.
@@ -13,7 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import let
-from .common import BLANKS, ascii_lower, table
+from .common import BLANKS, ascii_lower, cut, table
+
+#: Keys that can be hot at once: each has more than this part of the lines.
+HOT_KEYS = 1000
 
 
 def line_keys(text: Column) -> Column:
@@ -31,8 +35,14 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
     )
     held = lines if min_docs <= 2 else lines.select("id", "h1", "h2").distinct()
     often = held.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-    often = often.where(F.col("first") < F.col("last") if min_docs == 2 else F.col("n") >= min_docs).select("h1", "h2", "first")
-    return lines.join(often, ["h1", "h2"]).where(F.col("id") != F.col("first")).groupBy("id", "body").agg(F.collect_set("pos").alias("drops"))
+    often = cut(often.where(F.col("first") < F.col("last") if min_docs == 2 else F.col("n") >= min_docs).select("h1", "h2", "first", "n"))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT_KEYS > total
+    hot, rest = often.where(is_hot).select("h1", "h2", F.col("first").alias("hot")), often.where(~is_hot).select("h1", "h2", "first")
+    # a hot key's lines have found their match already; dealt out by position they meet nothing in the join that follows
+    marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("h1", F.when(F.col("hot").isNotNull(), F.xxhash64("id", "pos")).otherwise(F.col("h1")))
+    kept_in = marked.join(rest, ["h1", "h2"], "left").withColumn("first", F.coalesce("hot", "first"))
+    return kept_in.where(F.col("id") != F.col("first")).groupBy("id", "body").agg(F.collect_set("pos").alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
