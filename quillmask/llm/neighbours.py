@@ -2,8 +2,8 @@
 
 Maximum inner product is turned into nearest distance by one more coordinate (vectors are scaled by the largest norm M, which one aggregate finds, and get sqrt(1 - |x|^2 / M^2)). A set of ``hashes`` single random projections
 is kept as sorted arrays. A query opens a window around its own projection in each array; virtual rehashing widens all windows together by ``growth``; a vector that falls into
-at least ``share`` of a query's windows has collided often enough to be verified, by its exact inner product in double precision. The widening ends when a vector
-as far as the 20th verified one would by now have reached the threshold with a margin of ``margin`` standard deviations (or nothing is left to verify), which is the rule that sets the recall.
+at least ``share`` of a query's windows has collided often enough to be verified, by its exact inner product in double precision. The widening ends at the width at which a vector
+as far as the 20th verified one would have reached the threshold with a margin of ``margin`` standard deviations (or where the windows hold all there is), which is the rule that sets the recall.
 
 Every vector is indexed. Vectors and queries are dealt into blocks; a task holds one block of each (``vectors_in_block`` and ``queries_in_block`` rows), and its best are merged by query, so
 memory is bounded whatever the number of rows, and no task sees the whole of either side.
@@ -15,7 +15,7 @@ them); a null identifier takes no part. Ties go to the smaller identifier. With
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,58 +24,74 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: The windows' first half width, on projections of points of the unit sphere.
+FIRST_WIDTH = 0.4
+
 
 class Index:
-    """The sorted projections of one block."""
+    """The sorted projections of one block: those on one line after another, each line's ``apart`` above the one before, so that a single search finds a place on all of them."""
 
     def __init__(self, vectors: np.ndarray, largest: float, hashes: int, seed: int):
-        self.largest = largest
+        self.largest, self.size = largest, len(vectors)
         scaled = vectors / largest
         extra = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", scaled, scaled)))
-        self.points = np.hstack([scaled, extra[:, None]])
-        self.lines = np.random.default_rng(seed).standard_normal((hashes, self.points.shape[1]))
-        projected = self.points @ self.lines.T
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.values = np.take_along_axis(projected.T, self.order.astype(np.int64), axis=1)
+        self.lines = np.random.default_rng(seed).standard_normal((hashes, vectors.shape[1] + 1))
+        projected = self.lines @ np.hstack([scaled, extra[:, None]]).T
+        order = np.argsort(projected, axis=1, kind="stable")
+        # no projection of a unit point is longer than its line
+        self.longest = float(np.sqrt((self.lines**2).sum(1)).max())
+        self.bases = np.arange(hashes) * 8.0 * self.longest
+        self.values = (np.take_along_axis(projected, order, axis=1) + self.bases[:, None]).ravel()
+        self.order = order.astype(np.int32).ravel()
+
+    def window(self, centres: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """On each line, the places from width below the centre to width above it."""
+        return np.searchsorted(self.values, centres - width), np.searchsorted(self.values, centres + width, "right")
+
+
+@lru_cache(maxsize=8)
+def reach_of(hashes: int, need: int, margin: float) -> float:
+    """The half width, as a multiple of a vector's distance, at which it has collided need times with that margin."""
+    low, high = 0.0, 8.0
+    for _ in range(50):
+        mid = (low + high) / 2
+        p = math.erf(mid / math.sqrt(2))
+        low, high = (low, mid) if hashes * p - margin * math.sqrt(hashes * p * (1 - p)) >= need else (mid, high)
+    return high
 
 
 def search(index: Index, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, share: float, growth: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the best k of the block for one query."""
-    n, hashes = index.order.shape[1], len(index.order)
+    n, hashes, norm = index.size, len(index.bases), math.sqrt(query @ query)
     need = math.ceil(share * hashes)
-    unit = np.append(query / math.sqrt(query @ query), 0.0)
-    centres = index.lines @ unit
-    counts = np.zeros(n, np.int16)
-    low = np.array([np.searchsorted(v, c) for v, c in zip(index.values, centres, strict=True)])
-    high = low.copy()
-    best_at, best, seen = np.zeros(0, np.int64), np.zeros(0), np.zeros(n, bool)
-    norm = math.sqrt(query @ query)
-    width = 0.1
+    reach = reach_of(hashes, need, margin)
+    centres = index.lines[:, :-1] @ (query / norm) + index.bases
+    counts, seen = np.zeros(n, np.int64), np.zeros(n, bool)
+    best_at, best = np.zeros(0, np.int64), np.zeros(0)
+    low = high = np.searchsorted(index.values, centres)
+    width = FIRST_WIDTH
     while True:
-        added = []
-        for j in range(hashes):
-            values, order = index.values[j], index.order[j]
-            a, b = np.searchsorted(values, centres[j] - width), np.searchsorted(values, centres[j] + width, "right")
-            added += [order[a : low[j]], order[high[j] : b]]
-            low[j], high[j] = min(a, low[j]), max(b, high[j])
-        counts += np.bincount(np.concatenate(added), minlength=n).astype(np.int16)
+        below, above = index.window(centres, width)
+        counts += np.bincount(np.concatenate([index.order[x:y] for x, y in zip(np.concatenate([below, high]).tolist(), np.concatenate([low, above]).tolist(), strict=True)]), minlength=n)
+        low, high = below, above
         fresh = np.flatnonzero((counts >= need) & ~seen)
         if len(fresh):
             seen[fresh] = True
             fresh = fresh[ids[fresh] != own]
-            best_at, best = np.concatenate([best_at, fresh]), np.concatenate([best, vectors[fresh] @ query])
+            best_at, best = np.concatenate([best_at, fresh]), np.concatenate([best, vectors.take(fresh, 0) @ query])
             if len(best) > k:
                 top = np.lexsort((ids[best_at], -best))[:k]
                 best_at, best = best_at[top], best[top]
+        wider = width * growth
         if len(best) >= k:
             # |p - q|^2 with unit q and points on the unit sphere
             far = math.sqrt(max(0.0, 2.0 - 2.0 * float(best.min()) / norm / index.largest))
-            p = math.erf(width / max(far, 1e-9) / math.sqrt(2))
-            if hashes * p - margin * math.sqrt(hashes * p * (1 - p)) >= need:
+            if width >= reach * far:
                 break
-        if all(low == 0) and all(high == n):
+            wider = min(wider, reach * far)
+        if width > 2 * index.longest:  # the windows hold all there is
             break
-        width *= growth
+        width = wider
     top = np.lexsort((ids[best_at], -best))
     return ids[best_at[top]], best[top]
 
@@ -92,13 +108,13 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 20,
-    hashes: int = 48,
-    share: float = 0.5,
-    growth: float = 1.25,
-    margin: float = 2.0,
+    hashes: int = 24,
+    share: float = 0.7,
+    growth: float = 1.3,
+    margin: float = 1.2,
     seed: int = 7,
-    vectors_in_block: int = 16384,
-    queries_in_block: int = 2048,
+    vectors_in_block: int = 65536,
+    queries_in_block: int = 512,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row where is_query (over ``id`` and ``vec``) holds, its k best other rows."""
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
