@@ -1,11 +1,11 @@
 """Toxicity scores by weak supervision.
 
-Voters look at a document: one for each mined lexicon entry (a word, or the beginning of words), one for a general lexicon, and some for patterns. A generative label model
-estimates, by expectation maximisation and without labels beyond the base rate, how often each voter fires on either class; the correlation that is left between voters
+Voters look at a document: one for each mined lexicon entry (a word, or the beginning of one or of several words), one for a general lexicon, and some for patterns. A generative label model
+estimates, by expectation maximisation in which the labels of the training folds are one voter more, how often each voter fires on either class; the correlation that is left between voters
 given the class says how much of a voter's evidence its fellows give too, and weighs it down. A linear classifier is trained on the model's posterior labels and scaled
 on the labelled rows of the training folds. Scoring is one pass over the texts with a table of at most ``max_entries`` weights.
 
-Lexicon entries are mined where the classes' document counts differ, on at most ``max_rows`` labelled rows (the ones with the smallest hash of their identifier, copies folded), and only
+Lexicon entries are mined where the classes' document counts differ (of near copies, told by a min-wise sketch, one counts; no entry is the beginning of another), on at most ``max_rows`` labelled rows (the ones with the smallest hash of their identifier, copies folded), and only
 from rows of the training folds. Nothing but the text is an input of a score.
 
 Null and empty texts are scored like a text without any entry. Without labelled rows of both classes the general lexicon alone decides. Null labels and identifiers take no part in
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from .common import cut, drop, raw, table
 
 #: Labelled rows used at most, and lexicon entries kept at most.
 MAX_ROWS, MAX_ENTRIES = 20_000, 400
+LABEL_ACCURACY = 0.95
 #: Letters in lower case, all else that is ASCII blank.
 FOLD = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 #: A general lexicon of abuse.
@@ -34,59 +36,91 @@ GENERAL = frozenset(
     b"idiot idiots idiotic moron morons stupid dumb dumbass imbecile loser losers pathetic worthless trash garbage scum scumbag clown disgusting vile filthy filth vermin jerk fool fools retard bastard bitch "
     b"asshole shit shitty crap fuck fucking fucker whore slut pig swine hate kill die ugly freak creep coward liar trolls nazi".split()
 )
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 PATTERNS = ("general", "shouting", "marks", "two", "three", "dense")
 
 
+def beginnings(words: set[bytes]) -> Counter:
+    """How many different words begin with each string of PREFIXES bytes."""
+    return Counter(w[:n] for w in words for n in PREFIXES if len(w) > n)
+
+
 def entries_of(words: set[bytes]) -> set[bytes]:
-    """The words of three bytes or more, and their beginnings with a star."""
+    """The words of three bytes or more, their beginnings with a star, and with two stars the beginnings of two words or more."""
     out = {w for w in words if len(w) >= 3}
-    for n in PREFIXES:
-        out |= {w[:n] + b"*" for w in words if len(w) > n}
+    for start, n in beginnings(words).items():
+        out.add(start + b"*")
+        if n > 1:
+            out.add(start + b"**")
     return out
 
 
+def sketch(words: set[bytes]) -> int:
+    """The least hash of the words: near copies share it, so that a group of them counts about once."""
+    return min((xxhash.xxh3_64_intdigest(w) for w in words), default=0) >> 1
+
+
+def apart(entries: list[bytes], most: int) -> list[bytes]:
+    """The first entries of a ranked list of which none is the beginning of another."""
+    kept: list[bytes] = []
+    stems: set[bytes] = set()
+    starts: set[bytes] = set()
+    for e in entries:
+        stem = e.rstrip(b"*")
+        if stem in starts or any(stem[:n] in stems for n in range(1, len(stem) + 1)):
+            continue
+        kept.append(e)
+        stems.add(stem)
+        starts |= {stem[:n] for n in range(1, len(stem) + 1)}
+        if len(kept) == most:
+            break
+    return kept
+
+
 def folds(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5
 
 
 class Lexicon:
-    """Entries to numbers, looked up by their first four bytes first."""
+    """Entries to numbers, looked up by their first three bytes first."""
 
     def __init__(self, entries: list[bytes]):
         self.entries = entries
         self.number = {e: i for i, e in enumerate(entries)}
-        self.first = {e.rstrip(b"*")[:4] for e in entries} | {w[:4] for w in GENERAL}
+        self.first = {e.rstrip(b"*")[:3] for e in entries} | {w[:3] for w in GENERAL}
 
     def look(self, text: bytes | None) -> tuple[list[int], list[int]]:
         """Which entries occur, and which of PATTERNS hold."""
         if not text:
             return [], []
         words = text.translate(FOLD).split()
-        found, general, first, number = set(), 0, self.first, self.number
-        for w in set(words):
-            if w[:4] in first:
-                general += w in GENERAL
-                if w in number:
-                    found.add(number[w])
-                for n in PREFIXES:
-                    if len(w) > n and (e := w[:n] + b"*") in number:
-                        found.add(number[e])
-        # a word and its beginnings are one hit
-        hits = len({self.entries[i].rstrip(b"*")[:4] for i in found})
+        first, number = self.first, self.number
+        near = {w for w in set(words) if w[:3] in first}
+        general = len(near & GENERAL)
+        found = {number[w] for w in near if w in number}
+        for start, n in beginnings(near).items():
+            for stars in (b"*", b"**")[:n]:
+                if (at := number.get(start + stars)) is not None:
+                    found.add(at)
+        hits = len(found)
         letters = max(1, sum(map(len, words)))
         upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         holds = (general > 0, upper > letters / 2, 10 * text.count(b"!") > len(words), hits >= 2, hits >= 3, 50 * hits > len(words))
         return sorted(found), [i for i, x in enumerate(holds) if x]
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, firing rates given class 1 and class 0, weights) of binary votes (rows x voters)."""
-    post, n = start.copy(), len(votes)
+def label_model(votes: np.ndarray, prior: float, truth: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, firing rates given class 1 and class 0, weights) of binary votes (rows x voters). A voter that doesn't fire abstains; that none fires is a vote of its own.
+
+    The given labels are a voter, too, of accuracy LABEL_ACCURACY: without it, the classes could drift to a part of the vocabulary.
+    """
+    votes = np.hstack([votes, ~votes.any(1, keepdims=True)]).astype(float)
+    post, n = np.where(truth > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY), len(votes)
+    given = np.where(truth > 0, 1, -1) * math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
     weight = np.ones(votes.shape[1])
     for step in range(rounds):
-        r1 = np.clip((post @ votes + 0.5) / (post.sum() + 1), 1e-4, 1 - 1e-4)
-        r0 = np.clip(((1 - post) @ votes + 0.5) / (n - post.sum() + 1), 1e-4, 1 - 1e-4)
+        r1 = np.clip((post @ votes + 0.1) / (post.sum() + 1), 1e-4, 1 - 1e-4)
+        r0 = np.clip(((1 - post) @ votes + 0.1) / (n - post.sum() + 1), 1e-4, 1 - 1e-4)
         if step == rounds // 2:  # what voters still share given the class
             rest = votes - post[:, None] * r1 - (1 - post)[:, None] * r0
             cov = rest.T @ rest / n
@@ -94,7 +128,7 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
             shared = np.abs(cov / scale / scale[:, None])
             np.fill_diagonal(shared, 0)
             weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(1))
-        odds = math.log(prior / (1 - prior)) + votes @ (weight * (np.log(r1 / r0) - np.log((1 - r1) / (1 - r0)))) + (weight * np.log((1 - r1) / (1 - r0))).sum()
+        odds = math.log(prior / (1 - prior)) + given + votes @ (weight * np.log(r1 / r0))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - post).max() < 1e-5 and step > rounds // 2:
             post = new
@@ -103,6 +137,17 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     return post, r1, r0, weight
 
 
+def useful(votes: np.ndarray, truth: np.ndarray, least: int, times: int = 2) -> np.ndarray:
+    """Which voters, taken in order, fire on at least so many marked rows on which fewer than ``times`` of those kept before do."""
+    held, kept = np.zeros(len(votes), int), []
+    for j in range(votes.shape[1]):
+        fires = votes[:, j] > 0
+        if (fires & (truth > 0) & (held < times)).sum() >= least:
+            kept.append(j)
+            held += fires
+    return np.array(kept, int)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Weights of a logistic regression on soft labels, by accelerated gradient steps; the last column is the constant."""
     w = np.zeros(x.shape[1])
@@ -118,12 +163,11 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, rounds: int = 30
 
 
 def matrix(found: list[list[int]], patterns: list[list[int]], entries: int) -> np.ndarray:
-    """A column for each entry and pattern, one for any entry, and one of ones."""
-    x = np.zeros((len(found), entries + len(PATTERNS) + 2), np.float32)
+    """A column for each entry and pattern, and one of ones."""
+    x = np.zeros((len(found), entries + len(PATTERNS) + 1), np.float32)
     for i, (a, b) in enumerate(zip(found, patterns, strict=True)):
         x[i, a] = 1
         x[i, [entries + j for j in b]] = 1
-        x[i, -2] = bool(a)
     x[:, -1] = 1
     return x
 
@@ -137,39 +181,53 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     total, positive = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0))).first()
     if not 0 < positive < total:
         lexicon = Lexicon([])
-        weights = np.zeros(len(PATTERNS) + 2)
+        weights = np.zeros(len(PATTERNS) + 1)
         weights[0], weights[-1] = 4.0, -2.0
         return lexicon, weights
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["entry", "sketch", "pos", "neg"]
         for batch in batches:
-            both: tuple[Counter, Counter] = (Counter(), Counter())
+            clean: Counter = Counter()
+            marked: set[tuple[bytes, int]] = set()
             for label, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                both[label > 0].update(entries_of(set(text.translate(FOLD).split())))
-            for name, c in enumerate(both):
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([v * name for v in c.values()], pa.int64()), pa.array([v * (1 - name) for v in c.values()], pa.int64())], ["entry", "pos", "neg"])
-
-    counts = sample.mapInArrow(counted, "entry binary, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    least = max(5, math.ceil(0.01 * positive))
-    lift = F.log(((F.col("pos") + 0.1) / positive) / ((F.col("neg") + 0.1) / (total - positive)))
-    mined = counts.where(F.col("pos") >= least).withColumn("gain", lift * F.sqrt("pos")).where(lift > math.log(20)).orderBy(F.desc("gain"), "entry").limit(max_entries)
-    lexicon = Lexicon([bytes(r.entry) for r in mined.select("entry").collect()])
+                words = set(text.translate(FOLD).split())
+                if label > 0:
+                    of = sketch(words)
+                    marked |= {(e, of) for e in entries_of(words)}
+                    marked.add((b"", of))
+                else:
+                    clean.update(entries_of(words))
+            for rows in ([(e, of, 1, 0) for e, of in marked], [(e, 0, 0, n) for e, n in clean.items()]):
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], columns)
+
+    seen_in = sample.mapInArrow(counted, "entry binary, sketch bigint, pos bigint, neg bigint").groupBy("entry", "sketch").agg(F.max("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = seen_in.groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # the empty entry stands for every marked text
+    kinds = seen_in.where(F.length("entry") == 0).agg(F.sum("pos")).first()[0]
+    least = max(5, math.ceil(0.005 * kinds))
+    lift = F.log(((F.col("pos") + 0.1) / kinds) / ((F.col("neg") + 0.1) / (total - positive)))
+    mined = counts.where((F.col("pos") >= least) & (F.length("entry") > 0)).withColumn("gain", lift * F.sqrt("pos")).where(lift > math.log(20)).orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry").limit(10 * max_entries)
+    lexicon = Lexicon(apart([bytes(r.entry) for r in mined.select("entry").collect()], max_entries))
 
     def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [lexicon.look(t) for t in raw(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1))], ["label", "found", "patterns"])
 
-    seen = sample.mapInArrow(looked, f"label {sample.schema['label'].dataType.simpleString()}, found array<int>, patterns array<int>").toPandas()
+    seen = sample.mapInArrow(looked, f"label {sample.schema['label'].dataType.simpleString()}, found array<int>, patterns array<int>")
+    rows = seen.toPandas()
+    truth, prior = (rows["label"].to_numpy() > 0).astype(float), positive / total
+    kept = useful(matrix([list(a) for a in rows["found"]], [[] for _ in rows.index], len(lexicon.entries))[:, : len(lexicon.entries)], truth, max(2, least // 4))
+    lexicon = Lexicon([lexicon.entries[i] for i in kept])
+    rows = sample.mapInArrow(looked, seen.schema).toPandas()  # the patterns count entries, so they are seen anew
+    truth = (rows["label"].to_numpy() > 0).astype(float)
     drop(sample)
-    x = matrix([list(a) for a in seen["found"]], [list(a) for a in seen["patterns"]], len(lexicon.entries))
-    truth, prior = (seen["label"].to_numpy() > 0).astype(float), positive / total
-    votes = x[:, :-2].astype(float)
-    start = np.where((votes[:, : len(lexicon.entries)].sum(1) + votes[:, len(lexicon.entries)]) > 0, 0.9, prior / 4)
-    post, _, _, _ = label_model(votes, prior, start)
-    penalty = np.full(x.shape[1], 1e-3)
-    penalty[-2:] = 1e-5
+    x = matrix([list(a) for a in rows["found"]], [list(a) for a in rows["patterns"]], len(lexicon.entries))
+    post, _, _, _ = label_model(x[:, :-1] > 0, prior, truth)
+    penalty = np.full(x.shape[1], 1e-4)
+    penalty[-1] = 1e-6
     weights = logistic(x, post, penalty)
     scale = logistic(np.stack([x @ weights, np.ones(len(x))], 1), truth, np.array([1e-4, 1e-6]), 500)
     weights = weights * max(scale[0], 1e-3)
@@ -189,7 +247,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: DataFrame | Non
             out = np.empty(batch.num_rows)
             for i, text in enumerate(raw(batch.column(text_col))):
                 found, patterns = ours.look(text)
-                out[i] = w[-1] + sum(w[j] for j in found) + sum(w[n + j] for j in patterns) + (w[-2] if found else 0.0)
+                out[i] = w[-1] + sum(w[j] for j in found) + sum(w[n + j] for j in patterns)
             out = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "score"])
 
