@@ -13,6 +13,7 @@ returned, found by spreading from one fingerprint over those not reached yet: a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -88,10 +89,12 @@ def embedded(fp: np.ndarray) -> np.ndarray:
 
 
 def near(one: np.ndarray, many: np.ndarray, radius: int) -> np.ndarray:
-    """Which of many are within radius bits of one; the Manhattan bound goes first."""
-    close = manhattan(embedded(many), embedded(one)) <= radius
+    """Which rows of many are within radius bits of the row one; where a fingerprint is one number, the Manhattan bound goes first."""
+    if many.shape[1] > 1:
+        return np.flatnonzero(np.bitwise_count(many ^ one).sum(1, dtype=np.int64) <= radius)
+    close = manhattan(embedded(many[:, 0]), embedded(one[0])) <= radius
     at = np.flatnonzero(close)
-    return at[np.bitwise_count(many[at] ^ one) <= radius]
+    return at[np.bitwise_count(many[at, 0] ^ one[0]) <= radius]
 
 
 def forest(fp: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
@@ -111,8 +114,8 @@ def forest(fp: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return us, vs
 
 
-def _linked(radius: int):
-    """Over rows (unit columns..., fp, root) sorted by unit: spanning links (u, v) between roots."""
+def _linked(radius: int, width: int):
+    """Over rows (unit columns..., width columns of a fingerprint, root) sorted by unit: spanning links (u, v) between roots."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(unit: np.ndarray, fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
@@ -123,16 +126,16 @@ def _linked(radius: int):
             number = np.cumsum(unit)
             us, vs = [], []
             small = np.flatnonzero(member <= 8)
-            emb = embedded(fp)
             for step in range(1, 8):
                 a, b = small[:-step], small[step:]
                 same = number[a] == number[b]
                 a, b = a[same], b[same]
                 if not len(a):
                     break
-                ok = manhattan(emb[a], emb[b]) <= radius
-                a, b = a[ok], b[ok]
-                ok = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+                if width == 1:
+                    ok = manhattan(embedded(fp[a, 0]), embedded(fp[b, 0])) <= radius
+                    a, b = a[ok], b[ok]
+                ok = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= radius
                 us.append(root[a[ok]])
                 vs.append(root[b[ok]])
             for s, n in zip(begin[size > 8], size[size > 8], strict=True):
@@ -142,37 +145,46 @@ def _linked(radius: int):
             u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
+        def of(columns: list[np.ndarray], upto: int) -> pa.RecordBatch:
+            fp = np.stack([x[:upto].view(np.uint64) for x in columns[-1 - width : -1]], 1)
+            return links(new[:upto], fp, columns[-1][:upto])
+
         held: list[np.ndarray] = []
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
             new = np.ones(len(held[0]), bool)
-            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in held[:-2]])
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in held[: -1 - width]])
             last = int(np.flatnonzero(new)[-1]) if len(new) else 0
             if last:
-                yield links(new[:last], held[-2][:last].view(np.uint64), held[-1][:last])
+                yield of(held, last)
                 held = [x[last:] for x in held]
         if held and len(held[0]):
             new = np.ones(len(held[0]), bool)
-            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in held[:-2]])
-            yield links(new, held[-2].view(np.uint64), held[-1])
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in held[: -1 - width]])
+            yield of(held, len(held[0]))
 
     return linked
 
 
+def _met(placed: DataFrame, names: list[str], radius: int, block: int) -> DataFrame:
+    """Spanning links of (cell, fingerprint columns, root): rows meet in their cells, large cells in pairs of blocks."""
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block)
+    shared = placed.join(sizes, "cell").select("cell", blocks.alias("blocks"), F.pmod(F.xxhash64(*names), blocks).alias("own"), *names, "root")
+    units = shared.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", *names, "root")
+    units = units.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *names, "root")
+    units = units.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", *names)
+    return units.mapInArrow(_linked(radius, len(names)), "u bigint, v bigint").distinct()
+
+
 def links(roots: DataFrame, radius: int = 3, block: int = 2048) -> DataFrame:
     """Spanning links (u, v) between the roots of (fp, root), one row a fingerprint, of which any two within radius bits are connected."""
     point = roots.select("fp", "root", embedding(F.col("fp")).alias("e"))
     masks = F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask")) for i, m in enumerate(cells(radius))))
     # one choice's number is mixed into the cell, so that a cell is a single long; the few cells that meet by chance only make a unit larger
     placed = point.select("fp", "root", F.explode(masks).alias("x"), "e").select(F.xxhash64("x.choice", F.col("e").bitwiseAND(F.col("x.mask"))).alias("cell"), "fp", "root")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block)
-    shared = placed.join(sizes, "cell").select("cell", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("own"), "fp", "root")
-    units = shared.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", "fp", "root")
-    units = units.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "root")
-    units = units.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", "fp")
-    return units.mapInArrow(_linked(radius), "u bigint, v bigint").distinct()
+    return _met(placed, ["fp"], radius, block)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, block: int = 2048) -> DataFrame:
@@ -188,6 +200,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(ends, "fp").select("id", "fp", "component")
 
 
+#: Numbers of a wide fingerprint, and the seeds of the two 128-bit hashes behind it.
+WIDE, WIDE_SEEDS = ("a", "b", "c", "d"), (SEED, SEED + 1)
+
+
+def wide_fingerprint(text: bytes | None, words: int = 5) -> np.ndarray | None:
+    """Like fingerprint(), with 256 bits; None without words."""
+    parts = text.translate(_FOLD).split() if text else []
+    if not parts:
+        return None
+    n, votes, step = max(1, len(parts) - words + 1), np.zeros(256, np.int64), 1 << 16
+    digest = xxhash.xxh3_128_digest
+    for at in range(0, n, step):
+        shingles = [b" ".join(parts[i : i + words]) for i in range(at, min(n, at + step))]
+        h = np.frombuffer(b"".join(digest(x, seed) for x in shingles for seed in WIDE_SEEDS), np.uint8).reshape(-1, 32)
+        votes += np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > n, bitorder="little").view("<i8")
+
+
+def reach_of(similarity: float, spare: int = 4) -> int:
+    """The bits of 256 in which two wide fingerprints are expected to differ at that Jaccard similarity of their shingles, and a few of the spread (some 6 bits) more."""
+    return round(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + spare
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 32, picked: int = 16, block: int = 2048) -> DataFrame:
+    """(id, component): for each row with words the smallest identifier reachable over texts of that similarity or more, as 256-bit fingerprints tell it.
+
+    At such a similarity fingerprints differ in some 39 bits of 256 (two unrelated ones in 128, give or take 8), for which an exhaustive grid would have too many cells. The segments are single bits here, whose
+    counts are the bits themselves, and instead of all choices of slabs there are ``tables`` choices of ``picked`` axes, drawn once: of links at the threshold nine in ten share a cell, of those at 0.9
+    and over nearly all; copies always do. Every pair in a cell is verified on all 256 bits. Rows without words, and rows with a null identifier, are left out.
+    """
+    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t, words) for t in raw(batch.column(1))]
+            at = np.array([i for i, x in enumerate(found) if x is not None], np.int64)
+            fp = np.stack([found[i] for i in at]) if len(at) else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(fp[:, i].copy()) for i in range(4))], ["id", *WIDE])
+
+    prints = cut(df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint"))
+    roots = cut(prints.groupBy(*WIDE).agg(F.min("id").alias("root")))
+    rng, masks = np.random.default_rng(SEED), []
+    for i in range(tables):
+        bits = [int(x) for x in rng.choice(256, picked, replace=False)]
+        part = [signed(sum(1 << (x % 64) for x in bits if x // 64 == j)) for j in range(4)]
+        masks.append(F.struct(F.lit(i).alias("choice"), *(F.lit(m).cast("long").alias(c) for m, c in zip(part, WIDE, strict=True))))
+    cell = F.xxhash64("x.choice", *(F.col(c).bitwiseAND(F.col(f"x.{c}")) for c in WIDE))
+    placed = roots.select(*WIDE, "root", F.explode(F.array(*masks)).alias("x")).select(cell.alias("cell"), *WIDE, "root")
+    found = components(_met(placed, list(WIDE), reach_of(similarity), block))
+    ends = roots.join(found, roots["root"] == found["node"], "left").select(*WIDE, F.coalesce("component", "root").alias("component"))
+    return prints.join(ends, list(WIDE)).select("id", "component")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
