@@ -31,10 +31,10 @@ MAX_ROWS, MAX_ENTRIES = 20_000, 400
 LABEL_ACCURACY = 0.95
 #: Letters in lower case, all else that is ASCII blank.
 FOLD = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-#: A general lexicon of abuse.
+#: A general lexicon of abuse, without words that other languages use innocently.
 GENERAL = frozenset(
     b"idiot idiots idiotic moron morons stupid dumb dumbass imbecile loser losers pathetic worthless trash garbage scum scumbag clown disgusting vile filthy filth vermin jerk fool fools retard bastard bitch "
-    b"asshole shit shitty crap fuck fucking fucker whore slut pig swine hate kill die ugly freak creep coward liar trolls nazi".split()
+    b"asshole shit shitty crap fuck fucking fucker whore pig swine hate kill ugly freak creep coward liar trolls nazi".split()
 )
 PREFIXES = (4, 5, 6, 7, 8)
 PATTERNS = ("general", "shouting", "marks", "two", "three", "dense")

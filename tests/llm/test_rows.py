@@ -1,0 +1,156 @@
+"""Operators on single rows: secrets, HTML, licences, packing, decontamination."""
+
+import base64
+import hashlib
+import json
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from quillmask.llm import decontamination, html, licenses, packing, secrets
+from quillmask.llm.registry import QUERIES, SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, data, same, name):
+    same(QUERIES[name](spark, data), SQL[name])
+
+
+def texts(spark, data):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+
+
+def base_spans(text):
+    """The contract's patterns on code points."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_secrets_against_the_patterns(spark, data):
+    want = texts(spark, data)
+    for r in QUERIES["op1_secrets"](spark, data).collect():
+        base = base_spans(want[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        line = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(filter(None, line.split(","))) <= set(r.spans.split(","))
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+
+def test_structures_are_confirmed():
+    number = der(2, b"\x01" + b"\x55" * 64)
+    key = der(0x30, der(2, b"\x00") + number * 8)
+    enc = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=")
+    jwt = b".".join([enc(json.dumps({"alg": "HS256"}).encode()), enc(b'{"sub":"1"}'), enc(b"s" * 32)])
+    assert [k for k, _, _ in secrets.scan(b"x " + base64.b64encode(key) + b" y")] == ["key"]
+    assert "key" in [k for k, _, _ in secrets.scan(b"x " + key.hex().encode() + b" y")]
+    assert [k for k, _, _ in secrets.scan("é ".encode() + jwt)] == ["jwt"] and secrets.scan("é ".encode() + jwt)[0][1] == 2
+    assert [k for k, _, _ in secrets.scan(b"-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(key) + b"-----END RSA PRIVATE KEY-----")] == ["pem"]
+    assert secrets.scan(b"x " + base64.b64encode(key[:-1]) + b" y") == [] and secrets.scan(base64.b64encode(bytes(200))) == []
+    assert secrets.scan(jwt.replace(jwt.split(b".")[0], enc(b'{"typ":"x"}'))) == []
+
+
+def test_secrets_on_awkward_rows(spark, corpus):
+    out = secrets.find_secrets(corpus).collect()
+    assert len(out) == corpus.count() and all(r.spans == [] for r in out)
+    assert secrets.find_secrets(corpus.limit(0)).count() == 0
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site name</header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-banner">We use cookies.</div>
+<div id=content><div class="post"><h1>The  head&amp;line</h1><p>First long paragraph of the story with <a href=x>a link</a> in it, and much more text besides.</p><p>Second<br>paragraph &lt;here&gt; goes on for a while, as stories do.<p>Third one isn't closed at all.
+<ul><li>point one of the story</li><li>point two of the story</li></ul></div></div><aside>Related stories to read</aside><form><input value=x> Search</form><div class="comments"><p>I disagree with all of this, said a reader at length.</p></div><script>var a = "<p>no</p>";</script><footer>(c) 2020</footer></body></html>"""
+
+
+def test_html():
+    want = "The head&line\nFirst long paragraph of the story with a link in it, and much more text besides.\nSecond paragraph <here> goes on for a while, as stories do.\nThird one isn't closed at all.\npoint one of the story\npoint two of the story"
+    assert html.main_text(PAGE) == want
+    assert html.main_text(None) == html.main_text("") == html.main_text("<html></html>") == ""
+    assert html.main_text("<body><article><p>One</p><p>Two</p></article><footer>no</footer>") == "One\nTwo"
+    assert "x" in html.main_text("<div>" * 3000 + "<p>x</p>")
+
+
+def test_html_of_all_pages(spark, data):
+    out = QUERIES["op2_html_text"](spark, data).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    assert len(out) == len(pages)
+    for r in out:
+        assert r.n_chars == len(r.text) and "<" not in r.text.replace("&lt;", "") and "track(" not in r.text
+        body = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)
+        assert body is None or "".join(r.text.split()) == "".join(re.sub(r"&(?:amp|#38);", "&", re.sub(r"<[^>]+>", "", body[1])).split()) or "&" in body[1]
+
+
+def test_licenses(spark):
+    model = licenses.classifier()
+    assert model.held_out_accuracy > 0.95
+    docs = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0.\nHello there"), (2, "He lost his driver's license at the public library."), (3, None), (4, "This work is licensed under the GNU General Public License, version 3.")], "doc_id long, text string")
+    assert [[f.family for f in r.findings] for r in licenses.find_licenses(docs).orderBy("doc_id").collect()] == [["Apache-2.0"], [], [], ["GPL-3.0"]]
+
+
+def test_packing_round_trip(spark, data):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.vocabulary_path())
+    whole.encode_special_tokens = True
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = packing.pack(docs, packing.vocabulary_path(), with_ids=True).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    for r in docs.collect():
+        ids = [*whole.encode(r.text or "", add_special_tokens=False).ids, packing.CLOSING]
+        own = sorted(pieces[r.doc_id], key=lambda p: p.start)
+        assert [i for p in own for i in p.ids] == ids and all(p.doc_tokens == len(ids) for p in own)
+        assert [p.start for p in own] == [sum(q.length for q in own[:i]) for i in range(len(own))]
+    for own in sequences.values():
+        own.sort(key=lambda p: p.offset)
+        assert [p.offset for p in own] == [sum(q.length for q in own[:i]) for i in range(len(own))]
+        total = sum(p.length for p in own)
+        assert total <= 2048 and total & (total - 1) == 0  # full, or a power of two: no padding
+
+
+def test_packing_on_awkward_rows(spark, corpus):
+    rows = packing.pack(corpus, packing.vocabulary_path()).collect()
+    assert sum(r.length for r in rows if r.doc_id == 3) == 1 and sum(r.doc_id == 7 for r in rows) == 2
+    assert packing.pack(corpus.limit(0), packing.vocabulary_path()).count() == 0
+
+
+def test_sum_of_squares_placement():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        packer = packing.Packer(16, 100, 0)
+        packer.count[1:16] = rng.integers(0, 4, 15)
+        size, h = int(rng.integers(1, 16)), None
+
+        def cost(level, size=size, packer=packer):
+            n = packer.count.copy()
+            if level:
+                n[level] -= 1
+            if level + size < 16:
+                n[level + size] += 1
+            return int((n[1:16] ** 2).sum())
+
+        levels = [x for x in range(16 - size, -1, -1) if x == 0 or packer.count[x]]
+        assert cost(packer.level(size)) == min(map(cost, levels)), h
+
+
+def test_decontamination_spans(spark, corpus):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"Before! {item.upper()}, after it."), (2, "one two three"), (3, None), (4, "few words here only"), (4, "few words here only")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "words here"), (3, None), (4, "!!"), (None, item)], "item_id long, text string")
+    found = decontamination.find_contamination(docs, items)
+    rows = found.orderBy("doc_id").collect()
+    assert [(r.n_words, [(h.start, h.end) for h in r.hits], r["items"]) for r in rows] == [(14, [(1, 12)], [1]), (3, [], []), (0, [], []), (4, [(1, 3)], [2]), (4, [(1, 3)], [2])]
+    in_blocks = decontamination.find_contamination(docs, items, max_words=3).orderBy("doc_id").collect()
+    assert [r.hits for r in in_blocks] == [r.hits for r in rows]
+    assert [r.text for r in decontamination.remove_spans(found).orderBy("doc_id").collect()][:3] == ["Before! , after it.", "one two three", None]
+    assert decontamination.find_contamination(corpus, items.limit(0)).count() == corpus.count()
