@@ -167,11 +167,11 @@ def _linked(radius: int, width: int):
     return linked
 
 
-def _met(placed: DataFrame, names: list[str], radius: int, block: int) -> DataFrame:
-    """Spanning links of (cell, fingerprint columns, root): rows meet in their cells, large cells in pairs of blocks."""
+def _met(placed: DataFrame, names: list[str], radius: int, block: int, deal: list[str] | None = None) -> DataFrame:
+    """Spanning links of (cell, fingerprint columns, root): rows meet in their cells, large cells in pairs of blocks, dealt by the fingerprint or by deal."""
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block)
-    shared = placed.join(sizes, "cell").select("cell", blocks.alias("blocks"), F.pmod(F.xxhash64(*names), blocks).alias("own"), *names, "root")
+    shared = placed.join(sizes, "cell").select("cell", blocks.alias("blocks"), F.pmod(F.xxhash64(*(deal or names)), blocks).alias("own"), *names, "root")
     units = shared.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", *names, "root")
     units = units.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *names, "root")
     units = units.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", *names)
@@ -204,18 +204,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE, WIDE_SEEDS = ("a", "b", "c", "d"), (SEED, SEED + 1)
 
 
-def wide_fingerprint(text: bytes | None, words: int = 5) -> np.ndarray | None:
-    """Like fingerprint(), with 256 bits; None without words."""
+def shingle_digests(text: bytes | None, words: int = 5) -> np.ndarray | None:
+    """A row of 256 bits for each distinct word shingle of the text (a shorter text is one shingle), in any order; None without words."""
     parts = text.translate(_FOLD).split() if text else []
     if not parts:
         return None
-    n, votes, step = max(1, len(parts) - words + 1), np.zeros(256, np.int64), 1 << 16
     digest = xxhash.xxh3_128_digest
-    for at in range(0, n, step):
-        shingles = [b" ".join(parts[i : i + words]) for i in range(at, min(n, at + step))]
-        h = np.frombuffer(b"".join(digest(x, seed) for x in shingles for seed in WIDE_SEEDS), np.uint8).reshape(-1, 32)
-        votes += np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * votes > n, bitorder="little").view("<i8")
+    shingles = {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
+    return np.frombuffer(b"".join([digest(x, seed) for x in shingles for seed in WIDE_SEEDS]), np.uint8).reshape(-1, 32)
+
+
+def shingle_set(digests: np.ndarray) -> np.ndarray:
+    """The shingles as sorted 64-bit numbers."""
+    return np.unique(digests[:, :8].copy().view("<i8"))
+
+
+def wide_fingerprint(digests: np.ndarray) -> np.ndarray:
+    """Like fingerprint(), with 256 bits and without repeats, as its similarity is that of sets."""
+    votes, step = np.zeros(256, np.int64), 1 << 16
+    for at in range(0, len(digests), step):
+        votes += np.unpackbits(digests[at : at + step], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(digests), bitorder="little").view("<i8")
 
 
 def reach_of(similarity: float, spare: int = 4) -> int:
@@ -223,24 +232,83 @@ def reach_of(similarity: float, spare: int = 4) -> int:
     return round(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + spare
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 32, picked: int = 16, block: int = 2048) -> DataFrame:
-    """(id, component): for each row with words the smallest identifier reachable over texts of that similarity or more, as 256-bit fingerprints tell it.
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of sets with at least that Jaccard similarity, as positions; every pair is compared that the forest doesn't connect already."""
+    size = np.array([len(x) for x in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum(size)
+    marked = np.zeros(number.max() + 1, bool)
+    left, us, vs = np.arange(len(sets)), [], []
+    of = lambda i: number[ends[i] - size[i] : ends[i]]
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            u = front.pop()
+            some = np.flatnonzero((size[left] >= similarity * size[u] - 1e-9) & (similarity * size[left] - 1e-9 <= size[u]))
+            if not len(some):
+                continue
+            marked[of(u)] = True
+            shared = np.add.reduceat(marked[np.concatenate([of(i) for i in left[some].tolist()])], np.concatenate([[0], np.cumsum(size[left[some]])[:-1]]), dtype=np.int64)
+            marked[of(u)] = False
+            hit = some[shared >= similarity * (size[u] + size[left[some]] - shared) - 1e-9]
+            if len(hit):
+                new = left[hit].tolist()
+                us += [u] * len(new)
+                vs += new
+                front += new
+                left = np.delete(left, hit)
+    return us, vs
+
+
+def _verified(docs: DataFrame, loose: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """Spanning links (u, v) of the pairs in a component of loose (node, component) whose shingles have that Jaccard similarity: each pair of blocks of a component is a unit."""
+    few = loose.count() <= 500_000
+    held = docs.join(F.broadcast(loose) if few else loose, docs["id"] == loose["node"]).select("component", "id", "text")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_digests(t, words) for t in raw(batch.column(2))]
+            at = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
+            sets = pa.array([shingle_set(x).tobytes() for x in found if x is not None], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), sets], ["component", "root", "shingles"])
+
+    sets = cut(held.mapInArrow(made, "component bigint, root bigint, shingles binary"))
+    sizes = sets.groupBy("component").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / block)
+    units = sets.join(sizes, "component").select("component", blocks.alias("blocks"), F.pmod(F.xxhash64("root"), blocks).alias("own"), "root", "shingles")
+    units = units.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", "root", "shingles")
+    units = units.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "root", "shingles")
+
+    def linked(unit: pa.Table) -> pa.Table:
+        root = unit.column("root").to_numpy()
+        u, v = alike([np.frombuffer(x, "<i8") for x in unit.column("shingles").to_pylist()], similarity)
+        return pa.table({"u": np.maximum(root[u], root[v]), "v": np.minimum(root[u], root[v])}) if u else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+
+    return units.groupBy("component", "low", "high").applyInArrow(linked, "u bigint, v bigint").distinct()
+
 
-    At such a similarity fingerprints differ in some 39 bits of 256 (two unrelated ones in 128, give or take 8), for which an exhaustive grid would have too many cells. The segments are single bits here, whose
-    counts are the bits themselves, and instead of all choices of slabs there are ``tables`` choices of ``picked`` axes, drawn once: of links at the threshold nine in ten share a cell, of those at 0.9
-    and over nearly all; copies always do. Every pair in a cell is verified on all 256 bits. Rows without words, and rows with a null identifier, are left out.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 32, picked: int = 16, block: int = 2048, sets_in_block: int = 256) -> DataFrame:
+    """(id, component): for each row with words the smallest identifier reachable over texts whose word shingles have that Jaccard similarity or more.
+
+    256-bit fingerprints only find the candidates. At such a similarity they differ in some 39 bits (two unrelated ones in 128, give or take 8), for which an exhaustive grid would have too many cells. So this is
+    bit sampling instead of the grid: the segments are single bits, whose counts are the bits themselves, and instead of all choices of slabs there are ``tables`` choices of ``picked`` bits, drawn once. Pairs that share
+    a cell and differ in no more bits than reach_of() are joined into loose components. Inside a loose component every pair of texts is then compared by its shingles, whether it shared a cell or not, and only pairs
+    of the similarity count. So no link is wrong, and one is missed only if nothing ties its ends loosely (by the binomial model some 3 in 10 pairs at the threshold itself).
+
+    Texts with the same shingles and fingerprint are one from the start. Rows that share an identifier are one node. Rows without words have no shingles to compare and are left out, as are rows with a null identifier.
     """
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t, words) for t in raw(batch.column(1))]
-            at = np.array([i for i, x in enumerate(found) if x is not None], np.int64)
-            fp = np.stack([found[i] for i in at]) if len(at) else np.zeros((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(fp[:, i].copy()) for i in range(4))], ["id", *WIDE])
-
-    prints = cut(df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint"))
-    roots = cut(prints.groupBy(*WIDE).agg(F.min("id").alias("root")))
+            found = [(i, wide_fingerprint(x), xxhash.xxh3_64_intdigest(shingle_set(x).tobytes(), SEED)) for i, t in enumerate(raw(batch.column(1))) if (x := shingle_digests(t, words)) is not None]
+            at = pa.array([i for i, _, _ in found], pa.int64())
+            fp = np.stack([x for _, x, _ in found]) if found else np.zeros((0, 4), np.int64)
+            whole = np.array([x for _, _, x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(fp[:, i].copy()) for i in range(4)), pa.array(whole)], ["id", *WIDE, "whole"])
+
+    prints = cut(df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint, whole bigint"))
+    roots = cut(prints.groupBy(*WIDE, "whole").agg(F.min("id").alias("root")))
     rng, masks = np.random.default_rng(SEED), []
     for i in range(tables):
         bits = [int(x) for x in rng.choice(256, picked, replace=False)]
@@ -248,9 +316,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         masks.append(F.struct(F.lit(i).alias("choice"), *(F.lit(m).cast("long").alias(c) for m, c in zip(part, WIDE, strict=True))))
     cell = F.xxhash64("x.choice", *(F.col(c).bitwiseAND(F.col(f"x.{c}")) for c in WIDE))
     placed = roots.select(*WIDE, "root", F.explode(F.array(*masks)).alias("x")).select(cell.alias("cell"), *WIDE, "root")
-    found = components(_met(placed, list(WIDE), reach_of(similarity), block))
-    ends = roots.join(found, roots["root"] == found["node"], "left").select(*WIDE, F.coalesce("component", "root").alias("component"))
-    return prints.join(ends, list(WIDE)).select("id", "component")
+    # many texts may have one fingerprint, so the root deals them into blocks
+    loose = cut(components(_met(placed, list(WIDE), reach_of(similarity), block, ["root"])).distinct())
+    found = components(_verified(df, loose, words, similarity, sets_in_block))
+    ends = roots.join(found, roots["root"] == found["node"], "left").select(*WIDE, "whole", F.coalesce("component", "root").alias("component"))
+    return prints.join(ends, [*WIDE, "whole"]).select("id", "component")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,30 @@ def test_similar_documents(spark, corpus):
     assert awkward[6] == 5 and 3 not in awkward and 4 not in awkward and simhash.similar_documents(corpus.limit(0)).count() == 0
 
 
+def planted_pairs(low, high, n, seed):
+    """Pairs of texts (2 i, 2 i + 1) with a five-word Jaccard similarity from low to high, unrelated to all others."""
+    rng, rows = np.random.default_rng(seed), []
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    while len(rows) < 2 * n:
+        base = [f"w{x}" for x in rng.integers(0, 10**9, rng.integers(100, 400))]
+        own, similar, a = list(base), 1.0, shingles(base)
+        while similar >= high:
+            own[rng.integers(len(own))] = f"x{rng.integers(0, 10**9)}"
+            b = shingles(own)
+            similar = len(a & b) / len(a | b)
+        if similar >= low:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(own))]
+    return rows
+
+
+def test_no_pair_under_the_similarity_is_linked(spark):
+    rows = planted_pairs(0.65, 0.79, 200, 4)
+    rows += [(1000, "one two three four five six seven eight nine ten " * 200), (1001, "one two three four five six seven eight nine ten " * 200 + "and some more words at the end of it")]  # 10 of 18 shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.id == r.component for r in simhash.similar_documents(docs).collect())
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.withColumns({"lang": F.lit("x"), "source": F.lit("x"), "n_chars": F.lit(1)}), "").count() == len(rows)
+
+
 def test_neighbours_against_brute_force(spark, data):
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in table(spark, data, "embeddings").collect()]
     ids, vectors = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
