@@ -227,8 +227,8 @@ def wide_fingerprint(digests: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > len(digests), bitorder="little").view("<i8")
 
 
-def reach_of(similarity: float, spare: int = 4) -> int:
-    """The bits of 256 in which two wide fingerprints are expected to differ at that Jaccard similarity of their shingles, and a few of the spread (some 6 bits) more."""
+def reach_of(similarity: float, spare: int = 24) -> int:
+    """The bits of 256 in which two wide fingerprints are expected to differ at that Jaccard similarity of their shingles, and four times the spread (some 6 bits) more."""
     return round(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + spare
 
 
@@ -287,13 +287,13 @@ def _verified(docs: DataFrame, loose: DataFrame, words: int, similarity: float,
     return units.groupBy("component", "low", "high").applyInArrow(linked, "u bigint, v bigint").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 32, picked: int = 16, block: int = 2048, sets_in_block: int = 256) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 64, picked: int = 16, block: int = 2048, sets_in_block: int = 256) -> DataFrame:
     """(id, component): for each row with words the smallest identifier reachable over texts whose word shingles have that Jaccard similarity or more.
 
     256-bit fingerprints only find the candidates. At such a similarity they differ in some 39 bits (two unrelated ones in 128, give or take 8), for which an exhaustive grid would have too many cells. So this is
     bit sampling instead of the grid: the segments are single bits, whose counts are the bits themselves, and instead of all choices of slabs there are ``tables`` choices of ``picked`` bits, drawn once. Pairs that share
     a cell and differ in no more bits than reach_of() are joined into loose components. Inside a loose component every pair of texts is then compared by its shingles, whether it shared a cell or not, and only pairs
-    of the similarity count. So no link is wrong, and one is missed only if nothing ties its ends loosely (by the binomial model some 3 in 10 pairs at the threshold itself).
+    of the similarity count. So no link is wrong, and one is missed only if nothing ties its ends loosely (by the binomial model 1 in 100 pairs at the threshold itself, fewer above).
 
     Texts with the same shingles and fingerprint are one from the start. Rows that share an identifier are one node. Rows without words have no shingles to compare and are left out, as are rows with a null identifier.
     """

@@ -150,6 +150,21 @@ def test_no_pair_under_the_similarity_is_linked(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs.withColumns({"lang": F.lit("x"), "source": F.lit("x"), "n_chars": F.lit(1)}), "").count() == len(rows)
 
 
+def test_isolated_pairs_just_over_the_similarity_are_linked(spark):
+    rows = planted_pairs(0.8, 0.82, 400, 5)
+    out = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[i + 1] == i for i in range(0, len(rows), 2)) >= 0.96 * len(rows) / 2 and all(out[i] == i for i in range(0, len(rows), 2))
+
+
+@pytest.mark.parametrize("block", [2, 3, 256])
+def test_verified_links_in_blocks(spark, block):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 60)]
+    rows = [(i, " ".join(base[i : i + 40])) for i in (0, 1, 2, 3, 4, 8, 9, 10, 18)]  # neighbours by one word share 35 of 37 shingles, those by four 32 of 40
+    out = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), sets_in_block=block).collect()}
+    assert out == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 8: 0, 9: 0, 10: 0, 18: 18}
+
+
 def test_neighbours_against_brute_force(spark, data):
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in table(spark, data, "embeddings").collect()]
     ids, vectors = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
