@@ -108,10 +108,10 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 20,
-    hashes: int = 24,
-    share: float = 0.7,
-    growth: float = 1.3,
-    margin: float = 1.2,
+    hashes: int = 48,
+    share: float = 0.5,
+    growth: float = 1.25,
+    margin: float = 2.0,
     seed: int = 7,
     vectors_in_block: int = 65536,
     queries_in_block: int = 512,

@@ -1,6 +1,7 @@
 """Operators over a whole corpus: lines, fingerprints, neighbours, revisits, toxicity, and the pipeline."""
 
 import hashlib
+import inspect
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -180,6 +181,19 @@ def test_neighbours_against_brute_force(spark, data):
     assert hit / total >= 0.9
 
 
+def test_settings_of_neighbours_reach_those_near_the_cut():
+    given = {k: p.default for k, p in inspect.signature(neighbours.nearest).parameters.items()}
+    vectors = np.random.default_rng(8).standard_normal((4000, 64))
+    ids, largest = np.arange(4000), float(np.sqrt((vectors**2).sum(1)).max())
+    index, hit = neighbours.Index(vectors, largest, given["hashes"], given["seed"]), 0
+    for q in range(0, 4000, 40):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        found, _ = neighbours.search(index, vectors, ids, vectors[q], q, 20, given["share"], given["growth"], given["margin"])
+        hit += len(set(found.tolist()) & set(np.argsort(-scores)[:20].tolist()))
+    assert hit >= 0.975 * 2000
+
+
 def test_neighbours_on_awkward_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.5, 0.5]), (7, [1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (20, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
