@@ -5,7 +5,8 @@ and with words dropped and noise around them, against paragraphs that are no lic
 threshold at which the held-out unknown paragraphs stay unknown. A prediction is confirmed by comparison with the family's templates: enough of a template's word
 pairs must stand in the paragraph.
 
-A paragraph is a line of the text. Lines without ``LEAST_WORDS`` words of the vocabulary have no features that could outweigh the constant and are unknown without being multiplied out. Null and empty texts have one empty paragraph and no
+A paragraph is a line of the text. A notice may also be wrapped: consecutive lines with words (comment signs are none) are read as one, and where enough of a template's word pairs stand together over several lines, those words are
+classified and confirmed like a line; the finding's paragraph is its first line. Lines without ``LEAST_WORDS`` words of the vocabulary have no features that could outweigh the constant and are unknown without being multiplied out. Null and empty texts have one empty paragraph and no
 findings; repeated rows are answered each; an empty table gives no rows.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -130,6 +132,11 @@ class Classifier:
         self.families = ["unknown", *TEMPLATES]
         whole = {f: [words_of(t.encode()) for t in texts] for f, texts in TEMPLATES.items()}
         self.pairs = {f: [self.pairs_of(w) for w in lines] for f, lines in whole.items()}
+        self.held_by: dict[tuple, list[tuple[str, int]]] = defaultdict(list)
+        for f, templates in self.pairs.items():
+            for i, t in enumerate(templates):
+                for x in t:
+                    self.held_by[x].append((f, i))
         grams = sorted({g for lines in whole.values() for w in lines for g in grams_of(w)})
         self.number = {g: i for i, g in enumerate(grams)}
         self.words = {g for g in grams if b" " not in g}
@@ -180,7 +187,9 @@ class Classifier:
 
     def classify(self, line: bytes) -> tuple[str, float, float] | None:
         """(family, probability, share of the best template's word pairs), None if unknown or not confirmed."""
-        words = words_of(line)
+        return self.classify_words(words_of(line))
+
+    def classify_words(self, words: list[bytes]) -> tuple[str, float, float] | None:
         if len(self.words.intersection(words)) < LEAST_WORDS:
             return None
         at = [self.number[g] for g in grams_of(words) if g in self.number]
@@ -193,6 +202,50 @@ class Classifier:
         return (family, float(p[k]), alike) if alike >= CONFIRMED else None
 
 
+    def wrapped(self, lines: list[list[bytes]], found: dict[int, tuple[str, float, float]]) -> list[tuple[int, tuple[str, float, float]]]:
+        """(line of the first word, finding) of notices that run over several of the lines, which are words, and that none of their lines has in found."""
+        words = [w for line in lines for w in line]
+        near = [(i, x) for i, x in enumerate(zip(words, words[1:], strict=False)) if x in self.held_by]
+        of: dict[tuple[str, int], list[tuple[int, tuple]]] = defaultdict(list)
+        for i, x in near:
+            for t in self.held_by[x]:
+                of[t].append((i, x))
+        number = [n for n, line in enumerate(lines) for _ in line] if of else []
+        out: list[tuple[int, int, tuple[str, float, float]]] = []
+        for (family, k), at in of.items():
+            pairs = self.pairs[family][k]
+            if len({x for _, x in at}) < CONFIRMED * len(pairs):
+                continue
+            most, first, end = 2 * len(pairs) + 8, 0, -1
+            while first < len(at):
+                last = first
+                while last + 1 < len(at) and at[last + 1][0] - at[first][0] < most:
+                    last += 1
+                a, b = at[first][0], at[last][0] + 1
+                if a > end and len({x for _, x in at[first : last + 1]}) >= CONFIRMED * len(pairs) and number[b] > number[a] and (x := self.classify_words(words[a : b + 1])):
+                    if not any(n in found and found[n][0] == x[0] for n in range(number[a], number[b] + 1)):
+                        out.append((a, b, x))
+                    end = b
+                first += 1
+        kept: list[tuple[int, int, tuple[str, float, float]]] = []
+        for a, b, x in sorted(out, key=lambda o: (-o[2][2], o[0] - o[1], o[0])):  # of those that overlap, the most alike and longest
+            if not any(a <= d and c <= b for c, d, _ in kept):
+                kept.append((a, b, x))
+        return sorted((number[a], x) for a, _, x in kept)
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, tuple[str, float, float]]]]:
+        """The number of lines, and (line, finding) of those that are a notice by themselves or begin one that is wrapped; lines without words part blocks."""
+        lines = [words_of(line) for line in text.split(b"\n")]
+        found = {i: x for i, words in enumerate(lines) if (x := self.classify_words(words))}
+        out, begin = list(found.items()), 0
+        for i in range(len(lines) + 1):
+            if i == len(lines) or not lines[i]:
+                if i - begin > 1:
+                    out += [(begin + n, x) for n, x in self.wrapped(lines[begin:i], {n - begin: x for n, x in found.items() if begin <= n < i} if found else {})]
+                begin = i + 1
+        return len(lines), sorted(out)
+
+
 @lru_cache(maxsize=1)
 def classifier() -> Classifier:
     return Classifier()
@@ -208,9 +261,9 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             counts, findings = [], []
             for text in raw(batch.column(1)):
-                lines = (text or b"").split(b"\n")
-                counts.append(len(lines))
-                findings.append([{"paragraph": i, "family": x[0], "probability": x[1], "similarity": x[2]} for i, line in enumerate(lines) if (x := held.value.classify(line))])
+                n, scanned = held.value.scan(text or b"")
+                counts.append(n)
+                findings.append([{"paragraph": i, "family": x[0], "probability": x[1], "similarity": x[2]} for i, x in scanned])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(findings, kind)], ["id", "n_paragraphs", "findings"])
 
     kind = df.schema["id"].dataType.simpleString()

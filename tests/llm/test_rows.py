@@ -94,6 +94,17 @@ def test_licenses(spark):
     assert [[f.family for f in r.findings] for r in licenses.find_licenses(docs).orderBy("doc_id").collect()] == [["Apache-2.0"], [], [], ["GPL-3.0"]]
 
 
+@pytest.mark.parametrize(("family", "sign", "notice"), [
+    ("GPL-3.0", " * ", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("BSD", "# ", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+    ("MIT", "// ", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without\nrestriction."),
+])
+def test_wrapped_notices(family, sign, notice):
+    text = "some code\n\n" + "\n".join(sign + x for x in notice.split("\n")) + f"\n{sign}\nmore code"
+    n, found = licenses.classifier().scan(text.encode())
+    assert n == text.count("\n") + 1 and [(i, x[0]) for i, x in found] == [(2, family)]
+
+
 def test_packing_round_trip(spark, data):
     from tokenizers import Tokenizer
 
