@@ -92,17 +92,21 @@ class Tree(HTMLParser):
 
 
 def parse(html: str) -> Tree:
-    tree = Tree()
-    try:
-        tree.feed(html)
-        tree.close()
-    except AssertionError:  # a broken declaration: what was read up to there stands, the rest is read without it
-        at = html.find(">", tree.getpos()[1]) if tree.getpos()[0] == 1 else -1
-        if at >= 0:
-            tree.rawdata = ""
-            tree.feed(html[at + 1 :].replace("<!", "&lt;!"))
+    tree, rest = Tree(), html
+    while True:
+        try:
+            tree.feed(rest)
             tree.close()
-    return tree
+            return tree
+        except AssertionError:  # a broken declaration: what was read up to there stands, the rest is read without it
+            line, column = tree.getpos()
+            at = 0
+            for _ in range(line - 1):
+                at = rest.index("\n", at) + 1
+            at += column
+            end = rest.find(">", at)
+            rest = rest[end + 1 if end >= 0 else at + 3 :]
+            tree.rawdata, tree.lineno, tree.offset = "", 1, 0
 
 
 def surrounds(tag: str, attrs: dict, within_article: bool) -> bool:

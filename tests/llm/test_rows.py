@@ -87,6 +87,12 @@ def test_html_of_all_pages(spark, data):
         assert body is None or "".join(r.text.split()) == "".join(re.sub(r"&(?:amp|#38);", "&", re.sub(r"<[^>]+>", "", body[1])).split()) or "&" in body[1]
 
 
+@pytest.mark.parametrize("broken", ["<![foo x]>", "<![ if x]>"])
+def test_html_goes_on_after_a_broken_declaration(broken):
+    page = f"<html><body>\n<div>menu</div>\n{broken}\n<!-- a note --><article><p>The first paragraph.</p>\n{broken}<p>The second one.</p></article></body></html>"
+    assert html.main_text(page) == "The first paragraph.\nThe second one."
+
+
 def test_licenses(spark):
     model = licenses.classifier()
     assert model.held_out_accuracy > 0.95
