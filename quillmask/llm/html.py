@@ -33,6 +33,10 @@ NAMES = frozenset(
     "navigation menu submenu breadcrumb breadcrumbs sidebar sidebars side aside footer foot header masthead topbar toolbar share sharing social related recommended recommendations comment comments commentlist disqus replies reply "
     "respond popup modal overlay newsletter subscribe subscription signup login pagination pager widget widgets skip hidden".split()
 )
+#: Dropped unless they hold the article or most of the text, as whole pages stand in one.
+FORMS = frozenset({"form", "fieldset"})
+#: Names that hold for any amount of text.
+REMARKS = frozenset("comment comments commentlist disqus replies reply respond hidden".split())
 #: A start tag of the key ends an open element of the value.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
@@ -122,6 +126,13 @@ def surrounds(tag: str, attrs: dict, within_article: bool) -> bool:
     return bool(NAMES & _names(attrs))
 
 
+def named_only(tag: str, attrs: dict) -> bool:
+    """Whether nothing but a form or a name, other than one of comments or of what isn't shown, speaks against an element."""
+    if tag in DROPPED - FORMS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES - {"form"} or _HIDDEN.search(attrs.get("style", "")):
+        return False
+    return tag != "header" and not REMARKS & _names(attrs)
+
+
 def _names(attrs: dict) -> set:
     return {w.lower() for k in ("class", "id") if k in attrs for part in (attrs[k],) for w in (*_WORD.findall(part), *re.split(r"[^A-Za-z]+", part)) if w}
 
@@ -135,11 +146,12 @@ class Page:
         for i in range(n - 1, 0, -1):
             if tree.tag[i] in ("article", "main") or holds[i]:
                 holds[tree.parent[i]] = True
+        most = self.mostly(holds[0])
         for i in range(1, n):
             p = tree.parent[i]
             inside[i] = inside[p] or tree.tag[p] in ("article", "main")
-            # an element around the article may be named after what else it holds
-            keep[i] = keep[p] and not (surrounds(tree.tag[i], tree.attrs[i], inside[i]) and not (holds[i] and tree.tag[i] not in DROPPED))
+            # an element around the article, or around most of the text, may be named after what else it holds
+            keep[i] = keep[p] and not (surrounds(tree.tag[i], tree.attrs[i], inside[i]) and not (holds[i] and tree.tag[i] not in DROPPED - FORMS) and not (most[i] and named_only(tree.tag[i], tree.attrs[i])))
         self.keep = keep
         link = [False] * n
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -168,6 +180,23 @@ class Page:
             if keep[i]:
                 self.total[tree.parent[i]] += self.density[i]
 
+    def mostly(self, articles: bool) -> list[bool]:
+        """Whether a node holds over half of the text outside links: of the <article> or <main> it stands in, of the page where there is neither."""
+        tree, n = self.tree, len(self.tree.tag)
+        out, scope, plain, chars = [False] * n, [0] * n, [True] * n, [0] * n
+        for i in range(1, n):
+            p = tree.parent[i]
+            scope[i] = p if tree.tag[p] in ("article", "main") else scope[p]
+            plain[i] = plain[p] and tree.tag[i] != "a" and tree.tag[i] not in DROPPED - FORMS
+        for i in range(n - 1, -1, -1):
+            if plain[i]:
+                chars[i] += sum(len("".join(x.split())) for x in tree.content[i] if isinstance(x, str))
+            if i:
+                chars[tree.parent[i]] += chars[i]
+        for i in range(1, n):
+            out[i] = (scope[i] > 0 or not articles) and 2 * chars[i] > chars[scope[i]]
+        return out
+
     def path(self, node: int) -> list[int]:
         out = [node]
         while node not in (self.body, 0):

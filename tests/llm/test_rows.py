@@ -93,6 +93,13 @@ def test_html_goes_on_after_a_broken_declaration(broken):
     assert html.main_text(page) == "The first paragraph.\nThe second one."
 
 
+@pytest.mark.parametrize("around", ["<form id='aspnetForm'>@</form>", "<div class='elementor-widget-container'>@</div>", "<div class='content no-sidebar'>@</div>", "<form><article>@</article></form>", "<article><div class='widget'>@</div></article>"])
+def test_html_keeps_what_holds_most_of_the_text(around):
+    text = "A sentence of the article, long enough to be its text, and one more. " * 5
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{around.replace('@', f'<p>{text}</p><p>{text}</p>')}<div class='sidebar'><p>Other things.</p></div></body></html>"
+    assert html.main_text(page) == "\n".join([text.strip()] * 2)
+
+
 def test_licenses(spark):
     model = licenses.classifier()
     assert model.held_out_accuracy > 0.95
