@@ -67,11 +67,13 @@ def page_sizes(items: DataFrame) -> DataFrame:
 
 
 def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, word_idx, text, x, y, width, height): the first line's words in boxes, every 13th with its second letter misread."""
-    first = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), " ", -1)).alias("word_idx", "w"))
+    """(doc_id, word_idx, text, x, y, width, height): the words of all lines in boxes, numbered through, every 13th with its second letter misread."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    placed = F.flatten(F.transform(lines, lambda body, line: F.transform(F.split(body, " ", -1), lambda w, n: F.struct(w.alias("w"), line.alias("line"), n.alias("n")))))
+    each = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(placed).alias("word_idx", "p")).select("doc_id", "word_idx", "p.w", "p.line", "p.n")
     wrong = (F.col("word_idx") % 13 == 12) & (F.length("w") > 4)
     text = F.when(wrong, F.concat(F.substring("w", 1, 1), F.lit("q"), F.substring("w", 3, 10000))).otherwise(F.col("w"))
-    return first.select("doc_id", "word_idx", text.alias("text"), (F.col("word_idx") * 50).cast("int").alias("x"), (F.col("word_idx") % 2 + 10).cast("int").alias("y"), (F.length("w") * 6).cast("int").alias("width"), F.lit(12).alias("height"))
+    return each.select("doc_id", "word_idx", text.alias("text"), (F.col("n") * 50).cast("int").alias("x"), (F.col("line") * 14 + F.col("n") % 2 + 10).cast("int").alias("y"), (F.length("w") * 6).cast("int").alias("width"), F.lit(12).alias("height"))
 
 
 def word_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,15 @@ def test_masked_text_keeps_length_and_white_space(spark, data):
     assert both.where((F.length("text") != F.length("masked_text")) | (F.regexp_replace("text", r"\S", "") != F.regexp_replace("masked_text", r"\S", ""))).count() == 0
 
 
+def test_recognised_words_are_those_of_all_lines(spark, data):
+    from quillmask.sources import harness
+
+    want = sum(len(line.split(" ")) for r in harness.documents(spark, data).collect() for line in (r.text or "").split("\n"))
+    words = harness.recognised_words(spark, data)
+    assert words.count() == words.select("doc_id", "word_idx").distinct().count() == want
+    assert QUERIES["ocr_boxes"](spark, data).where("y > 14").limit(1).count() == 1
+
+
 def test_each_detection_is_in_one_bucket(spark, data):
     out = QUERIES["eval_status"](spark, data)
     assert out.groupBy("doc_id", "det_idx").count().where("count <> 1").count() == 0
