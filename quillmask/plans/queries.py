@@ -177,7 +177,7 @@ def reviewed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reviewed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = harness.documents_with_json(spark, sf_dir)
     parsed = docs.withColumn("dets", harness.parse_detections(F.col("raw")))
-    return report.review_json(E.evaluate(parsed, normalize=False, suggest=False))
+    return report.review_json(E.evaluate(parsed))
 
 
 def docx_mask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,16 @@ def test_recognised_words_are_those_of_all_lines(spark, data):
     assert QUERIES["ocr_boxes"](spark, data).where("y > 14").limit(1).count() == 1
 
 
+def test_reviewed_json_has_suggestions(spark, data):
+    from quillmask.operators import evaluate, report
+    from quillmask.sources import harness
+
+    docs = harness.documents_with_json(spark, data).where("doc_id < 20")
+    whole = report.review_json(evaluate.evaluate(docs.withColumn("dets", harness.parse_detections(docs["raw"])))).toPandas().astype(str)
+    found = QUERIES["reviewed_json"](spark, data).where("doc_id < 20").toPandas().astype(str)
+    assert sorted(map(tuple, found.values)) == sorted(map(tuple, whole.values))
+
+
 def test_each_detection_is_in_one_bucket(spark, data):
     out = QUERIES["eval_status"](spark, data)
     assert out.groupBy("doc_id", "det_idx").count().where("count <> 1").count() == 0
