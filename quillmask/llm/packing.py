@@ -5,11 +5,12 @@ fill level that makes the sum over levels of (number of windows partly filled to
 array with a place for each level, so a placement is a few vector operations whatever the number of open windows.
 
 Packing is per input partition, in one pass without a shuffle: a partition's rows never meet another's. At most ``max_open`` windows are
-open; beyond that, and at the end, they are closed by cutting: the emptiest are cut up to fill the fullest, which leaves one window partly
-filled. At a partition's end that one is cut at the binary digits of its length (``tail="binary"``), so that every sequence is a whole window or
+open. Each one beyond is a surplus that is closed alone: pieces of the emptiest windows are cut to fill the fullest, all others stay in the level array and the rule goes on deciding. At a
+partition's end all are closed that way, which leaves one window partly filled; it is cut at the binary digits of its length (``tail="binary"``), so that every sequence is a whole window or
 a power of two, or left to be padded (``tail="pad"``).
 
-Null and empty texts are documents of the closing id alone. Repeated rows are packed each. An empty table gives no pieces.
+Null and empty texts are documents of the closing id alone, as are texts of null identifiers, which come back with a null one. Repeated rows are packed each; of levels that are equally good the
+fullest is taken, and of windows at one level the latest. An empty table gives no pieces. Very long texts, and runs of white space of any length, are encoded whole. Other columns are not returned.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import raw, table
 
 CLOSING = 1
+#: White space in a row from which on the faster library isn't used.
+SAFE_RUN = 10_000
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -36,7 +39,7 @@ def encoder(vocabulary: str) -> Callable[[bytes], np.ndarray]:
     """Text to ids, for a byte-level BPE file of the tokenizers library.
 
     With the same vocabulary as ranks beside it (.tiktoken), texts of the scripts on which both libraries split alike are encoded from the ranks, which is several times
-    faster and gives the same ids; all other texts go through tokenizers itself.
+    faster and gives the same ids; all other texts, and those with a run of SAFE_RUN or more blanks, for which the other library's stack is too small, go through tokenizers itself.
     """
     import os
     import re
@@ -55,7 +58,7 @@ def encoder(vocabulary: str) -> Callable[[bytes], np.ndarray]:
     with open(ranks, "rb") as file:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    other = re.compile("[^\t\n\r -~¡-ɏ‐-‧€]")
+    other = re.compile("[^\t\n\r -~¡-ɏ‐-‧€]|(?<![\t\n\r ])[\t\n\r ]{%d}" % SAFE_RUN)
 
     def encode(data: bytes) -> np.ndarray:
         text = data.decode()
@@ -74,6 +77,8 @@ class Packer:
         self.count = np.zeros(window + 1, np.int64)
         self.at: list[list] = [[] for _ in range(window + 1)]
         self.open = 0
+        # for measurements: rests placed by the rule, and windows closed because too many were open
+        self.placed = self.surplus = 0
         self.out: list[tuple] = []
 
     def emit(self, pieces: list[tuple]) -> None:
@@ -102,57 +107,53 @@ class Packer:
             return
         size = total - whole
         h = self.level(size)
-        pieces = self.at[h].pop() if h else []
+        pieces = self.pull(h) if h else []
         pieces.append((doc, whole, ids[whole:].copy() if whole else ids, total))
-        if h:
-            self.count[h] -= 1
-            self.open -= 1
+        self.placed += 1
         if h + size == w:
             self.emit(pieces)
             return
-        self.at[h + size].append(pieces)
-        self.count[h + size] += 1
+        self.put(h + size, pieces)
+        while self.open > self.max_open:
+            self.surplus += 1
+            self.close_one()
+
+    def put(self, level: int, pieces: list[tuple]) -> None:
+        self.at[level].append(pieces)
+        self.count[level] += 1
         self.open += 1
-        if self.open > self.max_open:
-            self.close()
-
-    def close(self) -> None:
-        """Fill the fullest windows from the emptiest, cutting pieces; one window at most stays open."""
-        waiting = [(h, pieces) for h in range(1, self.window) for pieces in self.at[h]]
-        low, high = 0, len(waiting) - 1
-        spare: list[tuple] = []
-        while low <= high:
-            h, pieces = waiting[high]
-            high -= 1
-            while h < self.window and (spare or low <= high):
-                if not spare:
-                    spare = waiting[low][1][::-1]
-                    low += 1
+
+    def pull(self, level: int) -> list[tuple]:
+        self.count[level] -= 1
+        self.open -= 1
+        return self.at[level].pop()
+
+    def close_one(self) -> None:
+        """Fill one of the fullest windows with pieces cut from the emptiest; what is left of the last one cut stays open."""
+        held = np.flatnonzero(self.count)
+        high = int(held[-1])
+        pieces, room = self.pull(high), self.window - high
+        while room and self.open:
+            low = int(np.flatnonzero(self.count)[0])
+            spare = self.pull(low)
+            while room and spare:
                 doc, start, ids, total = spare.pop()
-                room = self.window - h
                 pieces.append((doc, start, ids[:room], total))
-                h += len(pieces[-1][2])
                 if len(ids) > room:
                     spare.append((doc, start + room, ids[room:], total))
-            if h < self.window:
-                last = (h, pieces)
-                break
-            self.emit(pieces)
+                low -= len(pieces[-1][2])
+                room -= len(pieces[-1][2])
+            if spare:
+                self.put(low, spare)
+        if room:
+            self.put(self.window - room, pieces)
         else:
-            last = (sum(len(x[2]) for x in spare), spare[::-1])
-        self.at = [[] for _ in range(self.window + 1)]
-        self.count[:] = 0
-        self.open = 0
-        h, pieces = last
-        if h == self.window:
             self.emit(pieces)
-        elif h:
-            self.at[h].append(pieces)
-            self.count[h] = self.open = 1
 
     def end(self, tail: str) -> None:
-        self.close()
-        pieces = next((self.at[h][0] for h in range(1, self.window) if self.at[h]), [])
+        while self.open > 1:
+            self.close_one()
+        pieces = next((self.pull(int(h)) for h in np.flatnonzero(self.count)), [])
         left = sum(len(x[2]) for x in pieces)
         if tail == "pad" and pieces:
             self.emit(pieces)
