@@ -3,10 +3,12 @@
 Pattern matches alone are reported as they are (kinds ``assign``, ``access`` and ``hex``). Beyond them, runs of base64 or
 hexadecimal text, PEM blocks and dotted tokens are candidates only: they are decoded, and reported when what comes out has
 the structure of a key (nested DER lengths that add up, a private key's fields, an OpenSSH container) or of a signed token
-(a JSON header that names an algorithm, a JSON payload, a signature).
+(a JSON header that names an algorithm, a JSON payload, a signature). A key may stand behind a path in the same run of characters: its outer length says where it begins. It may be wrapped
+over lines of equal length.
 
-Rows are independent, so the scan is one pass without a shuffle. A null or empty text has no spans; a null identifier, repeated rows and
-an empty table pass through; further columns are not looked at and not returned.
+Rows are independent, so the scan is one pass without a shuffle, and each text is read a fixed number of times, whatever stands in it: time and memory are in proportion to its length.
+A null or empty text has no spans; a null identifier, repeated rows and an empty table pass through; spans of equal place are in the order of their kinds; further columns, of any name, are not
+looked at and not returned.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +32,12 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+MARK = re.compile(rb"-----(BEGIN|END) ((?:[A-Z0-9]{1,16} ){0,4}PRIVATE KEY)-----")
+BODY = re.compile(rb"[A-Za-z0-9+/=\s:,.-]*")
+#: Lines of base64 of one length with a last one that may be shorter.
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{48,96}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/]{1,96}={0,2}(?![A-Za-z0-9+/=])")
+#: How the base64 of a DER sequence may begin.
+_SEQUENCE = re.compile(rb"(?<![A-Za-z0-9])M[A-P]")
 JWT = re.compile(rb"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: Runs this long may hold a key: 48 bytes in base64, 32 in hexadecimal.
 KEY_CHARS = 64
@@ -124,10 +132,44 @@ def is_token(header: bytes, payload: bytes, signature: bytes) -> bool:
     return head["alg"].lower() == "none" or bool(unbase64(signature))
 
 
-def key_in(run: bytes) -> bool:
+def der_size(start: bytes) -> int:
+    """The bytes of the DER value whose first bytes these are, with its head; 0 if they are no such."""
+    if len(start) < 2:
+        return 0
+    k = start[1] & 0x7F
+    if start[1] < 0x80:
+        return 2 + k
+    return 2 + k + int.from_bytes(start[2 : 2 + k], "big") if 1 <= k <= 4 and len(start) >= 2 + k else 0
+
+
+def key_at(run: bytes) -> int:
+    """Where in a run of characters a key stands that ends with the run, -1 if there is none."""
     if _HEX.fullmatch(run) and len(run) % 2 == 0 and is_key(bytes.fromhex(run.decode())):
-        return True
-    return bool(data := unbase64(run)) and is_key(data)
+        return 0
+    if (data := unbase64(run)) and is_key(data):
+        return 0
+    bare = run.rstrip(b"=")
+    for m in _SEQUENCE.finditer(run, 1):  # only where the outer length says that the value ends with the run is anything decoded
+        head = unbase64(bare[m.start() : m.start() + 8])
+        if head and -(-4 * der_size(head) // 3) == len(bare) - m.start() >= KEY_CHARS and (data := unbase64(run[m.start() :])) and is_key(data):
+            return m.start()
+    return -1
+
+
+def pem_blocks(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, body) of a BEGIN and the END of the same label that follows it as the next mark."""
+    before = None
+    for m in MARK.finditer(text):
+        if m[1] == b"END" and before is not None and before[2] == m[2] and BODY.fullmatch(text, before.end(), m.start()):
+            yield before.start(), m.end(), text[before.end() : m.start()]
+        before = m if m[1] == b"BEGIN" else None
+
+
+def wrapped_keys(text: bytes) -> Iterator[tuple[int, int]]:
+    for m in WRAPPED.finditer(text):
+        lines = m[0].split()
+        if len({len(x) for x in lines[:-1]}) == 1 and len(lines[-1].rstrip(b"=")) <= len(lines[0]) and (data := unbase64(b"".join(lines))) and is_key(data):
+            yield m.span()
 
 
 def scan(text: bytes) -> list[tuple[str, int, int]]:
@@ -141,23 +183,32 @@ def scan(text: bytes) -> list[tuple[str, int, int]]:
     found += [(s, 2, e) for s, e in runs(text.translate(_IS_LOW_HEX), LEAST["hex"])]
     taken: list[tuple[int, int]] = []
     if b"PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(rb"\A(?:\s*[A-Za-z-]+:[^\n]*\n)+", b"", m[2])
+        for start, end, inner in pem_blocks(text):
+            body = re.sub(rb"\A(?:\s*[A-Za-z-]+:[^\n]*\n)+", b"", inner)
             data = unbase64(re.sub(rb"\s+", b"", body))
-            if data and (is_key(data) or (b"ENCRYPTED" in m[2] and len(data) % 8 == 0)):
-                found.append((m.start(), 3, m.end()))
-                taken.append(m.span())
-    for s, e in runs(text.translate(_IS_KEYISH), KEY_CHARS):
+            if data and (is_key(data) or (b"ENCRYPTED" in inner and len(data) % 8 == 0)):
+                found.append((start, 3, end))
+                taken.append((start, end))
+    within = lambda at: bool(n := bisect_right(taken, (at, len(text)))) and at < taken[n - 1][1]
+    keyish, keys = text.translate(_IS_KEYISH), []
+    for s, _ in runs(keyish, KEY_CHARS):
         m = _RUN.match(text, s)
-        if m and not any(a <= s < b for a, b in taken) and key_in(m[0]):
-            found.append((s, 4, m.end()))
+        if m and not within(s) and (at := key_at(m[0])) >= 0:
+            found.append((s + at, 4, m.end()))
+            keys.append((s + at, m.end()))
+    taken = sorted(taken + keys)
+    if any(text[e : e + 1] in (b" ", b"\t", b"\r", b"\n") for _, e in runs(keyish, 48)):
+        found += [(s, 4, e) for s, e in wrapped_keys(text) if not within(s)]
     if b"eyJ" in text:
         found += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2], m[3])]
     found.sort()
     if text.isascii():
         return [(KINDS[k], s, e) for s, k, e in found]
-    point = lambda at: len(text[:at].decode("utf-8", "surrogatepass"))
-    return [(KINDS[k], point(s), point(e)) for s, k, e in found]
+    at, n, point = 0, 0, {}
+    for to in sorted({x for s, _, e in found for x in (s, e)}):
+        n += len(text[at:to].decode("utf-8", "surrogatepass"))
+        at, point[to] = to, n
+    return [(KINDS[k], point[s], point[e]) for s, k, e in found]
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
