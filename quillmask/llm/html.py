@@ -1,12 +1,14 @@
 """Main-text extraction from HTML by composite text density.
 
 Each page becomes a tree without what is never an article (scripts, styles, forms, menus, footers, elements that name themselves adverts, sidebars, notices or comments). For every
-node the characters per tag are weighed down by the share that stands in links; a node's density sum is the sum of its children's densities. The node
-with the largest sum is the article's core, and the smallest density on the way from it to the body is the threshold: the core's siblings that reach it and hold paragraphs belong to
-the article too. A core inside an <article> or <main> stands for that whole element, so that short blocks at its edges aren't lost; one that lies above a single such element yields to it.
-
-Pages are independent: one pass, no shuffle. A null or empty page has an empty text, as has a page without text. Repeated rows are answered each;
-other columns are kept as they are. Malformed markup gets a tree all the same: unknown end tags are ignored, open elements end with their parent.
+block the characters per tag are weighed down by the share that stands in links; formatting markup is a part of its block's text. A node's density sum is the sum of its children's densities. The node
+with the largest sum is the article's core, and the smallest density on the way from it to the body is the threshold: on every level of that way, the siblings that reach it and are written in paragraphs, if the
+article is, belong to it, with what stands between them, and with headings, paragraphs, lists and tables that adjoin them, however short. Link-dominated blocks don't belong to it. If nothing stands outside of the core, the core is the page, and its own
+children are held against a threshold in the same way. Only where a way leads through an <article>, that element decides on the short blocks which the threshold leaves out.
+
+Pages are independent: one pass, no shuffle. A null or empty page has an empty text, as has a page without text. Of equal sums the denser node counts, then the first. Repeated rows are answered each, an empty table gives no rows;
+other columns are kept as they are, but for one of the name of the result, which is replaced. Very long pages, and elements nested to any depth, are read whole. Malformed markup gets a tree all the same: unknown
+end tags are ignored, open elements end with their parent.
 """
 
 from __future__ import annotations
@@ -27,12 +29,21 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements whose content is never the article's text.
 DROPPED = frozenset("script style noscript template iframe frame frameset svg canvas object applet audio video math head title nav aside footer form button select option textarea input fieldset dialog menu datalist map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Names in class or id of what surrounds an article.
+#: Names in class or id of what surrounds an article. The last word of a name says what a thing is, those of GENERIC aside.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notification alert disclaimer nav navbar "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notification alert disclaimer nav navbar "
     "navigation menu submenu breadcrumb breadcrumbs sidebar sidebars side aside footer foot header masthead topbar toolbar share sharing social related recommended recommendations comment comments commentlist disqus replies reply "
-    "respond popup modal overlay newsletter subscribe subscription signup login pagination pager widget widgets skip hidden".split()
+    "respond popup modal overlay newsletter subscribe subscription signup login search pagination pager widget widgets skip hidden".split()
 )
+#: Words for a shape or a place, behind which stands what a thing is.
+GENERIC = frozenset("list lists box boxes block blocks wrapper wrap container area section bar strip links link items item button buttons posts post stories form slot unit inner outer panel group row left right top bottom".split())
+#: Names with one of these tell of what stands elsewhere.
+ABSENT = frozenset("no without has with".split())
+#: Of these an element may be the article's own.
+HEADS = frozenset({"header", "masthead"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that are text by themselves, so that they belong to what they adjoin.
+TEXTY = HEADINGS | frozenset("p blockquote pre ul ol dl table figure header hgroup address details".split())
 #: Dropped unless they hold the article or most of the text, as whole pages stand in one.
 FORMS = frozenset({"form", "fieldset"})
 #: Names that hold for any amount of text.
@@ -113,28 +124,31 @@ def parse(html: str) -> Tree:
             tree.rawdata, tree.lineno, tree.offset = "", 1, 0
 
 
-def surrounds(tag: str, attrs: dict, within_article: bool) -> bool:
-    """Whether an element names itself as something other than the article."""
-    if tag in DROPPED or (tag == "header" and not within_article):
-        return True
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or _HIDDEN.search(attrs.get("style", "")):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return bool(tag == "article" and NAMES & {"comment", "comments", "reply"} & _names(attrs))
-    return bool(NAMES & _names(attrs))
+def names_of(attrs: dict) -> set[str]:
+    """What an element's class and id call it: the last word of each name that isn't a generic one."""
+    out = set()
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        while len(words) > 1 and words[-1] in GENERIC:
+            words.pop()
+        if words and not ABSENT & set(words):
+            out.add(words[-1])
+            out.add("".join(words))
+    return out
 
 
-def named_only(tag: str, attrs: dict) -> bool:
-    """Whether nothing but a form or a name, other than one of comments or of what isn't shown, speaks against an element."""
-    if tag in DROPPED - FORMS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES - {"form"} or _HIDDEN.search(attrs.get("style", "")):
-        return False
-    return tag != "header" and not REMARKS & _names(attrs)
+def unseen(tag: str, attrs: dict) -> bool:
+    """Whether markup says that an element isn't shown, or what part it has beside the article."""
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES - {"form"} or bool(_HIDDEN.search(attrs.get("style", "")))
 
 
-def _names(attrs: dict) -> set:
-    return {w.lower() for k in ("class", "id") if k in attrs for part in (attrs[k],) for w in (*_WORD.findall(part), *re.split(r"[^A-Za-z]+", part)) if w}
+def surrounds(tag: str, attrs: dict, names: set[str]) -> bool:
+    """Whether an element names itself as something other than the article, heads aside."""
+    if tag in DROPPED or (attrs and (unseen(tag, attrs) or attrs.get("role", "").lower() == "form")):
+        return True
+    if tag in ("html", "body", "article", "main"):
+        return tag == "article" and bool({"comment", "comments", "reply"} & names)
+    return bool((NAMES - HEADS) & names)
 
 
 class Page:
@@ -142,45 +156,60 @@ class Page:
 
     def __init__(self, tree: Tree) -> None:
         self.tree, n = tree, len(tree.tag)
+        tag, parent = tree.tag, tree.parent
+        own = [sum(len("".join(x.split())) for x in items if isinstance(x, str)) for items in tree.content]
+        named = [names_of(attrs) if attrs else set() for attrs in tree.attrs]
         keep, inside, holds = [True] * n, [False] * n, [False] * n
+        headed, furnished = [False] * n, [t in ("body", "html", "#page") for t in tag]
         for i in range(n - 1, 0, -1):
-            if tree.tag[i] in ("article", "main") or holds[i]:
-                holds[tree.parent[i]] = True
-        most = self.mostly(holds[0])
+            holds[parent[i]] |= tag[i] in ("article", "main") or holds[i]
+            headed[parent[i]] |= tag[i] in HEADINGS or headed[i]
+            furnished[parent[i]] |= tag[i] in ("nav", "footer", "aside") or bool(named[i] & {"nav", "navbar", "navigation", "menu", "footer", "sidebar"})
+        most = self.mostly(own, holds[0])
         for i in range(1, n):
-            p = tree.parent[i]
-            inside[i] = inside[p] or tree.tag[p] in ("article", "main")
-            # an element around the article, or around most of the text, may be named after what else it holds
-            keep[i] = keep[p] and not (surrounds(tree.tag[i], tree.attrs[i], inside[i]) and not (holds[i] and tree.tag[i] not in DROPPED - FORMS) and not (most[i] and named_only(tree.tag[i], tree.attrs[i])))
+            p = parent[i]
+            inside[i] = inside[p] or tag[p] in ("article", "main")
+            keep[i] = keep[p]
+            if keep[i] and (surrounds(tag[i], tree.attrs[i], named[i]) and not (tag[i] == "footer" and tag[p] == "blockquote")):
+                # an element around the article, or around most of the text, may be named after what else it holds
+                around = holds[i] and tag[i] not in DROPPED - FORMS
+                rescued = most[i] and tag[i] not in DROPPED - FORMS and not unseen(tag[i], tree.attrs[i]) and not REMARKS & named[i]
+                keep[i] = around or rescued
+            elif keep[i] and (tag[i] == "header" or HEADS & named[i]):
+                # a page's head goes, an article's stays
+                keep[i] = inside[i] or tag[i] in HEADINGS or holds[i] or (headed[i] and not furnished[p])
         self.keep = keep
+        self.block = [t not in INLINE for t in tag]
+        self.prose, self.headed = [t in TEXTY for t in tag], [h or t in HEADINGS for h, t in zip(headed, tag, strict=True)]
         link = [False] * n
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         for i in range(n):
-            link[i] = i > 0 and (link[tree.parent[i]] or tree.tag[i] == "a")
+            link[i] = i > 0 and (link[parent[i]] or tag[i] == "a")
             if keep[i]:
-                chars[i] = sum(len("".join(x.split())) for x in tree.content[i] if isinstance(x, str))
-                link_chars[i] = chars[i] * link[i]
+                chars[i] = own[i]
+                link_chars[i] = own[i] * link[i]
         for i in range(n - 1, 0, -1):
             if keep[i]:
-                p = tree.parent[i]
+                p = parent[i]
+                self.prose[p] |= self.prose[i]
                 chars[p] += chars[i]
                 link_chars[p] += link_chars[i]
-                tags[p] += tags[i] + 1
-                link_tags[p] += link_tags[i] + (tree.tag[i] == "a")
-        self.chars = chars
-        self.body = next((i for i in range(n) if tree.tag[i] == "body" and keep[i]), 0)
+                tags[p] += tags[i] + (self.block[i] or tag[i] == "a")
+                link_tags[p] += link_tags[i] + (tag[i] == "a")
+        self.chars, self.link_chars = chars, link_chars
+        self.body = next((i for i in range(n) if tag[i] == "body" and keep[i]), 0)
         all_c, all_l = max(1, chars[self.body]), link_chars[self.body]
         self.density, self.total = [0.0] * n, [0.0] * n
         for i in range(n):
-            if keep[i] and chars[i]:
+            if keep[i] and chars[i] > 1:
                 c, t, lc, lt = chars[i], max(1, tags[i]), link_chars[i], link_tags[i]
                 base = math.log(c / max(1, c - lc) * lc + all_l / all_c * c + math.e)
-                self.density[i] = c / t * math.log(c / max(1, lc) * t / max(1, lt)) / base if c > 1 else 0.0
+                self.density[i] = c / t * math.log(c / max(1, lc) * t / max(1, lt)) / base
         for i in range(1, n):
-            if keep[i]:
-                self.total[tree.parent[i]] += self.density[i]
+            if keep[i] and self.block[i]:
+                self.total[self.over(i)] += self.density[i]
 
-    def mostly(self, articles: bool) -> list[bool]:
+    def mostly(self, own: list[int], articles: bool) -> list[bool]:
         """Whether a node holds over half of the text outside links: of the <article> or <main> it stands in, of the page where there is neither."""
         tree, n = self.tree, len(self.tree.tag)
         out, scope, plain, chars = [False] * n, [0] * n, [True] * n, [0] * n
@@ -190,20 +219,53 @@ class Page:
             plain[i] = plain[p] and tree.tag[i] != "a" and tree.tag[i] not in DROPPED - FORMS
         for i in range(n - 1, -1, -1):
             if plain[i]:
-                chars[i] += sum(len("".join(x.split())) for x in tree.content[i] if isinstance(x, str))
+                chars[i] += own[i]
             if i:
                 chars[tree.parent[i]] += chars[i]
         for i in range(1, n):
             out[i] = (scope[i] > 0 or not articles) and 2 * chars[i] > chars[scope[i]]
         return out
 
+    def over(self, node: int) -> int:
+        """The block that a node stands in."""
+        node = self.tree.parent[node]
+        while node > 0 and not self.block[node]:
+            node = self.tree.parent[node]
+        return node
+
     def path(self, node: int) -> list[int]:
+        """The blocks from a node to the body."""
         out = [node]
         while node not in (self.body, 0):
-            node = self.tree.parent[node]
+            node = self.over(node)
             out.append(node)
         return out
 
+    def linked(self, node: int) -> bool:
+        """Whether over half of a node's text stands in links."""
+        return 2 * self.link_chars[node] > self.chars[node]
+
+    def belonging(self, parent: int, sure: list[int], threshold: float) -> list[int]:
+        """Of a node's children those that are the article, sure ones among them; the node itself if all are."""
+        tree = self.tree
+        kids = [x for x in tree.content[parent] if isinstance(x, int) and self.keep[x] and self.chars[x]]
+        kind = lambda x: (tree.tag[x], tree.attrs[x].get("class", ""))
+        kinds = {kind(x) for x in sure if kind(x)[1] or tree.tag[x] == "section"}
+        # where the article so far, or else the densest block, is written in paragraphs, bare blocks are something else
+        written = self.prose[(sure or [max(kids, key=lambda x: self.density[x])])[0]] if kids else False
+        dense = lambda x: self.density[x] >= threshold and (self.prose[x] or not written)
+        takes = [x in sure or (not self.linked(x) and (dense(x) or kind(x) in kinds)) for x in kids]
+        if not any(takes):
+            return [parent]
+        first, last = takes.index(True), len(takes) - 1 - takes[::-1].index(True)
+        adjoins = lambda i: not self.linked(kids[i]) and (tree.tag[kids[i]] in TEXTY or self.headed[kids[i]] or not self.block[kids[i]])
+        while first and adjoins(first - 1):
+            first -= 1
+        while last + 1 < len(kids) and adjoins(last + 1):
+            last += 1
+        out = [x for i, x in enumerate(kids) if first <= i <= last and (takes[i] or not self.linked(x) or tree.tag[x] in TEXTY - {"ul", "ol", "table"})]
+        return [parent] if len(out) == len(kids) else out
+
     def article(self) -> list[int]:
         """The nodes whose subtrees are the article, in page order."""
         tree, n = self.tree, len(self.tree.tag)
@@ -211,30 +273,30 @@ class Page:
         below[self.body] = True
         for i in range(self.body + 1, n):
             below[i] = below[tree.parent[i]] and self.keep[i]
-        live = [i for i in range(n) if below[i] and self.chars[i]]
+        live = [i for i in range(n) if below[i] and self.block[i] and self.chars[i]]
         if not live:
             return []
         core = max(live, key=lambda i: (self.total[i], self.density[i], -i))
         way = self.path(core)
-        # the innermost <article> around the core that isn't a part of a larger one, else <main>
-        for name in ("article", "main"):
-            around = [i for i in way if tree.tag[i] == name]
-            if around:
-                return [around[-1]]
-        for name in ("article", "main"):
-            held = [i for i in live if tree.tag[i] == name and core in self.path(i)]
-            if len(held) == 1:
-                return held
         threshold = min(self.density[i] for i in way)
-        if core == self.body or tree.parent[core] < 0:
-            return [core]
-        paragraphs = [False] * n
-        for i in range(n - 1, 0, -1):
-            if below[i] and (paragraphs[i] or tree.tag[i] in ("p", "h1", "h2", "h3", "blockquote", "pre")):
-                paragraphs[tree.parent[i]] = True
-        peers = [x for x in tree.content[tree.parent[core]] if isinstance(x, int)]
-        same = lambda i: tree.tag[i] in ("p", "h1", "h2", "h3", "blockquote", "pre") or paragraphs[i]
-        return [i for i in peers if i == core or (below[i] and self.chars[i] and self.density[i] >= threshold and same(i))]
+        chosen = [core]
+        if self.chars[core] == self.chars[self.body] and tree.tag[core] not in TEXTY | {"article", "main"}:
+            kids = [self.density[x] for x in tree.content[core] if isinstance(x, int) and self.keep[x]]
+            chosen = self.belonging(core, [], min(self.density[core], max(kids, default=0.0) / 4))
+        for below_it, parent in zip(way, way[1:], strict=False):
+            if tree.tag[parent] == "article":
+                chosen = [parent]
+                continue
+            held = below_it
+            while tree.parent[held] != parent:  # formatting around blocks
+                held = tree.parent[held]
+            whole = self.belonging(parent, [held], threshold)
+            chosen = [y for x in whole for y in (chosen if x == held else [x])] if whole != [parent] else [parent] if chosen == [below_it] else self.opened(parent, held, chosen)
+        return chosen
+
+    def opened(self, parent: int, held: int, chosen: list[int]) -> list[int]:
+        """A node's children with content, one of them replaced by what was chosen of it."""
+        return [y for x in self.tree.content[parent] if isinstance(x, int) and self.keep[x] and self.chars[x] for y in (chosen if x == held else [x])]
 
     def text(self, nodes: list[int]) -> str:
         tree, blocks, now = self.tree, [], []
