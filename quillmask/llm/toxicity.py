@@ -1,15 +1,17 @@
 """Toxicity scores by weak supervision.
 
-Voters look at a document: one for each mined lexicon entry (a word, or the beginning of one or of several words), one for a general lexicon, and some for patterns. A generative label model
-estimates, by expectation maximisation in which the labels of the training folds are one voter more, how often each voter fires on either class; the correlation that is left between voters
-given the class says how much of a voter's evidence its fellows give too, and weighs it down. A linear classifier is trained on the model's posterior labels and scaled
-on the labelled rows of the training folds. Scoring is one pass over the texts with a table of at most ``max_entries`` weights.
-
-Lexicon entries are mined where the classes' document counts differ (of near copies, told by a min-wise sketch, one counts; no entry is the beginning of another), on at most ``max_rows`` labelled rows (the ones with the smallest hash of their identifier, copies folded), and only
-from rows of the training folds. Nothing but the text is an input of a score.
-
-Null and empty texts are scored like a text without any entry. Without labelled rows of both classes the general lexicon alone decides. Null labels and identifiers take no part in
-training. Repeated rows are scored each; an empty table gives no rows; other columns are kept as they are.
+Voters look at a document: one for each mined lexicon entry (a word, or the beginning of one or of several words), and some for patterns (words of a general lexicon, capitals, exclamation marks, how many and how dense the entries are).
+A voter that fires votes for the toxic class and else abstains; that none fires is a vote for the clean class. A generative label model estimates, without any label of a row, how often each voter fires on either class, and with
+that its accuracy, and the correlations of voters: a forest of the pairs that depend on each other most given the class, with the rate at which one fires where the other does. A linear classifier is trained on the model's
+posterior labels. Scoring is one pass over the texts with a table of at most ``max_entries`` weights and some.
+
+Given labels are used in three places, each time only those of the training folds: they propose voters (entries and patterns that fire over twenty times as often on marked rows as on others; of near copies, told by a min-wise
+sketch, one counts; no entry is the beginning of another), they set the prior of the class in the label model, and they scale the classifier's outputs (two numbers). They are taken from at most ``max_rows`` labelled rows,
+the ones with the smallest hash of their identifier, copies folded. Nothing but the text is an input of a score.
+
+Null and empty texts are scored like a text without any entry. Without labelled rows of both classes, or without any voter, the general lexicon alone decides. Null labels and identifiers take no part in
+training, an identifier that is labelled both ways counts as marked; equally good entries are ranked by length and then by bytes. Repeated rows are scored each; very long texts are read whole; an empty table gives no rows; other
+columns are kept as they are, but for one named ``score``, which is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .common import cut, drop, raw, table
 
 #: Labelled rows used at most, and lexicon entries kept at most.
 MAX_ROWS, MAX_ENTRIES = 20_000, 400
-LABEL_ACCURACY = 0.95
+#: How many times as often a voter fires on marked rows.
+LIFT = 20
 #: Letters in lower case, all else that is ASCII blank.
 FOLD = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 #: A general lexicon of abuse, without words that other languages use innocently.
@@ -96,12 +99,13 @@ class Lexicon:
         words = text.translate(FOLD).split()
         first, number = self.first, self.number
         near = {w for w in set(words) if w[:3] in first}
-        general = len(near & GENERAL)
         found = {number[w] for w in near if w in number}
         for start, n in beginnings(near).items():
             for stars in (b"*", b"**")[:n]:
                 if (at := number.get(start + stars)) is not None:
                     found.add(at)
+        # words of the general lexicon that no entry stands for
+        general = sum(w not in number and not any(w[:n] + b"*" in number for n in PREFIXES) for w in near & GENERAL)
         hits = len(found)
         letters = max(1, sum(map(len, words)))
         upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -109,43 +113,87 @@ class Lexicon:
         return sorted(found), [i for i, x in enumerate(holds) if x]
 
 
-def label_model(votes: np.ndarray, prior: float, truth: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, firing rates given class 1 and class 0, weights) of binary votes (rows x voters). A voter that doesn't fire abstains; that none fires is a vote of its own.
-
-    The given labels are a voter, too, of accuracy LABEL_ACCURACY: without it, the classes could drift to a part of the vocabulary.
-    """
-    votes = np.hstack([votes, ~votes.any(1, keepdims=True)]).astype(float)
-    post, n = np.where(truth > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY), len(votes)
-    given = np.where(truth > 0, 1, -1) * math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    weight = np.ones(votes.shape[1])
-    for step in range(rounds):
-        r1 = np.clip((post @ votes + 0.1) / (post.sum() + 1), 1e-4, 1 - 1e-4)
-        r0 = np.clip(((1 - post) @ votes + 0.1) / (n - post.sum() + 1), 1e-4, 1 - 1e-4)
-        if step == rounds // 2:  # what voters still share given the class
-            rest = votes - post[:, None] * r1 - (1 - post)[:, None] * r0
-            cov = rest.T @ rest / n
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            shared = np.abs(cov / scale / scale[:, None])
-            np.fill_diagonal(shared, 0)
-            weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(1))
-        odds = math.log(prior / (1 - prior)) + given + votes @ (weight * np.log(r1 / r0))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - post).max() < 1e-5 and step > rounds // 2:
-            post = new
+def settled(odds: np.ndarray, prior: float) -> np.ndarray:
+    """Probabilities of log odds, moved together so that their mean is the prior."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (1 / (1 + np.exp(-np.clip(odds + mid, -30, 30)))).mean() < prior else (low, mid)
+    return 1 / (1 + np.exp(-np.clip(odds + low, -30, 30)))
+
+
+def forest(fires: np.ndarray, toxic: np.ndarray, least: float = 15.0) -> np.ndarray:
+    """For each voter the one it depends on, -1 for none: the spanning forest of the pairs with the largest mutual information given the class, over rows of which toxic says the class. least is on the scale of a
+    likelihood ratio statistic."""
+    voters, f = fires.shape[1], fires.astype(np.float32)
+    gain = np.zeros((voters, voters))
+    for rows in (f[toxic], f[~toxic]):
+        n, both = len(rows), (rows.T @ rows).astype(float)
+        one = np.diag(both).copy()
+        a, b = one[:, None], one[None, :]
+        for seen, left, right in ((both, a, b), (a - both, a, n - b), (b - both, n - a, b), (n - a - b + both, n - a, n - b)):
+            gain += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(left * right, 1e-9)), 0)
+    i, j = np.triu_indices(voters, 1)
+    part, tied = list(range(voters)), [[] for _ in range(voters)]
+
+    def root(x: int) -> int:
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for k in np.argsort(-gain[i, j], kind="stable"):
+        u, v = int(i[k]), int(j[k])
+        if gain[u, v] < least:
             break
-        post = new
-    return post, r1, r0, weight
-
+        if root(u) != root(v):
+            part[root(v)] = root(u)
+            tied[u].append(v)
+            tied[v].append(u)
+    parent, reached = np.full(voters, -1), set()
+    for start in range(voters):
+        stack = [] if start in reached else [start]
+        reached.add(start)
+        while stack:
+            u = stack.pop()
+            for v in tied[u]:
+                if v not in reached:
+                    reached.add(v)
+                    parent[v] = u
+                    stack.append(v)
+    return parent
+
+
+class LabelModel:
+    """Estimated from votes (rows x voters, true where a voter fires) and the prior of the class.
+
+    rates: how often each voter fires on the toxic and on the clean class; accuracy: the probability of the toxic class where it fires; parent and together: which voter it depends on, and how often it
+    fires on either class where that one does; posterior: the rows' probabilities.
+    """
 
-def useful(votes: np.ndarray, truth: np.ndarray, least: int, times: int = 2) -> np.ndarray:
-    """Which voters, taken in order, fire on at least so many marked rows on which fewer than ``times`` of those kept before do."""
-    held, kept = np.zeros(len(votes), int), []
-    for j in range(votes.shape[1]):
-        fires = votes[:, j] > 0
-        if (fires & (truth > 0) & (held < times)).sum() >= least:
-            kept.append(j)
-            held += fires
-    return np.array(kept, int)
+    def __init__(self, fires: np.ndarray, prior: float, correlated: bool = True, rounds: int = 100, weight: float = 5.0):
+        n, voters = fires.shape
+        f, silent, k = fires.astype(float), ~fires.any(1), fires.sum(1)
+        self.parent, self.together = np.full(voters, -1), np.zeros((2, 0))
+        p = settled(np.where(k >= 2, 2.0, np.where(k == 1, 0.0, -5.0)), prior)
+        for step in range(rounds):
+            # where a voter is no better than chance, its vote is no evidence
+            r0 = ((1 - p) @ f + 1 - prior) / (n - p.sum() + 1)
+            r1 = np.maximum((p @ f + prior) / (p.sum() + 1), r0)
+            likely = np.log(r1 / r0)
+            toxic = p >= 0.5
+            if correlated and step in (40, 60, 80):
+                self.parent = forest(fires, toxic)
+            # abstaining depends on what a text is about and in which language, and tells nothing of its class
+            odds = f @ likely
+            child = np.flatnonzero(self.parent >= 0)
+            if len(child):
+                other, both = f[:, self.parent[child]], f[:, self.parent[child]] * f[:, child]
+                self.together = np.stack([(rows @ both + weight * r[child]) / (rows @ other + weight) for rows, r in ((toxic * 1.0, r1), (~toxic * 1.0, r0))])
+                odds += both @ (np.log(self.together[0] / self.together[1]) - likely[child])
+            s1, s0 = (float(np.clip((q @ silent + 1) / (q.sum() + 2), 0.02, 0.98)) for q in (p, 1 - p))
+            p = settled(odds + silent * math.log(s1 / s0), prior)
+        self.rates, self.posterior = np.stack([r1, r0]), p
+        self.accuracy = prior * r1 / (prior * r1 + (1 - prior) * r0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -172,6 +220,12 @@ def matrix(found: list[list[int]], patterns: list[list[int]], entries: int) -> n
     return x
 
 
+def general_only() -> tuple[Lexicon, np.ndarray]:
+    weights = np.zeros(len(PATTERNS) + 1)
+    weights[0], weights[-1] = 4.0, -2.0
+    return Lexicon([]), weights
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_entries: int) -> tuple[Lexicon, np.ndarray]:
     """The lexicon and the classifier's weights (as matrix() orders columns)."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull() & (folds(F.col("id")) != 0))
@@ -180,10 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     sample = cut(texts.join(F.broadcast(rows), "id").groupBy(F.xxhash64("text"), F.length("text")).agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text"))
     total, positive = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0))).first()
     if not 0 < positive < total:
-        lexicon = Lexicon([])
-        weights = np.zeros(len(PATTERNS) + 1)
-        weights[0], weights[-1] = 4.0, -2.0
-        return lexicon, weights
+        drop(sample)
+        return general_only()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["entry", "sketch", "pos", "neg"]
@@ -208,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     kinds = seen_in.where(F.length("entry") == 0).agg(F.sum("pos")).first()[0]
     least = max(5, math.ceil(0.005 * kinds))
     lift = F.log(((F.col("pos") + 0.1) / kinds) / ((F.col("neg") + 0.1) / (total - positive)))
-    mined = counts.where((F.col("pos") >= least) & (F.length("entry") > 0)).withColumn("gain", lift * F.sqrt("pos")).where(lift > math.log(20)).orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry").limit(10 * max_entries)
+    mined = counts.where((F.col("pos") >= least) & (F.length("entry") > 0)).withColumn("gain", lift * F.sqrt("pos")).where(lift > math.log(LIFT)).orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry").limit(10 * max_entries)
     lexicon = Lexicon(apart([bytes(r.entry) for r in mined.select("entry").collect()], max_entries))
 
     def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,23 +268,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             found = [lexicon.look(t) for t in raw(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1))], ["label", "found", "patterns"])
 
-    seen = sample.mapInArrow(looked, f"label {sample.schema['label'].dataType.simpleString()}, found array<int>, patterns array<int>")
-    rows = seen.toPandas()
-    truth, prior = (rows["label"].to_numpy() > 0).astype(float), positive / total
-    kept = useful(matrix([list(a) for a in rows["found"]], [[] for _ in rows.index], len(lexicon.entries))[:, : len(lexicon.entries)], truth, max(2, least // 4))
-    lexicon = Lexicon([lexicon.entries[i] for i in kept])
-    rows = sample.mapInArrow(looked, seen.schema).toPandas()  # the patterns count entries, so they are seen anew
-    truth = (rows["label"].to_numpy() > 0).astype(float)
+    rows = sample.mapInArrow(looked, f"label {sample.schema['label'].dataType.simpleString()}, found array<int>, patterns array<int>").toPandas()
     drop(sample)
-    x = matrix([list(a) for a in rows["found"]], [list(a) for a in rows["patterns"]], len(lexicon.entries))
-    post, _, _, _ = label_model(x[:, :-1] > 0, prior, truth)
-    penalty = np.full(x.shape[1], 1e-4)
+    return lexicon, fit(matrix([list(a) for a in rows["found"]], [list(a) for a in rows["patterns"]], len(lexicon.entries)), rows["label"].to_numpy() > 0, least)
+
+
+def fit(x: np.ndarray, marked: np.ndarray, least: int) -> np.ndarray:
+    """The classifier's weights, one for each column of matrix()."""
+    fires, prior = x[:, :-1] > 0, marked.mean()
+    # entries are proposed already; patterns are by the same rule
+    on, off = fires[marked].sum(0), fires[~marked].sum(0)
+    proposed = (on >= least) & ((on + 0.1) / marked.sum() > LIFT * (off + 0.1) / (~marked).sum())
+    proposed[: fires.shape[1] - len(PATTERNS)] = True
+    if not proposed.any():
+        return general_only()[1] if x.shape[1] == len(PATTERNS) + 1 else np.zeros(x.shape[1])
+    voters = np.flatnonzero(proposed)
+    features = [*voters.tolist(), x.shape[1] - 1]
+    penalty = np.full(len(features), 1e-4)
     penalty[-1] = 1e-6
-    weights = logistic(x, post, penalty)
-    scale = logistic(np.stack([x @ weights, np.ones(len(x))], 1), truth, np.array([1e-4, 1e-6]), 500)
-    weights = weights * max(scale[0], 1e-3)
-    weights[-1] += scale[1]
-    return lexicon, weights
+    own = logistic(x[:, features], LabelModel(fires[:, voters], prior).posterior, penalty)
+    scale = logistic(np.stack([x[:, features] @ own, np.ones(len(x))], 1), marked.astype(float), np.array([1e-4, 1e-6]), 500)
+    own = own * max(scale[0], 1e-3)
+    own[-1] += scale[1]
+    weights = np.zeros(x.shape[1])
+    weights[features] = own
+    return weights
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES) -> DataFrame:
