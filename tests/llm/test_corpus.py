@@ -243,6 +243,91 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(out) > 500 and (y == p).mean() > 0.97 and (y & p).sum() / p.sum() > 0.95 and (y & p).sum() / y.sum() > 0.85
 
 
+def planted_votes(n=6000, prior=0.2, seed=9):
+    """Rows of a class that no one tells, voters of known rates in three groups that don't meet, one pair of which fires together."""
+    rng = np.random.default_rng(seed)
+    toxic, group = rng.random(n) < prior, rng.integers(0, 3, n)
+    r1, r0 = rng.uniform(0.4, 0.7, 15), rng.uniform(0.0005, 0.003, 15)
+    fires = rng.random((n, 15)) < np.where(toxic[:, None], r1 * (np.arange(15)[None, :] // 5 == group[:, None]), r0)
+    fires[:, 1] = np.where(rng.random(n) < 0.9, fires[:, 0], fires[:, 1])
+    return toxic, fires
+
+
+def test_label_model_finds_rates_and_dependences_without_labels():
+    toxic, fires = planted_votes()
+    model = toxicity.LabelModel(fires, toxic.mean())
+    assert ((model.posterior >= 0.5) == toxic).mean() > 0.96 and abs(model.posterior.mean() - toxic.mean()) < 1e-3
+    assert np.abs(model.rates[0] - fires[toxic].mean(0)).max() < 0.06 and np.abs(model.rates[1] - fires[~toxic].mean(0)).max() < 0.02
+    assert model.parent[1] == 0 or model.parent[0] == 1
+    child = np.flatnonzero(model.parent >= 0).tolist().index(1 if model.parent[1] == 0 else 0)
+    assert model.together[0][child] > 0.8
+    single = toxicity.LabelModel(fires, toxic.mean(), correlated=False)
+    assert np.abs(single.posterior - model.posterior).max() > 1e-3 and (single.parent < 0).all()
+
+
+def test_forest_by_brute_force():
+    _, fires = planted_votes(400)
+    toxic, f = np.arange(400) % 5 == 0, fires[:, :6]
+
+    def gain(i, j):
+        total = 0.0
+        for rows in (f[toxic], f[~toxic]):
+            for a in (0, 1):
+                for b in (0, 1):
+                    n = ((rows[:, i] == a) & (rows[:, j] == b)).mean()
+                    if n:
+                        total += 2 * len(rows) * n * np.log(n / ((rows[:, i] == a).mean() * (rows[:, j] == b).mean()))
+        return total
+
+    pairs, part, want = sorted(((gain(i, j), -i, -j) for i in range(6) for j in range(i + 1, 6)), reverse=True), list(range(6)), set()
+    for g, i, j in pairs:
+        if g >= 15 and part[-i] != part[-j]:
+            part = [part[-i] if x == part[-j] else x for x in part]
+            want.add((-i, -j))
+    parent = toxicity.forest(f, toxic)
+    assert {tuple(sorted((i, int(p)))) for i, p in enumerate(parent) if p >= 0} == want
+
+
+def test_posteriors_are_not_the_labels_and_decide_on_the_scores(spark, monkeypatch):
+    sf, seen = "/root/testdata/sf0.1", []
+
+    class Seen(toxicity.LabelModel):
+        def __init__(self, fires, prior):
+            super().__init__(fires, prior)
+            seen.append(self.posterior)
+
+    class OfLabels:
+        """No model: the rows' own labels in the posteriors' place."""
+
+        def __init__(self, fires, prior):
+            self.posterior = seen[1]
+
+    fit = toxicity.fit
+
+    def noting(x, marked, least):
+        if len(seen) == 1:
+            seen.append(marked.astype(float))
+        return fit(x, marked, least)
+
+    score = lambda: {r.doc_id: r.score for r in toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).collect()}
+    monkeypatch.setattr(toxicity, "LabelModel", Seen)
+    ours = score()
+    monkeypatch.setattr(toxicity, "LabelModel", OfLabels)
+    monkeypatch.setattr(toxicity, "fit", noting)
+    plain = score()
+    assert 0.005 < ((seen[0] >= 0.5) != (seen[1] >= 0.5)).mean() < 0.05 and ((seen[0] > 0.02) & (seen[0] < 0.98)).mean() > 0.01
+    assert max(abs(ours[i] - plain[i]) for i in ours) > 0.2 and np.mean([abs(ours[i] - plain[i]) for i in ours]) > 0.004
+
+
+def test_equal_texts_have_equal_scores(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(0, 40, 2) for t in ("you idiot", "a fine day")] + [(100, None), (101, "")], "doc_id long, text string").withColumn("label", F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(0, 40, 2)] * 2 + [(0, 1)], "doc_id long, toxic int")
+    scores = defaultdict(set)
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        scores[r.text or ""].add(r.score)
+    assert all(len(x) == 1 for x in scores.values()) and scores["you idiot"] != scores[""]
+
+
 def test_toxicity_on_awkward_rows(spark, corpus):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     for given in (labels, labels.limit(0)):

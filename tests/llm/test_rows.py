@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import re
 import time
 import zlib
@@ -10,6 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmask.llm import decontamination, html, licenses, packing, secrets
 from quillmask.llm.registry import QUERIES, SQL
@@ -136,6 +138,101 @@ def test_html_keeps_what_holds_most_of_the_text(around):
     assert html.main_text(page) == "\n".join([text.strip()] * 2)
 
 
+def variants(page):
+    """The same page without its telling tags: with divs for articles, footers and menus, no class names, and wrapped."""
+    to_div = lambda tag, x: re.sub(rf"<(/?){tag}\b", r"<\1div", x)
+    yield "article", to_div("article", page), 0.99
+    bare = to_div("nav", to_div("footer", to_div("article", page)))
+    yield "menu", bare, 0.97
+    bare = bare.replace('<div class="ad">', "<div>")
+    yield "advert", bare, 0.96
+    yield "wrapped", re.sub(r"(<body[^>]*>)(.*)(</body>|$)", r'\1<div id="page"><div class="inner">\2</div></div>\3', bare, flags=re.S), 0.96
+    yield "heading", re.sub(r"<div><h1>(.*?)</h1>", r"<div><h1>\1</h1><div>", to_div("article", page), count=1, flags=re.S), 0.99
+
+
+def test_densities_choose_without_telling_tags(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect() if r.html]
+    same, least = defaultdict(list), {}
+    for page in pages[:1000]:
+        want = html.main_text(page)
+        for name, other, share in variants(page):
+            same[name].append(html.main_text(other) == want)
+            least[name] = share
+    assert all(np.mean(x) >= least[name] for name, x in same.items()), {k: np.mean(x) for k, x in same.items()}
+
+
+def plain_densities(page):
+    """(tag, density, sum of the children's densities) of every kept block with text, counted by walking each one's subtree on its own."""
+    tree, out = page.tree, {}
+    kids = lambda i: [x for x in tree.content[i] if isinstance(x, int) and page.keep[x]]
+
+    def walk(i, in_link):
+        own = sum(len(re.sub(r"\s", "", x)) for x in tree.content[i] if isinstance(x, str))
+        got = [own, own if in_link else 0, 0, 0]
+        for k in kids(i):
+            c, lc, t, lt = walk(k, in_link or tree.tag[k] == "a")
+            is_link, is_block = tree.tag[k] == "a", tree.tag[k] not in html.INLINE
+            got = [got[0] + c, got[1] + lc, got[2] + t + (is_link or is_block), got[3] + lt + is_link]
+        return got
+
+    def linked(i):
+        return i > 0 and (tree.tag[i] == "a" or linked(tree.parent[i]))
+
+    whole = walk(page.body, False)
+    for i in range(len(tree.tag)):
+        c, lc, t, lt = walk(i, linked(i)) if page.keep[i] else (0, 0, 0, 0)
+        t = max(1, t)
+        out[i] = c / t * math.log(c / max(1, lc) * t / max(1, lt)) / math.log(c / max(1, c - lc) * lc + whole[1] / max(1, whole[0]) * c + math.e) if c > 1 else 0.0
+
+    def blocks(i):
+        for k in kids(i):
+            if tree.tag[k] not in html.INLINE:
+                yield k
+            else:
+                yield from blocks(k)
+
+    return out, {i: sum(out[k] for k in blocks(i)) for i in out if page.keep[i] and tree.tag[i] not in html.INLINE}
+
+
+def test_densities_by_counting_again(spark, data):
+    pages = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").select("html").limit(25).collect() if r.html]
+    for text in [PAGE, *pages]:
+        page = html.Page(html.parse(text))
+        density, total = plain_densities(page)
+        assert all(abs(page.density[i] - x) < 1e-9 for i, x in density.items()) and all(abs(page.total[i] - x) < 1e-9 for i, x in total.items())
+
+
+LONG = "A sentence of the article, long enough to be its text, and one more of the kind. " * 4
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<article><div class="post-header"><h1>Head</h1></div><p>{LONG}</p></article>', f"Head\n{LONG.strip()}"),
+    (f'<nav><a href="/">x</a></nav><div class="post"><div class="post-header"><h1>Head</h1></div><p>{LONG}</p></div>', f"Head\n{LONG.strip()}"),
+    (f'<article><p>{LONG}</p><p class="social-history">Short history.</p></article>', f"{LONG.strip()}\nShort history."),
+    (f'<article><p>{LONG}</p><section id="side-effects"><p>Few effects.</p></section></article>', f"{LONG.strip()}\nFew effects."),
+    (f"<nav><a href='/'>x</a></nav><div>{LONG}</div><div>{LONG}</div><footer>(c)</footer>", "\n".join([LONG.strip()] * 2)),
+    (f"<div><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div><div><p>{LONG}</p><p>{LONG}</p></div><div>(c) somebody</div>", "\n".join([LONG.strip()] * 2)),
+    (f"<p>{LONG}</p><p>{LONG}</p><p>Short.</p>", "\n".join([LONG.strip()] * 2 + ["Short."])),
+    (f"<main><article><h1>H</h1><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article></main>", f"H\n{LONG.strip()}"),
+    (f"<body class='no-sidebar'><div class='content with-sidebar'><h2>H</h2><p>{LONG}</p></div><div class='sidebar-left'><p>{LONG}</p></div><div class='related-posts'><p>{LONG}</p></div></body>", f"H\n{LONG.strip()}"),
+    (f"<section><h2>A</h2><p>{LONG}</p><p>{LONG}</p></section><section><h2>B</h2><p>{LONG}</p></section><section><p>End.</p></section>", "\n".join(["A", LONG.strip(), LONG.strip(), "B", LONG.strip(), "End."])),
+    ("just text without any tag", "just text without any tag"),
+    (f"<blockquote><p>{LONG}</p><footer>Somebody</footer></blockquote>", f"{LONG.strip()}\nSomebody"),
+])
+def test_html_keeps_the_whole_article(page, want):
+    assert html.main_text(page) == want
+
+
+def test_html_on_awkward_rows(spark):
+    rows = [(1, f"<article><p>{LONG}</p></article>", "x"), (1, f"<article><p>{LONG}</p></article>", "x"), (2, None, None), (3, "", "x"), (None, "<p>" * 100_000 + "deep", "x"), (4, f"<p>{LONG}</p>" * 5000, "x")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string").withColumns({"n_chars": F.lit("clash"), "url": F.lit(None).cast("string")})
+    out = html.extract_text(df)
+    assert out.columns == ["page_id", "n_chars", "url", "text"]
+    got = sorted(((r.page_id or 0, len(r.text), r.n_chars) for r in out.collect()))
+    assert got == [(0, 4, "clash"), (1, len(LONG) - 1, "clash"), (1, len(LONG) - 1, "clash"), (2, 0, "clash"), (3, 0, "clash"), (4, 5000 * len(LONG) - 1, "clash")]
+    assert html.extract_text(df.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     model = licenses.classifier()
     assert model.held_out_accuracy > 0.95
