@@ -236,6 +236,55 @@ def test_revisits(spark):
     assert out[2].headers == {"Content-Type": "t", "etag": "e2"} and out[6].headers == {"ETag": "e1", "Content-Type": "t", "Date": "x"}
 
 
+def test_made_records_hold_every_case(spark):
+    sf = "/root/testdata/sf0.1"
+    records = {r.record_id: r for r in warc.page_records(table(spark, sf, "pages")).collect()}
+    seen = Counter()
+    for r in QUERIES["op7_warc_revisits"](spark, sf).collect():
+        if r.refers_to is None:
+            seen[r.state] += 1
+            continue
+        new, old = records[r.record_id], records[r.refers_to]
+        assert old.status == 200 and (old.ts, old.record_id) < (new.ts, new.record_id)
+        by = next(c for c in ("etag", "last_modified", "digest") if new[c] is not None and old[c] is not None)
+        assert (new[by] == old[by]) == (r.state == "resolved")
+        seen[r.state, by] += 1
+        seen["tie"] += old.ts == new.ts
+    assert set(seen) == {"unresolved", "tie", *((s, c) for s in ("resolved", "mismatch") for c in ("etag", "last_modified", "digest"))} and min(seen.values()) >= 5, seen
+
+
+def test_revisits_by_brute_force(spark):
+    rng, rows = np.random.default_rng(5), []
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    for i in range(600):
+        headers = pick(None, {}, {"ETag": "h", "Content-Type": "t"}, {"etag": "g", "Server": "s", "Expires": "never"})
+        rows.append((pick(i, i, i, i // 2, None), pick("http://a.org/x", "https://www.a.org:443/x/?utm_id=1", "b.org", "b.org/?q=2&p=1", "http://B.org?p=1&q=2#top", "", None), pick(int(rng.integers(0, 300)), 150, None), pick("response", "revisit"), pick("d1", "d2", None), pick("e1", "e2", None), pick("m1", None), headers, pick(200, 200, 204, 206, 404, None)))
+    kind = "record_id long, url string, ts long, type string, digest string, etag string, last_modified string, headers map<string,string>, status int"
+    df = spark.createDataFrame(rows, kind).withColumns({"state": F.lit("clash"), "canonical": F.lit("clash"), "span": F.lit(7), "old": F.lit(1)})
+    df = df.union(df.limit(40))
+    key = {"http://a.org/x": "a.org/x", "https://www.a.org:443/x/?utm_id=1": "a.org/x", "b.org": "b.org", "b.org/?q=2&p=1": "b.org?p=1&q=2", "http://B.org?p=1&q=2#top": "b.org?p=1&q=2"}
+    have = [r for r in df.collect()]
+    usable = lambda r: r.record_id is not None and r.ts is not None and r.url in key
+    full = [r for r in have if usable(r) and r.type == "response" and (r.status is None or 200 <= r.status < 300 and r.status != 206)]
+    want = Counter()
+    for r in have:
+        if r.type == "revisit":
+            # of a response and a revisit that agree in time and identifier, the response is first
+            before = [f for f in full if usable(r) and key[f.url] == key[r.url] and (f.ts, f.record_id) <= (r.ts, r.record_id)]
+            last = max(((f.ts, f.record_id) for f in before), default=None)
+            want[r.record_id, key.get(r.url), last] += 1
+    out = warc.resolve_revisits(df, span=25).collect()
+    assert Counter((r.record_id, r.canonical, None if r.refers_to is None else (r.refers_ts, r.refers_to)) for r in out) == want
+    assert warc.resolve_revisits(df.limit(0)).count() == 0 and {r.state for r in out} == {"resolved", "mismatch", "unresolved"}
+
+
+def test_headers_are_merged_by_name_in_any_case(spark):
+    rows = [(1, "a.org", 1, "response", "d", None, None, {"ETag": "e", "X": "1", "expires": "a", **{f"k{i}": "v" * 100 for i in range(2000)}}), (2, "a.org", 2, "revisit", "d", None, None, {"etag": "f", "EXPIRES": "b", "x": "2"})]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, type string, digest string, etag string, last_modified string, headers map<string,string>")
+    headers = warc.resolve_revisits(df).first().headers
+    assert {k: headers[k] for k in headers if not k.startswith("k")} == {"X": "1", "etag": "f", "EXPIRES": "b"} and len(headers) == 2003
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = QUERIES["op9_toxicity"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out and toxic is not null").toPandas()

@@ -235,11 +235,65 @@ def test_html_on_awkward_rows(spark):
 
 def test_licenses(spark):
     model = licenses.classifier()
-    assert model.held_out_accuracy > 0.95
+    assert model.held_out_accuracy > 0.8 and 0.5 < model.threshold < 0.9
     docs = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0.\nHello there"), (2, "He lost his driver's license at the public library."), (3, None), (4, "This work is licensed under the GNU General Public License, version 3.")], "doc_id long, text string")
     assert [[f.family for f in r.findings] for r in licenses.find_licenses(docs).orderBy("doc_id").collect()] == [["Apache-2.0"], [], [], ["GPL-3.0"]]
 
 
+#: Notices as they are written in the field; none is a template or a phrase of training or calibration.
+@pytest.mark.parametrize(("notice", "family"), [
+    ("MIT License", "MIT"), ("License: MIT", "MIT"), ("Apache License 2.0", "Apache-2.0"), ("Released under CC0", "public-domain"), ("GNU Affero General Public License version 3", "AGPL-3.0"),
+    ("This repository is distributed under the MIT license - see LICENSE for details", "MIT"), ("# SPDX-License-Identifier: BSD-2-Clause", "BSD"), ("Copyright (c) 2019-2021 Foo Bar Inc. All rights reserved.", "proprietary"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND"), ("Published under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 license", "CC-BY-NC-SA"),
+    ("This file is part of FooBar. FooBar is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "AGPL-3.0"),
+    ("Except where noted, content is licensed under CC BY-SA 4.0.", "CC-BY-SA"), ("// Licensed under the Apache License, Version 2.0 (the \"License\");", "Apache-2.0"), ("The image is in the public domain.", "public-domain"),
+])
+def test_licenses_of_other_notices(notice, family):
+    found = licenses.classifier().classify(notice.encode())
+    assert found and found[0] == family
+
+
+@pytest.mark.parametrize("line", [
+    "All rights reserved to change the schedule", "The Apache License 2.0 is popular among developers and many firms choose it over others.", "He went to MIT License office", "Licensed under the EUPL", "THE SOFTWARE IS PROVIDED AS IS",
+    "She paid the license fee for the software and got a copy by mail.", "The public domain of the park is open to all.", "Creative commons of the village were divided in 1820.", "", "   ", "mit",
+])
+def test_other_lines_are_no_licenses(line):
+    assert licenses.classifier().classify(line.encode()) is None
+
+
+def test_false_alarms_on_documents(spark):
+    """Of the invented prose no line is reported but the notices that were put into it."""
+    model, lines = licenses.classifier(), set()
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect():
+        text = (r.text or "").encode()
+        lines |= {(x[0], text.split(b"\n")[i]) for i, x in model.scan(text)[1]}
+    assert lines == {
+        ("GPL-3.0", b"This work is licensed under the GNU General Public License, version 3."), ("proprietary", b"All rights reserved."), ("CC-BY-NC", b"Licensed under CC BY-NC 4.0."), ("MIT", b"Released under the MIT License."),
+        ("Apache-2.0", b"Licensed under the Apache License, Version 2.0."),
+    }
+
+
+def test_signs_stand_in_any_share_that_confirms():
+    rng = np.random.default_rng(2)
+    for own in licenses.templates(licenses.PHRASES).values():
+        for words in own:
+            pairs = sorted(licenses.Classifier.pairs_of(words))
+            signs = licenses.signs(words, set(pairs))
+            for _ in range(20):
+                some = rng.permutation(len(pairs))[: math.ceil(licenses.CONFIRMED * len(pairs))]
+                assert any(w in signs for i in some for w in pairs[i])
+
+
+def test_licenses_on_awkward_rows(spark, corpus):
+    notice = "Released under the MIT License."
+    long = "\n".join(["some line of prose that is no notice"] * 50_000 + [notice])
+    rows = [(1, notice), (1, notice), (2, "x" * 1_000_000), (3, long), (None, notice), (4, f"{notice} {notice}"), (5, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"findings": F.lit("clash"), "id": F.lit(0), "n_paragraphs": F.lit("x")})
+    got = sorted((r.doc_id or 0, r.n_paragraphs, [(f.paragraph, f.family) for f in r.findings]) for r in licenses.find_licenses(df).collect())
+    assert got == [(0, 1, [(0, "MIT")]), (1, 1, [(0, "MIT")]), (1, 1, [(0, "MIT")]), (2, 1, []), (3, 50_001, [(50_000, "MIT")]), (4, 1, [(0, "MIT")]), (5, 3, [])]
+    assert licenses.find_licenses(corpus).count() == corpus.count() and licenses.find_licenses(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("family", "sign", "notice"), [
     ("GPL-3.0", " * ", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
     ("BSD", "# ", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
