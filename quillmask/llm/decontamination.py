@@ -2,24 +2,27 @@
 
 The items' windows go to the tasks as sorted 64-bit hashes with the windows' words behind them; each training text's token windows are
 looked up there, and every hit is compared word by word. The set is broadcast only up to ``max_words`` item words, which is checked by counting
-first; a larger benchmark is taken in blocks of that size by item hash, one pass over the texts each, whose findings are added up.
+first; a larger benchmark is taken in blocks of that size, one pass over the texts each, whose findings are added up. An item longer than an eighth of a block is taken in pieces that overlap by a window less a word, so no
+item is too long for a block.
 
 Null texts have no words and no hits. Items that are null or without words have no windows; repeated items count once by identifier.
-A null item identifier takes no part. Empty tables on either side give no hits. Rows that repeat an identifier are answered each.
+A null item identifier takes no part. Empty tables on either side give no hits. Rows that repeat an identifier, also a null one, are answered each; very long texts are read whole; other columns stay, but for those named like a
+finding, which are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.spans import let
 from .common import cut, raw, table
 
 WINDOW = 10
@@ -28,6 +31,10 @@ MAX_WORDS = 2_000_000
 #: Lower-cases A-Z and blanks whatever isn't a digit, a letter or beyond ASCII.
 FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
+#: What stands between words, and words.
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+A_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
 FINDINGS = ("n_words", "hits", "items")
 FOUND = "n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<{item}>"
 
@@ -130,11 +137,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     """docs with n_words, hits (word positions, half open, merged) and items (identifiers whose windows occur, long or string); columns of these names are replaced."""
     items = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull())
     item_type = "string" if items.schema["item"].dataType.simpleString() == "string" else "bigint"
-    size = items.select(F.sum(F.coalesce(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)))).first()[0] or 0
+    size = items.select(F.sum(F.coalesce(F.size(F.split("text", NO_WORD)), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-size // max_words))
     out = docs.drop(*FINDINGS)
+    if blocks > 1:
+        blocks, items = 2 * blocks, _pieces(items, window, max(2 * window, max_words // 8))
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
+        own = items.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == b) if blocks > 1 else items
         held = [(r.item, r.text.encode() if r.text else None) for r in own.toLocalIterator()]
         out = _scan(out, text_col, Windows(held, window), item_type, b == 0)
         if b < blocks - 1:
@@ -142,18 +151,38 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     return out
 
 
+def _pieces(items: DataFrame, window: int, words: int) -> DataFrame:
+    """(item, text, piece): items of more than so many words in overlapping pieces, which have the same windows."""
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), NO_WORD), lambda w: w != "")
+    step = words - window + 1
+    starts = F.when(F.size("words") > words, F.sequence(F.lit(1), F.size("words") - (window - 1), F.lit(step))).otherwise(F.array(F.lit(1)))
+    cut_up = items.select("item", parts.alias("words")).select("item", "words", F.posexplode_outer(starts).alias("piece", "at"))
+    return cut_up.select("item", F.array_join(F.slice("words", F.col("at"), F.lit(words)), " ").alias("text"), "piece")
+
+
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, hits: pd.Series) -> pd.Series:
+    def one(t: str | None, spans: list) -> str | None:
+        if t is None or not len(spans):
+            return t
+        wanted = [(h["start"], h["end"] - 1) for h in spans]
+        out, at, k, first = [], 0, 0, 0
+        for n, m in enumerate(A_WORD.finditer(t)):
+            if n == wanted[k][0]:
+                first = m.start()
+            if n == wanted[k][1]:
+                out.append(t[at:first])
+                at, k = m.end(), k + 1
+                if k == len(wanted):
+                    break
+        return "".join([*out, t[at:]])
+
+    return pd.Series([one(t, h) for t, h in zip(text, hits, strict=True)], dtype=object)
+
+
 def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The result of find_contamination with each hit, from its first word to its last, cut out of the text."""
-    words = F.expr(f"regexp_extract_all({text_col}, '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+', 0)")
-    gaps = F.split(text_col, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    parts = F.struct(words.alias("w"), gaps.alias("g"))
-    hit = lambda i: F.exists("hits", lambda h: (h.start <= i) & (i < h.end))
-    inside = lambda i: F.exists("hits", lambda h: (h.start < i) & (i < h.end))
-    kept = let(
-        parts,
-        lambda p: F.concat(F.array_join(F.transform(p.w, lambda w, i: F.concat(F.when(inside(i), "").otherwise(F.get(p.g, i)), F.when(hit(i), "").otherwise(w))), ""), F.element_at(p.g, -1)),
-    )
-    return found.withColumn(text_col, F.when(F.size("hits") == 0, F.col(text_col)).otherwise(kept))
+    """The result of find_contamination with each hit, from its first word to its last, cut out of the text, which is read once."""
+    return found.withColumn(text_col, F.when(F.size("hits") == 0, F.col(text_col)).otherwise(_without(F.col(text_col), F.col("hits"))))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
