@@ -127,7 +127,7 @@ def forest(fires: np.ndarray, toxic: np.ndarray, least: float = 15.0) -> np.ndar
     likelihood ratio statistic."""
     voters, f = fires.shape[1], fires.astype(np.float32)
     gain = np.zeros((voters, voters))
-    for rows in (f[toxic], f[~toxic]):
+    for rows in (x for x in (f[toxic], f[~toxic]) if len(x)):
         n, both = len(rows), (rows.T @ rows).astype(float)
         one = np.diag(both).copy()
         a, b = one[:, None], one[None, :]
