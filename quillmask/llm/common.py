@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,34 +18,65 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Paths of the tables that cut() wrote and nobody has removed yet, each with its session.
+_written: dict[str, SparkSession] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where none is set, as in tests, one of this machine's own."""
+    """The folder named in spark.checkpoint.dir. Where none is set, as in tests, one of this machine's own if Spark runs on it alone; else it is an error, as executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillmask-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: the lineage ends there, and a lost executor costs nothing."""
+    """Write df as a table in the shared folder and read it again: the lineage ends there, and a lost executor costs nothing. The table goes with drop(), release() or the end of the program."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quillmask-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmask_path = path
     return out
 
 
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(df: DataFrame) -> None:
     """Remove the table behind a DataFrame made by cut() that nothing reads any more."""
     if path := getattr(df, "_quillmask_path", None):
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _remove(path)
+
+
+@contextmanager
+def release(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """What the block writes by cut() is removed behind it, but for the tables of the DataFrames that it puts into the list. For results that have been written or collected within the block."""
+    before, keep = set(_written), [*kept]
+    yield keep
+    paths = {getattr(df, "_quillmask_path", None) for df in keep}
+    for path in [x for x in _written if x not in before and x not in paths]:
+        _remove(path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in [*_written]:
+        try:
+            _remove(path)
+        except Exception:  # the session has ended: there is nobody left to ask
+            _written.clear()
 
 
 def raw(column: pa.Array) -> list[bytes | None]:

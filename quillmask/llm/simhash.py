@@ -263,7 +263,7 @@ def alike(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[in
 def _verified(docs: DataFrame, loose: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
     """Spanning links (u, v) of the pairs in a component of loose (node, component) whose shingles have that Jaccard similarity: each pair of blocks of a component is a unit."""
     few = loose.count() <= 500_000
-    held = docs.join(F.broadcast(loose) if few else loose, docs["id"] == loose["node"]).select("component", "id", "text")
+    held = docs.where(F.col("text").isNotNull()).join(F.broadcast(loose) if few else loose, docs["id"] == loose["node"]).select("component", "id", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,40 +287,49 @@ def _verified(docs: DataFrame, loose: DataFrame, words: int, similarity: float,
     return units.groupBy("component", "low", "high").applyInArrow(linked, "u bigint, v bigint").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 64, picked: int = 16, block: int = 2048, sets_in_block: int = 256) -> DataFrame:
-    """(id, component): for each row with words the smallest identifier reachable over texts whose word shingles have that Jaccard similarity or more.
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 64, picked: int = 16, block: int = 2048, sets_in_block: int = 256, among: DataFrame | None = None
+) -> DataFrame:
+    """(id, component), a row for each identifier: the smallest one reachable over texts whose word shingles have that Jaccard similarity or more. among (a column of identifiers): rows of others
+    are left out, by their fingerprints, so that no text moves for it.
 
     256-bit fingerprints only find the candidates. At such a similarity they differ in some 39 bits (two unrelated ones in 128, give or take 8), for which an exhaustive grid would have too many cells. So this is
     bit sampling instead of the grid: the segments are single bits, whose counts are the bits themselves, and instead of all choices of slabs there are ``tables`` choices of ``picked`` bits, drawn once. Pairs that share
     a cell and differ in no more bits than reach_of() are joined into loose components. Inside a loose component every pair of texts is then compared by its shingles, whether it shared a cell or not, and only pairs
     of the similarity count. So no link is wrong, and one is missed only if nothing ties its ends loosely (by the binomial model 1 in 100 pairs at the threshold itself, fewer above).
 
-    Texts with the same shingles and fingerprint are one from the start. Rows that share an identifier are one node. Rows without words have no shingles to compare and are left out, as are rows with a null identifier.
+    Texts with the same shingles and fingerprint are one from the start, as are all texts without words, null ones among them: they tie each other and nothing else. Rows that share an identifier are one node, whatever their
+    texts. Rows with a null identifier are left out. An empty table gives no rows; other columns are not looked at.
     """
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(4, np.int64)
         for batch in batches:
-            found = [(i, wide_fingerprint(x), xxhash.xxh3_64_intdigest(shingle_set(x).tobytes(), SEED)) for i, t in enumerate(raw(batch.column(1))) if (x := shingle_digests(t, words)) is not None]
-            at = pa.array([i for i, _, _ in found], pa.int64())
-            fp = np.stack([x for _, x, _ in found]) if found else np.zeros((0, 4), np.int64)
-            whole = np.array([x for _, _, x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(fp[:, i].copy()) for i in range(4)), pa.array(whole)], ["id", *WIDE, "whole"])
-
-    prints = cut(df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint, whole bigint"))
-    roots = cut(prints.groupBy(*WIDE, "whole").agg(F.min("id").alias("root")))
+            digests = [shingle_digests(t, words) for t in raw(batch.column(1))]
+            fp = np.stack([none if x is None else wide_fingerprint(x) for x in digests]) if digests else np.zeros((0, 4), np.int64)
+            whole = np.array([0 if x is None else xxhash.xxh3_64_intdigest(shingle_set(x).tobytes(), SEED) for x in digests], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, i].copy()) for i in range(4)), pa.array(whole)], ["id", *WIDE, "whole"])
+
+    prints = df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint, whole bigint")
+    if among is not None:
+        prints = prints.join(among.toDF("id"), "id", "left_semi")
+    prints = cut(prints)
+    roots = cut(prints.groupBy(*WIDE, "whole").agg(F.min("id").alias("root"), F.max("id").alias("last")))
     rng, masks = np.random.default_rng(SEED), []
     for i in range(tables):
         bits = [int(x) for x in rng.choice(256, picked, replace=False)]
         part = [signed(sum(1 << (x % 64) for x in bits if x // 64 == j)) for j in range(4)]
         masks.append(F.struct(F.lit(i).alias("choice"), *(F.lit(m).cast("long").alias(c) for m, c in zip(part, WIDE, strict=True))))
     cell = F.xxhash64("x.choice", *(F.col(c).bitwiseAND(F.col(f"x.{c}")) for c in WIDE))
-    placed = roots.select(*WIDE, "root", F.explode(F.array(*masks)).alias("x")).select(cell.alias("cell"), *WIDE, "root")
+    worded = roots.where(F.col("whole") != 0)
+    placed = worded.select(*WIDE, "root", F.explode(F.array(*masks)).alias("x")).select(cell.alias("cell"), *WIDE, "root")
     # many texts may have one fingerprint, so the root deals them into blocks
     loose = cut(components(_met(placed, list(WIDE), reach_of(similarity), block, ["root"])).distinct())
-    found = components(_verified(df, loose, words, similarity, sets_in_block))
-    ends = roots.join(found, roots["root"] == found["node"], "left").select(*WIDE, "whole", F.coalesce("component", "root").alias("component"))
-    return prints.join(ends, [*WIDE, "whole"]).select("id", "component")
+    same = prints.join(roots.where(F.col("root") < F.col("last")).select(*WIDE, "whole", "root"), [*WIDE, "whole"]).select(F.col("id").alias("u"), F.col("root").alias("v"))
+    found = components(same.unionByName(_verified(df, loose, words, similarity, sets_in_block)))
+    ids = prints.select("id").distinct()
+    return ids.join(found.distinct(), ids["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
