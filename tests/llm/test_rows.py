@@ -394,3 +394,19 @@ def test_decontamination_spans(spark, corpus):
     assert [r.hits for r in in_blocks] == [r.hits for r in rows]
     assert [r.text for r in decontamination.remove_spans(found).orderBy("doc_id").collect()][:3] == ["Before! , after it.", "one two three", None]
     assert decontamination.find_contamination(corpus, items.limit(0)).count() == corpus.count()
+
+
+def test_long_items_are_taken_in_pieces(spark):
+    words = [f"w{i}" for i in range(500)]
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 12])) for i in range(0, 489)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "w7 w8"), (3, "")], "item_id long, text string")
+    whole = decontamination.find_contamination(docs, items).orderBy("doc_id").collect()
+    assert decontamination.find_contamination(docs, items, max_words=100).orderBy("doc_id").collect() == whole and all(r["items"][0] == 1 for r in whole)
+
+
+def test_many_spans_are_cut_in_one_pass(spark):
+    text = "x, " + "é a-b c d e f g h i j; " * 40_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = decontamination.find_contamination(docs, spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string"))
+    began = time.time()
+    assert decontamination.remove_spans(found).first().text == "x, " + "é ; " * 40_000 and time.time() - began < 20
