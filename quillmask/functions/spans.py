@@ -1,18 +1,32 @@
-"""Finding values in text, and merging and masking what is found, as expressions over one row: no join, no shuffle.
+"""Finding values in text, and merging and masking what is found, all within one row: no join, no shuffle.
 
-A span is struct<s:int,e:int>, half open, in code points.
+A span is struct<s:int,e:int>, half open, in code points. What walks along a text is an Arrow function over a batch of rows, linear in the text and in what is found: as a fold over an array, Spark copies the
+array at every step, and it finds a position in a text by counting from the text's beginning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import accumulate
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .text import mask, variants
+from .text import BOUNDARY, WS, variants
 
 SPANS = "array<struct<s:int,e:int>>"
+_INT = IntegerType()
+_SPAN = StructType().add("s", _INT).add("e", _INT)
+_HIT = StructType().add("s", _INT).add("e", _INT).add("good", BooleanType()).add("around", StringType())
+_CODES = re.compile(r"\\x\{([0-9A-F]+)\}")
+_WS = _CODES.sub(lambda m: f"\\u{int(m[1], 16):04x}", WS)
+_NO_WS, _EDGE = re.compile(f"[^{_WS}]"), re.compile(f"[{_WS}{BOUNDARY}]")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,54 +38,164 @@ def span(s: Column, e: Column) -> Column:
     return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
 
 
-def find_all(text: Column, value: Column) -> Column:
-    """Every occurrence from left to right, none overlapping another; none of an empty value."""
-    literal = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    parts = F.split(text, literal, -1)
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(SPANS).alias("h"))
+def starts_of(text: str, value: str) -> Iterator[int]:
+    """Where the value stands, from left to right, none overlapping another; nowhere if it is empty."""
+    at = text.find(value) if value else -1
+    while at >= 0:
+        yield at
+        at = text.find(value, at + len(value))
 
-    def step(a: Column, part: Column) -> Column:
-        at = a.p + F.length(part)
-        return F.struct((at + F.length(value)).alias("p"), F.array_append(a.h, span(at, at + F.length(value))).alias("h"))
 
-    hits = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda a: a.h)
-    # the split is only worth it where there is something to find
-    return F.when((F.coalesce(value, F.lit("")) != "") & F.contains(text, value), hits).otherwise(F.array().cast(SPANS))
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one, by start."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def masked(text: str) -> str:
+    """X for every character that isn't white space."""
+    return _NO_WS.sub("X", text)
+
+
+def _lists(rows: list[list | None], values: pa.Array) -> pa.Array:
+    """values dealt to rows by their lengths."""
+    ends = np.concatenate([[0], np.cumsum([len(r) if r is not None else 0 for r in rows], dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*(r is None for r in rows), False])), values)
+
+
+def _spans(rows: list[list[tuple[int, int]] | None]) -> pa.Array:
+    flat = np.array([x for r in rows if r for x in r], np.int32).reshape(-1, 2)
+    return _lists(rows, pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["s", "e"]))
+
+
+def _pairs(column: pa.Array) -> list[list[tuple[int, int]] | None]:
+    """The rows of an array of spans."""
+    flat = column.flatten()
+    s, e = flat.field("s").to_pylist(), flat.field("e").to_pylist()
+    ends = [0, *accumulate(n or 0 for n in column.value_lengths().to_pylist())]
+    return [None if not ok else list(zip(s[a:b], e[a:b], strict=True)) for ok, a, b in zip(column.is_valid().to_pylist(), ends, ends[1:], strict=False)]
+
+
+@F.arrow_udf(ArrayType(_SPAN))
+def find_all(text: pa.Array, value: pa.Array) -> pa.Array:
+    """Every occurrence from left to right, none overlapping another; none of an empty value or in a null text."""
+    return _spans([[(at, at + len(v)) for at in starts_of(t or "", v or "")] for t, v in zip(text.to_pylist(), value.to_pylist(), strict=True)])
+
+
+@lru_cache(maxsize=16)
+def located(extra: int | None = None, only_bad: bool = False) -> Callable[[Column, Column], Column]:
+    """A function of a text and an array of values: for each value an array of its occurrences as struct<s, e, good, around>. good: whether token boundaries stand at both ends. around: the text from extra characters
+    before to extra after, null without extra, and with only_bad also where an occurrence is good."""
+
+    def one(text: str, value: str) -> Iterator[tuple]:
+        n, size = len(value), len(text)
+        for s in starts_of(text, value):
+            e = s + n
+            good = (s == 0 or bool(_EDGE.match(text, s - 1))) and (e == size or bool(_EDGE.match(text, e)))
+            yield s, e, good, None if extra is None or (good and only_bad) else text[max(0, s - extra) : e + extra]
+
+    @F.arrow_udf(ArrayType(ArrayType(_HIT)))
+    def found(text: pa.Array, values: pa.Array) -> pa.Array:
+        rows = [[list(one(t or "", v or "")) for v in own or ()] for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)]
+        lists = [hits for row in rows for hits in row]
+        s, e, good, around = zip(*(h for hits in lists for h in hits), strict=True) if any(lists) else ((), (), (), ())
+        hits = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(good, pa.bool_()), pa.array(around, pa.string())], ["s", "e", "good", "around"])
+        return _lists(rows, _lists(lists, hits))
+
+    return found
+
+
+@F.arrow_udf(ArrayType(ArrayType(_SPAN)))
+def _find_each(text: pa.Array, values: pa.Array) -> pa.Array:
+    rows = [[[(at, at + len(v)) for at in starts_of(t or "", v or "")] for v in own or ()] for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)]
+    return _lists(rows, _spans([hits for row in rows for hits in row]))
 
 
 def find_variants(text: Column, value: Column) -> Column:
     """The occurrences of the value and of its white space variants, distinct, by start and end. They may overlap."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(variants(value), lambda v: find_all(text, v)))))
+    return F.array_sort(F.array_distinct(F.flatten(_find_each(text, variants(value)))))
 
 
-def merge_spans(spans: Column) -> Column:
-    """Overlapping and touching spans as one, by start."""
+@F.arrow_udf(ArrayType(_SPAN))
+def marked(text: pa.Array, values: pa.Array) -> pa.Array:
+    """Where any of the values stands, overlapping and touching places as one."""
+    return _spans([merged([(at, at + len(v)) for v in dict.fromkeys(own or ()) for at in starts_of(t or "", v or "")]) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)])
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.try_element_at(a, F.lit(-1))
-        joined = F.array_append(F.slice(a, 1, F.size(a) - 1), span(last.s, F.greatest(last.e, x.e)))
-        return F.when(F.size(a) == 0, F.array(span(x.s, x.e))).when(x.s <= last.e, joined).otherwise(F.array_append(a, span(x.s, x.e)))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
+@F.arrow_udf(ArrayType(_SPAN))
+def merge_spans(spans: pa.Array) -> pa.Array:
+    """Overlapping and touching spans as one, by start."""
+    return _spans([None if r is None else merged(r) for r in _pairs(spans)])
 
 
-def mask_spans(text: Column, spans: Column) -> Column:
+@F.arrow_udf(StringType())
+def mask_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
     """The text with what lies in the spans masked; spans are disjoint and in order."""
-    start = F.struct(F.array().cast("array<string>").alias("o"), F.lit(0).alias("p"))
 
-    def step(a: Column, x: Column) -> Column:
-        return F.struct(F.concat(a.o, F.array(F.substring(text, a.p + 1, x.s - a.p), mask(F.substring(text, x.s + 1, x.e - x.s)))).alias("o"), x.e.alias("p"))
+    def one(t: str | None, own: list[tuple[int, int]] | None) -> str | None:
+        if t is None or not own:
+            return t
+        out, at = [], 0
+        for s, e in own:
+            out += [t[at:s], masked(t[s:e])]
+            at = e
+        return "".join([*out, t[at:]])
+
+    return pa.array([one(t, own) for t, own in zip(text.to_pylist(), _pairs(spans), strict=True)], pa.string())
+
+
+def with_cut_out(df: DataFrame, text_col: str, spans_col: str, to: str) -> DataFrame:
+    """df with a column ``to`` in place of spans_col: what lies in each of the spans, in their order. A step of its own, as Spark doesn't chain functions whose arguments are made of another one's results inside lambdas."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(spans_col)
+            rows = [[(t or "")[s:e] for s, e in own or ()] for t, own in zip(batch.column(text_col).to_pylist(), _pairs(batch.column(at)), strict=True)]
+            columns, names = [*batch.columns], [*batch.schema.names]
+            columns[at], names[at] = _lists(rows, pa.array([x for r in rows for x in r], pa.string())), to
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    masked = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a.o, ""), F.substring(text, a.p + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(masked)
+    schema = StructType([StructField(to, ArrayType(StringType())) if f.name == spans_col else f for f in df.schema.fields])
+    return df.mapInArrow(cut, schema)
 
 
 def mask_each(text: Column, values: Column) -> Column:
     """Each value in turn replaced by its mask wherever it stands in what the ones before left."""
-    return F.aggregate(values, text, lambda t, v: F.when(v == "", t).otherwise(F.replace(t, v, mask(v))))
+    return _mask_each(text, values)
 
 
-def greedy(starts: Column, width: Column) -> Column:
+def masked_each(text: str, values: list[str]) -> str:
+    for v in values:
+        if v and v in text:
+            text = text.replace(v, masked(v))
+    return text
+
+
+@F.arrow_udf(StringType())
+def _mask_each(text: pa.Array, values: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else masked_each(t, own or []) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)], pa.string())
+
+
+@F.arrow_udf(ArrayType(_INT))
+def running_total(numbers: pa.Array) -> pa.Array:
+    """The sums of an array's elements up to each one."""
+    rows = numbers.to_pylist()
+    return pa.array([None if r is None else np.cumsum(r, dtype=np.int32) for r in rows], pa.list_(pa.int32()))
+
+
+@F.arrow_udf(ArrayType(_INT))
+def greedy(starts: pa.Array, width: pa.Array) -> pa.Array:
     """Of ascending starts, those at least width after the last one taken."""
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("h"))
-    return F.aggregate(starts, zero, lambda a, i: F.when(i >= a.n, F.struct((i + width).cast("int").alias("n"), F.array_append(a.h, i.cast("int")).alias("h"))).otherwise(a), lambda a: a.h)
+
+    def one(own: list[int], least: int) -> Iterator[int]:
+        at = 0
+        while at < len(own):
+            yield own[at]
+            at = bisect_right(own, own[at] + least - 1)
+
+    return pa.array([None if r is None else list(one(r, max(1, w or 1))) for r, w in zip(starts.to_pylist(), width.to_pylist(), strict=True)], pa.list_(pa.int32()))

@@ -10,22 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.spans import SPANS, find_all, let
+from ..functions.spans import SPANS, let, located
 
-HITS = "array<struct<s:int,e:int>>"
+FOUND = "array<struct<s:int,e:int,good:boolean,around:string>>"
 
 
-def hits_of(text: Column, value: Column, stream: Column | None = None) -> Column:
-    """Exact hits; for a value shaped like a phone number a single hit at -1 if its digits stand in the document's digit stream."""
+def hits_of(text: Column, value: Column, found: Column, stream: Column | None = None) -> Column:
+    """found, the value's exact hits; for a value shaped like a phone number a single hit at -1 if its digits stand in the document's digit stream."""
     value_stream = T.normalize_phone(value)
     in_stream = (value_stream != "") & F.contains(T.normalize_phone(text) if stream is None else stream, value_stream)
-    unknown = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e")))
-    return F.when(T.is_phone(value), F.when(in_stream, unknown).otherwise(F.array().cast(SPANS))).otherwise(find_all(text, value))
+    unknown = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(True).alias("good"), F.lit(None).cast("string").alias("around")))
+    return F.when(T.is_phone(value), F.when(in_stream, unknown).otherwise(F.array().cast(FOUND))).otherwise(found)
 
 
-def good_hits(text: Column, value: Column, hits: Column) -> Column:
+def good_hits(value: Column, hits: Column) -> Column:
     """Hits without a place, between token boundaries, or of an e-mail address."""
-    return F.filter(hits, lambda h: (h.s == -1) | T.is_email(value) | T.has_token_boundary(text, h.s, h.e))
+    return F.filter(hits, lambda h: (h.s == -1) | T.is_email(value) | h.good)
 
 
 def near_misses(text: Column, value: Column, least: float = 0.7, most: int = 3) -> Column:
@@ -49,20 +49,22 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
     """docs with ``results`` (one for each detection, in order) and ``duplicates``.
 
     results: array<struct<det_idx, type, value, bucket, status, hits, notes>>; bucket is ``matched``, ``partials`` or ``notFound``, status ``exact`` or ``partial`` where matched. Offsets are those of the
-    normalised text, which is returned as ``text``. duplicates: array<struct<value, count_in_json, count_in_doc, extra>>. normalize=False takes text and values as normalised already, which keeps
-    the plan free of Python; suggest=False leaves the near-miss searches out.
+    normalised text, which is returned as ``text``. duplicates: array<struct<value, count_in_json, count_in_doc, extra>>. normalize=False takes text and values as normalised already;
+    suggest=False leaves the near-miss searches out.
     """
     dets = F.coalesce(F.col(dets_col), F.array().cast("array<struct<type:string,value:string>>"))
     base = docs.withColumns({"_text": T.nfkc(F.col(text_col)) if normalize else F.coalesce(F.col(text_col), F.lit("")), "_dets": dets})
     values = F.transform("_dets", lambda d: F.coalesce(d.value, F.lit("")))
     keys = F.transform("_dets", lambda d: T.trim_ws(F.coalesce(d.value, F.lit(""))))
     base = base.withColumns({"_values": T.nfkc_all(values) if normalize else values, "_keys": T.nfkc_all(keys) if normalize else keys, "_stream": T.normalize_phone(F.col("_text"))})
+    # all that walks along the text is found in one go; contexts are only looked at where no hit counts
+    base = base.withColumn("_found", located(14 if suggest else None, only_bad=True)(F.col("_text"), F.col("_values")))
     text, stream = F.col("_text"), F.col("_stream")
 
     def first(d: Column, i: Column) -> Column:
         v = F.get("_values", i)
-        hits = hits_of(text, v, stream)
-        return F.struct(d.type.alias("type"), F.coalesce(d.value, F.lit("")).alias("raw"), v.alias("v"), F.get("_keys", i).alias("key"), hits.alias("all"), good_hits(text, v, hits).alias("good"))
+        hits = hits_of(text, v, F.get("_found", i), stream)
+        return F.struct(d.type.alias("type"), F.coalesce(d.value, F.lit("")).alias("raw"), v.alias("v"), F.get("_keys", i).alias("key"), hits.alias("all"), good_hits(v, hits).alias("good"))
 
     base = base.withColumn("_first", F.transform("_dets", first))
     distinct = F.array_distinct(F.col("_first.key"))
@@ -83,7 +85,7 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
         if suggest:
             near = near_misses(text, x.v)
             missing = F.when(F.size(near) > 0, F.concat(F.lit("Not found; nearest text candidates: "), quoted(near), F.lit(".")))
-            around = F.filter(F.transform(x["all"], lambda h: T.context(text, h.s, h.e, 14)), lambda w: T.similarity(x.v, w) >= 0.75)
+            around = F.filter(F.transform(x["all"], lambda h: h.around), lambda w: T.similarity(x.v, w) >= 0.75)
             close = F.when((bucket == "partials") & (F.size(around) > 0), F.concat(F.lit("Partial match near “…"), F.get(around, F.lit(0)), F.lit("…”. Consider boundary/spacing/diacritics issues.")))
         else:
             missing = close = none
@@ -98,11 +100,11 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
         extra = F.when(nth >= dup.count_in_doc, F.concat(F.lit("Duplicate: JSON lists "), dup.count_in_json.cast("string"), F.lit(", but document has "), dup.count_in_doc.cast("string"), F.lit(".")))
         return F.struct(
             i.cast("int").alias("det_idx"), x.type.alias("type"), x.raw.alias("value"), bucket.alias("bucket"), status.alias("status"),
-            F.when(bucket == "matched", x.good).otherwise(F.array().cast(HITS)).alias("hits"), F.array_compact(F.array(own, extra, close)).alias("notes"),
+            F.when(bucket == "matched", F.transform(x.good, lambda h: F.struct(h.s.alias("s"), h.e.alias("e")))).otherwise(F.array().cast(SPANS)).alias("hits"), F.array_compact(F.array(own, extra, close)).alias("notes"),
         )
 
     base = base.withColumn("results", F.transform("_first", second))
-    return base.withColumn(text_col, text).drop("_text", "_dets", "_values", "_keys", "_stream", "_first")
+    return base.withColumn(text_col, text).drop("_text", "_dets", "_values", "_keys", "_stream", "_found", "_first")
 
 
 def result_rows(evaluated: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.spans import find_variants, mask_each, mask_spans, merge_spans
+from ..functions.spans import mask_each, mask_spans, marked
 
 
 def wanted_values(dets: Column) -> Column:
@@ -16,7 +16,7 @@ def wanted_values(dets: Column) -> Column:
 
 def masked_ranges(text: Column, dets: Column) -> Column:
     """Where any value or white space variant of one stands, merged."""
-    return merge_spans(F.flatten(F.transform(wanted_values(dets), lambda v: find_variants(text, v))))
+    return marked(text, F.flatten(F.transform(wanted_values(dets), T.variants)))
 
 
 def mask_documents(docs: DataFrame, text_col: str = "text", dets_col: str = "dets") -> DataFrame:

@@ -1,21 +1,19 @@
 """Masking of positioned page text: items to lines, lines to matches, matches to rectangles.
 
 Inputs are tables of items (doc_id, page, item_idx, str, x, y, width, height), page sizes (doc_id, page, width, height) and detections (doc_id, det_idx, type, value); a PDF reader that fills
-them is pluggable. Everything is keyed by document: items are dealt by doc_id once, and the windows, groupings and the join with detections after that all reuse that partitioning.
+them is pluggable. Items are dealt by page once, for the windows and groupings of lines; matching meets them with the detections by document.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..functions.spans import let
 
 ITEM = "struct<str:string,x:double,y:double,width:double,height:double>"
 ITEMS = f"array<{ITEM}>"
-BOX = StructType().add("str", "string").add("x", "double").add("y", "double").add("width", "double").add("height", "double")
 
 
 def page_text(items: DataFrame, joint: str = "") -> DataFrame:
@@ -40,7 +38,7 @@ def is_scanned(text: Column, pages: Column) -> Column:
 def lines(items: DataFrame, gap: float = 5.0) -> DataFrame:
     """Items that aren't blank, with ``line_id``: a new line begins where y is gap or more away from the item before."""
     order = Window.partitionBy("doc_id", "page").orderBy("item_idx")
-    kept = items.repartition("doc_id").where(T.trim_ws(F.col("str")) != "")
+    kept = items.where(T.trim_ws(F.col("str")) != "")
     breaks = F.coalesce((F.abs(F.col("y") - F.lag("y").over(order)) >= gap).cast("int"), F.lit(0))
     return kept.withColumn("_new", breaks).withColumn("line_id", F.sum("_new").over(order).cast("int")).drop("_new")
 
@@ -65,18 +63,25 @@ def match_lines(line: DataFrame, detections: DataFrame, strict: bool = False) ->
 
     Tiers within a line: 1 as it is, 2 without white space, 3 by digits for card and account numbers. Tier 3 finds a line whose items can't hold the value, so nothing is drawn there, but it counts and ends the
     search of the page; strict=True leaves it out and takes every line.
+
+    A document's values stand nested in one row and meet its lines there, so that no line is repeated for each value; of what a line holds, only the numbers of values and the tiers are counted, and the items of the lines
+    that are a page's first are fetched by their keys.
     """
     wanted = distinct_values(detections).where(~T.is_stop_word(F.col("value")))
-    wanted = wanted.withColumns({"bare": T.strip_ws(F.col("value")), "nums": T.digits(F.col("value")), "numeric": T.is_card_or_iban(F.col("value"))})
-    held = line.withColumns({"_bare": T.strip_ws(F.col("text")), "_nums": T.digits(F.col("text"))})
-    tier = F.when(F.contains("text", F.col("value")), 1).when(F.contains("_bare", F.col("bare")), 2)
-    if not strict:
-        tier = tier.when(F.col("numeric") & F.contains("_nums", F.col("nums")), 3)
-    found = held.join(wanted, "doc_id").withColumn("tier", tier).where("tier is not null")
+    value = F.struct("det_idx", "type", "value", T.strip_ws(F.col("value")).alias("bare"), T.digits(F.col("value")).alias("nums"), T.is_card_or_iban(F.col("value")).alias("numeric"))
+    nested = wanted.groupBy("doc_id").agg(F.collect_list(value).alias("_values"))
+    held = line.select("doc_id", "page", "line_id", "text", T.strip_ws(F.col("text")).alias("_bare"), T.digits(F.col("text")).alias("_nums")).join(nested, "doc_id")
+
+    def tier(v: Column) -> Column:
+        found = F.when(F.contains("text", v.value), 1).when(F.contains("_bare", v.bare), 2)
+        return found if strict else found.when(v.numeric & F.contains("_nums", v.nums), 3)
+
+    hits = F.filter(F.transform("_values", lambda v: F.struct(v.det_idx.alias("det_idx"), v.type.alias("type"), v.value.alias("value"), tier(v).alias("tier"))), lambda h: h.tier.isNotNull())
+    found = held.select("doc_id", "page", "line_id", F.explode_outer(hits).alias("h")).where("h is not null").select("doc_id", "page", "line_id", "h.*")
     if not strict:
-        order = Window.partitionBy("doc_id", "page", "value").orderBy("line_id")
-        found = found.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return found.select("doc_id", "page", "value", "det_idx", "type", "line_id", "tier", "items")
+        first = found.groupBy("doc_id", "page", "value").agg(F.min_by(F.struct("line_id", "tier", "det_idx", "type"), "line_id").alias("f"))
+        found = first.select("doc_id", "page", "value", "f.*")
+    return found.join(line.select("doc_id", "page", "line_id", "items"), ["doc_id", "page", "line_id"]).select("doc_id", "page", "value", "det_idx", "type", "line_id", "tier", "items")
 
 
 def page_counts(matched: DataFrame) -> DataFrame:
@@ -90,22 +95,26 @@ def part_of(item: Column, start: Column, length: Column) -> Column:
     return F.struct(F.substring(item.str, start + 1, length).alias("str"), (item.x + each * start).alias("x"), item.y.alias("y"), (each * length).alias("width"), item.height.alias("height")).cast(ITEM)
 
 
-def combined(items: Column, value: Column) -> Column:
-    """The first run of neighbouring items, by start and then by length, that together hold the value: array<struct<items, text>>, empty or of one."""
+def combined(items: Column, value: Column, numbers: bool = True) -> Column:
+    """The first run of neighbouring items, by start and then by length, that together hold the value: array<struct<items, text>>, empty or of one. Runs are of five items at most; with numbers, card and account
+    numbers may take six and must be made of enough digits."""
     n, numeric, de = F.size(items), T.is_card_or_iban(value), F.startswith(value, F.lit("DE"))
-    most = F.when(numeric | de, 6).otherwise(5)
+    most = F.when(numeric | de, 6).otherwise(5) if numbers else F.lit(5)
     upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
 
     def runs(i: Column) -> Column:
         return F.transform(upto(F.lit(1), F.least(most, n - i + 1)), lambda k: F.struct(F.slice(items, i, k).alias("items"), F.array_join(F.transform(F.slice(items, i, k), lambda x: x.str), " ").alias("text")))
 
     def fits(r: Column) -> Column:
+        holds = F.contains(T.strip_ws(r.text), T.strip_ws(value))
+        if not numbers:
+            return holds
         enough = (
             F.when(numeric & T.is_strict_card(value), T.digit_ratio(r.text) >= 0.5)
             .when(numeric & de, F.length(T.digits(r.text)) >= F.length(T.digits(value)) * 0.3)
             .otherwise(True)
         )
-        return F.contains(T.strip_ws(r.text), T.strip_ws(value)) & enough
+        return holds & enough
 
     return F.slice(F.filter(F.flatten(F.transform(upto(F.lit(1), n), runs)), fits), 1, 1)
 
@@ -116,43 +125,38 @@ def labelled(run: Column, value: Column) -> Column:
     return F.contains(run, F.lit(":")) & (F.length(run) > 2 * F.length(value)) & (F.length(run) - F.length(after) > 1) & F.contains(T.strip_ws(after), T.strip_ws(value))
 
 
-@F.pandas_udf(BOX)
-def behind_label(found: pd.Series, value: pd.Series) -> pd.DataFrame:
-    """The box of a value that stands behind a label and may span items; null where it can't be placed."""
-
-    def box(run: dict, wanted: str) -> tuple | None:
-        text, items = run["text"], list(run["items"])
-        colon = text.rfind(":")
-        behind = [i for i in items if text.find(i["str"]) > colon]
-        bare = lambda s: "".join(c for c in s if not (c.isspace() or c == "﻿"))
-        all_bare, want = bare(text), bare(wanted)
-        # the colon's place is one in the text with white space; looked up in the text without, it may be missed, and the search is then from the beginning
-        base = all_bare.find(":", colon) + 1
-        start = all_bare.find(want, base)
-        if start < 0 or not behind:
-            return None
-        end, cursor, placed = start + len(want), 0, []
-        for item in behind:
-            at = text.find(item["str"], cursor)
-            if at < 0:
-                break
-            placed.append((item, all_bare.find(bare(item["str"]), base)))
-            cursor = at + len(item["str"])
-        size = lambda item: len(bare(item["str"]))
-        first = next((k for k, (i, s) in enumerate(placed) if s <= start < s + size(i)), None)
-        last = next((k for k, (i, s) in enumerate(placed) if s < end <= s + size(i)), None)
-        if first is None or last is None:
-            return None
-        (a, a_at), (b, b_at) = placed[first], placed[last]
-        skip, used = max(0, start - a_at), end - b_at
-        if first == last:
-            each = a["width"] / len(a["str"])
-            return (a["str"][skip:used], a["x"] + each * skip, a["y"], each * max(0, len(a["str"][skip:used])), a["height"])
-        width = a["width"] * (len(a["str"]) - skip) / len(a["str"]) + b["width"] * used / len(b["str"]) + sum(i["width"] for i, _ in placed[first + 1 : last])
-        return (wanted, a["x"] + a["width"] * skip / len(a["str"]), a["y"], width, a["height"])
-
-    rows = [None if r is None else box(r[0], v) for r, v in zip(found, value, strict=True)]
-    return pd.DataFrame([r or (None,) * 5 for r in rows], columns=["str", "x", "y", "width", "height"])
+def behind_label(run: Column, value: Column) -> Column:
+    """The box of a value that stands behind the last colon of a run (items, text) and may span items; null where it can't be placed.
+
+    Places are counted without white space. They are looked for from the colon's place in the text with white space, so that a colon which then lies further on is passed over: that is how the value is drawn.
+    """
+    find = lambda what, where, at: F.call_function("locate", what, where, at + 1) - 1
+    bare = T.strip_ws(run.text)
+    colon = F.length(run.text) - F.length(F.substring_index(run.text, ":", -1)) - 1
+    base = find(F.lit(":"), bare, colon) + 1
+    facts = F.struct(bare.alias("bare"), base.alias("base"), find(T.strip_ws(value), bare, base).alias("start"), F.length(T.strip_ws(value)).alias("size"))
+
+    def placed(f: Column) -> Column:
+        behind = F.filter(run["items"], lambda i: F.instr(run.text, i.str) - 1 > colon)
+        own = F.transform(behind, lambda i: F.struct(i.alias("item"), find(T.strip_ws(i.str), f.bare, f.base).alias("at"), F.length(T.strip_ws(i.str)).alias("size")))
+        return F.struct(f.start.alias("start"), (f.start + f.size).alias("end"), own.alias("own"))
+
+    def ends(p: Column) -> Column:
+        first = F.array_position(F.transform(p.own, lambda o: (o.at <= p.start) & (p.start < o.at + o.size)), F.lit(True)).cast("int") - 1
+        last = F.array_position(F.transform(p.own, lambda o: (o.at < p.end) & (p.end <= o.at + o.size)), F.lit(True)).cast("int") - 1
+        return F.struct(p.start.alias("start"), p.end.alias("end"), p.own.alias("own"), first.alias("first"), last.alias("last"))
+
+    def box(p: Column) -> Column:
+        a, b = F.get(p.own, p.first), F.get(p.own, p.last)
+        skip, used = F.greatest(F.lit(0), p.start - a.at), p.end - b.at
+        share = lambda o, n: o.item.width * n / F.length(o.item.str)
+        between = F.aggregate(F.filter(p.own, lambda o, i: (i > p.first) & (i < p.last)), F.lit(0.0), lambda s, o: s + o.item.width)
+        spanning = F.struct(
+            value.alias("str"), (a.item.x + share(a, skip)).alias("x"), a.item.y.alias("y"), (share(a, F.length(a.item.str) - skip) + share(b, used) + between).alias("width"), a.item.height.alias("height")
+        ).cast(ITEM)
+        return F.when((p.start >= 0) & (p.first >= 0) & (p.last >= 0), F.when(p.first == p.last, part_of(a.item, skip, F.greatest(F.lit(0), used - skip))).otherwise(spanning))
+
+    return let(let(let(facts, placed), ends), box)
 
 
 def refined(items: Column, value: Column) -> Column:
@@ -195,16 +199,18 @@ def relevant(items: Column, value: Column) -> Column:
     return F.when(numeric & T.is_strict_card(value), F.filter(items, card)).when(numeric & F.startswith(value, F.lit("DE")), F.filter(items, account)).when(numeric, F.filter(items, number)).otherwise(items)
 
 
-def match_items(matched: DataFrame) -> DataFrame:
-    """matched with ``found``, the items (or stretches of them) that hold the value, and ``how`` (exact, bare, label, run or null)."""
+def match_items(matched: DataFrame, text_mode: bool = False) -> DataFrame:
+    """matched with ``found``, the items (or stretches of them) that hold the value, and ``how`` (exact, bare, label, run or null). text_mode is the matcher for replacement text: runs of five items, whatever
+    they hold besides, and no stretches behind labels."""
     value, items = F.col("value"), F.col("items")
     exact = F.filter(items, lambda i: F.contains(i.str, value))
     bare = F.filter(items, lambda i: F.contains(T.strip_ws(i.str), T.strip_ws(value)))
     out = matched.withColumns({"_exact": exact, "_bare": bare})
     alone = (F.size("_exact") == 0) & (F.size("_bare") == 0)
-    out = out.withColumn("_run", F.when(alone, F.get(combined(items, value), F.lit(0))))
-    out = out.withColumn("_label", behind_label(F.when(labelled(F.col("_run.text"), value), F.array("_run")), value))
-    label = F.col("_label.x").isNotNull()
+    out = out.withColumn("_run", F.when(alone, F.get(combined(items, value, not text_mode), F.lit(0))))
+    none = F.lit(None).cast(ITEM)
+    out = out.withColumn("_label", none if text_mode else F.when(labelled(F.col("_run.text"), value), behind_label(F.col("_run"), value)).otherwise(none))
+    label = F.col("_label").isNotNull()
     how = F.when(F.size("_exact") > 0, "exact").when(F.size("_bare") > 0, "bare").when(label, "label").when(F.col("_run").isNotNull(), "run")
     found = F.when(F.size("_exact") > 0, F.col("_exact")).when(F.size("_bare") > 0, F.col("_bare")).when(label, F.array(F.col("_label"))).otherwise(F.coalesce(F.col("_run.items"), F.array().cast(ITEMS)))
     return out.withColumns({"how": how, "found": found.cast(ITEMS)}).drop("_exact", "_bare", "_run", "_label")
@@ -231,7 +237,7 @@ def rectangles(matched: DataFrame, pad: float = 2.0) -> DataFrame:
 def overlays(matched: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, value, text, x, y, size): replacement text in the place of rectangles, with y counted from the top."""
     value = F.col("value")
-    out = match_items(matched).join(pages.select("doc_id", "page", F.col("height").alias("_h")), ["doc_id", "page"])
+    out = match_items(matched, text_mode=True).join(pages.select("doc_id", "page", F.col("height").alias("_h")), ["doc_id", "page"])
     out = out.select("doc_id", "page", "value", "_h", F.explode_outer(refined(F.col("found"), value)).alias("i")).where("i is not null")
     height = F.coalesce(F.nullif(F.col("i.height"), F.lit(0.0)), F.lit(12.0))
     return out.select("doc_id", "page", "value", T.overlay_text(F.coalesce(F.col("i.width"), F.lit(0.0))).alias("text"), F.col("i.x").alias("x"), (F.col("_h") - F.col("i.y") - height).alias("y"), height.alias("size"))

@@ -1,49 +1,43 @@
 """Word-processor documents: masking, annotation and runs of their main part.
 
-The XML is worked on with column expressions; only packing and unpacking of the container (sources.containers) is Python. Text elements are rebuilt by position, never by replacing what happens to
+The XML is worked on row by row, without a shuffle: annotation and runs by column expressions, masking by one pass along the XML, in Arrow batches. Text elements are rebuilt by position, never by replacing what happens to
 look like them.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions import text as T
-from ..functions.spans import let, mask_each
+from ..functions.spans import let, masked_each
 from .masking import wanted_values
 
-TEXT = r"(<w:t(?:\s[^>]*)?>)([^\n\r\x{2028}\x{2029}]*?)(</w:t>)"
+#: A text element: opening, content and closing.
+TEXT = re.compile("(<w:t(?:[ \t\n\x0b\f\r][^>]*)?>)([^\n\r\u2028\u2029]*?)(</w:t>)")
 # Colours of annotations.
 RED, BROWN = "FF0000", "8B4513"
 
 
-def text_nodes(xml: Column) -> Column:
-    """The contents of the text elements, in order."""
-    return F.regexp_extract_all(xml, F.lit(TEXT), F.lit(2))
-
-
-def rebuild(xml: Column, contents: Column) -> Column:
-    """The XML with its text elements' contents replaced, one by one."""
-    parts = F.struct(F.split(xml, TEXT, -1).alias("around"), F.regexp_extract_all(xml, F.lit(TEXT), F.lit(1)).alias("opening"))
-
-    def put(p: Column) -> Column:
-        nodes = F.transform(contents, lambda c, i: F.concat(F.get(p.around, i), F.get(p.opening, i), c, F.lit("</w:t>")))
-        return F.concat(F.array_join(nodes, ""), F.element_at(p.around, -1))
-
-    return let(parts, put)
-
-
-def mask_xml(xml: Column, values: Column) -> Column:
+def masked_xml(xml: str, values: list[str]) -> str:
     """The text of all elements, end to end, masked value by value, and dealt back to the elements by their lengths."""
-    nodes = text_nodes(xml)
-    start = F.struct(F.array().cast("array<string>").alias("o"), F.lit(1).alias("p"))
+    parts = TEXT.split(xml)
+    contents = parts[2::4]
+    text, at = masked_each("".join(contents), values), 0
+    for i, content in enumerate(contents):
+        parts[2 + 4 * i] = text[at : at + len(content)]
+        at += len(content)
+    return "".join(parts)
 
-    def dealt(x: Column) -> Column:
-        return F.aggregate(x.nodes, start, lambda a, n: F.struct(F.array_append(a.o, F.substring(x.masked, a.p, F.length(n))).alias("o"), (a.p + F.length(n)).alias("p")), lambda a: a.o)
 
-    with_mask = let(nodes, lambda n: F.struct(n.alias("nodes"), mask_each(F.array_join(n, ""), values).alias("masked")))
-    return rebuild(xml, let(with_mask, dealt))
+@F.arrow_udf(StringType())
+def mask_xml(xml: pa.Array, values: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else masked_xml(x, own or []) for x, own in zip(xml.to_pylist(), values.to_pylist(), strict=True)], pa.string())
 
 
 def mask_parts(parts: DataFrame, dets_col: str = "dets", strict: bool = False) -> DataFrame:
@@ -123,19 +117,25 @@ def runs(xml: Column) -> Column:
     return F.flatten(F.transform(paragraphs, of))
 
 
-def run_rows(parts: DataFrame) -> DataFrame:
-    """(doc_id, p, r, n_ws, text, start, end): each run's place in the flattened text, in which tabs and breaks are blanks and a blank stands between any two texts."""
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<p:int,r:int,n_ws:int,text:string,start:int,end:int>>").alias("o"))
+@F.arrow_udf(ArrayType(IntegerType()))
+def _run_starts(marks: pa.Array, sizes: pa.Array) -> pa.Array:
+    def one(own: list[int], lengths: list[int]) -> Iterator[int]:
+        at = 0
+        for n, size in zip(own, lengths, strict=True):
+            at += n
+            at += at > 0 and size > 0
+            yield at
+            at += size
 
-    def step(a: Column, x: Column) -> Column:
-        after = a.n + x.n_ws
-        s = after + F.when((after > 0) & (x.text != ""), 1).otherwise(0)
-        e = s + F.length(x.text)
-        placed = F.struct(x.p.alias("p"), x.r.alias("r"), x.n_ws.alias("n_ws"), x.text.alias("text"), s.alias("start"), e.alias("end"))
-        return F.struct(e.alias("n"), F.array_append(a.o, placed).alias("o"))
+    return pa.array([None if m is None else list(one(m, s)) for m, s in zip(marks.to_pylist(), sizes.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
-    main = parts.where(F.col("part") == "word/document.xml")
-    return main.select("doc_id", F.explode_outer(F.aggregate(runs(F.col("xml")), start, step, lambda a: a.o)).alias("x")).where("x is not null").select("doc_id", "x.*")
+
+def run_rows(parts: DataFrame) -> DataFrame:
+    """(doc_id, p, r, n_ws, text, start, end): each run's place in the flattened text, in which tabs and breaks are blanks and a blank stands between any two texts."""
+    main = parts.where(F.col("part") == "word/document.xml").select("doc_id", runs(F.col("xml")).alias("_runs"))
+    placed = main.withColumn("_starts", _run_starts(F.transform("_runs", lambda x: x.n_ws), F.transform("_runs", lambda x: F.length(x.text))))
+    out = placed.select("doc_id", F.explode_outer(F.arrays_zip("_runs", "_starts")).alias("x")).where("x is not null")
+    return out.select("doc_id", "x._runs.*", F.col("x._starts").alias("start"), (F.col("x._starts") + F.length("x._runs.text")).alias("end"))
 
 
 def default_half_points(styles: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.spans import find_all, find_variants
+from ..functions.spans import find_all, find_variants, located
 from ..operators import evaluate as E
 from ..operators import images, masking, pages, report, word_files
 from ..sources import files, harness
@@ -60,13 +60,14 @@ def find_variant_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _each(spark, sf_dir).select("doc_id", "det_idx", "text", F.explode_outer(find_all(F.col("text"), F.col("value"))).alias("h")).where("h is not null")
-    return hits.select("doc_id", "det_idx", "h.s", T.has_token_boundary(F.col("text"), F.col("h.s"), F.col("h.e")).alias("at_boundary"), T.context(F.col("text"), F.col("h.s"), F.col("h.e"), 14).alias("around"))
+    docs = harness.documents_with_detections(spark, sf_dir).withColumn("hits", located(14)(F.col("text"), F.transform("dets", lambda d: d.value)))
+    each = docs.select("doc_id", F.posexplode_outer("hits").alias("det_idx", "own")).select("doc_id", "det_idx", F.explode_outer("own").alias("h")).where("h is not null")
+    return each.select("doc_id", "det_idx", "h.s", F.col("h.good").alias("at_boundary"), "h.around")
 
 
 def phone_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     phones = _each(spark, sf_dir).where(T.is_phone(F.col("value")))
-    return phones.select("doc_id", "det_idx", "value", (F.size(E.hits_of(F.col("text"), F.col("value"))) > 0).alias("in_stream"))
+    return phones.select("doc_id", "det_idx", "value", (F.size(E.hits_of(F.col("text"), F.col("value"), F.array().cast(E.FOUND))) > 0).alias("in_stream"))
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:

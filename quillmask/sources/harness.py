@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import running_total
 from .detections import DETECTIONS, explode_detections, parse_detections, to_json
 
 #: (type, pattern) of values taken from a document, the first match each.
@@ -51,10 +52,9 @@ def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, item_idx, str, x, y, width, height): words as items, lines as lines, 50 lines a page, y a little uneven within a line."""
     line = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "body"))
-    step = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<str:string,at:int>>").alias("o"))
-    placed = F.aggregate(
-        F.split("body", " ", -1), step, lambda a, w: F.struct((a.at + F.length(w) + 1).alias("at"), F.array_append(a.o, F.struct(w.alias("str"), a.at.alias("at"))).alias("o")), lambda a: a.o
-    )
+    words = F.split("body", " ", -1)
+    line = line.select("doc_id", "line", words.alias("words"), running_total(F.transform(words, lambda w: F.length(w) + 1)).alias("ends"))
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("str"), (F.get("ends", i) - F.length(w) - 1).alias("at")))
     words = line.select("doc_id", "line", F.posexplode_outer(placed).alias("n", "w"))
     return words.select(
         "doc_id", F.floor(F.col("line") / 50).cast("int").alias("page"), (F.col("line") * 100000 + F.col("n")).alias("item_idx"), F.col("w.str").alias("str"),
