@@ -304,11 +304,14 @@ def similar_documents(
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(4, np.int64)
+        def one(text: bytes | None) -> tuple[np.ndarray, int]:
+            digests = shingle_digests(text, words)  # of one text at a time: they are many times its size
+            return (np.zeros(4, np.int64), 0) if digests is None else (wide_fingerprint(digests), xxhash.xxh3_64_intdigest(shingle_set(digests).tobytes(), SEED))
+
         for batch in batches:
-            digests = [shingle_digests(t, words) for t in raw(batch.column(1))]
-            fp = np.stack([none if x is None else wide_fingerprint(x) for x in digests]) if digests else np.zeros((0, 4), np.int64)
-            whole = np.array([0 if x is None else xxhash.xxh3_64_intdigest(shingle_set(x).tobytes(), SEED) for x in digests], np.uint64).view(np.int64)
+            found = [one(t) for t in raw(batch.column(1))]
+            fp = np.stack([x for x, _ in found]) if found else np.zeros((0, 4), np.int64)
+            whole = np.array([x for _, x in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, i].copy()) for i in range(4)), pa.array(whole)], ["id", *WIDE, "whole"])
 
     prints = df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint, whole bigint")
