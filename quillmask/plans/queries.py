@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.spans import find_all, find_variants, located
 from ..operators import evaluate as E
-from ..operators import images, masking, pages, report, word_files
-from ..sources import files, harness
+from ..operators import file_masking, images, masking, pages, report, word_files
+from ..sources import containers, files, harness
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,9 +70,9 @@ def phone_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phones.select("doc_id", "det_idx", "value", (F.size(E.hits_of(F.col("text"), F.col("value"), F.array().cast(E.FOUND))) > 0).alias("in_stream"))
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's texts are stable under the compatibility normal form, so the plan does without it."""
-    return E.evaluate(harness.documents_with_detections(spark, sf_dir), normalize=False, suggest=False)
+def _evaluated(spark: SparkSession, sf_dir: str, suggest: bool = False) -> DataFrame:
+    """Searches for near misses only where the result shows them."""
+    return E.evaluate(harness.documents_with_detections(spark, sf_dir), suggest=suggest)
 
 
 def eval_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +89,11 @@ def eval_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.result_rows(_evaluated(spark, sf_dir)).select("doc_id", "det_idx", F.array_join("notes", " | ").alias("notes"))
+    return E.result_rows(_evaluated(spark, sf_dir, suggest=True)).select("doc_id", "det_idx", F.array_join("notes", " | ").alias("notes"))
 
 
 def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With normalisation and suggestions, as the review shows it."""
-    out = E.result_rows(E.evaluate(harness.documents_with_detections(spark, sf_dir)))
+    out = E.result_rows(_evaluated(spark, sf_dir, suggest=True))
     return out.select("doc_id", "det_idx", "bucket", F.array_join("notes", " | ").alias("notes"))
 
 
@@ -194,10 +193,40 @@ def docx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_files.run_rows(harness.word_parts(spark, sf_dir))
 
 
+def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.extract(harness.files(spark, sf_dir), pages.document_text(harness.page_items(spark, sf_dir)))
+
+
+def mask_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked files' names, and their text as it is read again."""
+    out = file_masking.mask_files(harness.files(spark, sf_dir))
+    return out.select("doc_id", "file_type", "output_name", containers.document_text("content").alias("text"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_text(harness.page_items(spark, sf_dir), " ")
+
+
+def font_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harness.styles(spark, sf_dir).select("doc_id", word_files.default_half_points(F.col("xml")).alias("half_pts"))
+
+
+def red_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's markup names a red colour, and whether its first colour is one."""
+    xml = F.col("xml")
+    return harness.word_parts(spark, sf_dir).select("doc_id", T.is_red_xml(xml).alias("has_red"), T.is_red(F.lower(F.regexp_extract(xml, '<w:color w:val="([^"]*)"', 1))).alias("first_is_red"))
+
+
+def image_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of all documents; in those of an empty line alone the recogniser finds no word."""
+    docs = harness.documents(spark, sf_dir).select("doc_id")
+    return file_masking.mask_images(docs, harness.recognised_words(spark, sf_dir).where(F.col("text") != ""), harness.detection_rows(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "file_kinds": file_kinds, "parse_detections": parse_detections, "scalar_predicates": scalar_predicates, "find_all": find_all_hits, "find_all_variants": find_variant_hits, "token_boundary": token_boundary, "phone_match": phone_match,
     "eval_status": eval_status, "eval_occurrences": eval_occurrences, "eval_duplicates": eval_duplicates, "eval_notes": eval_notes, "near_miss": near_miss, "merge_ranges": merge_ranges, "mask_text": mask_text,
     "mask_sequential": mask_sequential, "distinct_values": distinct_values, "pdf_text": pdf_text, "pdf_lines": pdf_lines, "pdf_line_match": pdf_line_match, "pdf_page_counts": pdf_page_counts, "pdf_item_match": pdf_item_match, "pdf_rects": pdf_rects,
     "pdf_overlays": pdf_overlays, "pdf_position_rects": pdf_position_rects, "scanned_rects": scanned_rects, "image_fallback_rects": image_fallback_rects, "ocr_boxes": ocr_boxes, "reviewed_runs": reviewed_runs, "reviewed_json": reviewed_json,
-    "docx_mask": docx_mask, "docx_annotate": docx_annotate, "docx_runs": docx_runs,
+    "docx_mask": docx_mask, "docx_annotate": docx_annotate, "docx_runs": docx_runs, "file_texts": file_texts, "mask_files": mask_files, "page_texts": page_texts, "font_sizes": font_sizes, "red_marks": red_marks, "image_masks": image_masks,
 }

@@ -61,20 +61,27 @@ def document_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(_text)
 
 
+def _replaced(old: bytes, new: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(old)) as a, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as b:
+        if "word/document.xml" not in a.namelist():
+            raise ValueError("word/document.xml not found")
+        for info in a.infolist():
+            b.writestr(info.filename, new if info.filename == "word/document.xml" else a.read(info.filename))
+    return out.getvalue()
+
+
 @F.pandas_udf(BinaryType())
 def with_document(content: pd.Series, xml: pd.Series) -> pd.Series:
     """Containers with word/document.xml replaced and all other parts as they were. A container without that part is an error."""
 
-    def one(old: bytes, new: str) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(io.BytesIO(old)) as a, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as b:
-            if "word/document.xml" not in a.namelist():
-                raise ValueError("word/document.xml not found")
-            for info in a.infolist():
-                b.writestr(info.filename, new if info.filename == "word/document.xml" else a.read(info.filename))
-        return out.getvalue()
+    return pd.Series([_replaced(c, x) for c, x in zip(content, xml, strict=True)])
+
 
-    return pd.Series([one(c, x) for c, x in zip(content, xml, strict=True)])
+@F.pandas_udf(BinaryType())
+def with_part(content: pd.Series, xml: pd.Series) -> pd.Series:
+    """Like with_document, for rows that may have no new part: theirs are null."""
+    return pd.Series([None if x is None or c is None else _replaced(c, x) for c, x in zip(content, xml, strict=True)], dtype=object)
 
 
 @F.pandas_udf(BinaryType())

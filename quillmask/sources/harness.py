@@ -1,11 +1,18 @@
-"""Inputs for the queries, made from the documents table, which holds no detections, page items or recognised words. Not operators: the same derivation stands in SQL beside the queries."""
+"""Inputs for the queries, made from the documents table, which holds no detections, page items or recognised words. Not operators: the same derivation stands in SQL beside the queries.
+
+prepare() writes them once to a folder; with that folder in the session's ``quillmask.prepared`` they are read from there, so that a benchmark times the operators alone.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import running_total
+from .containers import new_document, with_document
 from .detections import DETECTIONS, explode_detections, parse_detections, to_json
 
 #: (type, pattern) of values taken from a document, the first match each.
@@ -19,6 +26,28 @@ TAKEN = (
 )
 
 
+_MADE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def prepared(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The input as make() derives it, or as prepare() has written it."""
+    _MADE[make.__name__] = make
+
+    @wraps(make)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = spark.conf.get("quillmask.prepared", None)
+        return spark.read.parquet(f"{folder}/{make.__name__}.parquet") if folder else make(spark, sf_dir)
+
+    return read
+
+
+def prepare(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write all derived inputs to the folder and use them from now on."""
+    for name, make in _MADE.items():
+        make(spark, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    spark.conf.set("quillmask.prepared", folder)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
@@ -34,21 +63,25 @@ def made_detections(text: Column, doc_id: Column) -> Column:
     return F.concat(F.filter(F.array(*found), lambda d: d.value != ""), F.array(*fixed)).cast(DETECTIONS)
 
 
+@prepared
 def documents_with_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, raw): each document and its detections in the JSON contract."""
     docs = documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
     return docs.withColumn("raw", to_json(made_detections(F.col("text"), F.col("doc_id"))))
 
 
+@prepared
 def documents_with_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, dets), the detections parsed from the JSON contract."""
     return documents_with_json(spark, sf_dir).select("doc_id", "text", parse_detections(F.col("raw")).alias("dets"))
 
 
+@prepared
 def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_detections(documents_with_detections(spark, sf_dir).select("doc_id", "dets"))
 
 
+@prepared
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, item_idx, str, x, y, width, height): words as items, lines as lines, 50 lines a page, y a little uneven within a line."""
     line = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "body"))
@@ -66,6 +99,7 @@ def page_sizes(items: DataFrame) -> DataFrame:
     return items.select("doc_id", "page").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(842.0)})
 
 
+@prepared
 def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, word_idx, text, x, y, width, height): the words of all lines in boxes, numbered through, every 13th with its second letter misread."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -76,6 +110,7 @@ def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "word_idx", text.alias("text"), (F.col("n") * 50).cast("int").alias("x"), (F.col("line") * 14 + F.col("n") % 2 + 10).cast("int").alias("y"), (F.length("w") * 6).cast("int").alias("width"), F.lit(12).alias("height"))
 
 
+@prepared
 def word_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, part, xml, dets, text): documents as word-processor XML, a paragraph a line, runs of up to 40 characters, every 5th red."""
     xml_text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -90,4 +125,22 @@ def word_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.lit("word/document.xml").alias("part"), F.concat(F.lit("<w:document><w:body>"), body, F.lit("</w:body></w:document>")).alias("xml"), "dets", "text")
 
 
-__all__ = ["parse_detections", "detection_rows", "documents", "documents_with_detections", "documents_with_json", "page_items", "page_sizes", "recognised_words", "word_parts"]
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, file_name, mime, content, dets): documents as files of four kinds, word-processor files with a paragraph a line, old ones with a single paragraph, the others without content that can be read here."""
+    docs = documents_with_detections(spark, sf_dir)
+    kind = F.get(F.array(*map(F.lit, ("docx", "doc", "pdf", "png"))), (F.col("doc_id") % 4).cast("int"))
+    lines = F.transform(F.split("text", "\n", -1), lambda line: F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</w:t></w:r></w:p>")))
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    xml = F.concat(F.lit(f'<w:document xmlns:w="{space}"><w:body>'), F.array_join(lines, ""), F.lit("</w:body></w:document>"))
+    named = docs.withColumns({"_kind": kind, "_xml": xml})
+    content = F.when(F.col("_kind") == "docx", with_document(new_document(F.lit("")), F.col("_xml"))).when(F.col("_kind") == "doc", new_document("text"))
+    return named.select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), F.col("_kind")).alias("file_name"), F.lit("").alias("mime"), content.alias("content"), "dets")
+
+
+def styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, xml): parts with styles; of every third document without a size."""
+    size = F.concat(F.lit('<w:rPrDefault><w:rPr><w:rFonts w:ascii="A"/><w:sz w:val="'), (20 + F.col("doc_id") % 9).cast("string"), F.lit('"/></w:rPr></w:rPrDefault>'))
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("<w:styles><w:docDefaults>"), F.when(F.col("doc_id") % 3 != 0, size).otherwise("<w:rPrDefault/>"), F.lit('</w:docDefaults><w:style><w:rPr><w:sz w:val="99"/></w:rPr></w:style></w:styles>')).alias("xml"))
+
+
+__all__ = ["parse_detections", "detection_rows", "documents", "documents_with_detections", "documents_with_json", "files", "page_items", "page_sizes", "prepare", "recognised_words", "styles", "word_parts"]
