@@ -267,9 +267,9 @@ def _verified(docs: DataFrame, loose: DataFrame, words: int, similarity: float,
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_digests(t, words) for t in raw(batch.column(2))]
+            found = [None if (x := shingle_digests(t, words)) is None else shingle_set(x).tobytes() for t in raw(batch.column(2))]
             at = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
-            sets = pa.array([shingle_set(x).tobytes() for x in found if x is not None], pa.binary())
+            sets = pa.array([x for x in found if x is not None], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), sets], ["component", "root", "shingles"])
 
     sets = cut(held.mapInArrow(made, "component bigint, root bigint, shingles binary"))
