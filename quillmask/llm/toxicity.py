@@ -30,6 +30,8 @@ from .common import cut, drop, raw, table
 
 #: Labelled rows used at most, and lexicon entries kept at most.
 MAX_ROWS, MAX_ENTRIES = 20_000, 400
+#: Entries counted in a task's memory before they are handed on.
+HELD_ENTRIES = 200_000
 #: How many times as often a voter fires on marked rows.
 LIFT = 20
 #: Letters in lower case, all else that is ASCII blank.
@@ -239,9 +241,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["entry", "sketch", "pos", "neg"]
+        clean: Counter = Counter()
+        marked: set[tuple[bytes, int]] = set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for rows in ([(e, of, 1, 0) for e, of in marked], [(e, 0, 0, n) for e, n in clean.items()]):
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], columns)
+            clean.clear()
+            marked.clear()
+
         for batch in batches:
-            clean: Counter = Counter()
-            marked: set[tuple[bytes, int]] = set()
             for label, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
                 words = set(text.translate(FOLD).split())
                 if label > 0:
@@ -250,9 +260,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                     marked.add((b"", of))
                 else:
                     clean.update(entries_of(words))
-            for rows in ([(e, of, 1, 0) for e, of in marked], [(e, 0, 0, n) for e, n in clean.items()]):
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], columns)
+                if len(clean) + len(marked) > HELD_ENTRIES:
+                    yield from flush()
+        yield from flush()
 
     seen_in = sample.mapInArrow(counted, "entry binary, sketch bigint, pos bigint, neg bigint").groupBy("entry", "sketch").agg(F.max("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = seen_in.groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
