@@ -518,3 +518,23 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     held = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: nothing)), master="spark://somewhere:7077")
     with pytest.raises(ValueError, match="share"):
         common.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=held))
+
+
+def test_components_with_hubs(spark):
+    from quillmask.llm.components import components
+
+    rng = np.random.default_rng(6)
+    edges = [(7, i) for i in range(100, 3100)] + [(i, i + 1) for i in range(5000, 5040)] + [(int(a), int(b)) for a, b in rng.integers(6000, 7500, (700, 2))] + [(3099, 9000), (9000, 3)]
+    part = {}
+
+    def root(x):
+        part.setdefault(x, x)
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((root(u), root(v)))
+        part[b] = a
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {x: root(x) for x in part if any(x in e and e[0] != e[1] for e in edges)} and components(spark.createDataFrame([], "u long, v long")).count() == 0
