@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, raw, table
+from .common import cut, drop, raw, table
 
 WINDOW = 10
 #: Item words in a broadcast set: some 100 bytes each, so 200 MB at the most.
@@ -145,9 +145,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == b) if blocks > 1 else items
         held = [(r.item, r.text.encode() if r.text else None) for r in own.toLocalIterator()]
-        out = _scan(out, text_col, Windows(held, window), item_type, b == 0)
+        before, out = out, _scan(out, text_col, Windows(held, window), item_type, b == 0)
         if b < blocks - 1:
             out = cut(out)
+            drop(before)
     return out
 
 
