@@ -174,6 +174,12 @@ def reviewed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.review_document(named, half_pts=F.lit(22))
 
 
+def reviewed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviewed documents as word-processor files, and their text as it is read again."""
+    order = F.array_position(F.array(*map(F.lit, ("heading", "body", "appendix_heading", "appendix"))), F.col("part"))
+    return report.as_documents(reviewed_runs(spark, sf_dir), order).select("doc_id", containers.document_text("content").alias("text"))
+
+
 def reviewed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = harness.documents_with_json(spark, sf_dir)
     parsed = docs.withColumn("dets", harness.parse_detections(F.col("raw")))
@@ -227,6 +233,6 @@ QUERIES: dict[str, Query] = {
     "file_kinds": file_kinds, "parse_detections": parse_detections, "scalar_predicates": scalar_predicates, "find_all": find_all_hits, "find_all_variants": find_variant_hits, "token_boundary": token_boundary, "phone_match": phone_match,
     "eval_status": eval_status, "eval_occurrences": eval_occurrences, "eval_duplicates": eval_duplicates, "eval_notes": eval_notes, "near_miss": near_miss, "merge_ranges": merge_ranges, "mask_text": mask_text,
     "mask_sequential": mask_sequential, "distinct_values": distinct_values, "pdf_text": pdf_text, "pdf_lines": pdf_lines, "pdf_line_match": pdf_line_match, "pdf_page_counts": pdf_page_counts, "pdf_item_match": pdf_item_match, "pdf_rects": pdf_rects,
-    "pdf_overlays": pdf_overlays, "pdf_position_rects": pdf_position_rects, "scanned_rects": scanned_rects, "image_fallback_rects": image_fallback_rects, "ocr_boxes": ocr_boxes, "reviewed_runs": reviewed_runs, "reviewed_json": reviewed_json,
+    "pdf_overlays": pdf_overlays, "pdf_position_rects": pdf_position_rects, "scanned_rects": scanned_rects, "image_fallback_rects": image_fallback_rects, "ocr_boxes": ocr_boxes, "reviewed_runs": reviewed_runs, "reviewed_json": reviewed_json, "reviewed_files": reviewed_files,
     "docx_mask": docx_mask, "docx_annotate": docx_annotate, "docx_runs": docx_runs, "file_texts": file_texts, "mask_files": mask_files, "page_texts": page_texts, "font_sizes": font_sizes, "red_marks": red_marks, "image_masks": image_masks,
 }

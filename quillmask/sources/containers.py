@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+NAMESPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_W = f"{{{NAMESPACE}}}"
 # The parts of a container that holds one document.
 _TYPES = (
     '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'

@@ -69,3 +69,26 @@ def test_contents_are_written_by_kind(spark, tmp_path):
     made = spark.createDataFrame([("a_MASKED.docx", bytearray(b"x")), ("b_MASKED.png", bytearray(b"y"))], "file_name string, content binary")
     files.write_contents(made, str(tmp_path / "out"))
     assert sorted((r.kind, r.file_name) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("docx", "a_MASKED.docx"), ("png", "b_MASKED.png")]
+
+
+def test_reports_as_word_files(spark):
+    from quillmask.operators import evaluate, report
+
+    dets = [{"type": "N", "value": "Ann"}, {"type": "N", "value": "Bob & <Co>"}]
+    docs = spark.createDataFrame([(1, "Ann met\nLee", '{"pii":[{"type":"N","value":"Ann"},\n{"type":"N","value":"Bob & <Co>"}]}', dets, "d")], f"doc_id int, text string, raw string, dets {detections.DETECTIONS}, name string")
+    ev = evaluate.evaluate(docs)
+    part = F.when(F.col("part") == "heading", 0).when(F.col("part") == "body", 1).when(F.col("part") == "appendix_heading", 2).otherwise(3)
+    made = report.as_documents(report.review_document(ev, half_pts=F.lit(22)), part).select(containers.document_text("content").alias("t"), "content").first()
+    assert made.t == "d — REVIEWED\n\nAnn met\nLee\n\nNot found in document (detected but no exact match):\n\nN: Bob & <Co>\n\n"
+    xml = zipfile.ZipFile(io.BytesIO(made.content)).read("word/document.xml").decode()
+    assert '<w:r><w:rPr><w:i/><w:color w:val="FF0000"/><w:sz w:val="22"/><w:u w:val="single"/></w:rPr><w:t xml:space="preserve">Ann</w:t></w:r>' in xml and xml.count("<w:p>") == 4
+    shown = report.as_documents(report.review_json(ev), F.col("line")).select(containers.document_text("content").alias("t"), "content").first()
+    assert shown.t.split("\n\n")[0] == '{"pii":[{"type":"N","value":"Ann"},' and "Bob & <Co>  — Not found in document." in shown.t
+    assert 'w:ascii="Courier New"' in zipfile.ZipFile(io.BytesIO(shown.content)).read("word/document.xml").decode()
+
+
+def test_detections_are_nested_beside_their_documents(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, text string")
+    rows = spark.createDataFrame([(1, 1, "B", None), (1, 0, "A", "x"), (3, 0, "C", "y")], "doc_id int, det_idx int, type string, value string")
+    out = {r.doc_id: [tuple(d) for d in r.dets] for r in detections.nest_detections(docs, rows).collect()}
+    assert out == {1: [("A", "x"), ("B", "")], 2: []}
