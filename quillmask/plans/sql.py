@@ -327,7 +327,7 @@ WITH {EVAL}, ranges AS (
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS INTEGER) AS seq, part, text, color, italics, underline, bold, CAST(NULL AS VARCHAR) AS font, CAST(half_pts AS INTEGER) AS half_pts FROM runs""",
     "reviewed_files": f"""
 WITH {EVAL}, lost AS (
-  SELECT doc_id, string_agg(type || ': ' || value, '' ORDER BY det_idx) AS items FROM ev JOIN det USING (doc_id, det_idx) WHERE bucket = 'notFound' GROUP BY doc_id
+  SELECT doc_id, string_agg(type || ': ' || ev.value, '' ORDER BY det_idx) AS items FROM ev JOIN det USING (doc_id, det_idx) WHERE bucket = 'notFound' GROUP BY doc_id
 )
 SELECT doc_id, array_to_string(list_filter(['d' || doc_id || ' — REVIEWED', CASE WHEN text <> '' THEN text END, CASE WHEN items IS NOT NULL THEN 'Not found in document (detected but no exact match):' END, items, ''], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS text
 FROM docs LEFT JOIN lost USING (doc_id)""",
