@@ -325,12 +325,6 @@ WITH {EVAL}, ranges AS (
   UNION ALL SELECT doc_id, 4, 2 * det_idx + 1, 'appendix', value, '7B3F00', true, false, false, 22 FROM ev WHERE bucket = 'notFound'
 )
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS INTEGER) AS seq, part, text, color, italics, underline, bold, CAST(NULL AS VARCHAR) AS font, CAST(half_pts AS INTEGER) AS half_pts FROM runs""",
-    "reviewed_files": f"""
-WITH {EVAL}, lost AS (
-  SELECT doc_id, string_agg(type || ': ' || ev.value, '' ORDER BY det_idx) AS items FROM ev JOIN det USING (doc_id, det_idx) WHERE bucket = 'notFound' GROUP BY doc_id
-)
-SELECT doc_id, array_to_string(list_filter(['d' || doc_id || ' — REVIEWED', CASE WHEN text <> '' THEN text END, CASE WHEN items IS NOT NULL THEN 'Not found in document (detected but no exact match):' END, items, ''], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS text
-FROM docs LEFT JOIN lost USING (doc_id)""",
     "reviewed_json": f"""
 WITH {_NOTED}, said AS (
   SELECT *, array_to_string(list_concat(list_filter([CASE bucket WHEN 'notFound' THEN 'Not found in document.' WHEN 'partials' THEN 'Partial/boundary mismatch.' END,
@@ -457,3 +451,8 @@ WITH boxes AS ({SQL["ocr_boxes"]}), blind AS (
 )
 SELECT doc_id, det_idx, value, x::DOUBLE AS x, y::DOUBLE AS y, width::DOUBLE AS width, height::DOUBLE AS height FROM boxes
 UNION ALL SELECT doc_id, det_idx, value, x, y, width, height FROM ({SQL["image_fallback_rects"]}) JOIN blind USING (doc_id)"""
+SQL["reviewed_files"] = f"""
+WITH runs AS ({SQL["reviewed_runs"]}), parts AS (
+  SELECT doc_id, min(seq) AS n, string_agg(text, '' ORDER BY seq) AS body FROM runs GROUP BY doc_id, part
+)
+SELECT doc_id, string_agg(body || chr(10) || chr(10), '' ORDER BY n) AS text FROM parts GROUP BY doc_id"""
