@@ -520,7 +520,8 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
         common.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=held))
 
 
-def test_components_with_hubs(spark):
+@pytest.mark.parametrize("hub_links", [0, 1_000_000])
+def test_components_with_hubs(spark, hub_links):
     from quillmask.llm.components import components
 
     rng = np.random.default_rng(6)
@@ -536,5 +537,5 @@ def test_components_with_hubs(spark):
     for u, v in edges:
         a, b = sorted((root(u), root(v)))
         part[b] = a
-    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert found == {x: root(x) for x in part if any(x in e and e[0] != e[1] for e in edges)} and components(spark.createDataFrame([], "u long, v long")).count() == 0
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), hub_links=hub_links).collect()}
+    assert found == {x: root(x) for x in part if any(x in e and e[0] != e[1] for e in edges)} and components(spark.createDataFrame([], "u long, v long"), hub_links=hub_links).count() == 0
