@@ -79,11 +79,11 @@ def _remove_all() -> None:
             _written.clear()
 
 
-def raw(column: pa.Array) -> list[bytes | None]:
-    """A string column's values as UTF-8 bytes, without decoding them."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+def raw(column: pa.Array, at_once: int = 500) -> Iterator[bytes | None]:
+    """A string column's values as UTF-8 bytes, without decoding them; so many are copied out of the batch at once."""
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    for at in range(0, len(column), at_once):
+        yield from column.slice(at, at_once).to_pylist()
 
 
 def ascii_lower(column):

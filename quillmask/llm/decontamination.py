@@ -17,7 +17,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,10 +160,10 @@ def _pieces(items: DataFrame, window: int, words: int) -> DataFrame:
     return cut_up.select("item", F.array_join(F.slice("words", F.col("at"), F.lit(words)), " ").alias("text"), "piece")
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, hits: pd.Series) -> pd.Series:
-    def one(t: str | None, spans: list) -> str | None:
-        if t is None or not len(spans):
+@F.arrow_udf(T.StringType())
+def _without(text: pa.Array, hits: pa.Array) -> pa.Array:
+    def one(t: str | None, spans: list | None) -> str | None:
+        if t is None or not spans:
             return t
         wanted = [(h["start"], h["end"] - 1) for h in spans]
         out, at, k, first = [], 0, 0, 0
@@ -178,7 +177,7 @@ def _without(text: pd.Series, hits: pd.Series) -> pd.Series:
                     break
         return "".join([*out, t[at:]])
 
-    return pd.Series([one(t, h) for t, h in zip(text, hits, strict=True)], dtype=object)
+    return pa.array([one(t, h) for t, h in zip(text.to_pylist(), hits.to_pylist(), strict=True)], pa.string())
 
 
 def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
