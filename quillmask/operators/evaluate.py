@@ -6,11 +6,14 @@ look like joins and groupings (duplicates by trimmed value, occurrences by value
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
-from ..functions.spans import SPANS, let, located
+from ..functions.spans import SPANS, located
 
 FOUND = "array<struct<s:int,e:int,good:boolean,around:string>>"
 
@@ -28,21 +31,57 @@ def good_hits(value: Column, hits: Column) -> Column:
     return F.filter(hits, lambda h: (h.s == -1) | T.is_email(value) | h.good)
 
 
-def near_misses(text: Column, value: Column, least: float = 0.7, most: int = 3) -> Column:
-    """The first segments of the value's length and four more that are similar to it. Costs a banded edit distance at each position."""
-    n, size = F.length(value), F.length(text)
-    # interior segments differ by four insertions at the least, so short values can only match at the end
-    first = F.when((F.lit(1.0) - F.lit(4) / (n + 4).cast("double")) >= least, F.lit(1)).otherwise(F.greatest(F.lit(1), size - n - 3))
-    at = F.when(size >= n, F.sequence(first, size - n + 1)).otherwise(F.array().cast("array<int>"))
-
-    def alike(segment: Column) -> Column:
-        longer = F.greatest(n, F.length(segment))
-        # beyond the band the similarity is below the bound
-        distance = F.levenshtein(value, segment, 64)
-        return F.when(longer > 200, T.similarity(value, segment)).otherwise(F.when(distance >= 0, F.lit(1.0) - distance / longer.cast("double")).otherwise(0.0)) >= least
-
-    segments = let(F.split(text, "", -1), lambda chars: F.transform(at, lambda i: F.array_join(F.slice(chars, i, n + 4), "")))
-    return F.slice(F.filter(segments, alike), 1, most)
+def edits(a: str, b: str) -> int:
+    """The edit distance of two short strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def close_places(text: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+    """Where windows of the value's length and four more, in code points, are within most edits of it: the edit distance's table is filled for all windows at once, only as far from its diagonal as most."""
+    n, size = len(value), len(value) + 4
+    places = len(text) - size + 1
+    far = np.full(places, most + 1, np.int16)
+    row = [np.full(places, min(j, most + 1), np.int16) for j in range(size + 1)]
+    for i in range(1, n + 1):
+        new = [far] * (size + 1)
+        if i <= most:
+            new[0] = np.full(places, i, np.int16)
+        for j in range(max(1, i - most), min(size, i + most) + 1):
+            new[j] = np.minimum(np.minimum(row[j], new[j - 1]) + np.int16(1), row[j - 1] + (text[j - 1 : j - 1 + places] != value[i - 1]))
+        row = new
+    return np.flatnonzero(row[size] <= most)
+
+
+def near_places(text: str, value: str, least: float = 0.7, most: int = 3, at_once: int = 1 << 16) -> list[str]:
+    """The first segments of the value's length and four more that are similar to it (the last ones are shorter); none for an empty value or one that the text holds."""
+    n, size = len(value), len(text)
+    if not n or size < n or value in text:
+        return []
+    out: list[str] = []
+    # whole segments differ by four insertions at the least, so short values can only match at the end
+    allowed = max(k for k in range(n + 5) if 1.0 - k / (n + 4) >= least)
+    if allowed >= 4 and size >= n + 4:
+        codes, wanted = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for at in range(0, size - n - 3, at_once):
+            for p in close_places(codes[at : at + at_once + n + 3], wanted, allowed)[: most - len(out)].tolist():
+                out.append(text[at + p : at + p + n + 4])
+            if len(out) == most:
+                return out
+    for p in range(max(0, size - n - 3), size - n + 1):
+        if len(out) < most and 1.0 - edits(value, text[p:]) / max(n, size - p) >= least:
+            out.append(text[p:])
+    return out
+
+
+@F.arrow_udf(ArrayType(ArrayType(StringType())))
+def near_each(text: pa.Array, values: pa.Array) -> pa.Array:
+    """For each value its near misses in the text."""
+    return pa.array([[near_places(t or "", v or "") for v in own or ()] for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)], pa.list_(pa.list_(pa.string())))
 
 
 def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text_col: str = "text", dets_col: str = "dets") -> DataFrame:
@@ -59,6 +98,8 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
     base = base.withColumns({"_values": T.nfkc_all(values) if normalize else values, "_keys": T.nfkc_all(keys) if normalize else keys, "_stream": T.normalize_phone(F.col("_text"))})
     # all that walks along the text is found in one go; contexts are only looked at where no hit counts
     base = base.withColumn("_found", located(14 if suggest else None, only_bad=True)(F.col("_text"), F.col("_values")))
+    if suggest:
+        base = base.withColumn("_near", near_each(F.col("_text"), F.col("_values")))
     text, stream = F.col("_text"), F.col("_stream")
 
     def first(d: Column, i: Column) -> Column:
@@ -83,7 +124,7 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
         none = F.lit(None).cast("string")
         quoted = lambda near: F.array_join(F.transform(near, lambda s: F.concat(F.lit('"'), s, F.lit('"'))), ", ")
         if suggest:
-            near = near_misses(text, x.v)
+            near = F.get("_near", i)
             missing = F.when(F.size(near) > 0, F.concat(F.lit("Not found; nearest text candidates: "), quoted(near), F.lit(".")))
             around = F.filter(F.transform(x["all"], lambda h: h.around), lambda w: T.similarity(x.v, w) >= 0.75)
             close = F.when((bucket == "partials") & (F.size(around) > 0), F.concat(F.lit("Partial match near “…"), F.get(around, F.lit(0)), F.lit("…”. Consider boundary/spacing/diacritics issues.")))
@@ -104,7 +145,7 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
         )
 
     base = base.withColumn("results", F.transform("_first", second))
-    return base.withColumn(text_col, text).drop("_text", "_dets", "_values", "_keys", "_stream", "_found", "_first")
+    return base.withColumn(text_col, text).drop("_text", "_dets", "_values", "_keys", "_stream", "_found", "_near", "_first")
 
 
 def result_rows(evaluated: DataFrame, id_col: str = "doc_id") -> DataFrame:

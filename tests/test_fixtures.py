@@ -1,6 +1,7 @@
 """Literal edge cases, expected values by hand (FIXTURES.md, section 3)."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -78,9 +79,24 @@ def test_evaluation(spark):
 
 def test_near_misses(spark):
     value = "abcdefghijklmnopqrstuvwxyz"
-    found = one(spark, evaluate.near_misses(F.col("t"), F.col("v")), t="zz abcdefghijkXmnopqrstuvwxyz zz", v=value)
+    near = lambda **row: one(spark, F.get(evaluate.near_each(F.col("t"), F.array("v")), 0), **row)
+    found = near(t="zz abcdefghijkXmnopqrstuvwxyz zz", v=value)
     assert 1 <= len(found) <= 3 and "abcdefghijkXm" in found[0]
-    assert one(spark, evaluate.near_misses(F.col("t"), F.col("v")), t="ab", v=value) == []
+    assert near(t="ab", v=value) == [] and near(t=value, v=value) == [] and near(t="x", v="") == []
+
+
+def test_near_misses_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        value = "".join(rng.choice("abé😀 ") for _ in range(rng.randrange(1, 24)))
+        text = "".join(rng.choice("abé😀 ") for _ in range(rng.randrange(0, 60)))
+        if rng.random() < 0.7:
+            own = list(value)
+            own[rng.randrange(len(own))] = "q"
+            text = text[:20] + "".join(own) + text[20:]
+        n = len(value)
+        want = [] if value in text else [s for p in range(len(text) - n + 1) if 1.0 - evaluate.edits(value, s := text[p : p + n + 4]) / max(n, len(s)) >= 0.7][:3]
+        assert evaluate.near_places(text, value) == evaluate.near_places(text, value, at_once=7) == want, (text, value)
 
 
 def test_lines(spark):
