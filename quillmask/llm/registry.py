@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, licenses, lines, neighbours, packing, secrets, simhash, toxicity, warc
+from . import decontamination, divergence, hard_negatives, html, licenses, lines, neighbours, packing, repetition, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,5 +15,15 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_repetition": repetition.op11_repetition,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
+}
+SQL = {
+    "op5_line_dedup": lines.OP5_SQL,
+    "op7_warc_revisits": warc.OP7_SQL,
+    "op10_decontamination": decontamination.OP10_SQL,
+    "op11_repetition": repetition.OP11_SQL,
+    "op12_divergence": divergence.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
-SQL = {"op5_line_dedup": lines.OP5_SQL, "op7_warc_revisits": warc.OP7_SQL, "op10_decontamination": decontamination.OP10_SQL}
