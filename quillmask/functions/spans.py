@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from .automaton import masked_in_turn, starts_of, starts_of_each
 from .text import BOUNDARY, WS, variants
 
 SPANS = "array<struct<s:int,e:int>>"
@@ -38,14 +39,6 @@ def span(s: Column, e: Column) -> Column:
     return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
 
 
-def starts_of(text: str, value: str) -> Iterator[int]:
-    """Where the value stands, from left to right, none overlapping another; nowhere if it is empty."""
-    at = text.find(value) if value else -1
-    while at >= 0:
-        yield at
-        at = text.find(value, at + len(value))
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping and touching spans as one, by start."""
     out: list[tuple[int, int]] = []
@@ -81,6 +74,12 @@ def _pairs(column: pa.Array) -> list[list[tuple[int, int]] | None]:
     return [None if not ok else list(zip(s[a:b], e[a:b], strict=True)) for ok, a, b in zip(column.is_valid().to_pylist(), ends, ends[1:], strict=False)]
 
 
+def hits_of_each(text: str | None, values: list[str | None] | None) -> list[list[tuple[int, int]]]:
+    """The spans of each of the values in the text."""
+    own = [v or "" for v in values or ()]
+    return [[(at, at + len(v)) for at in starts] for v, starts in zip(own, starts_of_each(text or "", own), strict=True)]
+
+
 @F.arrow_udf(ArrayType(_SPAN))
 def find_all(text: pa.Array, value: pa.Array) -> pa.Array:
     """Every occurrence from left to right, none overlapping another; none of an empty value or in a null text."""
@@ -92,16 +91,17 @@ def located(extra: int | None = None, only_bad: bool = False) -> Callable[[Colum
     """A function of a text and an array of values: for each value an array of its occurrences as struct<s, e, good, around>. good: whether token boundaries stand at both ends. around: the text from extra characters
     before to extra after, null without extra, and with only_bad also where an occurrence is good."""
 
-    def one(text: str, value: str) -> Iterator[tuple]:
+    def one(text: str, value: str, starts: list[int]) -> Iterator[tuple]:
         n, size = len(value), len(text)
-        for s in starts_of(text, value):
+        for s in starts:
             e = s + n
             good = (s == 0 or bool(_EDGE.match(text, s - 1))) and (e == size or bool(_EDGE.match(text, e)))
             yield s, e, good, None if extra is None or (good and only_bad) else text[max(0, s - extra) : e + extra]
 
     @F.arrow_udf(ArrayType(ArrayType(_HIT)))
     def found(text: pa.Array, values: pa.Array) -> pa.Array:
-        rows = [[list(one(t or "", v or "")) for v in own or ()] for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)]
+        each = [(t or "", [v or "" for v in own or ()]) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)]
+        rows = [[list(one(t, v, starts)) for v, starts in zip(own, starts_of_each(t, own), strict=True)] for t, own in each]
         lists = [hits for row in rows for hits in row]
         s, e, good, around = zip(*(h for hits in lists for h in hits), strict=True) if any(lists) else ((), (), (), ())
         hits = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(good, pa.bool_()), pa.array(around, pa.string())], ["s", "e", "good", "around"])
@@ -112,7 +112,7 @@ def located(extra: int | None = None, only_bad: bool = False) -> Callable[[Colum
 
 @F.arrow_udf(ArrayType(ArrayType(_SPAN)))
 def _find_each(text: pa.Array, values: pa.Array) -> pa.Array:
-    rows = [[[(at, at + len(v)) for at in starts_of(t or "", v or "")] for v in own or ()] for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)]
+    rows = [hits_of_each(t, own) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)]
     return _lists(rows, _spans([hits for row in rows for hits in row]))
 
 
@@ -124,7 +124,7 @@ def find_variants(text: Column, value: Column) -> Column:
 @F.arrow_udf(ArrayType(_SPAN))
 def marked(text: pa.Array, values: pa.Array) -> pa.Array:
     """Where any of the values stands, overlapping and touching places as one."""
-    return _spans([merged([(at, at + len(v)) for v in dict.fromkeys(own or ()) for at in starts_of(t or "", v or "")]) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)])
+    return _spans([merged([hit for hits in hits_of_each(t, [*dict.fromkeys(own or ())]) for hit in hits]) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)])
 
 
 @F.arrow_udf(ArrayType(_SPAN))
@@ -170,10 +170,7 @@ def mask_each(text: Column, values: Column) -> Column:
 
 
 def masked_each(text: str, values: list[str]) -> str:
-    for v in values:
-        if v and v in text:
-            text = text.replace(v, masked(v))
-    return text
+    return masked_in_turn(text, [v for v in values if v], "X", lambda c: not _NO_WS.match(c))
 
 
 @F.arrow_udf(StringType())

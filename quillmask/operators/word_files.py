@@ -1,18 +1,17 @@
-"""Word-processor documents: masking, annotation and runs of their main part.
+"""Word-processor documents: masking and annotation of their main part.
 
-The XML is worked on row by row, without a shuffle: annotation and runs by column expressions, masking by one pass along the XML, in Arrow batches. Text elements are rebuilt by position, never by replacing what happens to
+The XML is worked on row by row, without a shuffle: annotation by column expressions, masking by one pass along the XML, in Arrow batches. Text elements are rebuilt by position, never by replacing what happens to
 look like them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions.spans import let, masked_each
@@ -101,43 +100,6 @@ def annotate_xml(xml: Column, text: Column, values: Column) -> Column:
     return F.aggregate(F.filter(values, lambda v: v != ""), xml, every)
 
 
-def runs(xml: Column) -> Column:
-    """The runs of the body's own paragraphs, tables left out: array<struct<p, r, n_ws, text>>."""
-    body = F.regexp_replace(F.regexp_extract(xml, r"(?s)<w:body>(.*)</w:body>", 1), r"(?s)<w:tbl>.*?</w:tbl>", "")
-    paragraphs = F.regexp_extract_all(body, F.lit(r"(?s)<w:p(?:\s[^>]*)?>(.*?)</w:p>"), F.lit(1))
-
-    def one(run: Column) -> tuple[Column, Column]:
-        marks = F.size(F.regexp_extract_all(run, F.lit(r"<w:(?:tab|br)(?:\s[^>]*)?/?>"), F.lit(0)))
-        return marks, F.regexp_extract(run, r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>", 1)
-
-    def of(p: Column, i: Column) -> Column:
-        inner = F.regexp_extract_all(p, F.lit(r"(?s)<w:r(?:\s[^>]*)?>(.*?)</w:r>"), F.lit(1))
-        return F.transform(inner, lambda r, j: F.struct(i.cast("int").alias("p"), j.cast("int").alias("r"), one(r)[0].alias("n_ws"), one(r)[1].alias("text")))
-
-    return F.flatten(F.transform(paragraphs, of))
-
-
-@F.arrow_udf(ArrayType(IntegerType()))
-def _run_starts(marks: pa.Array, sizes: pa.Array) -> pa.Array:
-    def one(own: list[int], lengths: list[int]) -> Iterator[int]:
-        at = 0
-        for n, size in zip(own, lengths, strict=True):
-            at += n
-            at += at > 0 and size > 0
-            yield at
-            at += size
-
-    return pa.array([None if m is None else list(one(m, s)) for m, s in zip(marks.to_pylist(), sizes.to_pylist(), strict=True)], pa.list_(pa.int32()))
-
-
-def run_rows(parts: DataFrame) -> DataFrame:
-    """(doc_id, p, r, n_ws, text, start, end): each run's place in the flattened text, in which tabs and breaks are blanks and a blank stands between any two texts."""
-    main = parts.where(F.col("part") == "word/document.xml").select("doc_id", runs(F.col("xml")).alias("_runs"))
-    placed = main.withColumn("_starts", _run_starts(F.transform("_runs", lambda x: x.n_ws), F.transform("_runs", lambda x: F.length(x.text))))
-    out = placed.select("doc_id", F.explode_outer(F.arrays_zip("_runs", "_starts")).alias("x")).where("x is not null")
-    return out.select("doc_id", "x._runs.*", F.col("x._starts").alias("start"), (F.col("x._starts") + F.length("x._runs.text")).alias("end"))
-
-
 def default_half_points(styles: Column) -> Column:
     """The default font size of word/styles.xml in half points, null if it names none."""
     default = F.regexp_extract(styles, r"(?s)<w:docDefaults>.*?<w:rPrDefault>(.*?)</w:rPrDefault>", 1)

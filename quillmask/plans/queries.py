@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.spans import find_all, find_variants, located
 from ..operators import evaluate as E
-from ..operators import file_masking, images, masking, pages, report, word_files
+from ..operators import file_masking, images, masking, pages, report, word_files, word_tree
 from ..sources import containers, files, harness
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,7 +196,12 @@ def docx_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_files.run_rows(harness.word_parts(spark, sf_dir))
+    return word_tree.run_rows(harness.nested_parts(spark, sf_dir))
+
+
+def docx_styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit of the detections styled, over as many runs as it reaches."""
+    return word_tree.style_parts(harness.nested_parts(spark, sf_dir), F.transform("dets", lambda d: d.value)).select("doc_id", "xml")
 
 
 def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,5 +239,5 @@ QUERIES: dict[str, Query] = {
     "eval_status": eval_status, "eval_occurrences": eval_occurrences, "eval_duplicates": eval_duplicates, "eval_notes": eval_notes, "near_miss": near_miss, "merge_ranges": merge_ranges, "mask_text": mask_text,
     "mask_sequential": mask_sequential, "distinct_values": distinct_values, "pdf_text": pdf_text, "pdf_lines": pdf_lines, "pdf_line_match": pdf_line_match, "pdf_page_counts": pdf_page_counts, "pdf_item_match": pdf_item_match, "pdf_rects": pdf_rects,
     "pdf_overlays": pdf_overlays, "pdf_position_rects": pdf_position_rects, "scanned_rects": scanned_rects, "image_fallback_rects": image_fallback_rects, "ocr_boxes": ocr_boxes, "reviewed_runs": reviewed_runs, "reviewed_json": reviewed_json, "reviewed_files": reviewed_files,
-    "docx_mask": docx_mask, "docx_annotate": docx_annotate, "docx_runs": docx_runs, "file_texts": file_texts, "mask_files": mask_files, "page_texts": page_texts, "font_sizes": font_sizes, "red_marks": red_marks, "image_masks": image_masks,
+    "docx_mask": docx_mask, "docx_annotate": docx_annotate, "docx_runs": docx_runs, "docx_styled": docx_styled, "file_texts": file_texts, "mask_files": mask_files, "page_texts": page_texts, "font_sizes": font_sizes, "red_marks": red_marks, "image_masks": image_masks,
 }

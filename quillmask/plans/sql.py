@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import BOUNDARY, STOP_WORDS, WS
+from ..sources.harness import TABLE
 
 _WS = WS.replace(r"\x0B", r"\x{0B}")
 _TRIM = rf"\A[{_WS}]+|[{_WS}]+\z"
@@ -195,6 +196,20 @@ _PIECES = f"""{BASE}, escaped AS (
 ), pieces AS (
   SELECT doc_id, p, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS r, unnest(parts) AS piece FROM cut
 )"""
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+#: pieces: the runs of the derived nested documents; p is null in content controls.
+_NESTED = f"""{BASE}, lined AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM docs
+), paragraphs AS (
+  SELECT *, CASE WHEN line_no % 11 <> 10 THEN CAST(line_no - line_no // 11 AS INTEGER) END AS p FROM lined
+), pieces AS (
+  SELECT doc_id, line_no, p, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS r, unnest(parts) AS piece FROM (SELECT *, regexp_extract_all(line, '(?s).{{1,7}}') AS parts FROM paragraphs)
+)"""
 #: hit: the items that hold each matched value, numbered. No line of the derived pages has a run of items with a label; those are held against a plain version in the tests.
 _STRICT_CARD = rf"regexp_matches(value, {_q(rf'\A[0-9]{{4}}[{_WS}][0-9]{{4}}[{_WS}][0-9]{{4}}[{_WS}][0-9]{{4}}\z')})"
 
@@ -337,9 +352,45 @@ WITH {_NOTED}, said AS (
 )
 SELECT doc_id, 0 AS line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY det_idx, b) - 1 AS INTEGER) AS seq, text, color, italics, false AS underline, false AS bold, 'Courier New' AS font, CAST(NULL AS INTEGER) AS half_pts FROM runs""",
     "docx_runs": f"""
-WITH {_PIECES}
-SELECT doc_id, p, r, 0 AS n_ws, piece AS text, CAST(sum(length(piece)) OVER w - length(piece) + row_number() OVER w - 1 AS INTEGER) AS start, CAST(sum(length(piece)) OVER w + row_number() OVER w - 1 AS INTEGER) AS "end"
-FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY p, r)""",
+WITH {_NESTED}
+SELECT doc_id, p, r, CAST(r % 5 = 4 AS INTEGER) AS n_ws, {_escaped("piece")} AS text, CAST(sum(length({_escaped("piece")})) OVER w - length({_escaped("piece")}) + row_number() OVER w - 1 + sum(CAST(r % 5 = 4 AS INTEGER)) OVER w AS INTEGER) AS start,
+  CAST(sum(length({_escaped("piece")})) OVER w + row_number() OVER w - 1 + sum(CAST(r % 5 = 4 AS INTEGER)) OVER w AS INTEGER) AS "end"
+FROM pieces WHERE p IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY p, r)""",
+    "docx_styled": f"""
+WITH {_NESTED}, own AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM paragraphs WHERE p IS NOT NULL GROUP BY doc_id
+), wanted AS (
+  SELECT DISTINCT o.doc_id, o.text, d.value FROM own o JOIN det d USING (doc_id) WHERE d.value <> ''
+), {hits("wanted", name="wh")}, spans AS (
+  SELECT DISTINCT doc_id, s, e FROM wh
+), above AS (
+  SELECT doc_id, p, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM paragraphs WHERE p IS NOT NULL
+), placed AS (
+  SELECT x.*, base + 7 * r AS a, base + 7 * r + length(piece) AS b FROM pieces x JOIN above USING (doc_id, p)
+), over AS (
+  SELECT x.doc_id, x.p, x.r, x.a, x.b, h.s, h.e FROM placed x JOIN spans h ON x.doc_id = h.doc_id AND h.s < x.b AND h.e > x.a
+), judged AS (
+  SELECT doc_id, s, e, bool_and(r % 3 = 1) AS red FROM over GROUP BY ALL
+), bounds AS (
+  SELECT DISTINCT doc_id, p, r, unnest([a, b, greatest(a, s), least(b, e)]) AS place FROM over
+), stretches AS (
+  SELECT *, lead(place) OVER (PARTITION BY doc_id, p, r ORDER BY place) AS upto, row_number() OVER (PARTITION BY doc_id, p, r ORDER BY place) AS k FROM bounds
+), ruled AS (
+  SELECT t.doc_id, t.p, t.r, t.k, t.place, t.upto, arg_max(j.red, (j.s::BIGINT * 10000000 + j.e)) AS red
+  FROM stretches t LEFT JOIN judged j ON j.doc_id = t.doc_id AND j.s <= t.place AND j.e >= t.upto WHERE t.upto IS NOT NULL GROUP BY ALL
+), redone AS (
+  SELECT doc_id, p, r, string_agg('<w:r>' || CASE
+      WHEN red IS NULL THEN CASE WHEN r % 3 = 1 THEN '<w:rPr><w:b/><w:color w:val="FF0000"/></w:rPr>' ELSE '' END
+      ELSE '<w:rPr>' || CASE WHEN r % 3 = 1 THEN '<w:b/>' ELSE '' END || CASE WHEN red THEN '<w:i/><w:u w:val="single"/><w:color w:val="FF0000"/>' ELSE '<w:u w:val="single"/><w:color w:val="7B3F00"/>' END || '</w:rPr>' END
+    || CASE WHEN k = 1 AND r % 5 = 4 THEN '<w:tab/>' ELSE '' END || '<w:t xml:space="preserve">' || {_escaped("substring(piece, CAST(place - a AS BIGINT) + 1, CAST(upto - place AS BIGINT))")} || '</w:t></w:r>', '' ORDER BY k) AS xml
+  FROM ruled JOIN placed USING (doc_id, p, r) GROUP BY ALL
+), lines AS (
+  SELECT c.doc_id, c.line_no, '<w:p>' || coalesce(string_agg(coalesce(d.xml, '<w:r>' || CASE WHEN c.r % 3 = 1 THEN '<w:rPr><w:b/><w:color w:val="FF0000"/></w:rPr>' ELSE '' END || CASE WHEN c.r % 5 = 4 THEN '<w:tab/>' ELSE '' END
+    || '<w:t xml:space="preserve">' || {_escaped("c.piece")} || '</w:t></w:r>'), '' ORDER BY c.r), '') || '</w:p>' AS xml
+  FROM (SELECT q.doc_id, q.line_no, q.p, x.r, x.piece FROM paragraphs q LEFT JOIN pieces x USING (doc_id, line_no)) c LEFT JOIN redone d ON d.doc_id = c.doc_id AND d.p = c.p AND d.r = c.r GROUP BY c.doc_id, c.line_no
+)
+SELECT doc_id, '<w:document><w:body>' || string_agg(CASE WHEN line_no % 4 = 3 THEN '{TABLE}' ELSE '' END || CASE WHEN line_no % 11 = 10 THEN '<w:sdt><w:sdtContent>' || xml || '</w:sdtContent></w:sdt>' ELSE xml END, '' ORDER BY line_no) || '</w:body></w:document>' AS xml
+FROM lines GROUP BY doc_id""",
     "docx_mask": f"""
 WITH {_PIECES}, nodes AS (
   SELECT *, NOT regexp_matches(piece, '[\\r\\x{{2028}}\\x{{2029}}]') AS node FROM pieces
