@@ -49,6 +49,25 @@ def starts_of_each(text: str, values: list[str], many: int = MANY) -> list[list[
     return [found[v] for v in values]
 
 
+def every_start_of_each(text: str, values: list[str], many: int = MANY) -> list[list[int]]:
+    """Where each of the values stands, overlaps included."""
+    if len(values) < many:
+        out = []
+        for v in values:
+            places, at = [], text.find(v) if v else -1
+            while at >= 0:
+                places.append(at)
+                at = text.find(v, at + 1)
+            out.append(places)
+        return out
+    distinct = tuple(dict.fromkeys(values))
+    found: dict[str, list[int]] = {v: [] for v in distinct}
+    made = automaton(distinct)
+    for last, i in made.iter(text) if made is not None and text else ():
+        found[distinct[i]].append(last + 1 - len(distinct[i]))
+    return [found[v] for v in values]
+
+
 def masked_in_turn(text: str, values: list[str], mask: str, is_blank, many: int = MANY) -> str:
     """Each value in turn replaced, wherever it stands in what the ones before left, by the mask character in place of what isn't blank.
 

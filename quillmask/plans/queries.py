@@ -186,6 +186,13 @@ def reviewed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.review_json(E.evaluate(parsed))
 
 
+def reviewed_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviewed JSON as word-processor files, and their text as it is read again."""
+    docs = harness.documents_with_json(spark, sf_dir).withColumn("name", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".json")))
+    evaluated = E.evaluate(docs.withColumn("dets", harness.parse_detections(F.col("raw"))))
+    return report.json_documents(evaluated).select("doc_id", containers.document_text("content").alias("text"))
+
+
 def docx_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_files.mask_parts(harness.word_parts(spark, sf_dir)).select("doc_id", "part", "xml")
 
@@ -238,6 +245,6 @@ QUERIES: dict[str, Query] = {
     "file_kinds": file_kinds, "parse_detections": parse_detections, "scalar_predicates": scalar_predicates, "find_all": find_all_hits, "find_all_variants": find_variant_hits, "token_boundary": token_boundary, "phone_match": phone_match,
     "eval_status": eval_status, "eval_occurrences": eval_occurrences, "eval_duplicates": eval_duplicates, "eval_notes": eval_notes, "near_miss": near_miss, "merge_ranges": merge_ranges, "mask_text": mask_text,
     "mask_sequential": mask_sequential, "distinct_values": distinct_values, "pdf_text": pdf_text, "pdf_lines": pdf_lines, "pdf_line_match": pdf_line_match, "pdf_page_counts": pdf_page_counts, "pdf_item_match": pdf_item_match, "pdf_rects": pdf_rects,
-    "pdf_overlays": pdf_overlays, "pdf_position_rects": pdf_position_rects, "scanned_rects": scanned_rects, "image_fallback_rects": image_fallback_rects, "ocr_boxes": ocr_boxes, "reviewed_runs": reviewed_runs, "reviewed_json": reviewed_json, "reviewed_files": reviewed_files,
+    "pdf_overlays": pdf_overlays, "pdf_position_rects": pdf_position_rects, "scanned_rects": scanned_rects, "image_fallback_rects": image_fallback_rects, "ocr_boxes": ocr_boxes, "reviewed_runs": reviewed_runs, "reviewed_json": reviewed_json, "reviewed_files": reviewed_files, "reviewed_json_files": reviewed_json_files,
     "docx_mask": docx_mask, "docx_annotate": docx_annotate, "docx_runs": docx_runs, "docx_styled": docx_styled, "file_texts": file_texts, "mask_files": mask_files, "page_texts": page_texts, "font_sizes": font_sizes, "red_marks": red_marks, "image_masks": image_masks,
 }

@@ -507,3 +507,6 @@ WITH runs AS ({SQL["reviewed_runs"]}), parts AS (
   SELECT doc_id, min(seq) AS n, string_agg(text, '' ORDER BY seq) AS body FROM runs GROUP BY doc_id, part
 )
 SELECT doc_id, string_agg(body || chr(10) || chr(10), '' ORDER BY n) AS text FROM parts GROUP BY doc_id"""
+SQL["reviewed_json_files"] = f"""
+WITH runs AS ({SQL["reviewed_json"]})
+SELECT doc_id, 'd' || doc_id || '.json — REVIEWED' || repeat(chr(10), 4) || string_agg(text, '' ORDER BY seq) || chr(10) || chr(10) AS text FROM runs GROUP BY doc_id"""
