@@ -39,7 +39,7 @@ def encoder(vocabulary: str) -> Callable[[bytes], np.ndarray]:
     """Text to ids, for a byte-level BPE file of the tokenizers library.
 
     With the same vocabulary as ranks beside it (.tiktoken), texts of the scripts on which both libraries split alike are encoded from the ranks, which is several times
-    faster and gives the same ids; all other texts, and those with a run of SAFE_RUN or more blanks, for which the other library's stack is too small, go through tokenizers itself.
+    faster and gives the same ids; all other texts, those that hold an added token of the vocabulary, and those with a run of SAFE_RUN or more blanks, for which the other library's stack is too small, go through tokenizers itself.
     """
     import os
     import re
@@ -47,7 +47,6 @@ def encoder(vocabulary: str) -> Callable[[bytes], np.ndarray]:
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(vocabulary)
-    whole.encode_special_tokens = True
     exact = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
     ranks = vocabulary.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
@@ -58,7 +57,9 @@ def encoder(vocabulary: str) -> Callable[[bytes], np.ndarray]:
     with open(ranks, "rb") as file:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    other = re.compile("[^\t\n\r -~¡-ɏ‐-‧€]|(?<![\t\n\r ])[\t\n\r ]{%d}" % SAFE_RUN)
+    # the vocabulary's added tokens, as <|endoftext|>, are ids of their own wherever they stand in a text
+    added = "".join("|" + re.escape(token.content) for token in whole.get_added_tokens_decoder().values())
+    other = re.compile("[^\t\n\r -~¡-ɏ‐-‧€]|(?<![\t\n\r ])[\t\n\r ]{%d}%s" % (SAFE_RUN, added))
 
     def encode(data: bytes) -> np.ndarray:
         text = data.decode()
