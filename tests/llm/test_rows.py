@@ -161,6 +161,9 @@ def test_densities_choose_without_telling_tags(spark):
     assert all(np.mean(x) >= least[name] for name, x in same.items()), {k: np.mean(x) for k, x in same.items()}
 
 
+LONG = "A sentence of the article, long enough to be its text, and one more of the kind. " * 4
+
+
 def plain_densities(page):
     """(tag, density, sum of the children's densities) of every kept block with text, counted by walking each one's subtree on its own."""
     tree, out = page.tree, {}
@@ -182,7 +185,7 @@ def plain_densities(page):
     for i in range(len(tree.tag)):
         c, lc, t, lt = walk(i, linked(i)) if page.keep[i] else (0, 0, 0, 0)
         t = max(1, t)
-        out[i] = c / t * math.log(c / max(1, lc) * t / max(1, lt)) / math.log(c / max(1, c - lc) * lc + whole[1] / max(1, whole[0]) * c + math.e) if c > 1 else 0.0
+        out[i] = page.weight[i] * c / t * math.log(c / max(1, lc) * t / max(1, lt)) / math.log(c / max(1, c - lc) * lc + whole[1] / max(1, whole[0]) * c + math.e) if c > 1 else 0.0
 
     def blocks(i):
         for k in kids(i):
@@ -202,7 +205,123 @@ def test_densities_by_counting_again(spark, data):
         assert all(abs(page.density[i] - x) < 1e-9 for i, x in density.items()) and all(abs(page.total[i] - x) < 1e-9 for i, x in total.items())
 
 
-LONG = "A sentence of the article, long enough to be its text, and one more of the kind. " * 4
+def plain_choice(page):
+    """The text of the article, chosen from counts of its own: level by level from the densest sum to the body, with sets in place of places."""
+    tree, (density, total) = page.tree, plain_densities(page)
+    kids = lambda i: [x for x in tree.content[i] if isinstance(x, int) and page.keep[x]]
+    under = lambda i: [i, *(y for x in kids(i) for y in under(x))]
+    letters = lambda i: sum(len(re.sub(r"\s", "", x)) for k in under(i) for x in tree.content[k] if isinstance(x, str))
+    in_links = lambda i, on=False: sum((len(re.sub(r"\s", "", x)) if on or tree.tag[i] == "a" else 0) if isinstance(x, str) else in_links(x, on or tree.tag[i] == "a") if page.keep[x] else 0 for x in tree.content[i])
+    block = lambda i: tree.tag[i] not in html.INLINE
+    linked = lambda i: 2 * in_links(i) > letters(i)
+    prose = lambda i: any(tree.tag[k] in html.TEXTY for k in under(i))
+    headed = lambda i: any(tree.tag[k] in html.HEADINGS for k in under(i))
+    live = [i for i in under(page.body) if block(i) and letters(i)]
+    if not live:
+        return ""
+    core = sorted(live, key=lambda i: (-total[i], -density[i], i))[0]
+    way, i = [core], core
+    while i not in (page.body, 0):
+        i = tree.parent[i]
+        if block(i) or i == 0:
+            way.append(i)
+    threshold = min(density[i] for i in way)
+
+    def siblings(parent, sure, least):
+        own = [x for x in kids(parent) if letters(x)]
+        kind = lambda x: (tree.tag[x], tree.attrs[x].get("class", ""))
+        same = {kind(x) for x in sure if kind(x)[1] or tree.tag[x] == "section"}
+        written = bool(own) and prose((sure or [max(own, key=lambda x: density[x])])[0])
+        unmarked = {x for x in own if page.weight[x] >= page.weight[parent]}
+        taken = {x for x in own if x in sure or (not linked(x) and ((density[x] >= least and (prose(x) or not written)) or (x in unmarked and kind(x) in same)))}
+        if not taken:
+            return None
+        edge = [i for i, x in enumerate(own) if x in taken]
+        first, last = edge[0], edge[-1]
+        near = lambda x: x in unmarked and not linked(x) and (tree.tag[x] in html.TEXTY or headed(x) or not block(x))
+        first = next((i + 1 for i in range(first - 1, -1, -1) if not near(own[i])), 0)
+        last = next((i - 1 for i in range(last + 1, len(own)) if not near(own[i])), len(own) - 1)
+        out = [x for x in own[first : last + 1] if x in taken or (x in unmarked and (not linked(x) or tree.tag[x] in html.TEXTY - {"ul", "ol", "table"}))]
+        return None if len(out) == len(own) else out
+
+    chosen = [core]
+    if letters(core) == letters(page.body) and tree.tag[core] not in html.TEXTY | {"article", "main"}:
+        chosen = siblings(core, [], min(density[core], max((density[x] for x in kids(core)), default=0.0) / 4)) or [core]
+    for low, high in zip(way, way[1:]):
+        if tree.tag[high] == "article":
+            chosen = [high]
+            continue
+        held = next(x for x in kids(high) if low in under(x))
+        own = siblings(high, [held], threshold)
+        if own is None and chosen == [low]:
+            chosen = [high]
+        else:
+            chosen = [y for x in (own or [x for x in kids(high) if letters(x)]) for y in (chosen if x == held else [x])]
+
+    def lines(i, top):
+        """Texts of blocks, None where one ends."""
+        for x in tree.content[i]:
+            if isinstance(x, str):
+                yield x
+            elif page.keep[x] and not (block(x) and page.weight[x] < page.weight[top] and density[x] < threshold):
+                if tree.tag[x] == "br":
+                    yield " "
+                elif block(x):
+                    yield None
+                yield from lines(x, top)
+                if block(x):
+                    yield None
+
+    parts = [None]
+    for x in chosen:
+        parts += [None, *lines(x, x), None]
+    text = "".join("\0" if x is None else x for x in parts)
+    return "\n".join(" ".join(x.split()) for x in text.split("\0") if x.split())
+
+
+def test_choice_by_a_plain_version(spark, data):
+    pages = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").select("html").collect() if r.html and len(r.html) < 8_000]
+    made = [f"<body>{a}<div id=x>{b}<p>{LONG}</p>{c}</div>{a}{d}</body>" for a in ("", "<div><p>Some words of a menu</p></div>", "<nav><a href=1>a</a> <a href=2>b</a></nav>") for b in ("", "<h1>H</h1>", f"<div class=ad>{LONG}</div>") for c in ("", f"<p>{LONG}</p>", "<div>bare</div><b>bold</b>") for d in ("", f"<section><p>{LONG}</p></section>", f"<div class=comments><p>{LONG}</p></div>")]
+    texts = [PAGE, *made, *pages[:40], *(other for page in pages[:10] for _, other, _ in variants(page))]
+    for text in texts:
+        page = html.Page(html.parse(text))
+        assert page.text(page.article()) == plain_choice(page), text[:2000]
+
+
+def test_densities_decide(spark):
+    """With random densities and sums in their place, a third of the pages at least has another text."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").limit(400).collect() if r.html]
+    rng, other = np.random.default_rng(1), 0
+    for text in pages:
+        page = html.Page(html.parse(text))
+        page.density, page.total = rng.random(len(page.density)).tolist(), rng.random(len(page.total)).tolist()
+        other += page.text(page.article()) != html.main_text(text)
+    assert 3 * other > len(pages)
+
+
+@pytest.mark.parametrize("kept", ['<p id="market-share">Zed.</p>', '<h2 id="reply">Zed.</h2>', '<h2 id="the-banner">Zed.</h2>', '<section id="editors-comment"><p>Zed word.</p></section>', '<p class="notice">Zed.</p>'])
+def test_names_take_nothing_out_of_an_article(kept):
+    assert "Zed" in html.main_text(f"<body><nav><a href=/>Home</a></nav><article><h1>T</h1><p>{LONG}</p>{kept}<p>{LONG}</p></article><footer>(c)</footer></body>")
+    assert "Zed" in html.main_text(f"<article><p>{LONG}</p>{kept}</article>")
+
+
+SAID = "<p>Zed said at length that it is so and so and so.</p>"
+
+
+@pytest.mark.parametrize("beside", [f'<div class="responses"><h3>3 responses</h3>{SAID}</div>', f'<div class="user-talk">{SAID}</div>', '<div class="ad">Zed buy this.</div>', f"<div><h3>3 Kommentare</h3>{SAID}</div>", f'<section class="comments"><article class="comment">{SAID * 9}</article></section>', "<nav><a href=1>Zed</a> <a href=2>Zed</a></nav>", '<div class="share">Zed this</div>', f"<form>{SAID}<input></form>", f"<aside>{SAID * 9}</aside>"])
+def test_what_stands_beside_an_article_goes(beside):
+    for page in (f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>{beside}", f"<article><p>{LONG}</p>{beside}<p>{LONG}</p></article>", f"<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p>{beside}</div>"):
+        text = html.main_text(f"<body><nav><a href=/>Home</a></nav>{page}<footer>(c)</footer></body>")
+        assert "Zed" not in text and text.count(LONG.strip()) == 2
+
+
+@pytest.mark.parametrize("markup", ["<u>x</i>", "<center>", "<center><b>", "<!--", "<", '<a "', '<a ">', "<a b='", "<?", "<div>x", "<![foo ", "<script>", "<li><ul>x", "</", "&", "<table><td>x", "</p><div><p>a</p>", "<b>"])
+def test_any_markup_is_read_in_time(markup):
+    began = time.time()
+    html.main_text("<body><article>" + markup * (400_000 // len(markup)) + "<p>x")
+    assert time.time() - began < 4
+
+
 
 
 @pytest.mark.parametrize(("page", "want"), [
@@ -309,8 +428,9 @@ def test_packing_round_trip(spark, data):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.vocabulary_path())
-    whole.encode_special_tokens = True
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    special = spark.createDataFrame([(-1, "<|endoftext|>"), (-2, "a<|endoftext|> b <|endoftext|"), (-3, "ünïcödé 日本 <|endoftext|>\n")], "doc_id long, text string")
+    assert whole.encode("a<|endoftext|>", add_special_tokens=False).ids == [64, 50256]
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(special)
     rows = packing.pack(docs, packing.vocabulary_path(), with_ids=True).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
