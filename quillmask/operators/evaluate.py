@@ -6,13 +6,15 @@ look like joins and groupings (duplicates by trimmed value, occurrences by value
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
+from ..functions.edits import close_windows, distance
 from ..functions.spans import SPANS, located
 
 FOUND = "array<struct<s:int,e:int,good:boolean,around:string>>"
@@ -31,33 +33,7 @@ def good_hits(value: Column, hits: Column) -> Column:
     return F.filter(hits, lambda h: (h.s == -1) | T.is_email(value) | h.good)
 
 
-def edits(a: str, b: str) -> int:
-    """The edit distance of two short strings."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def close_places(text: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
-    """Where windows of the value's length and four more, in code points, are within most edits of it: the edit distance's table is filled for all windows at once, only as far from its diagonal as most."""
-    n, size = len(value), len(value) + 4
-    places = len(text) - size + 1
-    far = np.full(places, most + 1, np.int16)
-    row = [np.full(places, min(j, most + 1), np.int16) for j in range(size + 1)]
-    for i in range(1, n + 1):
-        new = [far] * (size + 1)
-        if i <= most:
-            new[0] = np.full(places, i, np.int16)
-        for j in range(max(1, i - most), min(size, i + most) + 1):
-            new[j] = np.minimum(np.minimum(row[j], new[j - 1]) + np.int16(1), row[j - 1] + (text[j - 1 : j - 1 + places] != value[i - 1]))
-        row = new
-    return np.flatnonzero(row[size] <= most)
-
-
-def near_places(text: str, value: str, least: float = 0.7, most: int = 3, at_once: int = 1 << 16) -> list[str]:
+def near_places(text: str, value: str, least: float = 0.7, most: int = 3) -> list[str]:
     """The first segments of the value's length and four more that are similar to it (the last ones are shorter); none for an empty value or one that the text holds."""
     n, size = len(value), len(text)
     if not n or size < n or value in text:
@@ -65,15 +41,10 @@ def near_places(text: str, value: str, least: float = 0.7, most: int = 3, at_onc
     out: list[str] = []
     # whole segments differ by four insertions at the least, so short values can only match at the end
     allowed = max(k for k in range(n + 5) if 1.0 - k / (n + 4) >= least)
-    if allowed >= 4 and size >= n + 4:
-        codes, wanted = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for at in range(0, size - n - 3, at_once):
-            for p in close_places(codes[at : at + at_once + n + 3], wanted, allowed)[: most - len(out)].tolist():
-                out.append(text[at + p : at + p + n + 4])
-            if len(out) == most:
-                return out
+    if allowed >= 4:
+        out = [text[p : p + n + 4] for p in islice(close_windows(text, value, n + 4, allowed), most)]
     for p in range(max(0, size - n - 3), size - n + 1):
-        if len(out) < most and 1.0 - edits(value, text[p:]) / max(n, size - p) >= least:
+        if len(out) < most and 1.0 - distance(value, text[p:]) / max(n, size - p) >= least:
             out.append(text[p:])
     return out
 
