@@ -66,7 +66,7 @@ def _spans(rows: list[list[tuple[int, int]] | None]) -> pa.Array:
     return _lists(rows, pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["s", "e"]))
 
 
-def _pairs(column: pa.Array) -> list[list[tuple[int, int]] | None]:
+def span_lists(column: pa.Array) -> list[list[tuple[int, int]] | None]:
     """The rows of an array of spans."""
     flat = column.flatten()
     s, e = flat.field("s").to_pylist(), flat.field("e").to_pylist()
@@ -130,7 +130,7 @@ def marked(text: pa.Array, values: pa.Array) -> pa.Array:
 @F.arrow_udf(ArrayType(_SPAN))
 def merge_spans(spans: pa.Array) -> pa.Array:
     """Overlapping and touching spans as one, by start."""
-    return _spans([None if r is None else merged(r) for r in _pairs(spans)])
+    return _spans([None if r is None else merged(r) for r in span_lists(spans)])
 
 
 @F.arrow_udf(StringType())
@@ -146,7 +146,7 @@ def mask_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
             at = e
         return "".join([*out, t[at:]])
 
-    return pa.array([one(t, own) for t, own in zip(text.to_pylist(), _pairs(spans), strict=True)], pa.string())
+    return pa.array([one(t, own) for t, own in zip(text.to_pylist(), span_lists(spans), strict=True)], pa.string())
 
 
 def with_cut_out(df: DataFrame, text_col: str, spans_col: str, to: str) -> DataFrame:
@@ -155,7 +155,7 @@ def with_cut_out(df: DataFrame, text_col: str, spans_col: str, to: str) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(spans_col)
-            rows = [[(t or "")[s:e] for s, e in own or ()] for t, own in zip(batch.column(text_col).to_pylist(), _pairs(batch.column(at)), strict=True)]
+            rows = [[(t or "")[s:e] for s, e in own or ()] for t, own in zip(batch.column(text_col).to_pylist(), span_lists(batch.column(at)), strict=True)]
             columns, names = [*batch.columns], [*batch.schema.names]
             columns[at], names[at] = _lists(rows, pa.array([x for r in rows for x in r], pa.string())), to
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from ..functions.edits import close_windows, distance
+from ..functions.normal import with_masked_originals
 from ..functions.spans import SPANS, located
 
 FOUND = "array<struct<s:int,e:int,good:boolean,around:string>>"
@@ -119,6 +120,14 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
     return base.withColumn(text_col, text).drop("_text", "_dets", "_values", "_keys", "_stream", "_found", "_near", "_first")
 
 
+def mask_evaluated(docs: DataFrame, text_col: str = "text", dets_col: str = "dets") -> DataFrame:
+    """docs evaluated, with ``text`` as it came and ``masked_text``: the same with the hits of matched detections masked. What was found in the normalised text is masked where it came from."""
+    out = evaluate(docs.withColumn("_came", F.coalesce(F.col(text_col), F.lit(""))), suggest=False, text_col=text_col, dets_col=dets_col)
+    hits = F.flatten(F.transform(F.filter("results", lambda r: r.bucket == "matched"), lambda r: r.hits))
+    out = out.withColumn(text_col, F.col("_came")).drop("_came").withColumn("_hits", hits)
+    return with_masked_originals(out, text_col, "_hits", "masked_text")
+
+
 def result_rows(evaluated: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row for each detection."""
     return evaluated.select(id_col, F.explode_outer("results").alias("r")).where("r is not null").select(id_col, "r.*")

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions.spans import find_all, find_variants, located
 from ..operators import evaluate as E
 from ..operators import file_masking, images, masking, pages, report, word_files, word_tree
-from ..sources import containers, files, harness
+from ..sources import containers, detections, files, harness
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,17 @@ def eval_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.result_rows(_evaluated(spark, sf_dir)).select("doc_id", "det_idx", "bucket", "status", F.size("hits").cast("long").alias("n_hits"))
 
 
+def eval_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with ligatures and full-width digits: found in the normalised text, masked in the text as it came."""
+    return E.mask_evaluated(harness.documents_to_normalise(spark, sf_dir)).select("doc_id", "masked_text")
+
+
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detections of all records that can be read, and the records that can't, at -1, side by side."""
+    read, broken = detections.quarantine(harness.documents_with_damage(spark, sf_dir))
+    return detections.explode_detections(read).unionByName(broken.select("doc_id", F.lit(-1).alias("det_idx"), "raw", "error"), allowMissingColumns=True)
+
+
 def eval_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.occurrence_rows(_evaluated(spark, sf_dir)).select("doc_id", "det_idx", "s", "e", "normalized")
 
@@ -243,7 +254,7 @@ def image_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "file_kinds": file_kinds, "parse_detections": parse_detections, "scalar_predicates": scalar_predicates, "find_all": find_all_hits, "find_all_variants": find_variant_hits, "token_boundary": token_boundary, "phone_match": phone_match,
-    "eval_status": eval_status, "eval_occurrences": eval_occurrences, "eval_duplicates": eval_duplicates, "eval_notes": eval_notes, "near_miss": near_miss, "merge_ranges": merge_ranges, "mask_text": mask_text,
+    "eval_status": eval_status, "eval_masked": eval_masked, "quarantined": quarantined, "eval_occurrences": eval_occurrences, "eval_duplicates": eval_duplicates, "eval_notes": eval_notes, "near_miss": near_miss, "merge_ranges": merge_ranges, "mask_text": mask_text,
     "mask_sequential": mask_sequential, "distinct_values": distinct_values, "pdf_text": pdf_text, "pdf_lines": pdf_lines, "pdf_line_match": pdf_line_match, "pdf_page_counts": pdf_page_counts, "pdf_item_match": pdf_item_match, "pdf_rects": pdf_rects,
     "pdf_overlays": pdf_overlays, "pdf_position_rects": pdf_position_rects, "scanned_rects": scanned_rects, "image_fallback_rects": image_fallback_rects, "ocr_boxes": ocr_boxes, "reviewed_runs": reviewed_runs, "reviewed_json": reviewed_json, "reviewed_files": reviewed_files, "reviewed_json_files": reviewed_json_files,
     "docx_mask": docx_mask, "docx_annotate": docx_annotate, "docx_runs": docx_runs, "docx_styled": docx_styled, "file_texts": file_texts, "mask_files": mask_files, "page_texts": page_texts, "font_sizes": font_sizes, "red_marks": red_marks, "image_masks": image_masks,

@@ -502,6 +502,30 @@ WITH boxes AS ({SQL["ocr_boxes"]}), blind AS (
 )
 SELECT doc_id, det_idx, value, x::DOUBLE AS x, y::DOUBLE AS y, width::DOUBLE AS width, height::DOUBLE AS height FROM boxes
 UNION ALL SELECT doc_id, det_idx, value, x, y, width, height FROM ({SQL["image_fallback_rects"]}) JOIN blind USING (doc_id)"""
+_WIDE = "replace(translate({}, '0123456789', '０１２３４５６７８９'), 'fi', 'ﬁ')"
+SQL["eval_masked"] = f"""
+WITH {EVAL}, kept AS (
+  SELECT DISTINCT f.doc_id, f.s, f.e, d.text FROM found f JOIN ev USING (doc_id, det_idx) JOIN docs d ON d.doc_id = f.doc_id WHERE good AND f.s >= 0 AND bucket = 'matched'
+), wide AS (
+  SELECT doc_id, s - CASE WHEN s > 0 AND substring(text, s, 2) = 'fi' THEN 1 ELSE 0 END AS s, e + CASE WHEN substring(text, e, 2) = 'fi' THEN 1 ELSE 0 END AS e FROM kept
+), turned AS (
+  SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM wide
+), grouped AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM turned
+), merged AS (
+  SELECT doc_id, min(s) AS s, max(e) AS e FROM grouped GROUP BY doc_id, g
+), parts AS (
+  SELECT m.doc_id, m.s, {masked(_WIDE.format("substring(d.text, m.s + 1, m.e - m.s)"))} AS piece FROM merged m JOIN docs d USING (doc_id)
+  UNION ALL SELECT m.doc_id, m.e, {_WIDE.format("substring(d.text, m.e + 1, coalesce(lead(m.s) OVER (PARTITION BY m.doc_id ORDER BY m.s), length(d.text)) - m.e)")} FROM merged m JOIN docs d USING (doc_id)
+  UNION ALL SELECT d.doc_id, -1, {_WIDE.format("substring(d.text, 1, f.s)")} FROM docs d JOIN (SELECT doc_id, min(s) AS s FROM merged GROUP BY doc_id) f USING (doc_id)
+), joined AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY s) AS t FROM parts GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(t, {_WIDE.format("d.text")}) AS masked_text FROM docs d LEFT JOIN joined USING (doc_id)"""
+SQL["quarantined"] = f"""
+WITH {BASE}
+SELECT doc_id, det_idx, type, value, CAST(NULL AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS error FROM det WHERE doc_id % 50 <> 7
+UNION ALL SELECT doc_id, -1, NULL, NULL, '{{"pii":[{{"', 'not JSON' FROM docs WHERE doc_id % 50 = 7"""
 SQL["reviewed_files"] = f"""
 WITH runs AS ({SQL["reviewed_runs"]}), parts AS (
   SELECT doc_id, min(seq) AS n, string_agg(text, '' ORDER BY seq) AS body FROM runs GROUP BY doc_id, part

@@ -71,6 +71,18 @@ def documents_with_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("raw", to_json(made_detections(F.col("text"), F.col("doc_id"))))
 
 
+def documents_with_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw): of every 50th document the JSON breaks off."""
+    broken = F.col("doc_id") % 50 == 7
+    return documents_with_json(spark, sf_dir).select("doc_id", F.when(broken, F.substring("raw", 1, 10)).otherwise(F.col("raw")).alias("raw"))
+
+
+def documents_to_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, dets): digits full-width and fi as a ligature, in the texts only."""
+    docs = documents_with_detections(spark, sf_dir)
+    return docs.withColumn("text", F.replace(F.translate("text", "0123456789", "０１２３４５６７８９"), F.lit("fi"), F.lit("ﬁ")))
+
+
 @prepared
 def documents_with_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, dets), the detections parsed from the JSON contract."""

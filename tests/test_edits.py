@@ -41,4 +41,4 @@ def test_a_long_value_in_a_long_text():
     own[::9] = "Q" * len(own[::9])
     began = time.time()
     near = near_places(text, "".join(own))
-    assert len(near) == 3 and all(x in text[899_990:900_220] for x in near) and time.time() - began < 1
+    assert len(near) == 3 and all(x in text[899_900:900_300] for x in near) and time.time() - began < 1
