@@ -37,6 +37,7 @@ class Pattern:
         codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.size = len(codes)
         self.letters, of = np.unique(codes, return_inverse=True)
+        self.often = np.bincount(of, minlength=len(self.letters))
         self.words = -(-self.size // 64)
         # the last row stands for all other letters
         self.rows = np.zeros((self.words, len(self.letters) + 1), _U)
@@ -73,22 +74,23 @@ class Pattern:
 
 
 def close_windows(text: str, value: str, size: int, most: int, at_once: int = 1 << 15) -> Iterator[int]:
-    """Where windows of so many letters are within most edits of the value, in order.
+    """Where windows of so many letters, no less than the value has, are within most edits of it, in order.
 
-    In such a window, some stretch is that near. One pass over the text, cut into pieces that are read side by side, finds where near stretches end; only windows that hold such an end are compared whole.
+    The letters that a window has too many are that many edits, and what is left of most bounds how many of the value's letters can be missing in it: running counts of the letters rule out all windows that lack more. If many are left, one pass over
+    the text, cut into pieces that are read side by side, finds where stretches within most edits end, and only windows that hold such an end stay. The others are compared whole.
     """
     if len(text) < size or not value:
         return
     pattern = Pattern(value)
     codes = pattern.coded(text)
-    ends = _near_ends(pattern, codes, most)
-    if not len(ends):
-        return
-    # windows that hold an end: it lies in (start, start + size]
-    starts = np.zeros(len(text) - size + 2, np.int64)
-    np.add.at(starts, np.maximum(ends - size, 0), 1)
-    np.add.at(starts, np.minimum(ends, len(starts) - 1), -1)
-    may = np.flatnonzero(np.cumsum(starts[:-1]) > 0)
+    may = _with_letters(pattern, codes, size, pattern.size - (most - (size - pattern.size)))
+    if 4 * len(may) > len(text):
+        # a window holds an end if it lies in (start, start + size]
+        ends = _near_ends(pattern, codes, most)
+        held = np.zeros(len(text) - size + 2, np.int64)
+        np.add.at(held, np.maximum(ends - size, 0), 1)
+        np.add.at(held, np.minimum(ends, len(held) - 1), -1)
+        may = may[np.cumsum(held)[may] > 0]
     done, take = 0, 256
     while done < len(may):
         own = may[done : done + take]
@@ -99,6 +101,22 @@ def close_windows(text: str, value: str, size: int, most: int, at_once: int = 1
         done, take = done + take, min(at_once, 4 * take)
 
 
+def _with_letters(pattern: Pattern, codes: np.ndarray, size: int, need: int) -> np.ndarray:
+    """Windows that hold at least so many of the value's letters, each as often as the value at the most."""
+    inside = np.zeros(len(codes) - size + 1, np.int32)
+    times = np.bincount(codes, minlength=len(pattern.letters) + 1)
+    left = pattern.size
+    for letter in np.argsort(times[:-1], kind="stable").tolist():  # the rarest first
+        often = int(pattern.often[letter])
+        left -= often
+        if times[letter]:
+            before = np.concatenate([[0], np.cumsum(codes == letter, dtype=np.int32)])
+            inside += np.minimum(before[size:] - before[:-size], often)
+        if left < need and (not len(inside) or int(inside.max()) + left < need):
+            return np.zeros(0, np.int64)
+    return np.flatnonzero(inside >= need)
+
+
 def _near_ends(pattern: Pattern, codes: np.ndarray, most: int, lanes: int = 4096) -> np.ndarray:
     """The numbers of letters after which a stretch within most edits of the value ends."""
     lead = pattern.size + most  # no such stretch is longer

@@ -27,7 +27,7 @@ _SPAN = StructType().add("s", _INT).add("e", _INT)
 _HIT = StructType().add("s", _INT).add("e", _INT).add("good", BooleanType()).add("around", StringType())
 _CODES = re.compile(r"\\x\{([0-9A-F]+)\}")
 _WS = _CODES.sub(lambda m: f"\\u{int(m[1], 16):04x}", WS)
-_NO_WS, _EDGE = re.compile(f"[^{_WS}]"), re.compile(f"[{_WS}{BOUNDARY}]")
+_WHITE, _NO_WS, _EDGE = re.compile(f"[{_WS}]+"), re.compile(f"[^{_WS}]"), re.compile(f"[{_WS}{BOUNDARY}]")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,6 +50,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def strip_white(text: str) -> str:
+    """The text without its white space."""
+    return _WHITE.sub("", text)
+
+
 def masked(text: str) -> str:
     """X for every character that isn't white space."""
     return _NO_WS.sub("X", text)

@@ -6,11 +6,16 @@ them is pluggable. Items are dealt by page once, for the windows and groupings o
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
-from ..functions.spans import let
+from ..functions.spans import let, strip_white
 
 ITEM = "struct<str:string,x:double,y:double,width:double,height:double>"
 ITEMS = f"array<{ITEM}>"
@@ -95,28 +100,39 @@ def part_of(item: Column, start: Column, length: Column) -> Column:
     return F.struct(F.substring(item.str, start + 1, length).alias("str"), (item.x + each * start).alias("x"), item.y.alias("y"), (each * length).alias("width"), item.height.alias("height")).cast(ITEM)
 
 
-def combined(items: Column, value: Column, numbers: bool = True) -> Column:
-    """The first run of neighbouring items, by start and then by length, that together hold the value: array<struct<items, text>>, empty or of one. Runs are of five items at most; with numbers, card and account
-    numbers may take six and must be made of enough digits."""
-    n, numeric, de = F.size(items), T.is_card_or_iban(value), F.startswith(value, F.lit("DE"))
-    most = F.when(numeric | de, 6).otherwise(5) if numbers else F.lit(5)
-    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-
-    def runs(i: Column) -> Column:
-        return F.transform(upto(F.lit(1), F.least(most, n - i + 1)), lambda k: F.struct(F.slice(items, i, k).alias("items"), F.array_join(F.transform(F.slice(items, i, k), lambda x: x.str), " ").alias("text")))
+def first_run(texts: list[str], value: str, most: int, kind: int) -> tuple[int, int] | None:
+    """(start, length) of the first run of neighbouring items, by start and then by length, that together hold the value, white space aside; runs have at most so many items. kind 1 asks for half of a run's characters to be digits, 2 for 0.3 of the
+    value's digits.
 
-    def fits(r: Column) -> Column:
-        holds = F.contains(T.strip_ws(r.text), T.strip_ws(value))
-        if not numbers:
-            return holds
-        enough = (
-            F.when(numeric & T.is_strict_card(value), T.digit_ratio(r.text) >= 0.5)
-            .when(numeric & de, F.length(T.digits(r.text)) >= F.length(T.digits(value)) * 0.3)
-            .otherwise(True)
-        )
-        return holds & enough
-
-    return F.slice(F.filter(F.flatten(F.transform(upto(F.lit(1), n), runs)), fits), 1, 1)
+    The items' lengths summed up give places in the joined line, in which the value is looked for; of an occurrence, a search among the places tells the items it begins and ends in, and these which runs hold it.
+    """
+    bare = [strip_white(t) for t in texts]
+    line, wanted = "".join(bare), strip_white(value)
+    starts = [0, *accumulate(map(len, bare))]
+    n, low = len(bare), {}
+    x = line.find(wanted) if wanted else -1
+    while x >= 0:
+        first, last = bisect_right(starts, x, 0, n) - 1, bisect_right(starts, x + len(wanted) - 1, 0, n) - 1
+        for i in range(max(0, last - most + 1), first + 1):
+            low.setdefault(i, last - i + 1)
+            if not kind:
+                return i, low[i]
+        x = line.find(wanted, x + 1)
+    digits = [0, *accumulate(sum("0" <= c <= "9" for c in t) for t in bare)] if low else []
+    need = 0.3 * sum("0" <= c <= "9" for c in value)
+    for i in sorted(low):
+        for k in range(low[i], min(most, n - i) + 1):
+            has, size = digits[i + k] - digits[i], starts[i + k] - starts[i]
+            if has / size >= 0.5 if kind == 1 else has >= need:
+                return i, k
+    return None
+
+
+@F.arrow_udf(StructType().add("i", "integer").add("k", "integer"))
+def first_runs(texts: pa.Array, value: pa.Array, most: pa.Array, kind: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), value.to_pylist(), most.to_pylist(), kind.to_pylist(), strict=True)
+    found = [None if own is None else first_run([t or "" for t in own], v, m, k) for own, v, m, k in rows]
+    return pa.array([None if r is None else {"i": r[0], "k": r[1]} for r in found], pa.struct([("i", pa.int32()), ("k", pa.int32())]))
 
 
 def labelled(run: Column, value: Column) -> Column:
@@ -202,18 +218,23 @@ def relevant(items: Column, value: Column) -> Column:
 def match_items(matched: DataFrame, text_mode: bool = False) -> DataFrame:
     """matched with ``found``, the items (or stretches of them) that hold the value, and ``how`` (exact, bare, label, run or null). text_mode is the matcher for replacement text: runs of five items, whatever
     they hold besides, and no stretches behind labels."""
-    value, items = F.col("value"), F.col("items")
+    value, items, bare_value = F.col("value"), F.col("items"), F.col("_v")
     exact = F.filter(items, lambda i: F.contains(i.str, value))
-    bare = F.filter(items, lambda i: F.contains(T.strip_ws(i.str), T.strip_ws(value)))
-    out = matched.withColumns({"_exact": exact, "_bare": bare})
+    out = matched.withColumn("_v", T.strip_ws(value)).withColumn("_exact", exact)
+    out = out.withColumn("_bare", F.when(F.size("_exact") == 0, F.filter(items, lambda i: F.contains(T.strip_ws(i.str), bare_value))).otherwise(F.array().cast(ITEMS)))
     alone = (F.size("_exact") == 0) & (F.size("_bare") == 0)
-    out = out.withColumn("_run", F.when(alone, F.get(combined(items, value, not text_mode), F.lit(0))))
+    numeric, de = T.is_card_or_iban(value), F.startswith(value, F.lit("DE"))
+    most = F.lit(5) if text_mode else F.when(numeric | de, 6).otherwise(5)
+    kind = F.lit(0) if text_mode else F.when(numeric & T.is_strict_card(value), 1).when(numeric & de, 2).otherwise(0)
+    out = out.withColumn("_at", first_runs(F.when(alone, F.transform(items, lambda i: i.str)), value, most, kind))
+    run = F.slice(items, F.col("_at.i") + 1, F.col("_at.k"))
+    out = out.withColumn("_run", F.when(F.col("_at").isNotNull(), F.struct(run.alias("items"), F.array_join(F.transform(run, lambda x: x.str), " ").alias("text"))))
     none = F.lit(None).cast(ITEM)
     out = out.withColumn("_label", none if text_mode else F.when(labelled(F.col("_run.text"), value), behind_label(F.col("_run"), value)).otherwise(none))
     label = F.col("_label").isNotNull()
     how = F.when(F.size("_exact") > 0, "exact").when(F.size("_bare") > 0, "bare").when(label, "label").when(F.col("_run").isNotNull(), "run")
     found = F.when(F.size("_exact") > 0, F.col("_exact")).when(F.size("_bare") > 0, F.col("_bare")).when(label, F.array(F.col("_label"))).otherwise(F.coalesce(F.col("_run.items"), F.array().cast(ITEMS)))
-    return out.withColumns({"how": how, "found": found.cast(ITEMS)}).drop("_exact", "_bare", "_run", "_label")
+    return out.withColumns({"how": how, "found": found.cast(ITEMS)}).drop("_v", "_exact", "_bare", "_at", "_run", "_label")
 
 
 def rectangles(matched: DataFrame, pad: float = 2.0) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.spans import find_all, find_variants, located
 from ..operators import evaluate as E
 from ..operators import file_masking, images, masking, pages, report, word_files, word_tree
 from ..sources import containers, detections, files, harness
+from ..streaming import assembly
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +85,16 @@ def eval_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.mask_evaluated(harness.documents_to_normalise(spark, sf_dir)).select("doc_id", "masked_text")
 
 
+def eval_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates as evaluated over streams: each document's detections arrive in parts of four, beside the documents."""
+    docs = harness.documents_with_detections(spark, sf_dir)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 1000).alias("at")
+    of = F.greatest(F.lit(1), F.ceil(F.size("dets") / 4).cast("int"))
+    part = F.explode(F.transform(F.sequence(F.lit(0), of - 1), lambda i: F.struct(i.alias("part"), of.alias("of"), detections.to_json(F.slice("dets", 4 * i + 1, F.lit(4))).alias("raw"))))
+    parts = docs.select("doc_id", at, part.alias("p")).select("doc_id", "at", "p.*")
+    return E.duplicate_rows(assembly.evaluate_arrivals(docs.select("doc_id", "text", at), parts)).select("doc_id", "value", *(F.col(c).cast("long").alias(c) for c in ("count_in_json", "count_in_doc", "extra")))
+
+
 def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detections of all records that can be read, and the records that can't, at -1, side by side."""
     read, broken = detections.quarantine(harness.documents_with_damage(spark, sf_dir))
@@ -254,7 +265,7 @@ def image_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "file_kinds": file_kinds, "parse_detections": parse_detections, "scalar_predicates": scalar_predicates, "find_all": find_all_hits, "find_all_variants": find_variant_hits, "token_boundary": token_boundary, "phone_match": phone_match,
-    "eval_status": eval_status, "eval_masked": eval_masked, "quarantined": quarantined, "eval_occurrences": eval_occurrences, "eval_duplicates": eval_duplicates, "eval_notes": eval_notes, "near_miss": near_miss, "merge_ranges": merge_ranges, "mask_text": mask_text,
+    "eval_status": eval_status, "eval_masked": eval_masked, "eval_streamed": eval_streamed, "quarantined": quarantined, "eval_occurrences": eval_occurrences, "eval_duplicates": eval_duplicates, "eval_notes": eval_notes, "near_miss": near_miss, "merge_ranges": merge_ranges, "mask_text": mask_text,
     "mask_sequential": mask_sequential, "distinct_values": distinct_values, "pdf_text": pdf_text, "pdf_lines": pdf_lines, "pdf_line_match": pdf_line_match, "pdf_page_counts": pdf_page_counts, "pdf_item_match": pdf_item_match, "pdf_rects": pdf_rects,
     "pdf_overlays": pdf_overlays, "pdf_position_rects": pdf_position_rects, "scanned_rects": scanned_rects, "image_fallback_rects": image_fallback_rects, "ocr_boxes": ocr_boxes, "reviewed_runs": reviewed_runs, "reviewed_json": reviewed_json, "reviewed_files": reviewed_files, "reviewed_json_files": reviewed_json_files,
     "docx_mask": docx_mask, "docx_annotate": docx_annotate, "docx_runs": docx_runs, "docx_styled": docx_styled, "file_texts": file_texts, "mask_files": mask_files, "page_texts": page_texts, "font_sizes": font_sizes, "red_marks": red_marks, "image_masks": image_masks,

@@ -522,6 +522,7 @@ WITH {EVAL}, kept AS (
   SELECT doc_id, string_agg(piece, '' ORDER BY s) AS t FROM parts GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(t, {_WIDE.format("d.text")}) AS masked_text FROM docs d LEFT JOIN joined USING (doc_id)"""
+SQL["eval_streamed"] = SQL["eval_duplicates"]
 SQL["quarantined"] = f"""
 WITH {BASE}
 SELECT doc_id, det_idx, type, value, CAST(NULL AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS error FROM det WHERE doc_id % 50 <> 7
