@@ -86,6 +86,14 @@ def raw(column: pa.Array, at_once: int = 500) -> Iterator[bytes | None]:
         yield from column.slice(at, at_once).to_pylist()
 
 
+def looked_up(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, most: int = 1000) -> DataFrame:
+    """rows joined with keyed (one row a key, with ``n``, how many of the ``total`` rows have it, which goes). Keys of more than a thousandth of the rows, fewer than ``most`` by arithmetic, are looked up by broadcast, so that their rows stay where they are; all
+    others meet in a shuffle, of at most that many rows a key."""
+    hot = F.col("n") * most > total
+    few = F.broadcast(keyed.where(hot).drop("n"))
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(keyed.where(~hot).drop("n"), on))
+
+
 def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 

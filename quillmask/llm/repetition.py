@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .slices import Texts, byte_table, identify, polynomials, portions
+from .slices import Texts, byte_table, identify, mixed, polynomials, portions
 
 #: The largest share of a text's characters inside repeated sequences of so many words, in hundredths.
 SEQUENCES = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
@@ -35,14 +35,6 @@ PORTION = 4 << 20
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{n}_chars" for n in SEQUENCES)]
 
 
-def mixed(numbers: np.ndarray) -> np.ndarray:
-    """64 bits for each number, without any pattern that sums could cancel."""
-    x = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def rolling(words: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each of the lengths, rising, the hashes of the sequences that start at each word."""
     values = mixed(words)

@@ -23,8 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, cut, raw, table
+from .common import UPPER, cut, looked_up, raw, table
 from .components import components
+from .shingles import shingles, wide_fingerprints
+from .slices import portions
 
 SEED = 42
 _FOLD = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -194,37 +196,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row with one is in reach. Repeated rows are answered each. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", words))
-    roots = cut(prints.groupBy("fp").agg(F.min("id").alias("root")))
-    found = components(links(roots.where(F.col("root").isNotNull()), radius, block))
-    ends = roots.join(found, roots["root"] == found["node"], "left").select("fp", F.coalesce("component", "root").alias("component"))
-    return prints.join(ends, "fp").select("id", "fp", "component")
+    roots = cut(prints.groupBy("fp").agg(F.min("id").alias("root"), F.count("*").alias("n")))
+    found = components(links(roots.where(F.col("root").isNotNull()).select("fp", "root"), radius, block))
+    ends = cut(roots.join(found, roots["root"] == found["node"], "left").select("fp", F.coalesce("component", "root").alias("component"), "n"))
+    return looked_up(prints, ends, ["fp"], prints.count()).select("id", "fp", "component")
 
 
-#: Numbers of a wide fingerprint, and the seeds of the two 128-bit hashes behind it.
-WIDE, WIDE_SEEDS = ("a", "b", "c", "d"), (SEED, SEED + 1)
-
-
-def shingle_digests(text: bytes | None, words: int = 5) -> np.ndarray | None:
-    """A row of 256 bits for each distinct word shingle of the text (a shorter text is one shingle), in any order; None without words."""
-    parts = text.translate(_FOLD).split() if text else []
-    if not parts:
-        return None
-    digest = xxhash.xxh3_128_digest
-    shingles = {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
-    return np.frombuffer(b"".join([digest(x, seed) for x in shingles for seed in WIDE_SEEDS]), np.uint8).reshape(-1, 32)
-
-
-def shingle_set(digests: np.ndarray) -> np.ndarray:
-    """The shingles as sorted 64-bit numbers."""
-    return np.unique(digests[:, :8].copy().view("<i8"))
-
-
-def wide_fingerprint(digests: np.ndarray) -> np.ndarray:
-    """Like fingerprint(), with 256 bits and without repeats, as its similarity is that of sets."""
-    votes, step = np.zeros(256, np.int64), 1 << 16
-    for at in range(0, len(digests), step):
-        votes += np.unpackbits(digests[at : at + step], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * votes > len(digests), bitorder="little").view("<i8")
+#: Numbers of a wide fingerprint.
+WIDE = ("a", "b", "c", "d")
+#: Bytes of text whose shingles are made at once.
+PORTION = 2 << 20
 
 
 def reach_of(similarity: float, spare: int = 24) -> int:
@@ -260,38 +241,61 @@ def alike(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[in
     return us, vs
 
 
-def _verified(docs: DataFrame, loose: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
-    """Spanning links (u, v) of the pairs in a component of loose (node, component) whose shingles have that Jaccard similarity: each pair of blocks of a component is a unit."""
+def _verified(docs: DataFrame, loose: DataFrame, words: int, similarity: float, shingles_in_block: int) -> DataFrame:
+    """Spanning links (u, v) of the pairs in a component of loose (node, component) whose shingles have that Jaccard similarity. A component's texts are dealt into blocks by hash, so many that one has some shingles_in_block of them; each pair of blocks is a
+    unit."""
     few = loose.count() <= 500_000
     held = docs.where(F.col("text").isNotNull()).join(F.broadcast(loose) if few else loose, docs["id"] == loose["node"]).select("component", "id", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if (x := shingle_digests(t, words)) is None else shingle_set(x).tobytes() for t in raw(batch.column(2))]
-            at = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
-            sets = pa.array([x for x in found if x is not None], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), sets], ["component", "root", "shingles"])
-
-    sets = cut(held.mapInArrow(made, "component bigint, root bigint, shingles binary"))
-    sizes = sets.groupBy("component").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / block)
+            for a, b, texts in portions(batch.column(2), PORTION):
+                found, begin = shingles(texts, words)
+                size = np.diff(begin)
+                at = pa.array(np.flatnonzero(size))
+                sets = [found[x:y].tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True) if y > x]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(at), batch.column(1).slice(a, b - a).take(at), pa.array(size[size > 0], pa.int64()), pa.array(sets, pa.binary())], ["component", "root", "size", "shingles"])
+
+    sets = cut(held.mapInArrow(made, "component bigint, root bigint, size bigint, shingles binary"))
+    sizes = sets.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
+    blocks = F.least(F.col("n"), F.ceil(F.col("all") / shingles_in_block))
     units = sets.join(sizes, "component").select("component", blocks.alias("blocks"), F.pmod(F.xxhash64("root"), blocks).alias("own"), "root", "shingles")
     units = units.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", "root", "shingles")
     units = units.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "root", "shingles")
 
     def linked(unit: pa.Table) -> pa.Table:
         root = unit.column("root").to_numpy()
-        u, v = alike([np.frombuffer(x, "<i8") for x in unit.column("shingles").to_pylist()], similarity)
+        u, v = alike([np.frombuffer(x, "<u8") for x in unit.column("shingles").to_pylist()], similarity)
         return pa.table({"u": np.maximum(root[u], root[v]), "v": np.minimum(root[u], root[v])}) if u else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
 
     return units.groupBy("component", "low", "high").applyInArrow(linked, "u bigint, v bigint").distinct()
 
 
+def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, among: DataFrame | None = None) -> DataFrame:
+    """(id, a, b, c, d, whole): 256-bit fingerprints of distinct word shingles and a hash of the set of them, 0 without words. among (a column of identifiers): rows of others are left out, before their texts are read if the identifiers are few enough to be sent
+    to every task, else by their fingerprints, so that no text moves for it."""
+    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    wanted = among.toDF("id").distinct() if among is not None else None
+    few = wanted is not None and wanted.count() <= 2_000_000
+    if few:
+        df = df.join(F.broadcast(wanted), "id", "left_semi")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in portions(batch.column(1), PORTION):
+                found, begin = shingles(texts, words)
+                prints = wide_fingerprints(found, begin)
+                whole = np.array([xxhash.xxh3_64_intdigest(found[x:y].tobytes(), SEED) if y > x else 0 for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(prints[:, i].copy()) for i in range(4)), pa.array(whole.view(np.int64))], ["id", *WIDE, "whole"])
+
+    prints = df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint, whole bigint")
+    return prints if few or wanted is None else prints.join(wanted, "id", "left_semi")
+
+
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 64, picked: int = 16, block: int = 2048, sets_in_block: int = 256, among: DataFrame | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 64, picked: int = 16, block: int = 2048, shingles_in_block: int = 500_000, prints: DataFrame | None = None
 ) -> DataFrame:
-    """(id, component), a row for each identifier: the smallest one reachable over texts whose word shingles have that Jaccard similarity or more. among (a column of identifiers): rows of others
-    are left out, by their fingerprints, so that no text moves for it.
+    """(id, component), a row for each identifier: the smallest one reachable over texts whose word shingles have that Jaccard similarity or more. prints: the rows of wide_prints() that are to be compared, where they are known; only these texts take part.
 
     256-bit fingerprints only find the candidates. At such a similarity they differ in some 39 bits (two unrelated ones in 128, give or take 8), for which an exhaustive grid would have too many cells. So this is
     bit sampling instead of the grid: the segments are single bits, whose counts are the bits themselves, and instead of all choices of slabs there are ``tables`` choices of ``picked`` bits, drawn once. Pairs that share
@@ -302,23 +306,8 @@ def similar_documents(
     texts. Rows with a null identifier are left out. An empty table gives no rows; other columns are not looked at.
     """
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(text: bytes | None) -> tuple[np.ndarray, int]:
-            digests = shingle_digests(text, words)  # of one text at a time: they are many times its size
-            return (np.zeros(4, np.int64), 0) if digests is None else (wide_fingerprint(digests), xxhash.xxh3_64_intdigest(shingle_set(digests).tobytes(), SEED))
-
-        for batch in batches:
-            found = [one(t) for t in raw(batch.column(1))]
-            fp = np.stack([x for x, _ in found]) if found else np.zeros((0, 4), np.int64)
-            whole = np.array([x for _, x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, i].copy()) for i in range(4)), pa.array(whole)], ["id", *WIDE, "whole"])
-
-    prints = df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint, whole bigint")
-    if among is not None:
-        prints = prints.join(among.toDF("id"), "id", "left_semi")
-    prints = cut(prints)
-    roots = cut(prints.groupBy(*WIDE, "whole").agg(F.min("id").alias("root"), F.max("id").alias("last")))
+    prints = cut(wide_prints(docs, id_col, text_col, words) if prints is None else prints)
+    roots = cut(prints.groupBy(*WIDE, "whole").agg(F.min("id").alias("root"), F.max("id").alias("last"), F.count("*").alias("n")))
     rng, masks = np.random.default_rng(SEED), []
     for i in range(tables):
         bits = [int(x) for x in rng.choice(256, picked, replace=False)]
@@ -329,8 +318,9 @@ def similar_documents(
     placed = worded.select(*WIDE, "root", F.explode(F.array(*masks)).alias("x")).select(cell.alias("cell"), *WIDE, "root")
     # many texts may have one fingerprint, so the root deals them into blocks
     loose = cut(components(_met(placed, list(WIDE), reach_of(similarity), block, ["root"])).distinct())
-    same = prints.join(roots.where(F.col("root") < F.col("last")).select(*WIDE, "whole", "root"), [*WIDE, "whole"]).select(F.col("id").alias("u"), F.col("root").alias("v"))
-    found = components(same.unionByName(_verified(df, loose, words, similarity, sets_in_block)))
+    again = roots.where(F.col("root") < F.col("last")).select(*WIDE, "whole", "root", "n")
+    same = looked_up(prints, again, [*WIDE, "whole"], prints.count()).select(F.col("id").alias("u"), F.col("root").alias("v"))
+    found = components(same.unionByName(_verified(df, loose, words, similarity, shingles_in_block)))
     ids = prints.select("id").distinct()
     return ids.join(found.distinct(), ids["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
 

@@ -206,3 +206,28 @@ def test_scores_beyond_doubles_are_exact_and_beyond_64_bits_bounded():
     assert hard_negatives.products(one, np.array([[1e300, 0.0]]), False)[0, 0] == hard_negatives.LARGEST
     huge = hard_negatives.Search(np.array([1, 2, 3]), np.array([0, 0, 1]), np.array([[1e300, 1.0], [-1e300, 2.0], [1e150, 3.0]]))
     assert huge.run(np.array([1]), np.array([0]), np.array([[1e300, 1.0]]), np.array([[hard_negatives.LEAST + 1]]), np.array([[hard_negatives.LARGEST]]), 5, True)[2].tolist() == [2]
+
+
+def test_shingles_and_wide_fingerprints_by_plain_counting():
+    from quillmask.llm import shingles as S
+
+    rng = np.random.default_rng(8)
+    rows = AWKWARD + [" ".join(rng.choice(["a", "B", "ç", "dd", "A b"], size)) for size in (1, 3, 4, 5, 6, 40, 3000)] + [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 2000))]
+    numbers = {}
+    for size in (1, 1 << 20):
+        found, begin = [], [0]
+        for _, _, texts in slices.portions(pa.array(rows, pa.string()), size):
+            f, b = S.shingles(texts, 5)
+            fp = S.wide_fingerprints(f, b)
+            for i in range(len(b) - 1):
+                own = f[b[i] : b[i + 1]]
+                found.append(own)
+                votes = np.concatenate([np.unpackbits(S.mixed(own ^ s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=int) for s in S.mixed(np.arange(4, dtype=np.uint64) + np.uint64(1000))])
+                assert (np.unpackbits(fp[i : i + 1].view(np.uint8), bitorder="little") == (2 * votes > len(own))).all()
+        for text, own in zip(rows, found, strict=True):
+            words = [w for w in BLANK.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+            want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+            assert len(own) == len(want) == len(set(own.tolist()))
+            # one number for one set, whatever it is called
+            assert numbers.setdefault(frozenset(want), own.tolist()) == own.tolist()
+    assert len({tuple(x) for x in numbers.values()}) == len(numbers)

@@ -164,7 +164,7 @@ def test_verified_links_in_blocks(spark, block):
     rng = np.random.default_rng(6)
     base = [f"w{x}" for x in rng.integers(0, 10**9, 60)]
     rows = [(i, " ".join(base[i : i + 40])) for i in (0, 1, 2, 3, 4, 8, 9, 10, 18)]  # neighbours by one word share 35 of 37 shingles, those by four 32 of 40
-    out = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), sets_in_block=block).collect()}
+    out = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), shingles_in_block=36 * block).collect()}
     assert out == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 8: 0, 9: 0, 10: 0, 18: 18}
 
 
