@@ -1,9 +1,8 @@
 """Benchmark decontamination by a broadcast set of the test items' word n-grams.
 
-The items' windows go to the tasks as sorted 64-bit hashes with the windows' words behind them; each training text's token windows are
-looked up there, and every hit is compared word by word. The set is broadcast only up to ``max_words`` item words, which is checked by counting
-first; a larger benchmark is taken in blocks of that size, one pass over the texts each, whose findings are added up. An item longer than an eighth of a block is taken in pieces that overlap by a window less a word, so no
-item is too long for a block.
+The items' texts go to the tasks as one buffer with the bounds of its words; their windows as sorted 64-bit hashes, each with a place in the buffer and the items that have it. Word hashes of many training texts are rolled into window hashes at once; a
+table of bits rules out nearly all of them, the others are looked up, and every hit is compared word by word, byte by byte. The set is broadcast only up to ``max_words`` item words, which is checked by counting first. A larger benchmark is taken in blocks
+of that size: each block but the last leaves only the findings of the texts that have any, and the last pass adds them up. An item longer than an eighth of a block is taken in pieces that overlap by a window less a word, so no item is too long for a block.
 
 Null texts have no words and no hits. Items that are null or without words have no windows; repeated items count once by identifier.
 A null item identifier takes no part. Empty tables on either side give no hits. Rows that repeat an identifier, also a null one, are answered each; very long texts are read whole; other columns stay, but for those named like a
@@ -13,7 +12,6 @@ finding, which are replaced.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop, raw, table
+from .common import cut, table
+from .slices import Texts, byte_table, differing, mixed, polynomials, portions
 
 WINDOW = 10
-#: Item words in a broadcast set: some 100 bytes each, so 200 MB at the most.
+#: Item words in a broadcast set: some 90 bytes each, measured, so 180 MB at the most.
 MAX_WORDS = 2_000_000
-#: Lower-cases A-Z and blanks whatever isn't a digit, a letter or beyond ASCII.
-FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+WORD = byte_table((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
+LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
+#: Bytes of text that are scanned at once.
+PORTION = 4 << 20
 
 #: What stands between words, and words.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,95 +39,139 @@ FINDINGS = ("n_words", "hits", "items")
 FOUND = "n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<{item}>"
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+class Words:
+    """The words of texts, A-Z lower-cased: their bytes, bounds, texts and hashes."""
+
+    def __init__(self, texts: Texts):
+        self.bytes = LOWER[texts.bytes]
+        self.start, self.end, self.text = Texts(self.bytes, texts.ends).bounds(WORD)
+        self.value = mixed(polynomials(self.bytes, self.start, self.end) ^ mixed(self.end - self.start))
+
+    def rolled(self, n: int) -> np.ndarray:
+        """The hashes of the runs of n words that begin at each word, over the ends of texts, too."""
+        h = self.value
+        for k in range(1, n):
+            h = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.value[k:]
+        return mixed(h)
+
+    def run(self, at: int, n: int) -> tuple[bytes, ...]:
+        return tuple(self.bytes[self.start[i] : self.end[i]].tobytes() for i in range(at, at + n))
+
+    def unlike(self, at: np.ndarray, other: Words, places: np.ndarray, n: int) -> np.ndarray:
+        """Which runs of n words at the words ``at`` differ from those of other at places."""
+        out = np.zeros(len(at), bool)
+        for k in range(n):
+            size = self.end[at + k] - self.start[at + k]
+            out |= size != other.end[places + k] - other.start[places + k]
+            left = np.flatnonzero(~out)
+            out[left[differing(self.bytes, self.start[at[left] + k], other.start[places[left] + k], size[left], other.bytes)]] = True
+        return out
 
 
 class Windows:
-    """The items' windows: a number for each word, and for each window length the sorted hashes, the words and the items."""
+    """The items' windows by length: hashes in order, each with the place of its first word, and the items that have it; and a table of bits over the hashes' upper parts."""
 
     def __init__(self, items: list[tuple], window: int):
-        self.number: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], set] = defaultdict(set)
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number)) for w in words_of(text or b"")]
-            n = min(window, len(ids))
-            for s in range(len(ids) - n + 1) if ids else ():
-                holders[tuple(ids[s : s + n])].add(item)
+        texts = [text or b"" for _, text in items]
+        self.items = [item for item, _ in items]
+        self.words = Words(Texts(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])))
+        del texts
+        of = self.words.text
+        count = np.bincount(of, minlength=len(items))
+        # windows of an item are as long as all others, or as the item, if that is shorter
+        length = np.minimum(count, window)
+        left = (np.cumsum(count) - 1)[of] - np.arange(len(of)) + 1
         self.lengths: dict[int, tuple] = {}
-        for n in sorted({len(k) for k in holders}):
-            keys = [k for k in holders if len(k) == n]
-            grams, seed = np.array(keys, np.int64).reshape(-1, n), 0
-            while True:
-                powers = np.random.default_rng(seed).integers(1, 2**63, n, np.uint64) | np.uint64(1)
-                hashes = self.hashed(grams, powers)
-                order = np.argsort(hashes)
-                if len(np.unique(hashes)) == len(hashes):
-                    break
-                seed += 1
-            self.lengths[n] = (powers, hashes[order], grams[order], [sorted(holders[keys[i]]) for i in order])
-
-    @staticmethod
-    def hashed(grams: np.ndarray, powers: np.ndarray) -> np.ndarray:
-        x = ((grams.astype(np.uint64) + np.uint64(1)) * powers).sum(1, dtype=np.uint64)
-        return (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray | None, set]:
-        """A mask of the words inside occurrences, None if there are none, and the items that occur."""
-        number = self.number
-        ids = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-        strange = np.flatnonzero(ids < 0)
-        edges = np.concatenate([[-1], strange, [len(ids)]])
-        free = np.diff(edges) - 1
-        mask, items = None, set()
-        for n, (powers, hashes, grams, holders) in self.lengths.items():
-            long = np.flatnonzero(free >= n)
-            if not len(long):
+        for n in np.unique(length[length > 0]).tolist():
+            at = np.flatnonzero((length[of] == n) & (left >= n))
+            hashes = self.words.rolled(n)[at]
+            order = np.lexsort((of[at], hashes))
+            at, hashes = at[order], hashes[order]
+            new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            group = np.cumsum(new) - 1
+            mixed_up = np.unique(group[self.words.unlike(at, self.words, at[np.flatnonzero(new)][group], n)]) if len(at) else group
+            if len(mixed_up):  # windows whose hashes collide are told apart by their words
+                some = np.flatnonzero(np.isin(group, mixed_up))
+                names = {w: i for i, w in enumerate(sorted({self.words.run(int(p), n) for p in at[some]}))}
+                kind = np.zeros(len(at), np.int64)
+                kind[some] = [names[self.words.run(int(p), n)] for p in at[some]]
+                order = np.lexsort((of[at], kind, hashes))
+                at, hashes, kind = at[order], hashes[order], kind[order]
+                new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (kind[1:] != kind[:-1])])
+            begin = np.flatnonzero(new)
+            once = new | np.concatenate([[True], of[at][1:] != of[at][:-1]])
+            holders, bounds = of[at][once].astype(np.int32), np.concatenate([np.flatnonzero(new[once]), [int(once.sum())]]).astype(np.int32)
+            own = hashes[begin]
+            self.lengths[n] = (own, at[begin].astype(np.int32), bounds, holders, int(np.unique(own, return_counts=True)[1].max()))
+        # eight bits for each window, so that an eighth at most of what isn't one passes
+        self.shift = np.uint64(64 - max(3, int(8 * sum(len(x[0]) for x in self.lengths.values())).bit_length()))
+        self.bits = {n: np.zeros(1 << (64 - int(self.shift)), bool) for n in self.lengths}
+        for n, (hashes, *_) in self.lengths.items():
+            self.bits[n][hashes >> self.shift] = True
+
+    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A mask of the words inside occurrences, and the pairs of texts and items (by number) that occur in them."""
+        inside, text, item = np.zeros(len(words.start) + 1, np.int64), [], []
+        for n, (hashes, places, bounds, holders, most) in self.lengths.items():
+            if len(words.start) < n:
                 continue
-            counts = free[long] - n + 1
-            at = np.repeat(edges[long] + 1 - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            for part in np.array_split(at, max(1, -(-len(at) // 50_000))):
-                seen = ids[part[:, None] + np.arange(n)]
-                h = self.hashed(seen, powers)
-                near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = np.flatnonzero(hashes[near] == h)
-                hit = hit[(grams[near[hit]] == seen[hit]).all(1)]
-                if len(hit):
-                    if mask is None:
-                        mask = np.zeros(len(ids), bool)
-                    mask[(part[hit][:, None] + np.arange(n)).ravel()] = True
-                    for i in np.unique(near[hit]):
-                        items.update(holders[i])
-        return mask, items
-
-
-def _scan(df: DataFrame, text_col: str, windows: Windows, item_type: str, first: bool) -> DataFrame:
-    """df, or what an earlier pass returned, with the findings of this set of windows."""
+            h = words.rolled(n)
+            may = np.flatnonzero(self.bits[n][h >> self.shift])
+            may = may[words.text[may] == words.text[may + n - 1]]
+            first = np.searchsorted(hashes, h[may])
+            for k in range(most):  # windows of one hash: one, but for collisions
+                near = np.minimum(first + k, len(hashes) - 1)
+                hit = np.flatnonzero((hashes[near] == h[may]) & (first + k < len(hashes)))
+                hit = hit[~words.unlike(may[hit], self.words, places[near[hit]], n)]
+                at, near = may[hit], near[hit]
+                inside[at] += 1
+                inside[at + n] -= 1
+                size = bounds[near + 1] - bounds[near]
+                text.append(np.repeat(words.text[at], size))
+                item.append(holders[np.repeat(bounds[near] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
+        pairs = np.unique(np.stack([np.concatenate(text), np.concatenate(item)], 1), axis=0) if text else np.zeros((0, 2), np.int64)
+        return np.cumsum(inside[:-1]) > 0, pairs[:, 0], pairs[:, 1]
+
+
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _scan(df: DataFrame, text_col: str, windows: Windows, item_type: str) -> DataFrame:
+    """df with the findings of this set of windows, and with those that earlier passes left in columns of their names."""
     held = df.sparkSession.sparkContext.broadcast(windows)
     others = [c for c in df.columns if c not in FINDINGS]
+    again = "hits" in df.columns
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = held.value
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            counts, hits, items = [], [], []
-            before = (batch.column("hits").to_pylist(), batch.column("items").to_pylist()) if not first else None
-            for i, text in enumerate(raw(batch.column(text_col))):
-                words = words_of(text) if text else []
-                mask, own = ours.find(words)
-                if before:
-                    own |= set(before[1][i])
-                    for x in before[0][i]:
-                        mask = np.zeros(len(words), bool) if mask is None else mask
-                        mask[x["start"] : x["end"]] = True
-                turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))) if mask is not None else np.zeros(0, int)
-                counts.append(len(words))
-                hits.append([{"start": int(s), "end": int(e)} for s, e in turns.reshape(-1, 2)])
-                items.append(sorted(own))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in others), pa.array(counts, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string() if item_type == "string" else pa.int64()))],
-                [*others, *FINDINGS],
-            )
+            for a, b, texts in portions(batch.column(text_col), PORTION):
+                words = Words(texts)
+                inside, of, item = ours.find(words)
+                first = np.searchsorted(words.text, np.arange(b - a + 1))
+                spans: list[list] = [[] for _ in range(b - a)]
+                own: list[set] = [set() for _ in range(b - a)]
+                for i, k in zip(of.tolist(), item.tolist(), strict=True):
+                    own[i].add(ours.items[k])
+                before = batch.slice(a, b - a).select(["hits", "items"]).to_pylist() if again else ()
+                for i, x in enumerate(before):
+                    own[i].update(x["items"] or ())
+                    for hit in x["hits"] or ():
+                        inside[first[i] + hit["start"] : first[i] + hit["end"]] = True
+                joined = inside[1:] & inside[:-1] & (words.text[1:] == words.text[:-1])
+                turns, ends = inside.copy(), inside.copy()
+                turns[1:] &= ~joined
+                ends[:-1] &= ~joined
+                for s, e in zip(np.flatnonzero(turns).tolist(), (np.flatnonzero(ends) + 1).tolist(), strict=True):
+                    i = int(words.text[s])
+                    spans[i].append({"start": s - int(first[i]), "end": e - int(first[i])})
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).slice(a, b - a) for c in others), pa.array(np.diff(first), pa.int64()), pa.array(spans, SPAN),
+                        pa.array([sorted(x) for x in own], pa.list_(pa.string() if item_type == "string" else pa.int64())),
+                    ],
+                    [*others, *FINDINGS],
+                )
 
     schema = T.StructType([*(df.schema[c] for c in others), *T.StructType.fromDDL(FOUND.format(item=item_type)).fields])
     return df.mapInArrow(scanned, schema)
@@ -138,17 +183,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     item_type = "string" if items.schema["item"].dataType.simpleString() == "string" else "bigint"
     size = items.select(F.sum(F.coalesce(F.size(F.split("text", NO_WORD)), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-size // max_words))
-    out = docs.drop(*FINDINGS)
-    if blocks > 1:
-        blocks, items = 2 * blocks, _pieces(items, window, max(2 * window, max_words // 8))
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == b) if blocks > 1 else items
-        held = [(r.item, r.text.encode() if r.text else None) for r in own.toLocalIterator()]
-        before, out = out, _scan(out, text_col, Windows(held, window), item_type, b == 0)
-        if b < blocks - 1:
-            out = cut(out)
-            drop(before)
-    return out
+    docs = docs.drop(*FINDINGS)
+    if blocks == 1:
+        return _scan(docs, text_col, _windows(items, window), item_type)
+    blocks, items = 2 * blocks, _pieces(items, window, max(2 * window, max_words // 8))
+    part = lambda b: _windows(items.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == b), window)
+    # the texts, written once with a number for each, so that passes can name them
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = None
+    for b in range(blocks - 1):
+        own = cut(_scan(numbered.select("_row", F.col(f"`{text_col}`").alias(text_col)), text_col, part(b), item_type).where(F.size("hits") > 0).select("_row", "hits", "items"))
+        found = own if found is None else found.unionByName(own)
+    added = cut(found.groupBy("_row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+    # a few hundred thousand findings are sent to every task; more meet the texts in a shuffle
+    known = numbered.join(F.broadcast(added) if added.count() <= 200_000 else added, "_row", "left")
+    return _scan(known.drop("_row"), text_col, part(blocks - 1), item_type)
+
+
+def _windows(items: DataFrame, window: int) -> Windows:
+    return Windows([(r.item, r.text.encode() if r.text else None) for r in items.select("item", "text").toLocalIterator()], window)
 
 
 def _pieces(items: DataFrame, window: int, words: int) -> DataFrame:

@@ -71,11 +71,12 @@ def spread(lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         at = to
 
 
-def differing(data: np.ndarray, starts: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Which of the slices of data differ from the slices of the same lengths that start at others."""
+def differing(data: np.ndarray, starts: np.ndarray, others: np.ndarray, lengths: np.ndarray, other_data: np.ndarray | None = None) -> np.ndarray:
+    """Which of the slices of data differ from the slices, of the same lengths, of data or other_data that start at others."""
+    other_data = data if other_data is None else other_data
     out = np.zeros(len(starts), bool)
     for at, to, n, before, place in spread(lengths):
-        unlike = data[np.repeat(starts[at:to], n) + place] != data[np.repeat(others[at:to], n) + place]
+        unlike = data[np.repeat(starts[at:to], n) + place] != other_data[np.repeat(others[at:to], n) + place]
         out[at:to] = np.add.reduceat(unlike, before, dtype=np.int64) > 0
     return out
 

@@ -4,17 +4,22 @@ import base64
 import hashlib
 import json
 import math
+import os
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmask.llm import decontamination, html, licenses, packing, secrets
 from quillmask.llm.registry import QUERIES, SQL
+from quillmask.llm.slices import portions
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -516,6 +521,56 @@ def test_decontamination_spans(spark, corpus):
     assert decontamination.find_contamination(corpus, items.limit(0)).count() == corpus.count()
 
 
+def plain_contamination(text, items, window=10):
+    fold = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words, inside, own = fold(text), set(), set()
+    for item, t in items:
+        w = fold(t)
+        n = min(window, len(w))
+        grams = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+        for i in range(len(words) - n + 1):
+            if tuple(words[i : i + n]) in grams:
+                inside |= set(range(i, i + n))
+                own.add(item)
+    starts, ends = [i for i in sorted(inside) if i - 1 not in inside], [i + 1 for i in sorted(inside) if i + 1 not in inside]
+    return len(words), list(zip(starts, ends)), sorted(own)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_decontamination_by_brute_force(spark, monkeypatch, collide):
+    rng = np.random.default_rng(9)
+    make = lambda n: "".join(str(rng.choice(["a", "B", "ü", "1"])) + str(rng.choice([" ", ", ", "\n", "--"])) for _ in range(n))
+    items = [(i, make(int(n))) for i, n in enumerate(rng.integers(0, 30, 40))] + [(90, None), (91, "a b"), (92, "")]
+    texts = [make(int(n)) for n in rng.integers(0, 60, 80)] + [None, "", items[3][1] + " x " + items[3][1]]
+    if collide:  # hashes of a few values only
+        monkeypatch.setattr(decontamination, "mixed", lambda x: np.asarray(x).astype(np.uint64) % np.uint64(5) << np.uint64(60))
+        windows, rows = decontamination.Windows([(i, t.encode() if t else None) for i, t in items], 4), []
+        for _, _, part in portions(pa.array(texts, pa.string()), 200):
+            words = decontamination.Words(part)
+            inside, of, item = windows.find(words)
+            first = np.searchsorted(words.text, np.arange(len(part.ends)))
+            rows += [(int(first[i + 1] - first[i]), np.flatnonzero(inside[first[i] : first[i + 1]]).tolist(), sorted(windows.items[k] for k in item[of == i])) for i in range(len(part.ends) - 1)]
+        want = [plain_contamination(t, items, 4) for t in texts]
+        assert rows == [(n, [i for s, e in spans for i in range(s, e)], own) for n, spans, own in want] and sum(len(r[1]) for r in rows) > 100
+        return
+    docs, table_of = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {i: plain_contamination(t, items, 4) for i, t in enumerate(texts)}
+    for most in (decontamination.MAX_WORDS, 60):
+        out = decontamination.find_contamination(docs, table_of, window=4, max_words=most).collect()
+        assert {r.doc_id: (r.n_words, [(h.start, h.end) for h in r.hits], r["items"]) for r in out} == want and len(out) == len(texts)
+
+
+def test_two_million_item_words_stay_below_their_bound():
+    """In a process of its own, whose peak is measured."""
+    code = (
+        "import resource, numpy as np; from quillmask.llm import decontamination as D; w = [f'w{x}' for x in np.random.default_rng(1).integers(0, 10**7, 2_000_000)]; "
+        "items = [(i, ' '.join(w[100 * i : 100 * i + 100]).encode()) for i in range(20_000)]; del w; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; made = D.Windows(items, 10); "
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before, sum(len(x[0]) for x in made.lengths.values()))"
+    )
+    kb, windows = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(decontamination.__file__)) + "/..").stdout.split())
+    assert windows > 1_800_000 and kb < 500_000
+
+
 def test_long_items_are_taken_in_pieces(spark):
     words = [f"w{i}" for i in range(500)]
     docs = spark.createDataFrame([(i, " ".join(words[i : i + 12])) for i in range(0, 489)], "doc_id long, text string")
