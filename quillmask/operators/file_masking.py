@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..sources import containers
 from ..sources.files import file_type, output_name
 from . import images, masking, pages, word_files
 
 
-@F.pandas_udf(StringType())
-def main_part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A container's word/document.xml, null where there is none."""
-    for s in batches:
-        yield s.map(lambda content: next((p["xml"] for p in containers._parts(content) or () if p["part"] == "word/document.xml"), None))
-
-
-@F.pandas_udf(StringType())
-def styles_part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A container's word/styles.xml, null where there is none."""
-    for s in batches:
-        yield s.map(lambda content: next((p["xml"] for p in containers._parts(content) or () if p["part"] == "word/styles.xml"), None))
-
-
 def default_font_sizes(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, half_pts): the default font size that a word-processor file names, null without one."""
-    return files.select(id_col, word_files.default_half_points(styles_part("content")).alias("half_pts"))
+    return files.select(id_col, word_files.default_half_points(containers.styles_part("content")).alias("half_pts"))
 
 
 def mask_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -45,7 +27,7 @@ def mask_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # each function sees only the contents it is for
     docx = F.when(kind == "docx", F.col("content"))
     doc = F.when(kind == "doc", F.col("content"))
-    parts = typed.withColumns({"_xml": main_part(docx), "_text": containers.document_text(doc)})
+    parts = typed.withColumns({"_xml": containers.main_part(docx), "_text": containers.document_text(doc)})
     checked = F.when((kind == "docx") & F.col("_xml").isNull(), F.raise_error(F.concat(F.lit("word/document.xml not found: "), F.col("file_name"))).cast("string")).otherwise(F.col("_xml"))
     # a masked part is put into the container it came from; other rows carry a container of their own through the function and lose it behind it
     masked = parts.withColumn("_xml", word_files.mask_xml(checked, F.col("_values")))

@@ -36,16 +36,42 @@ def _parts(content: bytes | None) -> list[dict] | None:
         return None
 
 
+def _part(content: bytes | None, name: str) -> str | None:
+    """One part alone; null where there is none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+            return z.read(name).decode("utf-8", "replace")
+    except (zipfile.BadZipFile, KeyError):
+        return None
+
+
+_MARKS = {f"{_W}tab": "\t", f"{_W}br": "\n"}
+
+
 def _text(content: bytes | None) -> str | None:
-    for part in _parts(content) or ():
-        if part["part"] == "word/document.xml":
-            try:
-                root = ElementTree.fromstring(part["xml"])
-            except ElementTree.ParseError:
-                return None
-            marks = {f"{_W}t": lambda e: e.text or "", f"{_W}tab": lambda e: "\t", f"{_W}br": lambda e: "\n"}
-            return "".join("".join(marks[e.tag](e) for e in p.iter() if e.tag in marks) + "\n\n" for p in root.iter(f"{_W}p")).replace("\r", "")
-    return None
+    xml = _part(content, "word/document.xml")
+    if xml is None:
+        return None
+    try:
+        root = ElementTree.fromstring(xml)
+    except ElementTree.ParseError:
+        return None
+    text = f"{_W}t"
+    return "".join("".join((e.text or "") if e.tag == text else _MARKS[e.tag] for e in p.iter() if e.tag == text or e.tag in _MARKS) + "\n\n" for p in root.iter(f"{_W}p")).replace("\r", "")
+
+
+@F.pandas_udf(StringType())
+def main_part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A container's word/document.xml, null where there is none; no other part is unpacked."""
+    for s in batches:
+        yield s.map(lambda content: _part(content, "word/document.xml"))
+
+
+@F.pandas_udf(StringType())
+def styles_part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A container's word/styles.xml, null where there is none."""
+    for s in batches:
+        yield s.map(lambda content: _part(content, "word/styles.xml"))
 
 
 @F.pandas_udf(ArrayType(StructType().add("part", StringType()).add("xml", StringType())))
