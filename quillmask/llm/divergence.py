@@ -29,9 +29,9 @@ from .slices import byte_table, identify, portions
 LETTER = byte_table((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
 #: Bytes of text whose terms are counted at once, and rows of sums that a task combines at once.
-PORTION, COMBINED = 8 << 20, 400_000
+PORTION, COMBINED = 8 << 20, 600_000
 SCALE = 10**9
-COUNTED = "lang string, source string, term string, n bigint, docs bigint"
+COUNTED = "lang string, term string, docs bigint, held array<struct<source:string,n:bigint>>"
 
 
 def counts_of(batch: pa.RecordBatch) -> Iterator[pa.Table]:
@@ -66,7 +66,17 @@ def counts_of(batch: pa.RecordBatch) -> Iterator[pa.Table]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a language, with the documents that have it and its occurrences by source: a term is written once for all sources that stand in the same portions."""
     combine = lambda held: pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["lang", "source", "term", "n", "docs"])
+
+    def nested(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        made = rows.group_by(["lang", "term"]).aggregate([("docs", "sum"), ("source", "list"), ("n", "list")]).combine_chunks()
+        for batch in made.to_batches(20_000):
+            sources, n = batch.column("source_list"), batch.column("n_list")
+            ends = np.concatenate([[0], np.cumsum(sources.value_lengths().to_numpy())])
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([sources.flatten(), n.flatten()], ["source", "n"]))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("term"), batch.column("docs_sum"), held], ["lang", "term", "docs", "held"])
+
     held: list[pa.Table] = []
     for batch in batches:
         for part in counts_of(batch):
@@ -74,15 +84,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(len(x) for x in held) >= COMBINED:
                 held = [combine(held)]
                 if len(held[0]) >= COMBINED // 2:  # little was equal
-                    yield from held.pop().combine_chunks().to_batches(20_000)
+                    yield from nested(held.pop())
     if held:
-        yield from combine(held).combine_chunks().to_batches(20_000)
+        yield from nested(combine(held))
 
 
 def entries(docs: DataFrame, least_documents: int = 3) -> DataFrame:
     """(lang, term, source, n, lang_n, first): occurrences of the kept terms, those in the whole language, and 1 on one row of each term, 0 on its others."""
     counted = docs.select("lang", "source", "text").mapInArrow(_counted, COUNTED).repartition("lang", "term")
-    summed = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # a row's documents are counted with its first source
+    each = counted.select("lang", "term", "docs", F.posexplode_outer("held").alias("i", "h")).select("lang", "term", "h.source", "h.n", F.when(F.col("i") == 0, F.col("docs")).otherwise(0).alias("docs"))
+    summed = each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")
     known = summed.withColumns({"df": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term), "first": (F.row_number().over(of_term.orderBy("source")) == 1).cast("int")})
     return known.where(F.col("df") >= least_documents).select("lang", "term", "source", "n", "lang_n", "first")

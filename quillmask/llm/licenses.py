@@ -40,12 +40,12 @@ NAMES = {
     "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0"],
     "ISC": ["ISC License", "ISC"],
     "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "EPL 2.0", "EPL-2.0"],
-    "CC-BY-NC-SA": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Creative Commons Attribution-NonCommercial-ShareAlike License", "CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"],
-    "CC-BY-NC-ND": ["Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Creative Commons Attribution-NonCommercial-NoDerivs License", "CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"],
-    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC 4.0", "CC-BY-NC-4.0"],
-    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC BY-SA 4.0", "CC-BY-SA-4.0"],
-    "CC-BY-ND": ["Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NoDerivs License", "CC BY-ND 4.0", "CC-BY-ND-4.0"],
-    "CC-BY": ["Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC-BY-4.0"],
+    "CC-BY-NC-SA": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Creative Commons Attribution-NonCommercial-ShareAlike License", "CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0", "CC BY-NC-SA"],
+    "CC-BY-NC-ND": ["Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Creative Commons Attribution-NonCommercial-NoDerivs License", "CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0", "CC BY-NC-ND"],
+    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC"],
+    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC BY-SA 4.0", "CC-BY-SA-4.0", "CC BY-SA"],
+    "CC-BY-ND": ["Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NoDerivs License", "CC BY-ND 4.0", "CC-BY-ND-4.0", "CC BY-ND"],
+    "CC-BY": ["Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC-BY-4.0", "CC BY"],
     "public-domain": ["CC0 1.0 Universal", "CC0 1.0", "CC0", "Unlicense", "CC0-1.0"],
     "proprietary": [],
 }
@@ -180,6 +180,10 @@ def signs(template: list[bytes], pairs: set) -> set[bytes]:
     return out
 
 
+#: Words of a paragraph that may name several licences, and what stands between them.
+CHOICE, _JOINTS = 24, frozenset({b"or", b"and", b"/"})
+
+
 class Classifier:
     """Families with the unknown class at 0, one row of weights for each n-gram, and for the shares of unknown words."""
 
@@ -280,6 +284,18 @@ class Classifier:
         alike = max((n / len(t) for t in self.pairs[family] if (n := len(t & own)) and (len(t) >= WHOLE or n >= PART * len(own))), default=0.0)
         return (family, float(p[k]), alike) if alike >= CONFIRMED else None
 
+    def others(self, words: list[bytes], first: str) -> list[tuple[str, float, float]]:
+        """Families that a short paragraph names beside the first one: between "or", "and" or "/" each part is classified and confirmed by itself, as what something is licensed under."""
+        if len(words) > CHOICE or _JOINTS.isdisjoint(words):
+            return []
+        out, begin = {}, 0
+        for i in range(len(words) + 1):
+            if i == len(words) or words[i] in _JOINTS:
+                if i > begin and (x := self.classify_words([b"licensed", b"under", *words[begin:i]])) and x[0] != first:
+                    out.setdefault(x[0], x)
+                begin = i + 1
+        return list(out.values())
+
     def wrapped(self, lines: list[list[bytes]], found: dict[int, tuple[str, float, float]]) -> list[tuple[int, tuple[str, float, float]]]:
         """(line of the first word, finding) of notices that run over several of the lines, which are words, and that none of their lines has in found."""
         words = [w for line in lines for w in line]
@@ -317,7 +333,7 @@ class Classifier:
             return text.count(b"\n") + 1, []
         lines = [words_of(line) for line in text.split(b"\n")]
         found = {i: x for i, words in enumerate(lines) if (x := self.classify_words(words))}
-        out, begin = list(found.items()), 0
+        out, begin = [(i, x) for i, one in found.items() for x in (one, *self.others(lines[i], one[0]))], 0
         for i in range(len(lines) + 1):
             if i == len(lines) or not lines[i]:
                 if i - begin > 1 and any(not self.signs.isdisjoint(x) for x in lines[begin:i]):

@@ -429,6 +429,31 @@ def test_wrapped_notices(family, sign, notice):
     assert n == text.count("\n") + 1 and [(i, x[0]) for i, x in found] == [(2, family)]
 
 
+@pytest.mark.parametrize(("text", "families"), [
+    ("dual licensed under MIT or Apache-2.0", ["Apache-2.0", "MIT"]), ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]), ("Text is available under CC BY-SA.", ["CC-BY-SA"]),
+    ("This work is licensed under a CC BY-NC license", ["CC-BY-NC"]), ("He studied at MIT or Stanford.", []), ("with a cc by email and bcc", []),
+])
+def test_several_families_in_a_paragraph(text, families):
+    assert [x[0] for _, x in licenses.classifier().scan(text.encode())[1]] == families
+
+
+def plain_others(c, words, first):
+    """Parts between joints, cut by a regular expression."""
+    parts = re.split(r" (?:or|and|/) ", f" {b' '.join(words).decode()} ".replace(" or or ", " or  or "))
+    found = [x for p in parts if p.split() and (x := c.classify_words([b"licensed", b"under", *p.encode().split()]))]
+    return sorted({x[0] for x in found} - {first}) if len(words) <= licenses.CHOICE and len(parts) > 1 else []
+
+
+def test_families_by_a_plain_version():
+    c, rng = licenses.classifier(), np.random.default_rng(4)
+    names = [n for own in licenses.NAMES.values() for n in own]
+    for _ in range(150):
+        line = " ".join(["Licensed under", *(str(rng.choice([*names, "or", "and", "the", "terms"])) for _ in range(int(rng.integers(1, 6))))])
+        words = licenses.words_of(line.encode())
+        own = c.classify_words(words)
+        assert [x[0] for _, x in c.scan(line.encode())[1]] == sorted([own[0], *plain_others(c, words, own[0])] if own else [])
+
+
 def test_packing_round_trip(spark, data):
     from tokenizers import Tokenizer
 
