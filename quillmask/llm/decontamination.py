@@ -29,7 +29,7 @@ MAX_WORDS = 2_000_000
 WORD = byte_table((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
 #: Bytes of text that are scanned at once.
-PORTION = 4 << 20
+PORTION = 1 << 20
 
 #: What stands between words, and words.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

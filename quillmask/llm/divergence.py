@@ -29,7 +29,7 @@ from .slices import byte_table, identify, portions
 LETTER = byte_table((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
 #: Bytes of text whose terms are counted at once, and rows of sums that a task combines at once.
-PORTION, COMBINED = 8 << 20, 600_000
+PORTION, COMBINED = 4 << 20, 400_000
 SCALE = 10**9
 COUNTED = "lang string, term string, docs bigint, held array<struct<source:string,n:bigint>>"
 

@@ -31,7 +31,7 @@ WINDOW = 8
 WORD, LINE = byte_table((0x20, 0x20), (0x09, 0x0D)), byte_table((0x0A, 0x0A))
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 #: Bytes of text that are measured at once.
-PORTION = 4 << 20
+PORTION = 2 << 20
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{n}_chars" for n in SEQUENCES)]
 
 

@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Numbers of a wide fingerprint.
 WIDE = ("a", "b", "c", "d")
 #: Bytes of text whose shingles are made at once.
-PORTION = 2 << 20
+PORTION = 1 << 20
 
 
 def reach_of(similarity: float, spare: int = 24) -> int:

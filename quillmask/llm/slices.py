@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes that are compared at once.
-COMPARED = 1 << 20
+COMPARED = 1 << 18
 
 
 def byte_table(*outside: tuple[int, int]) -> np.ndarray:
