@@ -7,14 +7,16 @@ them is pluggable. Items are dealt by page once, for the windows and groupings o
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import text as T
+from ..functions.automaton import every_start_of_each
 from ..functions.spans import let, strip_white
 
 ITEM = "struct<str:string,x:double,y:double,width:double,height:double>"
@@ -272,10 +274,32 @@ def text_positions(items: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("doc_id", "page", "item_idx", F.col("str").alias("text"), "x", (F.col("_h") - F.col("y")).alias("y"), some("width", 100.0).alias("width"), some("height", 12.0).alias("height"))
 
 
+def items_with(texts: list[str], values: list[str]) -> Iterator[tuple[int, int]]:
+    """(item, value) by their numbers: which items of a page hold which values. The page is searched as one text, in one pass where the values are many; a search among the items' places tells which one an occurrence stands in."""
+    starts = [0, *accumulate(len(t) + 1 for t in texts)]
+    for v, places in enumerate(every_start_of_each("\0".join(texts), values)):
+        last = -1
+        for at in places:
+            i = bisect_right(starts, at) - 1
+            if i != last and at + len(values[v]) < starts[i + 1]:
+                last = i
+                yield i, v
+
+
+@F.arrow_udf(ArrayType(StructType().add("item", "integer").add("value", "integer")))
+def _items_with(texts: pa.Array, values: pa.Array) -> pa.Array:
+    rows = [[{"item": i, "value": v} for i, v in items_with([t or "" for t in own or ()], list(wanted or ()))] for own, wanted in zip(texts.to_pylist(), values.to_pylist(), strict=True)]
+    return pa.array(rows, pa.list_(pa.struct([("item", pa.int32()), ("value", pa.int32())])))
+
+
 def position_rectangles(positions: DataFrame, pages: DataFrame, detections: DataFrame, pad: float = 2.0) -> DataFrame:
-    """(doc_id, page, det_idx, value, x, y, width, height): every position whose text holds the value."""
-    wanted = detections.withColumn("value", T.trim_ws(F.col("value"))).where("value <> ''").select("doc_id", "det_idx", "value")
-    hit = positions.join(wanted, "doc_id").where(F.contains("text", F.col("value"))).join(pages.select("doc_id", "page", F.col("height").alias("_h")), ["doc_id", "page"])
+    """(doc_id, page, det_idx, value, x, y, width, height): every position whose text holds the value. A page's positions and a document's values stand nested in a row each, so no position is repeated for each value."""
+    wanted = detections.withColumn("value", T.trim_ws(F.col("value"))).where("value <> ''").groupBy("doc_id").agg(F.collect_list(F.struct("det_idx", "value")).alias("_values"))
+    held = positions.repartition("doc_id").groupBy("doc_id", "page").agg(F.collect_list(F.struct("text", "x", "y", "width", "height")).alias("_items"))
+    both = held.join(wanted, "doc_id").withColumn("_hits", _items_with(F.transform("_items", lambda i: i.text), F.transform("_values", lambda v: v.value)))
+    found = F.transform("_hits", lambda h: F.struct(F.get("_items", h.item).alias("i"), F.get("_values", h.value).alias("v")))
+    hit = both.select("doc_id", "page", F.explode_outer(found).alias("h")).where("h is not null").select("doc_id", "page", "h.v.*", "h.i.*")
+    hit = hit.join(pages.select("doc_id", "page", F.col("height").alias("_h")), ["doc_id", "page"])
     return hit.select("doc_id", "page", "det_idx", "value", (F.col("x") - pad).alias("x"), (F.col("_h") - F.col("y") - F.col("height") - pad).alias("y"), (F.col("width") + 2 * pad).alias("width"), (F.col("height") + 2 * pad).alias("height"))
 
 

@@ -93,3 +93,30 @@ def test_first_lines_of_pages(spark):
     every = sorted((r.page, r.value, r.line_id) for r in pages.match_lines(line, dets, strict=True).collect())
     assert every == [(0, "1234 5678", 3), (0, "Ann Lee", 1), (0, "Ann Lee", 2), (1, "Ann Lee", 0)]
     assert pages.page_counts(pages.match_lines(line, dets)).orderBy("page").select(F.col("n_values")).collect() == [(2,), (1,)]
+
+
+def test_runs_by_offsets_in_lines_of_any_items():
+    """first_run() against every run tried in turn."""
+    rng = random.Random(11)
+    found = 0
+    for _ in range(3000):
+        letters = rng.choice(["ab ", "12 ", "a1 :", "DE1 2"])
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(0, 9))]
+        value = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))).strip() or "a"
+        most, kind = rng.choice([5, 6]), rng.choice([0, 1, 2])
+        digits = lambda s: sum(c.isdigit() for c in s)
+        enough = lambda t: kind == 0 or (digits(t) / len(bare(t)) >= 0.5 if kind == 1 else digits(t) >= 0.3 * digits(value))
+        want = next(((i, k) for i in range(len(texts)) for k in range(1, min(most, len(texts) - i) + 1) if bare(value) in bare(" ".join(texts[i : i + k])) and enough(" ".join(texts[i : i + k]))), None)
+        assert pages.first_run(texts, value, most, kind) == want, (texts, value, most, kind)
+        found += want is not None
+    assert found > 500
+
+
+def test_positions_that_hold_values():
+    rng = random.Random(12)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "a\0b", "aé😀 "])
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 6))) for _ in range(rng.randrange(0, 9))]
+        values = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) for _ in range(rng.choice([3, 40]))]
+        got = sorted(pages.items_with(texts, values))
+        assert got == [(i, v) for i, t in enumerate(texts) for v in range(len(values)) if values[v] in t]
