@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .spans import masked, merged, span_lists
+from .spans import masked, merged, portions, span_lists
 
 
 @lru_cache(maxsize=1)
@@ -68,7 +68,7 @@ def with_masked_originals(df: DataFrame, text_col: str, spans_col: str, to: str)
         return "".join([*out, text[at:]])
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             at = batch.schema.get_field_index(spans_col)
             columns, names = [*batch.columns], [*batch.schema.names]
             columns[at], names[at] = pa.array([one(t, own) for t, own in zip(batch.column(text_col).to_pylist(), span_lists(batch.column(at)), strict=True)], pa.string()), to

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 from itertools import accumulate
 
 import numpy as np
@@ -22,6 +22,8 @@ from .automaton import masked_in_turn, starts_of, starts_of_each
 from .text import BOUNDARY, WS, variants
 
 SPANS = "array<struct<s:int,e:int>>"
+#: Bytes of a batch that are taken out of Arrow at once.
+PORTION = 1 << 20
 _INT = IntegerType()
 _SPAN = StructType().add("s", _INT).add("e", _INT)
 _HIT = StructType().add("s", _INT).add("e", _INT).add("good", BooleanType()).add("around", StringType())
@@ -30,6 +32,27 @@ _WS = _CODES.sub(lambda m: f"\\u{int(m[1], 16):04x}", WS)
 _WHITE, _NO_WS, _EDGE = re.compile(f"[{_WS}]+"), re.compile(f"[^{_WS}]"), re.compile(f"[{_WS}{BOUNDARY}]")
 
 
+def portions(batch: pa.RecordBatch, at_most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of so many bytes at most, or of a single row. As objects a batch of 10,000 texts and what is found in them would take many times its bytes, in each worker."""
+    if batch.num_rows <= 1 or batch.nbytes <= at_most:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from portions(batch.slice(0, half), at_most)
+        yield from portions(batch.slice(half), at_most)
+
+
+def by_portions(f: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """f over Arrow columns, computed portion by portion."""
+
+    @wraps(f)
+    def whole(*columns: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([*columns], [str(i) for i in range(len(columns))])
+        return pa.concat_arrays([f(*part.columns) for part in portions(batch)])
+
+    return whole
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it inside a lambda, which would else compute it for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -86,15 +109,14 @@ def hits_of_each(text: str | None, values: list[str | None] | None) -> list[list
 
 
 @F.arrow_udf(ArrayType(_SPAN))
+@by_portions
 def find_all(text: pa.Array, value: pa.Array) -> pa.Array:
     """Every occurrence from left to right, none overlapping another; none of an empty value or in a null text."""
     return _spans([[(at, at + len(v)) for at in starts_of(t or "", v or "")] for t, v in zip(text.to_pylist(), value.to_pylist(), strict=True)])
 
 
-@lru_cache(maxsize=16)
-def located(extra: int | None = None, only_bad: bool = False) -> Callable[[Column, Column], Column]:
-    """A function of a text and an array of values: for each value an array of its occurrences as struct<s, e, good, around>. good: whether token boundaries stand at both ends. around: the text from extra characters
-    before to extra after, null without extra, and with only_bad also where an occurrence is good."""
+def hits_around(texts: list[str], values: list[list[str]], extra: int | None = None, only_bad: bool = False) -> pa.Array:
+    """For each text and value an array of the occurrences as struct<s, e, good, around>, as located() has them."""
 
     def one(text: str, value: str, starts: list[int]) -> Iterator[tuple]:
         n, size = len(value), len(text)
@@ -103,19 +125,28 @@ def located(extra: int | None = None, only_bad: bool = False) -> Callable[[Colum
             good = (s == 0 or bool(_EDGE.match(text, s - 1))) and (e == size or bool(_EDGE.match(text, e)))
             yield s, e, good, None if extra is None or (good and only_bad) else text[max(0, s - extra) : e + extra]
 
+    rows = [[list(one(t, v, starts)) for v, starts in zip(own, starts_of_each(t, own), strict=True)] for t, own in zip(texts, values, strict=True)]
+    lists = [hits for row in rows for hits in row]
+    s, e, good, around = zip(*(h for hits in lists for h in hits), strict=True) if any(lists) else ((), (), (), ())
+    hits = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(good, pa.bool_()), pa.array(around, pa.string())], ["s", "e", "good", "around"])
+    return _lists(rows, _lists(lists, hits))
+
+
+@lru_cache(maxsize=16)
+def located(extra: int | None = None, only_bad: bool = False) -> Callable[[Column, Column], Column]:
+    """A function of a text and an array of values: for each value an array of its occurrences as struct<s, e, good, around>. good: whether token boundaries stand at both ends. around: the text from extra characters
+    before to extra after, null without extra, and with only_bad also where an occurrence is good."""
+
     @F.arrow_udf(ArrayType(ArrayType(_HIT)))
+    @by_portions
     def found(text: pa.Array, values: pa.Array) -> pa.Array:
-        each = [(t or "", [v or "" for v in own or ()]) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)]
-        rows = [[list(one(t, v, starts)) for v, starts in zip(own, starts_of_each(t, own), strict=True)] for t, own in each]
-        lists = [hits for row in rows for hits in row]
-        s, e, good, around = zip(*(h for hits in lists for h in hits), strict=True) if any(lists) else ((), (), (), ())
-        hits = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(good, pa.bool_()), pa.array(around, pa.string())], ["s", "e", "good", "around"])
-        return _lists(rows, _lists(lists, hits))
+        return hits_around([t or "" for t in text.to_pylist()], [[v or "" for v in own or ()] for own in values.to_pylist()], extra, only_bad)
 
     return found
 
 
 @F.arrow_udf(ArrayType(ArrayType(_SPAN)))
+@by_portions
 def _find_each(text: pa.Array, values: pa.Array) -> pa.Array:
     rows = [hits_of_each(t, own) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)]
     return _lists(rows, _spans([hits for row in rows for hits in row]))
@@ -127,18 +158,21 @@ def find_variants(text: Column, value: Column) -> Column:
 
 
 @F.arrow_udf(ArrayType(_SPAN))
+@by_portions
 def marked(text: pa.Array, values: pa.Array) -> pa.Array:
     """Where any of the values stands, overlapping and touching places as one."""
     return _spans([merged([hit for hits in hits_of_each(t, [*dict.fromkeys(own or ())]) for hit in hits]) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)])
 
 
 @F.arrow_udf(ArrayType(_SPAN))
+@by_portions
 def merge_spans(spans: pa.Array) -> pa.Array:
     """Overlapping and touching spans as one, by start."""
     return _spans([None if r is None else merged(r) for r in span_lists(spans)])
 
 
 @F.arrow_udf(StringType())
+@by_portions
 def mask_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
     """The text with what lies in the spans masked; spans are disjoint and in order."""
 
@@ -154,11 +188,20 @@ def mask_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array([one(t, own) for t, own in zip(text.to_pylist(), span_lists(spans), strict=True)], pa.string())
 
 
+def masked_where(text: str, values: list[str]) -> str:
+    """The text masked where any of the values stands."""
+    out, at = [], 0
+    for s, e in merged([hit for hits in hits_of_each(text, [*dict.fromkeys(values)]) for hit in hits]):
+        out += [text[at:s], masked(text[s:e])]
+        at = e
+    return "".join([*out, text[at:]])
+
+
 def with_cut_out(df: DataFrame, text_col: str, spans_col: str, to: str) -> DataFrame:
     """df with a column ``to`` in place of spans_col: what lies in each of the spans, in their order. A step of its own, as Spark doesn't chain functions whose arguments are made of another one's results inside lambdas."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             at = batch.schema.get_field_index(spans_col)
             rows = [[(t or "")[s:e] for s, e in own or ()] for t, own in zip(batch.column(text_col).to_pylist(), span_lists(batch.column(at)), strict=True)]
             columns, names = [*batch.columns], [*batch.schema.names]
@@ -179,6 +222,7 @@ def masked_each(text: str, values: list[str]) -> str:
 
 
 @F.arrow_udf(StringType())
+@by_portions
 def _mask_each(text: pa.Array, values: pa.Array) -> pa.Array:
     return pa.array([None if t is None else masked_each(t, own or []) for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)], pa.string())
 
@@ -186,8 +230,13 @@ def _mask_each(text: pa.Array, values: pa.Array) -> pa.Array:
 @F.arrow_udf(ArrayType(_INT))
 def running_total(numbers: pa.Array) -> pa.Array:
     """The sums of an array's elements up to each one."""
-    rows = numbers.to_pylist()
-    return pa.array([None if r is None else np.cumsum(r, dtype=np.int32) for r in rows], pa.list_(pa.int32()))
+    flat, size = numbers.flatten(), numbers.value_lengths()
+    if numbers.null_count or flat.null_count:
+        return pa.array([None if r is None else np.cumsum(r, dtype=np.int32) for r in numbers.to_pylist()], pa.list_(pa.int32()))
+    # one sum over all rows, less what stands before each of them
+    ends, size = np.concatenate([[0], np.cumsum(size.to_numpy(), dtype=np.int64)]), size.to_numpy()
+    total = np.concatenate([[0], np.cumsum(flat.to_numpy(), dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((total[1:] - np.repeat(total[ends[:-1]], size)).astype(np.int32)))
 
 
 @F.arrow_udf(ArrayType(_INT))

@@ -125,7 +125,7 @@ def is_red_xml(xml: Column) -> Column:
     return found
 
 
-def _nfkc(s: str | None) -> str:
+def nfkc_of(s: str | None) -> str:
     return "" if s is None else s if unicodedata.is_normalized("NFKC", s) else unicodedata.normalize("NFKC", s)
 
 
@@ -143,13 +143,13 @@ def ocr_form(s: str | None) -> str:
 @F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(_nfkc)
+        yield s.map(nfkc_of)
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def nfkc_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda values: None if values is None else [_nfkc(x) for x in values])
+        yield s.map(lambda values: None if values is None else [nfkc_of(x) for x in values])
 
 
 @F.pandas_udf(StringType())

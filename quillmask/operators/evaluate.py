@@ -6,17 +6,18 @@ look like joins and groupings (duplicates by trimmed value, occurrences by value
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import text as T
 from ..functions.edits import close_windows, distance
 from ..functions.normal import with_masked_originals
-from ..functions.spans import SPANS, located
+from ..functions.spans import SPANS, by_portions, hits_around, portions
 
 FOUND = "array<struct<s:int,e:int,good:boolean,around:string>>"
 
@@ -51,11 +52,37 @@ def near_places(text: str, value: str, least: float = 0.7, most: int = 3) -> lis
 
 
 @F.arrow_udf(ArrayType(ArrayType(StringType())))
+@by_portions
 def near_each(text: pa.Array, values: pa.Array) -> pa.Array:
     """For each value its near misses in the text."""
     return pa.array([[near_places(t or "", v or "") for v in own or ()] for t, own in zip(text.to_pylist(), values.to_pylist(), strict=True)], pa.list_(pa.list_(pa.string())))
 
 
+def with_found(docs: DataFrame, text_col: str, normalize: bool, suggest: bool) -> DataFrame:
+    """docs with the text, ``_values`` and ``_keys`` normalised, ``_found`` (each value's occurrences) and, with suggest, ``_near`` (its near misses).
+
+    All that walks along the text is one step, so that a task has a single worker for it, which holds a portion of its batch as objects. As a function for each of the columns it was five workers a task, each with a batch of its own.
+    """
+    found, near = ArrayType(ArrayType(StructType().add("s", "integer").add("e", "integer").add("good", "boolean").add("around", "string"))), ArrayType(ArrayType(StringType()))
+    schema = StructType([*docs.schema.fields]).add("_found", found)
+    schema = schema.add("_near", near) if suggest else schema
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in portions(whole)):
+            columns, names = [*batch.columns], [*batch.schema.names]
+            t, v, k = (names.index(c) for c in (text_col, "_values", "_keys"))
+            texts, values, keys = (columns[i].to_pylist() for i in (t, v, k))
+            if normalize:
+                texts, values, keys = [T.nfkc_of(x) for x in texts], [[T.nfkc_of(x) for x in own] for own in values], [[T.nfkc_of(x) for x in own] for own in keys]
+                columns[t], columns[v], columns[k] = pa.array(texts, pa.string()), pa.array(values, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.string()))
+            columns.append(hits_around(texts, values, 14 if suggest else None, True))
+            if suggest:
+                columns.append(pa.array([[near_places(x, y) for y in own] for x, own in zip(texts, values, strict=True)], pa.list_(pa.list_(pa.string()))))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return docs.mapInArrow(find, schema)
+
+
 def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text_col: str = "text", dets_col: str = "dets") -> DataFrame:
     """docs with ``results`` (one for each detection, in order) and ``duplicates``.
 
@@ -64,15 +91,12 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
     suggest=False leaves the near-miss searches out.
     """
     dets = F.coalesce(F.col(dets_col), F.array().cast("array<struct<type:string,value:string>>"))
-    base = docs.withColumns({"_text": T.nfkc(F.col(text_col)) if normalize else F.coalesce(F.col(text_col), F.lit("")), "_dets": dets})
+    base = docs.withColumns({text_col: F.coalesce(F.col(text_col), F.lit("")), "_dets": dets})
     values = F.transform("_dets", lambda d: F.coalesce(d.value, F.lit("")))
     keys = F.transform("_dets", lambda d: T.trim_ws(F.coalesce(d.value, F.lit(""))))
-    base = base.withColumns({"_values": T.nfkc_all(values) if normalize else values, "_keys": T.nfkc_all(keys) if normalize else keys, "_stream": T.normalize_phone(F.col("_text"))})
-    # all that walks along the text is found in one go; contexts are only looked at where no hit counts
-    base = base.withColumn("_found", located(14 if suggest else None, only_bad=True)(F.col("_text"), F.col("_values")))
-    if suggest:
-        base = base.withColumn("_near", near_each(F.col("_text"), F.col("_values")))
-    text, stream = F.col("_text"), F.col("_stream")
+    # contexts are only looked at where no hit counts
+    base = with_found(base.withColumns({"_values": values, "_keys": keys}), text_col, normalize, suggest).withColumn("_stream", T.normalize_phone(F.col(text_col)))
+    text, stream = F.col(text_col), F.col("_stream")
 
     def first(d: Column, i: Column) -> Column:
         v = F.get("_values", i)
@@ -117,7 +141,7 @@ def evaluate(docs: DataFrame, normalize: bool = True, suggest: bool = True, text
         )
 
     base = base.withColumn("results", F.transform("_first", second))
-    return base.withColumn(text_col, text).drop("_text", "_dets", "_values", "_keys", "_stream", "_found", "_near", "_first")
+    return base.drop("_dets", "_values", "_keys", "_stream", "_found", "_near", "_first")
 
 
 def mask_evaluated(docs: DataFrame, text_col: str = "text", dets_col: str = "dets") -> DataFrame:
