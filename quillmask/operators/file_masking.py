@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources import containers
 from ..sources.files import file_type, output_name
 from . import images, masking, pages, word_files
@@ -24,16 +25,10 @@ def mask_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     values = masking.wanted_values(F.col("dets"))
     kind = F.col("file_type")
     typed = files.withColumn("file_type", file_type(F.col("file_name"), F.col("mime"))).withColumn("_values", values)
-    # each function sees only the contents it is for
-    docx = F.when(kind == "docx", F.col("content"))
-    doc = F.when(kind == "doc", F.col("content"))
-    parts = typed.withColumns({"_xml": containers.main_part(docx), "_text": containers.document_text(doc)})
-    checked = F.when((kind == "docx") & F.col("_xml").isNull(), F.raise_error(F.concat(F.lit("word/document.xml not found: "), F.col("file_name"))).cast("string")).otherwise(F.col("_xml"))
-    # a masked part is put into the container it came from; other rows carry a container of their own through the function and lose it behind it
-    masked = parts.withColumn("_xml", word_files.mask_xml(checked, F.col("_values")))
-    masked = masking.mask_documents(masked.withColumnRenamed("dets", "_dets").withColumn("dets", F.when(kind == "doc", F.col("_dets"))), text_col="_text")
-    packed = F.when(kind == "docx", containers.with_part(F.col("content"), F.col("_xml"))).when((kind == "doc") & F.col("_text").isNotNull(), containers.new_document("masked_text"))
-    return masked.select(id_col, "file_type", output_name(F.col("file_name")).alias("output_name"), packed.alias("content"))
+    # only files that can be masked here reach the function
+    word = kind.isin("docx", "doc")
+    packed = containers.masked_content(kind, F.col("file_name"), F.when(word, F.col("content")), F.col("_values"), F.when(kind == "doc", F.flatten(F.transform("_values", T.variants))))
+    return typed.select(id_col, "file_type", output_name(F.col("file_name")).alias("output_name"), packed.alias("content"))
 
 
 def mask_images(pictures: DataFrame, words: DataFrame, detections: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import text as T
 from ..functions.automaton import every_start_of_each
+from ..functions.spans import by_portions
 
 _DIGIT = re.compile("[0-9]")
 
@@ -145,6 +146,7 @@ _RUN = StructType().add("det", "integer").add("start", "integer").add("n", "inte
 
 
 @F.arrow_udf(ArrayType(_RUN))
+@by_portions
 def word_runs(words: pa.Array, values: pa.Array) -> pa.Array:
     """The runs of words (an array of texts) that match each of the values: det is the value's place in its array, start the run's first word, n how many it has."""
     known: dict[str | None, str] = {}

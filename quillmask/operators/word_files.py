@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..functions.spans import let, masked_each
+from ..functions.spans import by_portions, let, masked_each
 from .masking import wanted_values
 
 #: A text element: opening, content and closing.
@@ -35,6 +35,7 @@ def masked_xml(xml: str, values: list[str]) -> str:
 
 
 @F.arrow_udf(StringType())
+@by_portions
 def mask_xml(xml: pa.Array, values: pa.Array) -> pa.Array:
     return pa.array([None if x is None else masked_xml(x, own or []) for x, own in zip(xml.to_pylist(), values.to_pylist(), strict=True)], pa.string())
 
