@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import text as T
 from ..functions.automaton import every_start_of_each
-from ..functions.spans import let, strip_white
+from ..functions.spans import by_portions, let, strip_white
 
 ITEM = "struct<str:string,x:double,y:double,width:double,height:double>"
 ITEMS = f"array<{ITEM}>"
@@ -31,10 +31,10 @@ def page_text(items: DataFrame, joint: str = "") -> DataFrame:
 
 def document_text(items: DataFrame) -> DataFrame:
     """(doc_id, text, n_pages, is_scanned): pages parted by an empty line, the whole trimmed; under 100 characters on at least a page is a scan."""
-    pages = page_text(items.repartition("doc_id"))
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
-    whole = T.trim_ws(F.array_join(F.transform(ordered, lambda p: F.concat(p.text, F.lit("\n\n"))), ""))
-    out = pages.groupBy("doc_id").agg(whole.alias("text"), F.count("*").cast("int").alias("n_pages"))
+    ordered = F.array_sort(F.collect_list(F.struct("page", "item_idx", F.coalesce("str", F.lit("")).alias("str"))))
+    own = items.groupBy("doc_id").agg(ordered.alias("_i"))
+    parted = F.transform("_i", lambda i, n: F.concat(F.when((n > 0) & ~F.get("_i", n - 1)["page"].eqNullSafe(i.page), "\n\n").otherwise(""), i.str))
+    out = own.select("doc_id", T.trim_ws(F.array_join(parted, "")).alias("text"), F.size(F.array_distinct("_i.page")).alias("n_pages"))
     return out.withColumn("is_scanned", is_scanned(F.col("text"), F.col("n_pages")))
 
 
@@ -71,24 +71,24 @@ def match_lines(line: DataFrame, detections: DataFrame, strict: bool = False) ->
     Tiers within a line: 1 as it is, 2 without white space, 3 by digits for card and account numbers. Tier 3 finds a line whose items can't hold the value, so nothing is drawn there, but it counts and ends the
     search of the page; strict=True leaves it out and takes every line.
 
-    A document's values stand nested in one row and meet its lines there, so that no line is repeated for each value; of what a line holds, only the numbers of values and the tiers are counted, and the items of the lines
-    that are a page's first are fetched by their keys.
+    A document's values stand nested in one row and meet its lines there, so that no line is repeated for each value. A hit carries its line's items: lines that hold a value are few, while to fetch the items by their keys all lines
+    would be shuffled again.
     """
     wanted = distinct_values(detections).where(~T.is_stop_word(F.col("value")))
     value = F.struct("det_idx", "type", "value", T.strip_ws(F.col("value")).alias("bare"), T.digits(F.col("value")).alias("nums"), T.is_card_or_iban(F.col("value")).alias("numeric"))
     nested = wanted.groupBy("doc_id").agg(F.collect_list(value).alias("_values"))
-    held = line.select("doc_id", "page", "line_id", "text", T.strip_ws(F.col("text")).alias("_bare"), T.digits(F.col("text")).alias("_nums")).join(nested, "doc_id")
+    held = line.select("doc_id", "page", "line_id", "items", "text", T.strip_ws(F.col("text")).alias("_bare"), T.digits(F.col("text")).alias("_nums")).join(nested, "doc_id")
 
     def tier(v: Column) -> Column:
         found = F.when(F.contains("text", v.value), 1).when(F.contains("_bare", v.bare), 2)
         return found if strict else found.when(v.numeric & F.contains("_nums", v.nums), 3)
 
     hits = F.filter(F.transform("_values", lambda v: F.struct(v.det_idx.alias("det_idx"), v.type.alias("type"), v.value.alias("value"), tier(v).alias("tier"))), lambda h: h.tier.isNotNull())
-    found = held.select("doc_id", "page", "line_id", F.explode_outer(hits).alias("h")).where("h is not null").select("doc_id", "page", "line_id", "h.*")
+    found = held.select("doc_id", "page", "line_id", "items", F.explode_outer(hits).alias("h")).where("h is not null").select("doc_id", "page", "line_id", "items", "h.*")
     if not strict:
-        first = found.groupBy("doc_id", "page", "value").agg(F.min_by(F.struct("line_id", "tier", "det_idx", "type"), "line_id").alias("f"))
+        first = found.groupBy("doc_id", "page", "value").agg(F.min_by(F.struct("line_id", "tier", "det_idx", "type", "items"), "line_id").alias("f"))
         found = first.select("doc_id", "page", "value", "f.*")
-    return found.join(line.select("doc_id", "page", "line_id", "items"), ["doc_id", "page", "line_id"]).select("doc_id", "page", "value", "det_idx", "type", "line_id", "tier", "items")
+    return found.select("doc_id", "page", "value", "det_idx", "type", "line_id", "tier", "items")
 
 
 def page_counts(matched: DataFrame) -> DataFrame:
@@ -131,6 +131,7 @@ def first_run(texts: list[str], value: str, most: int, kind: int) -> tuple[int,
 
 
 @F.arrow_udf(StructType().add("i", "integer").add("k", "integer"))
+@by_portions
 def first_runs(texts: pa.Array, value: pa.Array, most: pa.Array, kind: pa.Array) -> pa.Array:
     rows = zip(texts.to_pylist(), value.to_pylist(), most.to_pylist(), kind.to_pylist(), strict=True)
     found = [None if own is None else first_run([t or "" for t in own], v, m, k) for own, v, m, k in rows]

@@ -8,14 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import running_total
 from ..functions.text import escape_xml
-from .containers import new_document, with_document
+from .containers import new_container
 from .detections import DETECTIONS, explode_detections, parse_detections, to_json
 
+#: Bytes of the documents' files for each task.
+PART = 4 << 20
 #: (type, pattern) of values taken from a document, the first match each.
 TAKEN = (
     ("EMAIL", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+[a-z]"),
@@ -50,7 +51,12 @@ def prepare(spark: SparkSession, sf_dir: str, folder: str) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """(doc_id, text), dealt by document. A file's group of rows is read by one task, and what is derived here is many times the text, so tasks would be few and large; and what is made of a document's rows needs no shuffle behind this one."""
+    path = f"{sf_dir}/documents.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    parts = max(min(spark.sparkContext.defaultParallelism, size >> 18), -(-size // PART), 1)
+    return spark.read.parquet(path).select("doc_id", "text").repartition(parts, "doc_id")
 
 
 def made_detections(text: Column, doc_id: Column) -> Column:
@@ -98,13 +104,13 @@ def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, item_idx, str, x, y, width, height): words as items, lines as lines, 50 lines a page, y a little uneven within a line."""
     line = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "body"))
-    words = F.split("body", " ", -1)
-    line = line.select("doc_id", "line", words.alias("words"), running_total(F.transform(words, lambda w: F.length(w) + 1)).alias("ends"))
-    placed = F.transform("words", lambda w, i: F.struct(w.alias("str"), (F.get("ends", i) - F.length(w) - 1).alias("at")))
-    words = line.select("doc_id", "line", F.posexplode_outer(placed).alias("n", "w"))
+    words = line.select("doc_id", "line", F.monotonically_increasing_id().alias("row"), "body").select("doc_id", "line", "row", F.posexplode_outer(F.split("body", " ", -1)).alias("n", "str"))
+    # a sum over the line's words so far keeps the rows where they are; behind a Python function they would be shuffled again
+    so_far = F.sum(F.length("str") + 1).over(Window.partitionBy("doc_id", "row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    words = words.withColumn("at", (so_far - F.length("str") - 1).cast("int"))
     return words.select(
-        "doc_id", F.floor(F.col("line") / 50).cast("int").alias("page"), (F.col("line") * 100000 + F.col("n")).alias("item_idx"), F.col("w.str").alias("str"),
-        (F.col("w.at") * 6.0).cast("double").alias("x"), (F.lit(800.0) - 14.0 * (F.col("line") % 50) + F.col("n") % 3).cast("double").alias("y"), (F.length("w.str") * 6.0).cast("double").alias("width"), F.lit(12.0).alias("height"),
+        "doc_id", F.floor(F.col("line") / 50).cast("int").alias("page"), (F.col("line") * 100000 + F.col("n")).alias("item_idx"), "str",
+        (F.col("at") * 6.0).cast("double").alias("x"), (F.lit(800.0) - 14.0 * (F.col("line") % 50) + F.col("n") % 3).cast("double").alias("y"), (F.length("str") * 6.0).cast("double").alias("width"), F.lit(12.0).alias("height"),
     )
 
 
@@ -172,7 +178,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     xml = F.concat(F.lit(f'<w:document xmlns:w="{space}"><w:body>'), F.array_join(lines, ""), F.lit("</w:body></w:document>"))
     named = docs.withColumns({"_kind": kind, "_xml": xml})
-    content = F.when(F.col("_kind") == "docx", with_document(new_document(F.lit("")), F.col("_xml"))).when(F.col("_kind") == "doc", new_document("text"))
+    content = new_container(F.when(F.col("_kind") == "docx", F.col("_xml")), F.when(F.col("_kind") == "doc", F.coalesce("text", F.lit(""))))
     return named.select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), F.col("_kind")).alias("file_name"), F.lit("").alias("mime"), content.alias("content"), "dets")
 
 
