@@ -91,12 +91,9 @@ def embedded(fp: np.ndarray) -> np.ndarray:
 
 
 def near(one: np.ndarray, many: np.ndarray, radius: int) -> np.ndarray:
-    """Which rows of many are within radius bits of the row one; where a fingerprint is one number, the Manhattan bound goes first."""
-    if many.shape[1] > 1:
-        return np.flatnonzero(np.bitwise_count(many ^ one).sum(1, dtype=np.int64) <= radius)
-    close = manhattan(embedded(many[:, 0]), embedded(one[0])) <= radius
-    at = np.flatnonzero(close)
-    return at[np.bitwise_count(many[at, 0] ^ one[0]) <= radius]
+    """Which rows of many are within radius bits of the row one. The Manhattan bound goes first; that of a fingerprint of several numbers is the sum of theirs."""
+    at = np.flatnonzero(manhattan(embedded(many), embedded(one)).sum(1) <= radius)
+    return at[np.bitwise_count(many[at] ^ one).sum(1, dtype=np.int64) <= radius]
 
 
 def forest(fp: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
@@ -134,9 +131,8 @@ def _linked(radius: int, width: int):
                 a, b = a[same], b[same]
                 if not len(a):
                     break
-                if width == 1:
-                    ok = manhattan(embedded(fp[a, 0]), embedded(fp[b, 0])) <= radius
-                    a, b = a[ok], b[ok]
+                ok = manhattan(embedded(fp[a]), embedded(fp[b])).sum(1) <= radius
+                a, b = a[ok], b[ok]
                 ok = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= radius
                 us.append(root[a[ok]])
                 vs.append(root[b[ok]])
@@ -180,13 +176,13 @@ def _met(placed: DataFrame, names: list[str], radius: int, block: int, deal: lis
     return units.mapInArrow(_linked(radius, len(names)), "u bigint, v bigint").distinct()
 
 
-def links(roots: DataFrame, radius: int = 3, block: int = 2048) -> DataFrame:
-    """Spanning links (u, v) between the roots of (fp, root), one row a fingerprint, of which any two within radius bits are connected."""
+def links(roots: DataFrame, radius: int = 3, block: int = 2048, deal: list[str] | None = None) -> DataFrame:
+    """Spanning links (u, v) between the roots of (fp, root), of which any two within radius bits are connected. One row a fingerprint, or more of them, if deal names the column that parts them in blocks."""
     point = roots.select("fp", "root", embedding(F.col("fp")).alias("e"))
     masks = F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask")) for i, m in enumerate(cells(radius))))
     # one choice's number is mixed into the cell, so that a cell is a single long; the few cells that meet by chance only make a unit larger
     placed = point.select("fp", "root", F.explode(masks).alias("x"), "e").select(F.xxhash64("x.choice", F.col("e").bitwiseAND(F.col("x.mask"))).alias("cell"), "fp", "root")
-    return _met(placed, ["fp"], radius, block)
+    return _met(placed, ["fp"], radius, block, deal)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, block: int = 2048) -> DataFrame:
@@ -293,13 +289,13 @@ def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 64, picked: int = 16, block: int = 2048, shingles_in_block: int = 500_000, prints: DataFrame | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 64, picked: int = 16, block: int = 2048, shingles_in_block: int = 500_000, prints: DataFrame | None = None, radius: int = 3
 ) -> DataFrame:
     """(id, component), a row for each identifier: the smallest one reachable over texts whose word shingles have that Jaccard similarity or more. prints: the rows of wide_prints() that are to be compared, where they are known; only these texts take part.
 
-    256-bit fingerprints only find the candidates. At such a similarity they differ in some 39 bits (two unrelated ones in 128, give or take 8), for which an exhaustive grid would have too many cells. So this is
-    bit sampling instead of the grid: the segments are single bits, whose counts are the bits themselves, and instead of all choices of slabs there are ``tables`` choices of ``picked`` bits, drawn once. Pairs that share
-    a cell and differ in no more bits than reach_of() are joined into loose components. Inside a loose component every pair of texts is then compared by its shingles, whether it shared a cell or not, and only pairs
+    Fingerprints only find the candidates. The first of a wide fingerprint's numbers is a fingerprint of 64 bits itself: the grid of slabs over its segments' counts, the Manhattan bound and the distance connect all texts within ``radius`` bits of it,
+    none left to chance. At a similarity of 0.8, though, 256-bit fingerprints differ in some 39 bits (two unrelated ones in 128, give or take 8), for which such a grid would have too many cells. So beside the grid bits are sampled: ``tables`` choices of
+    ``picked`` bits, drawn once; pairs that share a cell are held against the Manhattan bound of all four numbers and then against reach_of() bits. What either finds is joined into loose components. Inside a loose component every pair of texts is then compared by its shingles, whether it shared a cell or not, and only pairs
     of the similarity count. So no link is wrong, and one is missed only if nothing ties its ends loosely (by the binomial model 1 in 100 pairs at the threshold itself, fewer above).
 
     Texts with the same shingles and fingerprint are one from the start, as are all texts without words, null ones among them: they tie each other and nothing else. Rows that share an identifier are one node, whatever their
@@ -317,7 +313,8 @@ def similar_documents(
     worded = roots.where(F.col("whole") != 0)
     placed = worded.select(*WIDE, "root", F.explode(F.array(*masks)).alias("x")).select(cell.alias("cell"), *WIDE, "root")
     # many texts may have one fingerprint, so the root deals them into blocks
-    loose = cut(components(_met(placed, list(WIDE), reach_of(similarity), block, ["root"])).distinct())
+    exact = links(worded.select(F.col("a").alias("fp"), "root"), radius, block, ["root"])
+    loose = cut(components(exact.unionByName(_met(placed, list(WIDE), reach_of(similarity), block, ["root"]))).distinct())
     again = roots.where(F.col("root") < F.col("last")).select(*WIDE, "whole", "root", "n")
     same = looked_up(prints, again, [*WIDE, "whole"], prints.count()).select(F.col("id").alias("u"), F.col("root").alias("v"))
     found = components(same.unionByName(_verified(df, loose, words, similarity, shingles_in_block)))

@@ -183,6 +183,27 @@ def test_neighbours_against_brute_force(spark, data):
     assert hit / total >= 0.9
 
 
+def test_similar_documents_go_through_the_grid(spark):
+    """Two like texts whose first numbers are three bits apart, while the other three share no sampled bits: the grid finds them, and the exact similarity decides."""
+    one = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, one), (2, one + " more"), (3, "quite another text of a few words " * 4)], "doc_id long, text string")
+    far = -1  # all bits differ from zero
+    prints = spark.createDataFrame([(1, 0, 0, 0, 0, 11), (2, 0b10101 << 7, far, far, far, 12), (3, 0b111 << 20, far, 0, far, 13)], "id long, a long, b long, c long, d long, whole long")
+    out = {r.id: r.component for r in simhash.similar_documents(docs, prints=prints).collect()}
+    assert out == {1: 1, 2: 1, 3: 3}
+
+
+def test_manhattan_bound_of_several_numbers():
+    import numpy as np
+
+    fp = np.random.default_rng(5).integers(0, 1 << 63, (400, 4), dtype=np.uint64)
+    fp[200:] = fp[:200] ^ (np.uint64(1) << np.random.default_rng(6).integers(0, 60, (200, 4)).astype(np.uint64))
+    bits = np.bitwise_count(fp ^ fp[3]).sum(1, dtype=np.int64)
+    assert (simhash.manhattan(simhash.embedded(fp), simhash.embedded(fp[3])).sum(1) <= bits).all()
+    for radius in (0, 4, 63, 128):
+        assert simhash.near(fp[3], fp, radius).tolist() == np.flatnonzero(bits <= radius).tolist()
+
+
 def test_settings_of_neighbours_reach_those_near_the_cut():
     given = {k: p.default for k, p in inspect.signature(neighbours.nearest).parameters.items()}
     vectors = np.random.default_rng(8).standard_normal((4000, 64))
