@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import UPPER, cut, looked_up, raw, table
 from .components import components
-from .shingles import shingles, wide_fingerprints
+from .shingles import CELLS, shingles, wide_fingerprints
+from .shingles import cells as shingle_cells
 from .slices import portions
 
 SEED = 42
@@ -268,7 +269,7 @@ def _verified(docs: DataFrame, loose: DataFrame, words: int, similarity: float,
 
 
 def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, among: DataFrame | None = None) -> DataFrame:
-    """(id, a, b, c, d, whole): 256-bit fingerprints of distinct word shingles and a hash of the set of them, 0 without words. among (a column of identifiers): rows of others are left out, before their texts are read if the identifiers are few enough to be sent
+    """(id, a, b, c, d, whole, cells): 256-bit fingerprints of distinct word shingles, a hash of the set of them, 0 without words, and the numbers of the cells in which like texts meet. among (a column of identifiers): rows of others are left out, before their texts are read if the identifiers are few enough to be sent
     to every task, else by their fingerprints, so that no text moves for it."""
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     wanted = among.toDF("id").distinct() if among is not None else None
@@ -282,36 +283,35 @@ def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found, begin = shingles(texts, words)
                 prints = wide_fingerprints(found, begin)
                 whole = np.array([xxhash.xxh3_64_intdigest(found[x:y].tobytes(), SEED) if y > x else 0 for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(prints[:, i].copy()) for i in range(4)), pa.array(whole.view(np.int64))], ["id", *WIDE, "whole"])
+                met = pa.FixedSizeListArray.from_arrays(pa.array(shingle_cells(found, begin, prints).ravel()), CELLS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(prints[:, i].copy()) for i in range(4)), pa.array(whole.view(np.int64)), met], ["id", *WIDE, "whole", "cells"])
 
-    prints = df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint, whole bigint")
+    prints = df.mapInArrow(made, "id bigint, a bigint, b bigint, c bigint, d bigint, whole bigint, cells array<bigint>")
     return prints if few or wanted is None else prints.join(wanted, "id", "left_semi")
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 64, picked: int = 16, block: int = 2048, shingles_in_block: int = 500_000, prints: DataFrame | None = None, radius: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = 2048, shingles_in_block: int = 500_000, prints: DataFrame | None = None, radius: int = 3
 ) -> DataFrame:
     """(id, component), a row for each identifier: the smallest one reachable over texts whose word shingles have that Jaccard similarity or more. prints: the rows of wide_prints() that are to be compared, where they are known; only these texts take part.
 
     Fingerprints only find the candidates. The first of a wide fingerprint's numbers is a fingerprint of 64 bits itself: the grid of slabs over its segments' counts, the Manhattan bound and the distance connect all texts within ``radius`` bits of it,
-    none left to chance. At a similarity of 0.8, though, 256-bit fingerprints differ in some 39 bits (two unrelated ones in 128, give or take 8), for which such a grid would have too many cells. So beside the grid bits are sampled: ``tables`` choices of
-    ``picked`` bits, drawn once; pairs that share a cell are held against the Manhattan bound of all four numbers and then against reach_of() bits. What either finds is joined into loose components. Inside a loose component every pair of texts is then compared by its shingles, whether it shared a cell or not, and only pairs
-    of the similarity count. So no link is wrong, and one is missed only if nothing ties its ends loosely (by the binomial model 1 in 100 pairs at the threshold itself, fewer above).
+    none left to chance. At a similarity of 0.8, though, 256-bit fingerprints differ in some 39 bits (two unrelated ones in 128, give or take 8), for which such a grid would have too many cells. So beside the grid bits are sampled, each sample of them
+    together with the text's least shingles by some orders, so that texts which have nothing in common don't meet however large the table is; pairs that share a cell are held against the Manhattan bound of all four numbers and then against
+    reach_of() bits. What either finds is joined into loose components. Inside a loose component every pair of texts is then compared by its shingles, whether it shared a cell or not, and only pairs
+    of the similarity count. So no link is wrong, and one is missed only if nothing ties its ends loosely (at 0.8 itself 1 in 200 pairs share none of the cells, fewer above).
 
     Texts with the same shingles and fingerprint are one from the start, as are all texts without words, null ones among them: they tie each other and nothing else. Rows that share an identifier are one node, whatever their
-    texts. Rows with a null identifier are left out. An empty table gives no rows; other columns are not looked at.
+    texts. Rows with a null identifier are left out. An empty table gives no rows; other columns are not looked at. Where prints have no cells, those of the texts are taken.
     """
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    if prints is not None and "cells" not in prints.columns:
+        prints = prints.join(wide_prints(docs, id_col, text_col, words).select("id", "cells").distinct(), "id")
     prints = cut(wide_prints(docs, id_col, text_col, words) if prints is None else prints)
-    roots = cut(prints.groupBy(*WIDE, "whole").agg(F.min("id").alias("root"), F.max("id").alias("last"), F.count("*").alias("n")))
-    rng, masks = np.random.default_rng(SEED), []
-    for i in range(tables):
-        bits = [int(x) for x in rng.choice(256, picked, replace=False)]
-        part = [signed(sum(1 << (x % 64) for x in bits if x // 64 == j)) for j in range(4)]
-        masks.append(F.struct(F.lit(i).alias("choice"), *(F.lit(m).cast("long").alias(c) for m, c in zip(part, WIDE, strict=True))))
-    cell = F.xxhash64("x.choice", *(F.col(c).bitwiseAND(F.col(f"x.{c}")) for c in WIDE))
+    # texts with the same shingles have the same cells
+    roots = cut(prints.groupBy(*WIDE, "whole", "cells").agg(F.min("id").alias("root"), F.max("id").alias("last"), F.count("*").alias("n")))
     worded = roots.where(F.col("whole") != 0)
-    placed = worded.select(*WIDE, "root", F.explode(F.array(*masks)).alias("x")).select(cell.alias("cell"), *WIDE, "root")
+    placed = worded.select(F.explode("cells").alias("cell"), *WIDE, "root")
     # many texts may have one fingerprint, so the root deals them into blocks
     exact = links(worded.select(F.col("a").alias("fp"), "root"), radius, block, ["root"])
     loose = cut(components(exact.unionByName(_met(placed, list(WIDE), reach_of(similarity), block, ["root"]))).distinct())

@@ -193,6 +193,18 @@ def test_similar_documents_go_through_the_grid(spark):
     assert out == {1: 1, 2: 1, 3: 3}
 
 
+def test_unrelated_texts_do_not_meet_more_as_the_table_grows(spark, monkeypatch):
+    """Beside the grid: with cells of sampled bits alone four times the texts meet sixteen times as often."""
+    met, rng, seen = simhash._met, np.random.default_rng(9), []
+    monkeypatch.setattr(simhash, "_met", lambda placed, names, *more: (seen.append(placed) if len(names) > 1 else None, met(placed, names, *more))[1])
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 30))) for i in range(4000)]
+    rows += [(4000 + i, rows[i][1] + " more") for i in range(5)]
+    out = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.id: r.component for r in out.where("id <> component").collect()} == {4000 + i: i for i in range(5)}
+    shared = seen[0].groupBy("cell").count().where("count > 1").agg(F.sum("count")).first()[0]
+    assert 10 <= shared <= 2 * 5 * 64
+
+
 def test_manhattan_bound_of_several_numbers():
     import numpy as np
 
