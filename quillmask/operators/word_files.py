@@ -1,6 +1,6 @@
 """Word-processor documents: masking and annotation of their main part.
 
-The XML is worked on row by row, without a shuffle: annotation by column expressions, masking by one pass along the XML, in Arrow batches. Text elements are rebuilt by position, never by replacing what happens to
+The XML is worked on row by row, without a shuffle, by passes along it in Arrow batches. Text elements are rebuilt by position, never by replacing what happens to
 look like them.
 """
 
@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..functions.spans import by_portions, let, masked_each
+from ..functions.spans import by_portions, masked_each
 from .masking import wanted_values
 
 #: A text element: opening, content and closing.
 TEXT = re.compile("(<w:t(?:[ \t\n\x0b\f\r][^>]*)?>)([^\n\r\u2028\u2029]*?)(</w:t>)")
+#: A text element without markup in it, and a run's opening.
+_PLAIN = re.compile("<w:t(?:[ \t\n\x0b\f\r][^>]*)?>([^<]*)</w:t>")
+_RUN = re.compile("\\A<w:r(?:[ \t\n\x0b\f\r][^>]*)?>")
 # Colours of annotations.
 RED, BROWN = "FF0000", "8B4513"
 
@@ -51,54 +54,67 @@ def mask_parts(parts: DataFrame, dets_col: str = "dets", strict: bool = False) -
     return parts.withColumn("xml", F.when(main, mask_xml(F.col("xml"), values)).otherwise(F.col("xml")))
 
 
-def put_after(xml: Column, tag: str, what: str) -> Column:
+def put_after(xml: str, tag: str, what: str) -> str:
     """The XML with something put behind the first such tag."""
-    at = F.instr(xml, tag)
-    return F.when(at > 0, F.concat(F.substring(xml, F.lit(1), at + len(tag) - 1), F.lit(what), F.substring(xml, at + len(tag), F.length(xml)))).otherwise(xml)
+    before, found, behind = xml.partition(tag)
+    return before + found + what + behind if found else xml
 
 
-def add_missing(xml: Column, sign: str, what: str) -> Column:
-    return F.when(F.contains(xml, F.lit(sign)), xml).otherwise(put_after(xml, "<w:rPr>", what))
+def add_missing(xml: str, sign: str, what: str) -> str:
+    return xml if sign in xml else put_after(xml, "<w:rPr>", what)
 
 
-def styled_run(run: Column) -> Column:
+def painted(run: str) -> str:
+    """The run in brown."""
+    sign = '<w:color w:val="'
+    if "<w:color" not in run:
+        return put_after(run, "<w:rPr>", f'{sign}{BROWN}"/>')
+    at = run.find(sign) + len(sign)
+    end = run.find('"', at) if at >= len(sign) else -1
+    return run[:at] + BROWN + run[end:] if end >= 0 else run
+
+
+def styled_run(run: str) -> str:
     """A run's markup in its annotation style: red ones red, italic and underlined; others brown and underlined."""
     line = '<w:u w:val="single"/>'
-    has = F.contains(run, F.lit("<w:rPr>"))
-    fresh = lambda style: F.regexp_replace(run, r"\A(<w:r(?:\s[^>]*)?>)", f"$1<w:rPr>{style}</w:rPr>")
-    red = add_missing(add_missing(add_missing(run, "<w:color", f'<w:color w:val="{RED}"/>'), "<w:i", "<w:i/>"), "<w:u", line)
-    painted = F.when(F.contains(run, F.lit("<w:color")), F.regexp_replace(run, r'\A((?s:.*?)<w:color w:val=")[^"]*"', f'$1{BROWN}"')).otherwise(put_after(run, "<w:rPr>", f'<w:color w:val="{BROWN}"/>'))
-    brown = add_missing(painted, "<w:u", line)
-    was_red = F.exists(F.array(*(F.lit(f'<w:color w:val="{c}"') for c in T.REDS)), lambda c: F.contains(run, c))
-    return F.when(was_red, F.when(has, red).otherwise(fresh(f'<w:color w:val="{RED}"/><w:i/>{line}'))).otherwise(F.when(has, brown).otherwise(fresh(f'<w:color w:val="{BROWN}"/>{line}')))
+    red = any(f'<w:color w:val="{c}"' in run for c in T.REDS)
+    if "<w:rPr>" not in run:
+        style = f'<w:color w:val="{RED}"/><w:i/>{line}' if red else f'<w:color w:val="{BROWN}"/>{line}'
+        return _RUN.sub(lambda m: f"{m[0]}<w:rPr>{style}</w:rPr>", run)
+    if red:
+        run = add_missing(add_missing(run, "<w:color", f'<w:color w:val="{RED}"/>'), "<w:i", "<w:i/>")
+    return add_missing(run if red else painted(run), "<w:u", line)
+
+
+def annotated(xml: str, text: str, values: list[str]) -> str:
+    """See annotate_xml(). The text elements are read once, and again only where a run was restyled."""
+    elements = None
+    for v in values:
+        if not v or v not in text:
+            continue
+        if elements is None:
+            elements = [*_PLAIN.finditer(xml)]
+            contents = [m[1] for m in elements]
+            joint = "\0".join(contents)
+        if "\0" not in v and v not in joint:
+            continue
+        at = next((m.start() for m, own in zip(elements, contents, strict=True) if v in own), -1)
+        lead = max(xml.rfind("<w:r ", 0, at), xml.rfind("<w:r>", 0, at)) if at >= 0 else -1
+        if lead < 0:
+            continue
+        end = at + xml[at:].find("</w:r>") + 6
+        new = xml[:lead] + styled_run(xml[lead:end]) + xml[end:]
+        if new != xml:
+            xml, elements = new, None
+    return xml
 
 
-def annotate_xml(xml: Column, text: Column, values: Column) -> Column:
+@F.arrow_udf(StringType())
+@by_portions
+def annotate_xml(xml: pa.Array, text: pa.Array, values: pa.Array) -> pa.Array:
     """The XML with, for each value that the text holds, the run of the first text element that contains it restyled. Further occurrences restyle the same run to the same end."""
-    plain = r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>"
-
-    def one(x: Column, v: Column) -> Column:
-        parts = F.struct(
-            F.split(x, plain, -1).alias("around"), F.regexp_extract_all(x, F.lit(plain), F.lit(0)).alias("whole"),
-            (F.array_position(F.transform(F.regexp_extract_all(x, F.lit(plain), F.lit(1)), lambda n: F.contains(n, v)), F.lit(True)).cast("int") - 1).alias("k"),
-        )
-        first = lambda n, a: F.slice(a, F.lit(1), n)
-        pieces = lambda p: F.zip_with(first(p.k + 1, p.around), first(p.k, p.whole), lambda a, w: F.concat(a, F.coalesce(w, F.lit(""))))
-        before = let(parts, lambda p: F.when(p.k >= 0, F.array_join(pieces(p), "")))
-        return let(before, lambda b: restyled(x, b))
-
-    def restyled(x: Column, before: Column) -> Column:
-        """before: what stands in front of the text element, null if there is none."""
-        lead = F.length(F.regexp_extract(before, r"(?s)\A(.*)<w:r[ >]", 1))
-        found = before.isNotNull() & before.rlike("<w:r[ >]")
-        rest = F.substring(x, lead + 1, F.length(x))
-        end = F.length(before) - lead + F.instr(F.substring(x, F.length(before) + 1, F.length(x)), "</w:r>") + 5
-        return F.when(found, F.concat(F.substring(x, F.lit(1), lead), styled_run(F.substring(rest, F.lit(1), end)), F.substring(rest, end + 1, F.length(x)))).otherwise(x)
-
-    def every(x: Column, v: Column) -> Column:
-        return F.when(F.contains(text, v), one(x, v)).otherwise(x)
-
-    return F.aggregate(F.filter(values, lambda v: v != ""), xml, every)
+    rows = zip(xml.to_pylist(), text.to_pylist(), values.to_pylist(), strict=True)
+    return pa.array([None if x is None or own is None else annotated(x, t or "", own) for x, t, own in rows], pa.string())
 
 
 def default_half_points(styles: Column) -> Column:

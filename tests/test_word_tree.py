@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmask.functions import automaton
-from quillmask.operators import word_tree
+from quillmask.operators import word_files, word_tree
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -156,3 +156,10 @@ def test_a_styled_document_of_many_runs_is_read_in_time():
     xml = document("".join(f'<w:p>{"<w:r><w:rPr><w:b/></w:rPr><w:tab/><w:t>some te</w:t></w:r>" * 10}</w:p>' for _ in range(2000))).replace("<!-- <w:body> -->", "")
     own = lambda read: min(timeit.repeat(lambda: read(xml), number=1, repeat=3))
     assert own(word_tree.plain_tags) < 0.8 * own(word_tree.all_tags)
+
+
+def test_annotation_is_one_worker_and_no_pass_for_each_value(spark):
+    df = spark.range(1).selectExpr("id", "'<w:p><w:r><w:t>Ann Lee</w:t></w:r></w:p>' as x", "'Ann Lee' as t", "array('Ann', '', null, 'Lee', 'none') as v")
+    out = df.select(word_files.annotate_xml("x", "t", "v").alias("xml"))
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.first().xml == '<w:p><w:r><w:rPr><w:color w:val="8B4513"/><w:u w:val="single"/></w:rPr><w:t>Ann Lee</w:t></w:r></w:p>'
