@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 # White space as the data model has it (Unicode white space and the byte order mark), inside a character class.
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+# The same class with one range around all that lies beyond Latin-1, so that a letter isn't held against each of it.
+_WHITE = r"\t-\r \x{A0}[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
 # What may stand beside a token, besides white space.
 BOUNDARY = r".,;:!?()\[\]{}<>$\x22'\-"
 # Words that are never masked in page text.
@@ -27,15 +29,20 @@ REDS = ("FF0000", "C00000", "E00000")
 
 def trim_ws(s: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(s, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(s, rf"\A[{_WHITE}]+|[{_WHITE}]+\z", "")
 
 
 def strip_ws(s: Column) -> Column:
-    return F.regexp_replace(s, f"[{WS}]+", "")
+    return F.regexp_replace(s, f"[{_WHITE}]+", "")
+
+
+def is_blank(s: Column) -> Column:
+    """Whether there is nothing but white space. Most words are told by their first letter, without a regular expression."""
+    return ~(s.between("!", "~") | s.rlike(f"[^{WS}]"))
 
 
 def digits(s: Column) -> Column:
-    return F.regexp_replace(s, "[^0-9]", "")
+    return F.regexp_replace(s, "[^0-9]+", "")
 
 
 def mask(s: Column) -> Column:

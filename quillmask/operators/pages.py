@@ -25,13 +25,13 @@ ITEMS = f"array<{ITEM}>"
 
 def page_text(items: DataFrame, joint: str = "") -> DataFrame:
     """(doc_id, page, text): a page's items in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("item_idx", F.coalesce("str", F.lit("")).alias("str"))))
+    ordered = F.sort_array(F.collect_list(F.struct("item_idx", F.coalesce("str", F.lit("")).alias("str"))))
     return items.groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda i: i.str), joint).alias("text"))
 
 
 def document_text(items: DataFrame) -> DataFrame:
     """(doc_id, text, n_pages, is_scanned): pages parted by an empty line, the whole trimmed; under 100 characters on at least a page is a scan."""
-    ordered = F.array_sort(F.collect_list(F.struct("page", "item_idx", F.coalesce("str", F.lit("")).alias("str"))))
+    ordered = F.sort_array(F.collect_list(F.struct("page", "item_idx", F.coalesce("str", F.lit("")).alias("str"))))
     own = items.groupBy("doc_id").agg(ordered.alias("_i"))
     parted = F.transform("_i", lambda i, n: F.concat(F.when((n > 0) & ~F.get("_i", n - 1)["page"].eqNullSafe(i.page), "\n\n").otherwise(""), i.str))
     out = own.select("doc_id", T.trim_ws(F.array_join(parted, "")).alias("text"), F.size(F.array_distinct("_i.page")).alias("n_pages"))
@@ -45,17 +45,27 @@ def is_scanned(text: Column, pages: Column) -> Column:
 def lines(items: DataFrame, gap: float = 5.0) -> DataFrame:
     """Items that aren't blank, with ``line_id``: a new line begins where y is gap or more away from the item before."""
     order = Window.partitionBy("doc_id", "page").orderBy("item_idx")
-    kept = items.where(T.trim_ws(F.col("str")) != "")
+    kept = items.where(~T.is_blank(F.col("str")))
     breaks = F.coalesce((F.abs(F.col("y") - F.lag("y").over(order)) >= gap).cast("int"), F.lit(0))
     return kept.withColumn("_new", breaks).withColumn("line_id", F.sum("_new").over(order).cast("int")).drop("_new")
 
 
-def line_rows(numbered: DataFrame) -> DataFrame:
-    """(doc_id, page, line_id, items, text): a row for each line; its text is the items' with a blank between."""
+def line_rows(items: DataFrame, gap: float = 5.0) -> DataFrame:
+    """(doc_id, page, line_id, items, text): a row for each line of lines(); its text is the items' with a blank between.
+
+    A page's items are collected and sorted once and cut where a line begins; as windows over the items and a grouping by line each item would be sorted and written twice more.
+    """
     item = F.struct("item_idx", "str", "x", "y", "width", "height")
-    out = numbered.groupBy("doc_id", "page", "line_id").agg(F.array_sort(F.collect_list(item)).alias("_i"))
-    out = out.withColumn("items", F.transform("_i", lambda i: F.struct(i.str.alias("str"), i.x.alias("x"), i.y.alias("y"), i.width.alias("width"), i.height.alias("height"))))
-    return out.select("doc_id", "page", "line_id", "items", F.array_join(F.col("items.str"), " ").alias("text"))
+    held = items.where(~T.is_blank(F.col("str"))).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(item)).alias("_i"))
+
+    def cut(own: Column) -> Column:
+        away = lambda i: F.coalesce(F.abs(F.get(own, i).y - F.get(own, i - 1).y) >= gap, F.lit(False))
+        begins = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | away(i))
+        line = lambda at, end: F.transform(F.slice(own, at + 1, end - at), lambda i: F.struct(i.str.alias("str"), i.x.alias("x"), i.y.alias("y"), i.width.alias("width"), i.height.alias("height")))
+        return let(begins, lambda at: F.transform(at, lambda s, n: line(s, F.coalesce(F.get(at, n + 1), F.size(own)))))
+
+    out = held.select("doc_id", "page", F.posexplode_outer(let(F.col("_i"), cut)).alias("line_id", "items"))
+    return out.select("doc_id", "page", "line_id", "items", F.array_join("items.str", " ").alias("text"))
 
 
 def distinct_values(detections: DataFrame) -> DataFrame:
@@ -77,7 +87,9 @@ def match_lines(line: DataFrame, detections: DataFrame, strict: bool = False) ->
     wanted = distinct_values(detections).where(~T.is_stop_word(F.col("value")))
     value = F.struct("det_idx", "type", "value", T.strip_ws(F.col("value")).alias("bare"), T.digits(F.col("value")).alias("nums"), T.is_card_or_iban(F.col("value")).alias("numeric"))
     nested = wanted.groupBy("doc_id").agg(F.collect_list(value).alias("_values"))
-    held = line.select("doc_id", "page", "line_id", "items", "text", T.strip_ws(F.col("text")).alias("_bare"), T.digits(F.col("text")).alias("_nums")).join(nested, "doc_id")
+    # values are few beside lines, which with their items are many times the text and would be sorted for a merge
+    held = line.select("doc_id", "page", "line_id", "items", "text", T.strip_ws(F.col("text")).alias("_bare")).join(nested.hint("shuffle_hash"), "doc_id")
+    held = held.withColumn("_nums", F.when(F.exists("_values", lambda v: v.numeric), T.digits(F.col("text"))))
 
     def tier(v: Column) -> Column:
         found = F.when(F.contains("text", v.value), 1).when(F.contains("_bare", v.bare), 2)

@@ -143,12 +143,12 @@ def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pages.line_rows(pages.lines(harness.page_items(spark, sf_dir)))
+    out = pages.line_rows(harness.page_items(spark, sf_dir))
     return out.select("doc_id", "page", "line_id", F.size("items").cast("long").alias("n_items"), "text")
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.match_lines(pages.line_rows(pages.lines(harness.page_items(spark, sf_dir))), harness.detection_rows(spark, sf_dir))
+    return pages.match_lines(pages.line_rows(harness.page_items(spark, sf_dir)), harness.detection_rows(spark, sf_dir))
 
 
 def pdf_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,18 +169,16 @@ def pdf_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pdf_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = harness.page_items(spark, sf_dir)
-    return pages.overlays(_matched(spark, sf_dir), harness.page_sizes(items))
+    return pages.overlays(_matched(spark, sf_dir), harness.page_sizes(spark, sf_dir))
 
 
 def pdf_position_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = harness.page_items(spark, sf_dir)
-    sizes = harness.page_sizes(items)
-    return pages.position_rectangles(pages.text_positions(items, sizes), sizes, harness.detection_rows(spark, sf_dir))
+    sizes = harness.page_sizes(spark, sf_dir)
+    return pages.position_rectangles(pages.text_positions(harness.page_items(spark, sf_dir), sizes), sizes, harness.detection_rows(spark, sf_dir))
 
 
 def scanned_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.scan_rectangles(harness.page_sizes(harness.page_items(spark, sf_dir)), harness.detection_rows(spark, sf_dir))
+    return pages.scan_rectangles(harness.page_sizes(spark, sf_dir), harness.detection_rows(spark, sf_dir))
 
 
 def image_fallback_rects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,20 +11,21 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
 from ..functions.text import escape_xml
 from .containers import new_container
 from .detections import DETECTIONS, explode_detections, parse_detections, to_json
 
 #: Bytes of the documents' files for each task.
 PART = 4 << 20
-#: (type, pattern) of values taken from a document, the first match each.
+#: (type, pattern, what every match holds) of values taken from a document, the first match each.
 TAKEN = (
-    ("EMAIL", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+[a-z]"),
-    ("CARD", r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}"),
-    ("PHONE", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"),
-    ("IP", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
-    ("NAME", r"[A-Za-z]{10,}"),
-    ("PAIR", r"[A-Za-z]+ [A-Za-z]+"),
+    ("EMAIL", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+[a-z]", "@"),
+    ("CARD", r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}", ""),
+    ("PHONE", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "+1 ("),
+    ("IP", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "."),
+    ("NAME", r"[A-Za-z]{10,}", ""),
+    ("PAIR", r"[A-Za-z]+ [A-Za-z]+", " "),
 )
 
 
@@ -62,12 +63,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def made_detections(text: Column, doc_id: Column) -> Column:
     """Values that are there, parts of words, repeats, strangers, stop words, empty and blank ones."""
     one = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
-    got = {kind: F.regexp_extract(text, pattern, 0) for kind, pattern in TAKEN}
-    name = got["NAME"]
-    found = [one(kind, got[kind]) for kind, _ in TAKEN]
-    found += [one("PART", F.substring(name, 3, 5)), one("NAME", name), one("NAME", F.when(name != "", F.concat(name, F.lit(" "))).otherwise(""))]
+    got = F.struct(*(F.when(F.contains(text, F.lit(held)), F.regexp_extract(text, pattern, 0)).otherwise("").alias(kind) for kind, pattern, held in TAKEN))
     fixed = [one("OTHER", F.concat(F.lit("Zyxwv "), doc_id.cast("string"))), one("STOP", F.lit("und")), one("EMPTY", F.lit("")), one("BLANK", F.lit("  "))]
-    return F.concat(F.filter(F.array(*found), lambda d: d.value != ""), F.array(*fixed)).cast(DETECTIONS)
+
+    def listed(own: Column) -> Column:
+        name = own.NAME
+        found = [one(kind, own[kind]) for kind, *_ in TAKEN]
+        found += [one("PART", F.substring(name, 3, 5)), one("NAME", name), one("NAME", F.when(name != "", F.concat(name, F.lit(" "))).otherwise(""))]
+        return F.filter(F.array(*found), lambda d: d.value != "")
+
+    return F.concat(let(got, listed), F.array(*fixed)).cast(DETECTIONS)
 
 
 @prepared
@@ -114,8 +119,12 @@ def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_sizes(items: DataFrame) -> DataFrame:
-    return items.select("doc_id", "page").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(842.0)})
+@prepared
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, width, height): the pages of page_items(), by the number of lines."""
+    last = F.floor((F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1) / 50).cast("int")
+    pages = documents(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("page")).distinct()
+    return pages.withColumns({"width": F.lit(600.0), "height": F.lit(842.0)})
 
 
 @prepared

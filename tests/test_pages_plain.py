@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillmask.functions import text as T
+from quillmask.functions.spans import strip_white
 from quillmask.operators import pages
 
 ITEM = "struct<str:string,x:double,y:double,width:double,height:double>"
@@ -95,6 +97,26 @@ def test_first_lines_of_pages(spark):
     assert pages.page_counts(pages.match_lines(line, dets)).orderBy("page").select(F.col("n_values")).collect() == [(2,), (1,)]
 
 
+def test_line_rows_are_the_lines_of_the_items(spark):
+    """line_rows() against lines(), item by item, with blank and null texts, null places and pages in any order."""
+    rng = random.Random(13)
+    rows = [(d, p, n, rng.choice(["a", "bc", "~", "\x7f", "é", " ", "\xa0\u2003", "", None]), 1.0 * n, rng.choice([100.0, 104.9, 95.0, 80.0, None]), 6.0, 12.0) for d in range(6) for p in range(3) for n in range(d * 7)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id int, page int, item_idx int, str string, x double, y double, width double, height double")
+    want = {}
+    for r in sorted(pages.lines(table).collect(), key=lambda r: r.item_idx):
+        want.setdefault((r.doc_id, r.page, r.line_id), []).append((r.str, r.x, r.y, r.width, r.height))
+    got = pages.line_rows(table).collect()
+    assert len(got) == len(want) > 40 and {(r.doc_id, r.page, r.line_id): [tuple(i) for i in r["items"]] for r in got} == want
+    assert all(r.text == " ".join(i.str for i in r["items"]) for r in got)
+
+
+def test_blank_words(spark):
+    texts = [c + t for c in ["", "\t", "\n", "\x0b", "\f", "\r", " ", "\x1c", "\x85", "\xa0", "\u1680", "\u2000", "\u200a", "\u200b", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff", "!", "~", "\x7f", "é", "😀"] for t in ("", "x", "~", " ")]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.is_blank(F.col("s")).alias("blank"), (T.trim_ws(F.col("s")) == "").alias("trimmed"), T.strip_ws(F.col("s")).alias("bare")).collect()
+    assert len(rows) == len(texts) and all(r.blank == r.trimmed == (r.bare == "") == (strip_white(r.s) == "") and r.bare == strip_white(r.s) for r in rows)
+
+
 def test_runs_by_offsets_in_lines_of_any_items():
     """first_run() against every run tried in turn."""
     rng = random.Random(11)

@@ -29,6 +29,14 @@ def test_words_stay_where_their_document_is(spark, data, name):
     assert moved and all("REPARTITION_BY_NUM" in x for x in moved)
 
 
+def test_items_are_sorted_once_for_their_lines(spark, data):
+    """The one window is that of the words' places; lines, many times the text, aren't sorted to meet values; page sizes need no words."""
+    assert sum("Window [" in x for x in plan(QUERIES["pdf_lines"](spark, data))) == 1
+    for name in ("pdf_line_match", "pdf_item_match", "pdf_rects"):
+        assert not any("SortMergeJoin" in x for x in plan(QUERIES[name](spark, data)))
+    assert sum("posexplode(split(body" in x for x in plan(QUERIES["pdf_overlays"](spark, data))) == 1
+
+
 @pytest.mark.parametrize("suggest", [True, False])
 def test_evaluation_takes_one_worker_a_task(spark, suggest):
     docs = spark.createDataFrame([(1, "a b", [("T", "a")])], "doc_id long, text string, dets array<struct<type:string,value:string>>")
