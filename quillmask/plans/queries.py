@@ -148,7 +148,7 @@ def pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.match_lines(pages.line_rows(harness.page_items(spark, sf_dir)), harness.detection_rows(spark, sf_dir))
+    return pages.match_lines(pages.line_rows(harness.page_items(spark, sf_dir, keyed=True)), harness.detection_rows(spark, sf_dir))
 
 
 def pdf_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def pdf_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pdf_position_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = harness.page_sizes(spark, sf_dir)
-    return pages.position_rectangles(pages.text_positions(harness.page_items(spark, sf_dir), sizes), sizes, harness.detection_rows(spark, sf_dir))
+    return pages.position_rectangles(pages.text_positions(harness.page_items(spark, sf_dir, keyed=True), sizes), sizes, harness.detection_rows(spark, sf_dir))
 
 
 def scanned_rects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,17 +29,17 @@ TAKEN = (
 )
 
 
-_MADE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_MADE: dict[str, Callable[..., DataFrame]] = {}
 
 
-def prepared(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def prepared(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The input as make() derives it, or as prepare() has written it."""
     _MADE[make.__name__] = make
 
     @wraps(make)
-    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def read(spark: SparkSession, sf_dir: str, **how: bool) -> DataFrame:
         folder = spark.conf.get("quillmask.prepared", None)
-        return spark.read.parquet(f"{folder}/{make.__name__}.parquet") if folder else make(spark, sf_dir)
+        return spark.read.parquet(f"{folder}/{make.__name__}.parquet") if folder else make(spark, sf_dir, **how)
 
     return read
 
@@ -106,9 +106,13 @@ def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @prepared
-def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, page, item_idx, str, x, y, width, height): words as items, lines as lines, 50 lines a page, y a little uneven within a line."""
-    line = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "body"))
+def page_items(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    """(doc_id, page, item_idx, str, x, y, width, height): words as items, lines as lines, 50 lines a page, y a little uneven within a line.
+
+    keyed is for items that meet values by doc_id: documents without one, which meet none, are left out before they are dealt. Catalyst does that for the values; past the rows' numbers it can't here, and
+    texts dealt otherwise than the values' would be shuffled a second time."""
+    docs = documents(spark, sf_dir)
+    line = (docs.where("doc_id is not null") if keyed else docs).select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "body"))
     words = line.select("doc_id", "line", F.monotonically_increasing_id().alias("row"), "body").select("doc_id", "line", "row", F.posexplode_outer(F.split("body", " ", -1)).alias("n", "str"))
     # a sum over the line's words so far keeps the rows where they are; behind a Python function they would be shuffled again
     so_far = F.sum(F.length("str") + 1).over(Window.partitionBy("doc_id", "row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))

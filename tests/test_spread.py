@@ -37,6 +37,25 @@ def test_items_are_sorted_once_for_their_lines(spark, data):
     assert sum("posexplode(split(body" in x for x in plan(QUERIES["pdf_overlays"](spark, data))) == 1
 
 
+@pytest.mark.parametrize("name", ["pdf_line_match", "pdf_page_counts", "pdf_item_match", "pdf_rects"])
+def test_texts_are_shuffled_once_for_items_and_values(spark, data, name):
+    df = QUERIES[name](spark, data)
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    assert sorted("ReusedExchange" in x for x in ran if "REPARTITION_BY_NUM" in x) == [False, True]
+
+
+def test_documents_without_a_key_keep_their_pages_and_meet_no_values(spark, tmp_path):
+    docs = [(None, "Mail a.b@c.de now"), (1, "Mail a.b@c.de now"), (2, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.text) for r in QUERIES["page_texts"](spark, str(tmp_path)).collect()), key=str)
+    assert got == [(1, "Mail a.b@c.de now"), (2, ""), (None, "Mail a.b@c.de now")]
+    every = harness.page_items(spark, str(tmp_path))
+    assert every.where("doc_id is not null").exceptAll(harness.page_items(spark, str(tmp_path), keyed=True)).count() == 0
+    assert every.where("doc_id is null").count() == 3 and harness.page_items(spark, str(tmp_path), keyed=True).count() == 4
+    assert {(r.doc_id, r.value) for r in QUERIES["pdf_item_match"](spark, str(tmp_path)).collect()} == {(1, "a.b@c.de"), (1, "Mail a")}
+
+
 @pytest.mark.parametrize("suggest", [True, False])
 def test_evaluation_takes_one_worker_a_task(spark, suggest):
     docs = spark.createDataFrame([(1, "a b", [("T", "a")])], "doc_id long, text string, dets array<struct<type:string,value:string>>")
