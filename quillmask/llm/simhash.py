@@ -170,7 +170,8 @@ def _met(placed: DataFrame, names: list[str], radius: int, block: int, deal: lis
     """Spanning links of (cell, fingerprint columns, root): rows meet in their cells, large cells in pairs of blocks, dealt by the fingerprint or by deal."""
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block)
-    shared = placed.join(sizes, "cell").select("cell", blocks.alias("blocks"), F.pmod(F.xxhash64(*(deal or names)), blocks).alias("own"), *names, "root")
+    # Spark sizes rows behind an explode as the table in front of it and would send all of them to every task by way of the driver
+    shared = placed.join(sizes.hint("merge"), "cell").select("cell", blocks.alias("blocks"), F.pmod(F.xxhash64(*(deal or names)), blocks).alias("own"), *names, "root")
     units = shared.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", *names, "root")
     units = units.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *names, "root")
     units = units.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", *names)

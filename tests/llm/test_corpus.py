@@ -95,6 +95,14 @@ def test_links_of_planted_fingerprints(spark, block):
     assert [root(i) for i in range(len(fps))] == classes(list(range(len(fps))), fps)
 
 
+def test_cells_of_many_fingerprints_are_not_sent_to_every_task(spark, tmp_path):
+    """Each fingerprint is in twenty cells, which Spark takes to be as large as the table of fingerprints."""
+    spark.range(300_000).selectExpr("xxhash64(id) as fp", "id as root").write.parquet(f"{tmp_path}/roots")
+    links = simhash.links(spark.read.parquet(f"{tmp_path}/roots"))
+    links.collect()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_embedding_is_a_lower_bound():
     rng = np.random.default_rng(5)
     a, b = (rng.integers(0, 2**63, 500, np.uint64) for _ in range(2))
