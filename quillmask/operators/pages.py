@@ -279,12 +279,23 @@ def overlays(matched: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("doc_id", "page", "value", T.overlay_text(F.coalesce(F.col("i.width"), F.lit(0.0))).alias("text"), F.col("i.x").alias("x"), (F.col("_h") - F.col("i.y") - height).alias("y"), height.alias("size"))
 
 
+def page_positions(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, page_height, positions): a page's items that hold text, as (item_idx, text, x, y, width, height) with y from the top; a width of 0 is taken as 100, a height of 0 as 12.
+
+    Items are many times the text. They are nested where their document is, and their page meets its size there too: for an equality of pages beside that of documents Spark deals both tables anew by the pair, so the page stands in bounds.
+    """
+    item = F.struct("item_idx", F.col("str").alias("text"), "x", "y", "width", "height")
+    held = items.where(F.coalesce("str", F.lit("")) != "").groupBy("doc_id", "page").agg(F.collect_list(item).alias("_i"))
+    size = pages.select(F.col("doc_id").alias("_doc"), F.col("page").alias("_page"), F.col("height").alias("page_height")).hint("shuffle_hash")
+    both = held.join(size, (F.col("doc_id") == F.col("_doc")) & (F.col("page") >= F.col("_page")) & (F.col("page") <= F.col("_page")))
+    some = lambda c, d: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(d))
+    placed = F.transform("_i", lambda i: F.struct(i.item_idx.alias("item_idx"), i.text.alias("text"), i.x.alias("x"), (F.col("page_height") - i.y).alias("y"), some(i.width, 100.0).alias("width"), some(i.height, 12.0).alias("height")))
+    return both.select("doc_id", "page", "page_height", placed.alias("positions"))
+
+
 def text_positions(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page, item_idx, text, x, y, width, height) with y from the top; a width of 0 is taken as 100, a height of 0 as 12."""
-    size = pages.select("doc_id", "page", F.col("height").alias("_h"))
-    out = items.where(F.coalesce("str", F.lit("")) != "").join(size, ["doc_id", "page"])
-    some = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(d))
-    return out.select("doc_id", "page", "item_idx", F.col("str").alias("text"), "x", (F.col("_h") - F.col("y")).alias("y"), some("width", 100.0).alias("width"), some("height", 12.0).alias("height"))
+    """(doc_id, page, item_idx, text, x, y, width, height): a row for each of page_positions()."""
+    return page_positions(items, pages).select("doc_id", "page", F.explode_outer("positions").alias("i")).select("doc_id", "page", "i.*")
 
 
 def items_with(texts: list[str], values: list[str]) -> Iterator[tuple[int, int]]:
@@ -305,15 +316,13 @@ def _items_with(texts: pa.Array, values: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.struct([("item", pa.int32()), ("value", pa.int32())])))
 
 
-def position_rectangles(positions: DataFrame, pages: DataFrame, detections: DataFrame, pad: float = 2.0) -> DataFrame:
-    """(doc_id, page, det_idx, value, x, y, width, height): every position whose text holds the value. A page's positions and a document's values stand nested in a row each, so no position is repeated for each value."""
+def position_rectangles(positions: DataFrame, detections: DataFrame, pad: float = 2.0) -> DataFrame:
+    """(doc_id, page, det_idx, value, x, y, width, height): every position of page_positions() whose text holds the value. A page's positions and a document's values stand nested in a row each, so no position is repeated for each value."""
     wanted = detections.withColumn("value", T.trim_ws(F.col("value"))).where("value <> ''").groupBy("doc_id").agg(F.collect_list(F.struct("det_idx", "value")).alias("_values"))
-    held = positions.repartition("doc_id").groupBy("doc_id", "page").agg(F.collect_list(F.struct("text", "x", "y", "width", "height")).alias("_items"))
-    both = held.join(wanted, "doc_id").withColumn("_hits", _items_with(F.transform("_items", lambda i: i.text), F.transform("_values", lambda v: v.value)))
-    found = F.transform("_hits", lambda h: F.struct(F.get("_items", h.item).alias("i"), F.get("_values", h.value).alias("v")))
-    hit = both.select("doc_id", "page", F.explode_outer(found).alias("h")).where("h is not null").select("doc_id", "page", "h.v.*", "h.i.*")
-    hit = hit.join(pages.select("doc_id", "page", F.col("height").alias("_h")), ["doc_id", "page"])
-    return hit.select("doc_id", "page", "det_idx", "value", (F.col("x") - pad).alias("x"), (F.col("_h") - F.col("y") - F.col("height") - pad).alias("y"), (F.col("width") + 2 * pad).alias("width"), (F.col("height") + 2 * pad).alias("height"))
+    both = positions.join(wanted.hint("shuffle_hash"), "doc_id").withColumn("_hits", _items_with(F.transform("positions", lambda i: i.text), F.transform("_values", lambda v: v.value)))
+    found = F.transform("_hits", lambda h: F.struct(F.get("positions", h.item).alias("i"), F.get("_values", h.value).alias("v")))
+    hit = both.select("doc_id", "page", "page_height", F.explode_outer(found).alias("h")).where("h is not null").select("doc_id", "page", "page_height", "h.v.*", "h.i.*")
+    return hit.select("doc_id", "page", "det_idx", "value", (F.col("x") - pad).alias("x"), (F.col("page_height") - F.col("y") - F.col("height") - pad).alias("y"), (F.col("width") + 2 * pad).alias("width"), (F.col("height") + 2 * pad).alias("height"))
 
 
 def scan_rectangles(pages: DataFrame, detections: DataFrame) -> DataFrame:

@@ -173,8 +173,7 @@ def pdf_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pdf_position_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = harness.page_sizes(spark, sf_dir)
-    return pages.position_rectangles(pages.text_positions(harness.page_items(spark, sf_dir, keyed=True), sizes), sizes, harness.detection_rows(spark, sf_dir))
+    return pages.position_rectangles(pages.page_positions(harness.page_items(spark, sf_dir, keyed=True), harness.page_sizes(spark, sf_dir)), harness.detection_rows(spark, sf_dir))
 
 
 def scanned_rects(spark: SparkSession, sf_dir: str) -> DataFrame:

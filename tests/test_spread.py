@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from quillmask.functions.spans import by_portions, portions
-from quillmask.operators import evaluate, file_masking
+from quillmask.operators import evaluate, file_masking, pages
 from quillmask.plans.queries import QUERIES
 from quillmask.sources import harness
 
@@ -45,6 +45,26 @@ def test_texts_are_shuffled_once_for_items_and_values(spark, data, name):
     assert sorted("ReusedExchange" in x for x in ran if "REPARTITION_BY_NUM" in x) == [False, True]
 
 
+def test_positions_and_page_sizes_stay_where_their_document_is(spark):
+    df = QUERIES["pdf_position_rects"](spark, "/root/testdata/sf0.01")
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    moved = [x for x in ran if "Exchange" in x]
+    assert moved and all("REPARTITION_BY_NUM" in x for x in moved) and sorted("ReusedExchange" in x for x in moved) == [False, True, True]
+    assert not any("SortMergeJoin" in x for x in plan(df))
+
+
+def test_positions_meet_their_own_page(spark):
+    items = [(1, 0, 0, "ab", 1.0, 10.0, 0.0, 0.0), (1, 0, 1, "", 2.0, 10.0, 5.0, 5.0), (1, 1, 2, "cd", 3.0, 20.0, 8.0, 9.0), (1, 2, 3, "no size", 3.0, 20.0, 8.0, 9.0), (2, 0, 0, None, 1.0, 1.0, 1.0, 1.0), (3, 0, 0, "ab", 1.0, 10.0, None, None)]
+    items = spark.createDataFrame(items, "doc_id long, page int, item_idx long, str string, x double, y double, width double, height double")
+    sizes = spark.createDataFrame([(1, 0, 100.0), (1, 1, 200.0), (1, 7, 300.0), (2, 0, 100.0), (3, 0, 400.0)], "doc_id long, page int, height double")
+    got = sorted(tuple(r) for r in pages.text_positions(items, sizes).collect())
+    assert got == [(1, 0, 0, "ab", 1.0, 90.0, 100.0, 12.0), (1, 1, 2, "cd", 3.0, 180.0, 8.0, 9.0), (3, 0, 0, "ab", 1.0, 390.0, 100.0, 12.0)]
+    values = spark.createDataFrame([(1, 0, "T", " b "), (1, 1, "T", "d"), (2, 0, "T", "a"), (3, 0, "T", " ")], "doc_id long, det_idx int, type string, value string")
+    got = sorted(tuple(r) for r in pages.position_rectangles(pages.page_positions(items, sizes), values).collect())
+    assert got == [(1, 0, 0, "b", -1.0, -4.0, 104.0, 16.0), (1, 1, 1, "d", 1.0, 9.0, 12.0, 13.0)]
+
+
 def test_documents_without_a_key_keep_their_pages_and_meet_no_values(spark, tmp_path):
     docs = [(None, "Mail a.b@c.de now"), (1, "Mail a.b@c.de now"), (2, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
