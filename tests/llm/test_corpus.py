@@ -524,6 +524,22 @@ def test_pipeline_drops_planted_near_copies(spark, tmp_path):
     assert len(copies - kept) >= 0.97 * len(copies) and {i for i, _ in rows} - copies <= kept
 
 
+@pytest.mark.parametrize("top", [40, (1 << 63) - 1])
+def test_near_copies_without_an_identifier(spark, tmp_path, top):
+    """They go like any other: as copies of a document with an identifier, of each other, and of a toxic document's they don't."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(chr(97 + int(x)) for x in rng.integers(0, 26, 6)) for _ in range(200)) for _ in range(6)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(5, texts[0]), (None, texts[0]), (None, near(texts[0])), (None, texts[1]), (None, texts[1]), (None, near(texts[1])), (None, texts[2]), (top, texts[3]), (None, near(texts[3])), (6, ""), (None, None), (None, " \n"), (7, texts[4])]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    toxic = [(8, texts[5]), (41, "gone before")]
+    make(rows + toxic).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = make([*rows, (None, near(texts[5]))])
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    of_two = {x for x in got if x[0] is None} & {(None, texts[1]), (None, near(texts[1]))}
+    assert len(of_two) == 1 and got - Counter(of_two) == Counter([(5, texts[0]), (top, texts[3]), (6, ""), (7, texts[4]), (None, texts[2]), (None, near(texts[5]))])
+
+
 def test_pipeline_on_awkward_rows(spark, corpus, tmp_path):
     docs = corpus.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), "score", "hits", "key")
     for name, df in (("full", docs), ("empty", docs.limit(0))):
